@@ -17,7 +17,7 @@ import numpy as np
 
 from .textops import U, mix
 
-ROUNDS = 4
+ROUNDS = 3
 MAX_WORDS = 8
 
 
@@ -53,11 +53,23 @@ def phrases(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, max_words:
     return name, to - at, low, high
 
 
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+
+
+def _spans(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Name of each interval of words, from differences of one running polynomial sum."""
+    power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(names), U(_STEP))]))
+    back = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(names), U(_BACK))]))
+    total = np.concatenate([[U(0)], np.cumsum(mix(names) * power[:-1], dtype=U)])
+    return mix((total[high] - total[low]) * back[low] + (high - low).astype(U))
+
+
 def window_keys(names: np.ndarray, doc: np.ndarray, size: int, rounds: int = ROUNDS, max_words: int = MAX_WORDS):
     """For each window of ``size`` words, ``(start, key)``: the name of one phrase inside it.
 
-    The longest phrase whose evidence lies in the window stands for it (ties: by
-    name); a window that holds none is its own key.  Equal windows have equal
+    Of the phrases whose evidence lies in the window the one with the widest stands for it, named with
+    the words of that evidence (ties: by name); a window that holds none is its own key.  Equal windows have equal
     keys wherever they are, so two documents that share a window share its key.
     """
     n = len(names) - size + 1
@@ -66,7 +78,8 @@ def window_keys(names: np.ndarray, doc: np.ndarray, size: int, rounds: int = ROU
     name, length, low, high = phrases(names, doc, rounds, max_words)
     fits = high - low <= size
     name, length, low, high = name[fits], length[fits], low[fits], high[fits]
-    weight = (length.astype(U) << U(56)) | (mix(name) >> U(8))
+    # the evidence lies in the window as well: its words make the key rarer than the phrase's own
+    weight = ((high - low).astype(U) << U(56)) | (mix(name ^ _spans(names, low, high)) >> U(8))
     best = np.zeros(n, U)
     for back in range(size):
         start = low - back
