@@ -49,3 +49,19 @@ def weighted(parts_a: list[Column], parts_b: list[Column], weights: tuple[float,
 
 def length_norm(distance: Column, length: float) -> Column:
     return distance / F.sqrt(F.lit(float(length)))
+
+
+def minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def cross(a: Column, b: Column) -> Column:
+    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def torsion(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Signed angle in degrees around the line b-c; NULL for collinear points."""
+    u, v, w = minus(b, a), minus(c, b), minus(d, c)
+    n1, n2 = cross(u, v), cross(v, w)
+    flat = (dot(n1, n1) > 0) & (dot(n2, n2) > 0)
+    return F.when(flat, F.degrees(F.atan2(F.sqrt(dot(v, v)) * dot(u, n2), dot(n1, n2))))

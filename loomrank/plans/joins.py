@@ -1 +1,170 @@
-"""To be filled."""
+"""Joins (J1-J19)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import tables as T
+from .base import query
+
+
+def _vectors(t):
+    return t.embeddings.select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+
+
+@query(
+    "j1_region_join",
+    """WITH q AS (SELECT label, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id < 10 AND vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+       s AS (SELECT e.vec_id, e.label, e.embedding::DOUBLE[] AS v, q.d FROM embeddings e JOIN q USING (label))
+       SELECT vec_id, round(list_distance(v, d), 9) AS d_all, round(list_distance(list_slice(v, 1, 21), list_slice(d, 1, 21)), 9) AS d_1,
+              round(list_distance(list_slice(v, 22, 42), list_slice(d, 22, 42)), 9) AS d_2, round(list_distance(list_slice(v, 44, 64), list_slice(d, 44, 64)), 9) AS d_3 FROM s""",
+)
+def j1(t):
+    e = _vectors(t)
+    donors = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("q")).where("q.vec_id < 10").select("label", F.col("q.v").alias("d"))
+    both = e.join(donors, "label")
+    parts = [(F.col("v"), F.col("d")), *zip(V.blocks(F.col("v"), 64), V.blocks(F.col("d"), 64), strict=True)]
+    return both.select("vec_id", *[F.round(V.euclidean(a, b), 9).alias(n) for n, (a, b) in zip(["d_all", "d_1", "d_2", "d_3"], parts, strict=True)])
+
+
+@query("j2_optional_hits", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
+def j2(t):
+    return t.customer.join(t.orders.where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("j3_property_join", "SELECT l_orderkey, l_linenumber, o_totalprice, p_size FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey")
+def j3(t):
+    li = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_linenumber")
+    return li.join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey").join(t.part.select("p_partkey", "p_size"), "p_partkey").select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", "o_totalprice", "p_size")
+
+
+@query("j4_checked_join", "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
+def j4(t):
+    return T.checked_join(t.orders.select("o_orderkey", "o_custkey"), t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), ["o_custkey"], "many_to_one")
+
+
+@query("j5_directed_pairs", "WITH p AS (SELECT vec_id AS a, vec_id + 1 AS b, label FROM embeddings) SELECT a, b, label FROM p UNION ALL SELECT b, a, label FROM p")
+def j5(t):
+    p = t.embeddings.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), "label")
+    return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "label"))
+
+
+@query(
+    "j6_group_pairs",
+    """WITH m AS (SELECT DISTINCT conv_id, role || ':' || left(text, 12) AS member FROM conversations)
+       SELECT a.member AS a, b.member AS b, string_agg(a.conv_id::VARCHAR, ',' ORDER BY a.conv_id) AS convs FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.member < b.member GROUP BY 1, 2""",
+)
+def j6(t):
+    m = t.conversations.select("conv_id", F.concat("role", F.lit(":"), F.left("text", F.lit(12))).alias("member")).distinct()
+    pairs = m.alias("x").join(m.alias("y"), F.expr("x.conv_id = y.conv_id and x.member < y.member")).select(F.col("x.member").alias("a"), F.col("y.member").alias("b"), "x.conv_id")
+    return pairs.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("conv_id")).cast("array<string>"), ",").alias("convs"))
+
+
+@query("j7_all_pairs", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey")
+def j7(t):
+    """All unordered pairs of a cohort; the cohort is a fixed dimension, and pairs are its stated result."""
+    s = t.supplier.select("s_suppkey")
+    return s.select(F.col("s_suppkey").alias("a")).join(s.select(F.col("s_suppkey").alias("b")), F.expr("a < b"))
+
+
+@query(
+    "j8_query_library",
+    "SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS euclidean, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS cosine FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id < 3",
+)
+def j8(t):
+    e = _vectors(t)
+    q = e.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    both = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    return both.select("query_id", "vec_id", F.round(V.euclidean(F.col("q"), F.col("v")), 9).alias("euclidean"), F.round(V.cosine(F.col("q"), F.col("v")), 9).alias("cosine"))
+
+
+@query("j9_grid", "SELECT a.n_name AS donor, b.n_name AS carrier FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey")
+def j9(t):
+    n = t.nation.select("n_nationkey", "n_name")
+    return n.alias("a").join(F.broadcast(n.alias("b")), F.expr("a.n_nationkey <> b.n_nationkey")).select(F.col("a.n_name").alias("donor"), F.col("b.n_name").alias("carrier"))
+
+
+@query(
+    "j10_containment",
+    """WITH m AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id % 20 = b.item_id % 20) DESC, d.doc_id) AS r
+       FROM benchmark b JOIN documents d ON contains(upper(d.text), upper(left(b.text, 40)))) SELECT item_id, doc_id FROM m WHERE r = 1""",
+)
+def j10(t):
+    """Fragments are few and of fixed length: they are broadcast behind Spark's own size check."""
+    frag = t.benchmark.select("item_id", F.upper(F.left("text", F.lit(40))).alias("f"))
+    hits = t.documents.select("doc_id", F.upper("text").alias("u")).join(frag, F.expr("contains(u, f)")).select("item_id", "doc_id")
+    return T.first_row(hits, ["item_id"], [F.desc(F.col("doc_id") % 20 == F.col("item_id") % 20), F.col("doc_id")])
+
+
+@query("j11_missing_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j11(t):
+    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("j12_semi", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def j12(t):
+    return t.orders.join(t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "j13_correspondence",
+    "SELECT a.l_orderkey AS chain, a.l_linenumber AS residue, round(a.l_extendedprice - b.l_extendedprice, 4) AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey + 1 = b.l_orderkey AND a.l_linenumber = b.l_linenumber JOIN (VALUES (1, 2), (4, 5)) r(lo, hi) ON a.l_linenumber BETWEEN r.lo AND r.hi",
+)
+def j13(t):
+    a = t.lineitem.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("residue"), F.col("l_extendedprice").alias("x"))
+    b = t.lineitem.select((F.col("l_orderkey") - 1).alias("chain"), F.col("l_linenumber").alias("residue"), F.col("l_extendedprice").alias("y"))
+    inside = F.col("residue").between(1, 2) | F.col("residue").between(4, 5)
+    return a.where(inside).join(b, ["chain", "residue"]).select("chain", "residue", F.round(F.col("x") - F.col("y"), 4).alias("d"))
+
+
+@query(
+    "j14_symmetric_memo",
+    "WITH p AS (SELECT o_custkey AS a, o_custkey % 97 + 1 AS b FROM orders) SELECT p.a, p.b, abs(x.c_acctbal - y.c_acctbal) AS d FROM p JOIN customer x ON x.c_custkey = least(a, b) JOIN customer y ON y.c_custkey = greatest(a, b)",
+)
+def j14(t):
+    pairs = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") % 97 + 1).alias("b")).withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
+    c = t.customer
+    once = pairs.select("lo", "hi").distinct().join(c.select(F.col("c_custkey").alias("lo"), F.col("c_acctbal").alias("x")), "lo").join(c.select(F.col("c_custkey").alias("hi"), F.col("c_acctbal").alias("y")), "hi")
+    return pairs.join(once.select("lo", "hi", F.abs(F.col("x") - F.col("y")).alias("d")), ["lo", "hi"]).select("a", "b", "d")
+
+
+@query(
+    "j15_stage_matrix",
+    """SELECT user_id, bool_or(event_type = 'view') AS candidate, bool_or(event_type = 'click') AS generated, bool_or(event_type = 'purchase') AS best,
+       CASE WHEN bool_or(event_type = 'purchase') THEN 'best' WHEN bool_or(event_type = 'click') THEN 'generated' WHEN bool_or(event_type = 'view') THEN 'candidate' ELSE 'none' END AS status FROM events GROUP BY user_id""",
+)
+def j15(t):
+    flags = t.events.groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == k).alias(n) for k, n in (("view", "candidate"), ("click", "generated"), ("purchase", "best"))])
+    return flags.withColumn("status", F.when(F.col("best"), "best").when(F.col("generated"), "generated").when(F.col("candidate"), "candidate").otherwise("none"))
+
+
+@query(
+    "j16_reconcile",
+    "SELECT count(*) FILTER (b.k IS NULL) AS left_only, count(*) FILTER (a.k IS NULL) AS right_only, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, max(abs(a.v - b.v)) AS max_abs_error FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 11 <> 0) a FULL JOIN (SELECT o_orderkey AS k, o_totalprice + o_orderkey % 3 AS v FROM orders WHERE o_orderkey % 13 <> 0) b ON a.k = b.k",
+)
+def j16(t):
+    a = t.orders.where("o_orderkey % 11 <> 0").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    b = t.orders.where("o_orderkey % 13 <> 0").select("o_orderkey", (F.col("o_totalprice") + F.col("o_orderkey") % 3).alias("v"))
+    return T.reconcile(a, b, ["o_orderkey"], "v")
+
+
+@query("j17_measurements", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'other' END AS label, l_extendedprice, p_retailprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1")
+def j17(t):
+    o = t.orders.select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("other").alias("label"))
+    li = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_extendedprice")
+    return o.join(li, "o_orderkey").join(t.part.select("p_partkey", "p_retailprice"), "p_partkey").select("o_orderkey", "label", "l_extendedprice", "p_retailprice")
+
+
+@query(
+    "j18_paired_cohort",
+    "SELECT user_id, avg(value) FILTER (event_type = 'click') AS a, avg(value) FILTER (event_type = 'view') AS b FROM events GROUP BY user_id HAVING a IS NOT NULL AND b IS NOT NULL",
+)
+def j18(t):
+    wide = t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    return wide.select("user_id", F.col("click").alias("a"), F.col("view").alias("b")).where("a is not null and b is not null")
+
+
+@query("j19_manifest", "SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def j19(t):
+    return t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
