@@ -17,8 +17,9 @@ blocks say nothing and are sent only by the few documents in which they could be
 all that two partners share (more than ``spare`` empty blocks among those sent).
 
 Candidates within a block are not paired off.  First each is checked against the
-block's smallest document, and links give classes.  Only pairs of documents that
-share a block and are in different classes after that are checked one by one, so
+block's smallest document, then against members drawn by a hash while the block
+holds several classes; links give classes.  Only pairs of documents that share a
+block and are in different classes after that are checked one by one, so
 a group of copies of any size costs its members, not its pairs.  Before texts
 are fetched, sizes and the Hamming distance of folded sketches drop what cannot
 be similar; what is left is verified on the whole shingle sets.
@@ -43,6 +44,8 @@ from .graph import components
 from .textops import U, mix
 
 _SPREAD = 1021
+#: rounds of stars around drawn members before pairs are checked one by one
+STAR_ROUNDS = 3
 _ROWS = "key long, salt int, doc long, rep long, info struct<n:long,xor:long,sum:long,sketch:array<long>>"
 
 
@@ -74,9 +77,9 @@ class Bands:
 
 
 def sketch_words(size: int, bands: Bands) -> int:
-    """64-bit words of a set's folded sketch: four bits per possible difference, a power of two."""
+    """64-bit words of a set's folded sketch: 32 bits per possible difference, a power of two."""
     most = int(2 * size * (1 - bands.t) / (1 + bands.t)) + 1
-    return max(1, 1 << max(0, (4 * most - 1).bit_length() - 6))
+    return max(1, 1 << max(0, (32 * most - 1).bit_length() - 6))
 
 
 def fold(items: np.ndarray, n_words: int) -> np.ndarray:
@@ -225,13 +228,40 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     links = cut(copies.unionByName(verified(stars)), "links")
     classes = components(links)
 
-    # what shares a block and is in different classes so far
-    known = members.select("key", "doc").distinct().join(classes, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("c"))
-    open_keys = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    left = cut(known.join(open_keys, "key").join(meta.dropDuplicates(["doc"]), "doc"), "open")
-    x, y = (left.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "doc", "c", "info"))) for p in "xy")
-    rest = x.join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xdoc") > F.col("ydoc")) & (F.col("xc") != F.col("yc")) & _possible(num, den, "xinfo", "yinfo"))
-    rest = rest.select(F.col("xdoc").alias("a"), F.col("ydoc").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    tried = stars
+
+    def still_open(classes: DataFrame) -> DataFrame:
+        """Members of blocks whose documents are in several classes so far."""
+        known = members.select("key", "doc").distinct().join(classes, F.col("doc") == F.col("id"), "left").select("key", "doc", F.coalesce("component_id", "doc").alias("c"))
+        keys = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
+        return cut(known.join(keys, "key"), "open")
+
+    # further stars around members drawn by a hash join most of what the first
+    # left apart, so that few pairs are left to check one by one
+    for draw in range(STAR_ROUNDS):
+        now = still_open(classes)
+        if now.isEmpty():
+            break
+        hub = now.groupBy("key").agg(F.min_by(F.struct("doc", "c"), F.xxhash64("key", "doc", F.lit(draw))).alias("h"))
+        pairs = now.join(hub, "key").where("c <> h.c").select(F.greatest("doc", "h.doc").alias("a"), F.least("doc", "h.doc").alias("b")).distinct()
+        pairs = pairs.join(tried, ["a", "b"], "left_anti").join(one, "a").join(two, "b").where(_possible(num, den, "ia", "ib")).select("a", "b")
+        pairs = cut(pairs, "pairs")
+        tried = tried.unionByName(pairs)
+        more = cut(verified(pairs), "more")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        classes = components(links)
+
+    # what is left: every pair that shares a block and is in different classes.  One
+    # of the two is outside the block's largest class, so that class is on one side only
+    now = still_open(classes)
+    main = now.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("m"))
+    left = cut(now.join(main, "key").withColumn("main", F.col("c") == F.col("m")).drop("m").join(meta.dropDuplicates(["doc"]), "doc"), "left")
+    x, y = (left.select(*(F.col(c).alias(f"{p}{c}") for c in ("key", "doc", "c", "main", "info"))) for p in "xy")
+    once = F.col("ymain") | (F.col("xdoc") > F.col("ydoc"))
+    rest = x.where("not xmain").join(y, (F.col("xkey") == F.col("ykey")) & once & (F.col("xc") != F.col("yc")) & _possible(num, den, "xinfo", "yinfo"))
+    rest = rest.select(F.greatest("xdoc", "ydoc").alias("a"), F.least("xdoc", "ydoc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(verified(rest), "more")
     if not more.isEmpty():
         classes = components(links.unionByName(more))
