@@ -52,11 +52,11 @@ def j5(t):
 
 @query(
     "j6_group_pairs",
-    """WITH m AS (SELECT DISTINCT conv_id, role || ':' || left(text, 12) AS member FROM conversations)
+    """WITH m AS (SELECT DISTINCT conv_id, role || ':' || text AS member FROM conversations)
        SELECT a.member AS a, b.member AS b, string_agg(a.conv_id::VARCHAR, ',' ORDER BY a.conv_id) AS convs FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.member < b.member GROUP BY 1, 2""",
 )
 def j6(t):
-    m = t.conversations.select("conv_id", F.concat("role", F.lit(":"), F.left("text", F.lit(12))).alias("member")).distinct()
+    m = t.conversations.select("conv_id", F.concat("role", F.lit(":"), "text").alias("member")).distinct()
     pairs = m.alias("x").join(m.alias("y"), F.expr("x.conv_id = y.conv_id and x.member < y.member")).select(F.col("x.member").alias("a"), F.col("y.member").alias("b"), "x.conv_id")
     return pairs.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("conv_id")).cast("array<string>"), ",").alias("convs"))
 
@@ -88,11 +88,11 @@ def j9(t):
 @query(
     "j10_containment",
     """WITH m AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY (d.doc_id % 20 = b.item_id % 20) DESC, d.doc_id) AS r
-       FROM benchmark b JOIN documents d ON contains(upper(d.text), upper(left(b.text, 40)))) SELECT item_id, doc_id FROM m WHERE r = 1""",
+       FROM benchmark b JOIN documents d ON contains(upper(d.text), upper(b.text))) SELECT item_id, doc_id FROM m WHERE r = 1""",
 )
 def j10(t):
     """Fragments are few and of fixed length: they are broadcast behind Spark's own size check."""
-    frag = t.benchmark.select("item_id", F.upper(F.left("text", F.lit(40))).alias("f"))
+    frag = t.benchmark.select("item_id", F.upper("text").alias("f"))
     hits = t.documents.select("doc_id", F.upper("text").alias("u")).join(frag, F.expr("contains(u, f)")).select("item_id", "doc_id")
     return T.first_row(hits, ["item_id"], [F.desc(F.col("doc_id") % 20 == F.col("item_id") % 20), F.col("doc_id")])
 

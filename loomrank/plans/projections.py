@@ -128,10 +128,10 @@ def p16(t):
     return t.customer.select("c_custkey", "c_acctbal").join(main, "c_custkey", "left").select("c_custkey", F.coalesce("price", "c_acctbal").alias("amount"), F.col("price").isNull().alias("fallback"))
 
 
-@query("p17_append_suffix", "SELECT lang || '-' || split_part(source, 'c', 2) || '_' || doc_id AS id, left(text, 80) || 'WGQGTLVTVSS' AS seq FROM documents WHERE NOT contains(text, '*')")
+@query("p17_append_suffix", "SELECT lang || '-' || split_part(source, 'c', 2) || '_' || doc_id AS id, text || 'WGQGTLVTVSS' AS seq FROM documents WHERE NOT contains(text, '*')")
 def p17(t):
     d = t.documents.where(~F.contains("text", F.lit("*")))
-    return d.select(F.concat("lang", F.lit("-"), F.split("source", "c")[1], F.lit("_"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.left("text", F.lit(80)), F.lit("WGQGTLVTVSS")).alias("seq"))
+    return d.select(F.concat("lang", F.lit("-"), F.split("source", "c")[1], F.lit("_"), F.col("doc_id").cast("string")).alias("id"), F.concat("text", F.lit("WGQGTLVTVSS")).alias("seq"))
 
 
 @query("p18_scaled_json", f"SELECT event_id, {KQ} / 100.0 AS scaled FROM events")

@@ -95,9 +95,9 @@ def v10(t):
     return hyperplane_tokens(t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v")), "vec_id", "v", 64, bits=8, tables=4)
 
 
-@query("v11_sparse_max", "SELECT source, lower(unnest(regexp_extract_all(left(text, 200), '[A-Za-z]+'))) AS term, max(length(text)) AS weight FROM documents GROUP BY 1, 2")
+@query("v11_sparse_max", "SELECT source, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term, max(length(text)) AS weight FROM documents GROUP BY 1, 2")
 def v11(t):
-    terms = F.explode(F.transform(F.regexp_extract_all(F.left("text", F.lit(200)), F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x)))
+    terms = F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x)))
     return t.documents.select("source", F.length("text").cast("long").alias("w"), terms.alias("term")).groupBy("source", "term").agg(F.max("w").alias("weight"))
 
 
