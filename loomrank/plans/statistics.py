@@ -1 +1,253 @@
-"""To be filled."""
+"""Statistics (T1-T20)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import statistics as S
+from ..operators import tables as T
+from .base import query
+from .projections import KQ, K
+
+E = f"(SELECT event_id, user_id, event_type, value AS x, ({KQ})::DOUBLE AS y FROM events)"
+B = 40
+
+
+def _ev(t):
+    return t.events.selectExpr("event_id", "user_id", "event_type", "value AS x", f"CAST({K} AS DOUBLE) AS y")
+
+
+def _ranked_sql(src, keys):
+    return f"(SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY x) + (count(*) OVER (PARTITION BY {keys}, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY {keys} ORDER BY y) + (count(*) OVER (PARTITION BY {keys}, y) - 1) / 2.0 AS ry FROM {src})"
+
+
+@query("t1_correlation", f"SELECT event_type, round(corr(x, y), 9) AS pearson, round(corr(rx, ry), 9) AS spearman, count(*) AS n FROM {_ranked_sql(E, 'event_type')} GROUP BY 1")
+def t1(t):
+    r = S.with_ranks(_ev(t), ["event_type"], ["x", "y"])
+    return r.groupBy("event_type").agg(F.round(S.pearson("x", "y"), 9).alias("pearson"), F.round(S.pearson("r_x", "r_y"), 9).alias("spearman"), F.count("*").alias("n"))
+
+
+@query("t2_p_value")
+def t2(t):
+    r = t.lineitem.groupBy("l_returnflag").agg(S.pearson("l_quantity", "l_extendedprice").alias("r"), F.count("*").alias("n"))
+    return r.select("l_returnflag", "r", "n", S.correlation_p("r", F.col("n").cast("double")).alias("p"))
+
+
+@query("t3_correlation_table", f"SELECT event_type, metric, round(corr(x, v), 9) AS r, count(*) AS n FROM (UNPIVOT (SELECT event_type, x, y, user_id::DOUBLE AS u FROM {E}) ON y, u INTO NAME metric VALUE v) GROUP BY 1, 2")
+def t3(t):
+    long = _ev(t).withColumn("u", F.col("user_id").cast("double")).unpivot(["event_type", "x"], ["y", "u"], "metric", "v")
+    return long.groupBy("event_type", "metric").agg(F.round(S.pearson("x", "v"), 9).alias("r"), F.count("*").alias("n"))
+
+
+_SWEEP = f"(SELECT e.*, g.t::DOUBLE AS t FROM {E} e, (SELECT unnest([2, 5, 10, 20, 30]) AS t) g WHERE x <= g.t)"
+
+
+@query("t4_threshold_sweep", f"SELECT t, event_type, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM {_ranked_sql(_SWEEP, 't, event_type')} GROUP BY 1, 2")
+def t4(t):
+    """Rows are repeated only for thresholds they pass; ranks are redone per threshold, as they must be."""
+    e = _ev(t).withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in (2, 5, 10, 20, 30)]))).where("x <= t")
+    return S.spearman(e, ["t", "event_type"], "x", "y").withColumn("rho", F.round("rho", 9))
+
+
+_PCT = f"(SELECT *, 100.0 * (rank() OVER (PARTITION BY user_id ORDER BY x) + (count(*) OVER (PARTITION BY user_id, x) - 1) / 2.0) / count(*) OVER (PARTITION BY user_id) AS pct FROM {E})"
+
+
+@query("t5_percent_sweep", f"SELECT p, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM {_ranked_sql(f'(SELECT e.*, g.p::DOUBLE AS p FROM {_PCT} e, (SELECT unnest([5, 25, 50, 95]) AS p) g WHERE pct <= g.p)', 'p')} GROUP BY 1")
+def t5(t):
+    pct = 100.0 * T.average_rank("x", ["user_id"]) / F.count("*").over(Window.partitionBy("user_id"))
+    e = _ev(t).withColumn("pct", pct).withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in (5, 25, 50, 95)]))).where("pct <= p")
+    return S.spearman(e, ["p"], "x", "y").withColumn("rho", F.round("rho", 9))
+
+
+_CL = f"(SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS c FROM (SELECT user_id, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * rx) AS sxx, sum(ry * ry) AS syy, sum(rx * ry) AS sxy FROM {_ranked_sql(E, '1=1')} GROUP BY 1))"
+_DRAW = "(('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT % k)"
+
+
+def _boot_sql(replicates):
+    return f"""cl AS {_CL}, k AS (SELECT count(*) AS k FROM cl), d AS (SELECT b, {_DRAW} AS c FROM (SELECT unnest(range({replicates})) AS b), k, (SELECT unnest(range((SELECT k FROM k))) AS i)),
+        s AS (SELECT b, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM d JOIN cl USING (c) GROUP BY 1), r AS (SELECT b, (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS r FROM s)"""
+
+
+def _sums(t):
+    r = T.global_average_rank(_ev(t), "x", "rx")
+    return S.cluster_sums(T.global_average_rank(r, "y", "ry"), "user_id", "rx", "ry")
+
+
+@query("t6_cluster_bootstrap", f"WITH {_boot_sql(B)} SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high, round(quantile_cont(abs(r), 0.975), 6) AS abs_high, count(*) AS n FROM r")
+def t6(t):
+    r = S.bootstrap_replicates(_sums(t), B)
+    return r.agg(F.round(F.percentile("r", 0.025), 6).alias("low"), F.round(F.percentile("r", 0.975), 6).alias("high"), F.round(F.percentile(F.abs("r"), 0.975), 6).alias("abs_high"), F.count("*").alias("n"))
+
+
+@query(
+    "t7_sign_flip",
+    f"""WITH cl AS {_CL}, m AS (SELECT sum(sx) / sum(n) AS mx, sum(sy) / sum(n) AS my FROM cl), z AS (SELECT c, sxy - mx * sy - my * sx + n * mx * my AS z FROM cl, m),
+        f AS (SELECT b, sum(z * CASE WHEN ('0x' || substr(md5(b || ':' || c), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM z, (SELECT unnest(range({B})) AS b) GROUP BY b)
+        SELECT (1 + count(*) FILTER (abs(s) >= (SELECT abs(sum(z)) FROM z))) / ({B} + 1.0)::DOUBLE AS p FROM f""",
+)
+def t7(t):
+    s = _sums(t)
+    m = s.agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
+    z = s.crossJoin(F.broadcast(m)).select("c", F.expr("sxy - mx * sy - my * sx + n * mx * my").alias("z"))
+    seen = z.agg(F.abs(F.sum("z")).alias("seen"))
+    reps = t.spark.range(B).select(F.col("id").alias("b"))
+    sign = F.when(S.draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
+    f = z.crossJoin(F.broadcast(reps)).groupBy("b").agg(F.sum(F.col("z") * sign).alias("s"))
+    return f.crossJoin(F.broadcast(seen)).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(B + 1.0)).alias("p"))
+
+
+_CL2 = _CL.replace("rank() OVER (PARTITION BY 1=1 ORDER BY y) + (count(*) OVER (PARTITION BY 1=1, y) - 1) / 2.0", "rank() OVER (ORDER BY event_id)")
+
+
+@query(
+    "t8_bootstrap_difference",
+    f"WITH {_boot_sql(B)}, cl2 AS {_CL2}, s2 AS (SELECT b, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(syy) AS syy, sum(sxy) AS sxy FROM d JOIN cl2 USING (c) GROUP BY 1), r2 AS (SELECT b, (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS r2 FROM s2), x AS (SELECT abs(r) - abs(r2) AS d FROM r JOIN r2 USING (b)) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, least(1.0, 2 * least((1 + count(*) FILTER (d <= 0)) / (count(*) + 1.0)::DOUBLE, (1 + count(*) FILTER (d >= 0)) / (count(*) + 1.0)::DOUBLE)) AS p FROM x",
+)
+def t8(t):
+    """Two correlations on the same draws: clusters are numbered alike, so draws agree."""
+    r2 = T.global_average_rank(T.global_average_rank(_ev(t), "x", "rx"), "event_id", "re")
+    other = S.bootstrap_replicates(S.cluster_sums(r2, "user_id", "rx", "re"), B).withColumnRenamed("r", "r2")
+    d = S.bootstrap_replicates(_sums(t), B).join(other, "b").select((F.abs("r") - F.abs("r2")).alias("d"))
+    n = F.count("*") + 1.0
+    p = 2 * F.least((1 + F.count_if(F.col("d") <= 0)) / n, (1 + F.count_if(F.col("d") >= 0)) / n)
+    return d.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.least(F.lit(1.0), p).alias("p"))
+
+
+def crossed_bootstrap(cells, replicates: int, seed: int = 20260831):
+    """Crossed two-way bootstrap over a (donor, carrier) cell table: ``b, r`` of weighted rank correlations.
+
+    Replicates are distributed; the cell table (one row per cell, checked to be
+    at most a million) is shipped to the tasks.
+    """
+    rows = cells.select("donor", "carrier", "x", "y").limit(1_000_001).toPandas()
+    if len(rows) > 1_000_000:
+        raise ValueError("too many cells to ship; aggregate the donors first")
+    rows = rows.sort_values(["donor", "carrier"]).reset_index(drop=True)
+    d, dn = pd.factorize(rows["donor"])
+    c, cn = pd.factorize(rows["carrier"])
+    xy = [np.unique(rows[k].to_numpy(float), return_inverse=True)[1] for k in ("x", "y")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for b in pdf["id"]:
+                rng = np.random.default_rng([seed, int(b)])
+                w = np.bincount(rng.integers(0, len(dn), len(dn)), minlength=len(dn))[d] * np.bincount(rng.integers(0, len(cn), len(cn)), minlength=len(cn))[c]
+                r = []
+                for v in xy:
+                    g = np.bincount(v, weights=w)
+                    r.append((np.cumsum(g) - g + (g + 1) / 2)[v])
+                n = w.sum()
+                mx, my = (w * r[0]).sum() / max(n, 1), (w * r[1]).sum() / max(n, 1)
+                den = np.sqrt((w * (r[0] - mx) ** 2).sum() * (w * (r[1] - my) ** 2).sum())
+                out.append((w * (r[0] - mx) * (r[1] - my)).sum() / den if den > 0 else None)
+            yield pd.DataFrame({"b": pdf["id"], "r": out})
+
+    return cells.sparkSession.range(0, replicates, 1, min(replicates, 8)).mapInPandas(run, "b long, r double")
+
+
+def _cells(t):
+    return _ev(t).groupBy(F.col("user_id").alias("donor"), F.col("event_type").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
+
+
+@query("t9_crossed_bootstrap")
+def t9(t):
+    return crossed_bootstrap(_cells(t), 200).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.count("r").alias("n"))
+
+
+@query("t10_subset_statistics")
+def t10(t):
+    """Correlation per anchor threshold, with its p and q; subsets are stacked and run as one group-by."""
+    e = _ev(t).withColumn("subset", F.explode(F.array(*[F.lit(float(x)) for x in (5, 10, 30, 1000)]))).where("x <= subset")
+    r = S.spearman(e, ["subset", "event_type"], "x", "y").withColumn("p", S.correlation_p("rho", F.col("n").cast("double")))
+    return S.benjamini_hochberg(r.where("p is not null"), "p", "event_type", ["subset"])
+
+
+@query("t11_bh", "WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_tax AS p, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_tax, l_orderkey * 10 + l_linenumber) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_tax FROM lineitem)) SELECT DISTINCT l_returnflag, p, round(least(1.0, min(p * n / r) OVER (PARTITION BY l_returnflag ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r")
+def t11(t):
+    d = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_tax").alias("p")).distinct().withColumn("k", F.expr("l_orderkey * 10 + l_linenumber"))
+    return S.benjamini_hochberg(d, "p", "k", ["l_returnflag"]).select("l_returnflag", "p", F.round("q", 9).alias("q")).distinct()
+
+
+@query("t12_holm", "WITH r AS (SELECT o_orderkey, o_orderpriority, (o_totalprice / 1e9) AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice / 1e9, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, round(least(1.0, max((n - r + 1) * p) OVER (PARTITION BY o_orderpriority ORDER BY r ROWS UNBOUNDED PRECEDING)), 9) AS adjusted FROM r")
+def t12(t):
+    o = t.orders.select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") / 1e9).alias("p"))
+    return S.holm(o, "p", "o_orderkey", ["o_orderpriority"]).select("o_orderkey", F.round("adjusted", 9).alias("adjusted"))
+
+
+@query(
+    "t13_mcnemar",
+    """WITH u AS (SELECT user_id, avg(value) FILTER (event_type = 'click') < 8 AS a, avg(value) FILTER (event_type = 'view') < 8 AS b FROM events GROUP BY 1), c AS (SELECT count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM u),
+       k AS (SELECT x, y, unnest(range(least(x, y) + 1)) AS i FROM c) SELECT x, y, round(least(1.0, 2 * sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2)))), 9) AS p FROM k GROUP BY 1, 2""",
+)
+def t13(t):
+    u = t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    c = u.agg(F.count_if(F.expr("click < 8 and not view < 8")).alias("x"), F.count_if(F.expr("view < 8 and not click < 8")).alias("y"))
+    return c.select("x", "y", F.round(S.mcnemar_exact(F.col("x"), F.col("y")), 9).alias("p"))
+
+
+@query("t14_wilcoxon")
+def t14(t):
+    """Signed-rank sums without zeros, tie correction, and the normal tail."""
+    u = t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
+    d = u.select((F.col("click") - F.col("view")).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
+    ties = d.groupBy("a").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * m * m - m")).alias("ties"))
+    r = T.global_average_rank(d, "a")
+    s = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("w_minus"), F.count_if(F.col("d") > 0).alias("higher"), F.count_if(F.col("d") < 0).alias("lower")).crossJoin(ties)
+    mean, var = F.expr("n * (n + 1) / 4"), F.expr("n * (n + 1) * (2 * n + 1) / 24 - ties / 48")
+    return s.select("n", "w_plus", "w_minus", "higher", "lower", S.normal_two_sided(F.try_divide(F.col("w_plus") - mean, F.sqrt(var))).alias("p"))
+
+
+@query("t15_auc", "WITH r AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM labels JOIN documents USING (doc_id)), s AS (SELECT sum(r) FILTER (toxic = 1) AS s, count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic = 0) AS b FROM r) SELECT round((s - a * (a + 1) / 2.0) / (a * b), 9) AS auc FROM s")
+def t15(t):
+    d = T.global_average_rank(t.labels.select("doc_id", "toxic").join(t.documents.select("doc_id", "n_chars"), "doc_id"), "n_chars")
+    s = d.agg(F.sum(F.when(F.col("toxic") == 1, F.col("rank"))).alias("s"), F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    return s.select(F.round(F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2.0, F.col("a") * F.col("b")), 9).alias("auc"))
+
+
+@query(
+    "t16_mean_difference",
+    f"""WITH u AS (SELECT event_type AS g, user_id, avg(value) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS k FROM u),
+        d AS (SELECT b, g, ('0x' || substr(md5(b || ':' || (g || i)), 1, 8))::BIGINT % k AS j FROM x, (SELECT unnest(range({B})) AS b)), m AS (SELECT b, d.g, avg(v) AS m FROM d JOIN x ON x.g = d.g AND x.i = d.j GROUP BY 1, 2),
+        r AS (SELECT b, max(m) FILTER (g = 'click') - max(m) FILTER (g = 'view') AS r FROM m GROUP BY 1) SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r""",
+)
+def t16(t):
+    u = t.events.where(F.col("event_type").isin("click", "view")).groupBy(F.col("event_type").alias("g"), "user_id").agg(F.avg("value").alias("v"))
+    w = Window.partitionBy("g")
+    x = u.withColumn("i", (F.row_number().over(w.orderBy("user_id")) - 1).cast("long")).withColumn("k", F.count("*").over(w))
+    reps = t.spark.range(B).select(F.col("id").alias("b"))
+    d = x.crossJoin(F.broadcast(reps)).select("b", "g", S.draw(F.col("b"), F.concat("g", F.col("i").cast("string")), F.col("k")).alias("i"))
+    m = d.join(x.select("g", "i", "v"), ["g", "i"]).groupBy("b").agg((F.avg(F.when(F.col("g") == "click", F.col("v"))) - F.avg(F.when(F.col("g") == "view", F.col("v")))).alias("r"))
+    return m.agg(F.round(F.percentile("r", 0.025), 6).alias("low"), F.round(F.percentile("r", 0.975), 6).alias("high"))
+
+
+@query("t17_line_fit", "WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) SELECT i, round(lo + (hi - lo) * i / 199.0, 6) AS x, round(a + b * (lo + (hi - lo) * i / 199.0), 4) AS y FROM f, (SELECT unnest(range(200)) AS i)")
+def t17(t):
+    f = t.lineitem.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"), F.regr_intercept("l_extendedprice", "l_quantity").alias("a"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    g = f.select("*", F.explode(F.expr("sequence(0L, 199L)")).alias("i"))
+    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / 199.0
+    return g.select("i", F.round(x, 6).alias("x"), F.round(F.col("a") + F.col("b") * x, 4).alias("y"))
+
+
+@query("t18_scatter_summary", "SELECT 'l_quantity' AS metric, count(*) AS n, count(*) FILTER (l_quantity > 10) AS kept, CASE WHEN count(*) FILTER (l_quantity > 10) < 3 THEN 'too_few' ELSE 'ok' END AS reason FROM lineitem UNION ALL SELECT 'l_tax', count(*), count(*) FILTER (l_tax > 10), CASE WHEN count(*) FILTER (l_tax > 10) < 3 THEN 'too_few' ELSE 'ok' END FROM lineitem")
+def t18(t):
+    long = t.lineitem.unpivot([], ["l_quantity", "l_tax"], "metric", "v")
+    kept = F.count_if(F.col("v") > 10)
+    return long.groupBy("metric").agg(F.count("*").alias("n"), kept.alias("kept"), F.when(kept < 3, "too_few").otherwise("ok").alias("reason"))
+
+
+@query("t19_depth_correlation", f"SELECT d, round(corr(m, y), 9) AS r, count(*) AS n FROM (SELECT g.d AS d, user_id, min(x) AS m, avg(y) AS y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM {E}) e, (SELECT unnest([5, 20, 80]) AS d) g WHERE r <= g.d GROUP BY 1, 2) GROUP BY 1")
+def t19(t):
+    e = _ev(t).withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).withColumn("d", F.explode(F.array(F.lit(5), F.lit(20), F.lit(80)))).where("r <= d")
+    m = e.groupBy("d", "user_id").agg(F.min("x").alias("m"), F.avg("y").alias("y"))
+    return m.groupBy("d").agg(F.round(S.pearson("m", "y"), 9).alias("r"), F.count("*").alias("n"))
+
+
+@query("t20_outliers", "SELECT l_orderkey, l_linenumber, metric, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) ON l_discount, l_tax INTO NAME metric VALUE value) WHERE value > 0.07")
+def t20(t):
+    return t.lineitem.unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "metric", "value").where("value > 0.07")
