@@ -117,11 +117,19 @@ def t_two_sided(r: float | None, n: float | None) -> float | None:
     return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
-def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([t_two_sided(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
+def correlation_p(r: str, n: Column) -> Column:
+    """p-values of result rows; the UDF is made here, on the driver."""
 
+    @F.pandas_udf("double")
+    def run(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_two_sided(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+    return run(r, n)
+
+
+def normal_two_sided(z: Column) -> Column:
+    @F.pandas_udf("double")
+    def run(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+
+    return run(z)

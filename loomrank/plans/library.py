@@ -1 +1,74 @@
-"""To be filled."""
+"""Clustering and search over libraries (M1-M7)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from ..functions import vector as V
+from ..operators import tables as T
+from ..operators.alignment import global_identity
+from ..operators.search import greedy_clusters, kmer_hits
+from .base import query
+
+
+def _seqs(t):
+    return t.part.select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_name", "p_brand", "p_type").alias("seq"))
+
+
+@query("m1_redundancy_clusters")
+def m1(t):
+    return greedy_clusters(_seqs(t), identity=0.9)
+
+
+@query("m2_cluster_ingest", "SELECT c_nationkey AS cluster, min(c_custkey) AS rep, count(*) AS n FROM customer GROUP BY 1")
+def m2(t):
+    return t.customer.groupBy(F.col("c_nationkey").alias("cluster")).agg(F.min("c_custkey").alias("rep"), F.count("*").alias("n"))
+
+
+@query("m3_representatives", "SELECT r.rep, c.c_name, r.n FROM (SELECT c_nationkey, min(c_custkey) AS rep, count(*) AS n FROM customer GROUP BY 1) r JOIN customer c ON c.c_custkey = r.rep")
+def m3(t):
+    reps = t.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("rep"), F.count("*").alias("n"))
+    return T.checked_join(reps, t.customer.select(F.col("c_custkey").alias("rep"), "c_name"), ["rep"], "one_to_one").select("rep", "c_name", "n")
+
+
+@query("m4_kmeans")
+def m4(t):
+    rows = t.embeddings.select("vec_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
+    model = KMeans(k=15, seed=42, maxIter=20).fit(rows)
+    centres = t.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "prediction int, centre array<double>")
+    out = model.transform(rows).select("vec_id", "prediction").join(t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v")), "vec_id")
+    return out.join(F.broadcast(centres), "prediction").select("vec_id", F.col("prediction").alias("cluster"), V.euclidean(F.col("v"), F.col("centre")).alias("distance"))
+
+
+@query("m5_sequence_search")
+def m5(t):
+    queries = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("seq"))
+    return kmer_hits(queries, t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("seq")), k=4, top=1000)
+
+
+@query("m6_candidates", "SELECT doc_id AS id, 'table' AS mode FROM labels WHERE quality = 1 UNION ALL SELECT vec_id, 'distance' FROM (SELECT e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id LIMIT 100) WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def m6(t):
+    table = t.labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("table").alias("mode"), F.lit(0).alias("pri"))
+    e = t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
+    q = e.where("vec_id = 0").select(F.col("v").alias("q"))
+    near = e.where("vec_id <> 0").crossJoin(F.broadcast(q)).select("vec_id", V.euclidean(F.col("v"), F.col("q")).alias("d")).orderBy("d", "vec_id").limit(100)
+    both = table.unionByName(near.select(F.col("vec_id").alias("id"), F.lit("distance").alias("mode"), F.lit(1).alias("pri")))
+    return T.first_row(both, ["id"], ["pri"]).select("id", "mode")
+
+
+@query("m7_best_chain")
+def m7(t):
+    """Each supplier name against the names of its nation's customers: the best aligned one and its identity."""
+    pairs = t.supplier.select("s_suppkey", "s_name", F.col("s_nationkey").alias("n")).join(t.customer.select("c_custkey", "c_name", F.col("c_nationkey").alias("n")), "n")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["s_suppkey", "c_custkey"]].assign(identity=[global_identity(a, b) for a, b in zip(pdf["s_name"], pdf["c_name"], strict=True)])
+
+    scored = pairs.select("s_suppkey", "c_custkey", "s_name", "c_name").mapInPandas(run, "s_suppkey long, c_custkey long, identity double")
+    return scored.groupBy("s_suppkey").agg(F.max_by("c_custkey", F.struct("identity", -F.col("c_custkey"))).alias("c_custkey"), F.max("identity").alias("identity"))

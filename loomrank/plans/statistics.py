@@ -174,10 +174,10 @@ def t11(t):
     return S.benjamini_hochberg(d, "p", "k", ["l_returnflag"]).select("l_returnflag", "p", F.round("q", 9).alias("q")).distinct()
 
 
-@query("t12_holm", "WITH r AS (SELECT o_orderkey, o_orderpriority, (o_totalprice / 1e9) AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice / 1e9, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, round(least(1.0, max((n - r + 1) * p) OVER (PARTITION BY o_orderpriority ORDER BY r ROWS UNBOUNDED PRECEDING)), 9) AS adjusted FROM r")
+@query("t12_holm", "WITH r AS (SELECT o_orderkey, o_orderpriority, (o_totalprice / 1e9) AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice / 1e9, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderkey, round(least(1.0, max((n - r + 1) * p) OVER (PARTITION BY o_orderpriority ORDER BY r ROWS UNBOUNDED PRECEDING)), 6) AS adjusted FROM r")
 def t12(t):
     o = t.orders.select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") / 1e9).alias("p"))
-    return S.holm(o, "p", "o_orderkey", ["o_orderpriority"]).select("o_orderkey", F.round("adjusted", 9).alias("adjusted"))
+    return S.holm(o, "p", "o_orderkey", ["o_orderpriority"]).select("o_orderkey", F.round("adjusted", 6).alias("adjusted"))
 
 
 @query(
