@@ -9,12 +9,15 @@ vector only the XOR of the hashes of its set places is kept: equal vectors have
 equal digests.
 
 Pigeonhole.  Sets of sizes a <= b with Jaccard >= t differ in at most
-D = (a + b)(1 - t)/(1 + t) elements, so of any D + 1 blocks one is equal.  Sizes
-fall into bands of ratio 1/t: partners lie in one band or in neighbouring ones,
-and a document joins in its own band and in the next.  It sends the digests of
-as many leading blocks as its own largest D asks for, and ``spare`` more.  Empty
-blocks say nothing and are sent only by the few documents in which they could be
-all that two partners share (more than ``spare`` empty blocks among those sent).
+D = (a + b)(1 - t)/(1 + t) elements, so of k blocks at least k - D are equal.
+Sizes fall into bands of ratio 1/t: partners lie in one band or in neighbouring
+ones, and a document joins in its own band and in the next.  Blocks are put in
+one order for all documents, rare contents first; k is larger than D + 1, and the
+first D + 1 blocks of two partners hold an equal one (two sets that share k - D
+of k elements do so).  A passage that thousands of documents share fills the
+blocks at the end of that order, which stay at home.  The order needs only be
+the same everywhere: a block is as rare as its rarest shingle, counted over all
+documents in a table of fixed size (``LOADS`` buckets).  Empty blocks are last.
 
 Candidates within a block are not paired off.  First each is checked against the
 block's smallest document, then against members drawn by a hash while the block
@@ -46,6 +49,8 @@ from .textops import U, mix
 _SPREAD = 1021
 #: rounds of stars around drawn members before pairs are checked one by one
 STAR_ROUNDS = 3
+#: buckets in which shingles are counted to order blocks by rarity
+LOADS = 1 << 16
 _ROWS = "key long, salt int, doc long, rep long, info struct<n:long,xor:long,sum:long,sketch:array<long>>"
 
 
@@ -61,19 +66,23 @@ class Bands:
             self.lo.append(max(self.lo[-1] + 1, -int(-(self.lo[-1] / self.t) // 1)))
         return int(np.searchsorted(self.lo, size, "right")) - 1
 
-    def blocks(self, band: int) -> tuple[int, int]:
-        """``(k, spare)`` of a band; partners' sizes are below ``lo[band + 1]``."""
+    def _most(self, size: int, high: int) -> int:
+        return int((size + high) * (1 - self.t) / (1 + self.t))
+
+    def high(self, band: int) -> int:
+        """The largest size in a band."""
         while len(self.lo) <= band + 1:
             self.of(self.lo[-1])
-        high = self.lo[band + 1] - 1
-        most = int(2 * high * (1 - self.t) / (1 + self.t))
-        spare = 2 + most // 50
-        return most + 1 + spare, spare
+        return self.lo[band + 1] - 1
+
+    def blocks(self, band: int) -> int:
+        """Blocks of a band: half as many again as some partners may need."""
+        need = self._most(self.high(band), self.high(band)) + 1
+        return need + need // 2
 
     def sent(self, size: int, band: int) -> int:
-        """How many leading blocks a set of this size sends in a band."""
-        high = min(self.lo[band + 1] - 1, int(size / self.t))
-        return int((size + high) * (1 - self.t) / (1 + self.t)) + 1 + self.blocks(band)[1]
+        """How many blocks, rarest first, a set of this size sends in a band."""
+        return self._most(size, min(self.high(band), int(size / self.t))) + 1
 
 
 def sketch_words(size: int, bands: Bands) -> int:
@@ -91,29 +100,57 @@ def fold(items: np.ndarray, n_words: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def block_keys(items: np.ndarray, bands: Bands) -> np.ndarray:
+def bucket(items: np.ndarray) -> np.ndarray:
+    """Buckets of shingles in the table of counts."""
+    return (mix(items ^ U(0x10AD)) % U(LOADS)).astype(np.int64)
+
+
+def block_keys(items: np.ndarray, bands: Bands, loads: np.ndarray) -> np.ndarray:
     """Join keys of one set: the digests of the blocks it sends, in both its bands."""
     size, out = len(items), []
-    own = bands.of(size)
+    own, load, value = bands.of(size), loads[bucket(items)], mix(items ^ U(0xD16E57))
     for band in (own, own + 1):
-        k, spare = bands.blocks(band)
-        sent = min(k, bands.sent(size, band))
+        k, sent = bands.blocks(band), bands.sent(size, band)
         block = mix(items ^ U(0xB10C + band)) % U(k)
-        low = block < U(sent)
-        block, value = block[low], mix(items[low] ^ U(0xD16E57))
         order = np.argsort(block, kind="stable")
-        block, value = block[order], value[order]
-        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, int)
-        digest = np.bitwise_xor.reduceat(value, first) if len(first) else np.zeros(0, U)
-        where = block[first]
-        if sent - len(first) > spare:
-            empty = np.setdiff1d(np.arange(sent, dtype=U), where)
-            where, digest = np.concatenate([where, empty]), np.concatenate([digest, np.zeros(len(empty), U)])
-        out.append(mix(digest ^ mix(where * U(0x10001) + U(band << 40))))
+        block = block[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        where, digest = block[first], np.bitwise_xor.reduceat(value[order], first)
+        key = mix(digest ^ mix(where * U(0x10001) + U(band << 40)))
+        if len(key) > sent:
+            key = key[np.lexsort((key, np.minimum.reduceat(load[order], first)))[:sent]]
+        elif len(key) < sent:
+            empty = mix(mix(np.setdiff1d(np.arange(k, dtype=U), where) * U(0x10001) + U(band << 40)))
+            key = np.concatenate([key, np.sort(empty)[: sent - len(key)]])
+        out.append(key)
     return np.concatenate(out)
 
 
-def _signatures(n: int, num: int, den: int):
+def _count(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(LOADS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in textops.slices(batch.column(0)):
+                items, _ = textops.shingle_sets(textops.words(data, offsets, fold=True), n)
+                count += np.bincount(bucket(items), minlength=LOADS)
+        seen = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(count[seen])], names=["bucket", "n"])
+
+    return run
+
+
+def shingle_loads(texts: DataFrame, n: int) -> np.ndarray:
+    """How often the shingles of each of ``LOADS`` buckets occur, over all texts, on a log scale.
+
+    The driver gets the finished table, whose size does not depend on the input.
+    """
+    counts = texts.mapInArrow(_count(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    loads = np.zeros(LOADS, np.uint8)
+    loads[counts["bucket"]] = np.minimum(255, 6 * np.log2(1 + counts["n"]))
+    return loads
+
+
+def _signatures(n: int, num: int, den: int, loads: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
@@ -136,7 +173,7 @@ def _signatures(n: int, num: int, den: int):
                     if same in best:  # a copy: its link follows from the digests
                         continue
                     best[same] = d
-                    key = block_keys(own, bands)
+                    key = block_keys(own, bands, loads)
                     keys.append(key)
                     docs.append(np.full(len(key), ids[d]))
             info = pa.StructArray.from_arrays(
@@ -204,7 +241,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     text = text.where("doc is not null")
 
     group = Window.partitionBy("key", "salt")
-    rows = text.mapInArrow(_signatures(n, num, den), _ROWS)
+    rows = text.mapInArrow(_signatures(n, num, den, shingle_loads(text.select("text"), n)), _ROWS)
     rows = rows.withColumn("low", F.min("doc").over(group)).withColumn("high", F.max("doc").over(group))
     rows = rows.where("salt <> 0 or low < high").select("key", "salt", "doc", F.expr("if(salt = 0, low, rep)").alias("rep"), "info")
     rows = cut(rows, "rows")
