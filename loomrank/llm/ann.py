@@ -89,9 +89,10 @@ def search_block(model: CodeModel, q_ids, queries, ids, x, k: int, radius: int):
         rows = np.flatnonzero(found)
         rows = rows[np.bitwise_count(code[rows] ^ q_code[i]).sum(1) <= radius]
         rows = rows[ids[rows] != q_ids[i]]
-        if len(rows) > 4 * k:  # a cheap cut by the expanded form before the exact one
+        if len(rows) > 4 * k:  # a cheap cut by the expanded form: goes only what lies beyond the k-th by more than rounding
             rough = square[rows] - 2 * (x[rows] @ queries[i])
-            rows = rows[np.argpartition(rough, 4 * k)[: 4 * k]]
+            slack = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(square[rows]) + np.sqrt(queries[i] @ queries[i])) ** 2
+            rows = rows[~(rough - slack > np.partition(rough + slack, k - 1)[k - 1])]
         d = np.sqrt(((x[rows] - queries[i]) ** 2).sum(1))
         best = np.lexsort((ids[rows], d))[:k]
         for r in best:

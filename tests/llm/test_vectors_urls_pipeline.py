@@ -51,6 +51,32 @@ def test_nearest_recall(spark):
     assert ann.nearest(df.where("vec_id > 299"), df, k=3).count() == 0
 
 
+def test_nearest_ties_beyond_any_cut(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 16))
+    x[:300] = x[0]
+    ids = rng.permutation(600)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    copies = sorted(ids[:300].tolist())
+    asked = copies[:2] + copies[-1:]
+    got = {q: [] for q in asked}
+    for r in ann.nearest(df, df.where(df.vec_id.isin(asked)), k=10).orderBy("rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {q: [(i, 0.0) for i in copies if i != q][:10] for q in asked}
+
+
+def test_nearest_block_with_a_common_offset():
+    rng = np.random.default_rng(4)
+    x = 1e8 + rng.normal(size=(500, 16))
+    ids = rng.permutation(500)
+    model = ann.CodeModel(x, 10)
+    for q in range(20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        got = [v for _, v, _ in ann.search_block(model, ids[q : q + 1], x[q : q + 1], ids, x, 10, model.bits)]
+        assert got == ids[np.lexsort((ids, d))[:10]].tolist()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3), (1, 0)], "a long, b long")
     got = {r["id"]: r["component_id"] for r in components(edges).collect()}
