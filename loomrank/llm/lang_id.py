@@ -1,7 +1,9 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of whole labelled
-texts, a bounded sample drawn over all labelled documents by a hash of their id.
+For each language a zstandard raw-content dictionary is made of labelled texts,
+a bounded sample drawn over all labelled documents by a hash of their id.  Of a
+text longer than a quarter of a dictionary a slice from inside is taken.  Every
+language has a dictionary; many languages have smaller ones.
 Letters are lower-cased and runs of anything else become one space, in texts and
 dictionaries alike.  A text is compressed with every dictionary, in pieces of ``PIECE`` bytes so that
 the dictionary speaks to all of a long text, and the language with the smallest
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import session_settings, unit_hash
 
-#: bytes of each dictionary, sampled rows of each language, languages at most (the commonest)
-DICT_BYTES, SAMPLE_ROWS, MAX_LANGS = 128 << 10, 400, 64
+#: bytes of each dictionary, sampled rows of each language
+DICT_BYTES, SAMPLE_ROWS = 128 << 10, 400
+#: bytes of all dictionaries together, and of one however many there are
+TOTAL_BYTES, LEAST_BYTES = 64 * DICT_BYTES, 512
 PIECE, LEVEL = 4096, 3
 #: a shorter text is also compressed word by word
 SHORT = 256
@@ -39,33 +43,56 @@ def plain(text: str) -> bytes:
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """One document in five: crc32 of the id as text is divisible by 5."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """One document in five: crc32 of the id as text is divisible by 5; never one without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Dictionaries by language, commonest language first, from rows with a text and a language.
 
-    Counts cover all rows; texts are read only of the sampled ones.
+    Counts cover all rows; texts are read only of the sampled ones, and of all
+    rows of a language whose sample has no letters.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null")
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * sample_rows / n))]) if counts else None
-    if share is None:
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").collect()}
+    if not counts:
         return {}
-    draw = unit_hash(F.col("id"), F.lit(9))
-    some = rows.where((draw < share[F.col("l")]) & F.expr("length(t) > 0")).withColumn("draw", draw)
-    # a text beyond a quarter of a dictionary would fill it with one voice
-    some = some.where(F.octet_length("t") <= dict_bytes // 4)
-    first = Window.partitionBy("l").orderBy("draw", "id")
-    picked = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("l", "r", "t").collect()
-    out = {}
-    for lang in counts:
-        texts = [plain(r["t"]) for r in sorted((r for r in picked if r["l"] == lang), key=lambda r: r["r"])]
-        content = b"\n".join(texts)[:dict_bytes]
-        if len(content) >= 8:
-            out[lang] = content
-    return out
+    size = max(min(dict_bytes, LEAST_BYTES), min(dict_bytes, TOTAL_BYTES // len(counts)))
+    found = _content(rows, {lang: min(1.0, 3 * sample_rows / n) for lang, n in counts.items()}, size, sample_rows)
+    missing = {lang: 1.0 for lang in counts if lang not in found}
+    if missing:
+        found |= _content(rows, missing, size, sample_rows)
+    return {lang: found[lang] for lang in counts if lang in found}
+
+
+def _content(rows: DataFrame, share: dict[str, float], size: int, sample_rows: int) -> dict[str, bytes]:
+    """``size`` bytes at most of each language of ``share``, from rows drawn with that share."""
+    most = size // 4  # a text beyond a quarter of a dictionary would fill it with one voice
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, draw in zip(batch.column(3), batch.column(2).to_pylist(), strict=True):
+                raw = plain(t.as_py())
+                # the draws are the lowest of a language: their last digits say where to begin
+                at = int(draw * 1e6 % 1 * (len(raw) - most)) if len(raw) > most else 0
+                out.append(raw[at : at + most])
+            new = pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], names=["l", "id", "draw", "raw"])
+            yield new.filter(pa.array([bool(r) for r in out], pa.bool_()))
+
+    shares = rows.sparkSession.createDataFrame(list(share.items()), "l string, share double")
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.where(F.expr("length(t) > 0")).withColumn("draw", unit_hash(F.col("id"), F.lit(9)))
+    some = some.join(F.broadcast(shares), "l").where("draw < share or share = 1").select("l", "id", "draw", "t")
+    some = some.mapInArrow(run, f"l string, id {kind}, draw double, raw binary")
+    first = Window.partitionBy("l").orderBy("draw", "id", "raw")
+    some = some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows)
+    some = some.withColumn("before", F.sum(F.length("raw") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1)))
+    texts: dict[str, list[bytes]] = {}
+    for r in some.where(F.coalesce("before", F.lit(0)) < size).orderBy("l", "r").select("l", "raw").collect():
+        texts.setdefault(r["l"], []).append(bytes(r["raw"]))
+    content = {lang: b"\n".join(t)[:size] for lang, t in texts.items()}
+    return {lang: raw for lang, raw in content.items() if len(raw) >= 8}
 
 
 class Classifier:

@@ -117,6 +117,32 @@ def test_language_held_out_accuracy(spark):
     assert odd[0]["lang_pred"] == odd[1]["lang_pred"] == "und" and not odd[0]["accepted"]
 
 
+def invented(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+@pytest.mark.parametrize("n_langs", [3, 80])
+def test_every_language_is_learned(spark, n_langs):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnoprstuvz")
+    rows, fresh = [], []
+    for g in range(n_langs):
+        words = ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(120)]
+        # the first has only long texts, the second in its sample only texts without letters
+        texts = [invented(rng, words, 12_000 if g == 0 else 100) for _ in range(4)]
+        rows += [(1000 * g + i, t, f"l{g:02}") for i, t in enumerate(texts)]
+        fresh.append((g, invented(rng, words, 60)))
+    rows += [(100_000 + i, "1 2 3", "l01") for i in range(5000)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    content = lang_id.learn(labelled)
+    assert sorted(content) == [f"l{g:02}" for g in range(n_langs)]
+    assert max(map(len, content.values())) <= lang_id.DICT_BYTES and sum(map(len, content.values())) <= lang_id.TOTAL_BYTES
+    # a text gives a quarter of a dictionary at most
+    assert len(content["l00"]) > lang_id.TOTAL_BYTES // max(64, n_langs) - 10 and len(content["l00"].split(b"\n")) == 4
+    got = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(spark.createDataFrame(fresh, "doc_id long, text string"), content).collect()}
+    assert got == {g: f"l{g:02}" for g in range(n_langs)}
+
+
 def test_secrets(spark):
     texts = [None, "", 'x password = "hunter22" y', "token=ab1 token=longer1", "AKIA" + "A" * 16, "0" * 23, "f" * 24 + "g", "KEY ghp_abcDEF0123456789abcdefABCDEF012345 end", "plain words only"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
