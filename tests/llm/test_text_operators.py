@@ -160,6 +160,23 @@ def test_secrets(spark):
     assert p[y].mean() > 0.85 and p[~y].mean() < 0.1
 
 
+def test_secrets_deep_in_long_runs(spark):
+    key, hexa, rest = "ghp_abcDEF0123456789abcdefABCDEF012345", "0123456789abcdef01234567", "Zy9xWv8uTs7rQp6oNm5lKj4iHg3k"
+    way = "/home/some/long/path/of/several/plain/words/that/go/on/and/on/"
+    texts = [f"see {way}{key} end", f"see {way}{key}{way} end", f"see {hexa}{rest} end", f"see {rest}{hexa} end", f"see {way}page1 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = secret_scan.train(spark.read.parquet(SF))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, net).collect()}
+    assert all(w not in clean[i] for i in range(4) for w in (key[4:], key[-12:], hexa, rest, rest[-12:]))
+    assert clean[4] == texts[4]
+
+
+def test_candidates_are_what_base_findings_leave():
+    hexa, rest = "0123456789abcdef01234567", "Zy9xWv8uTs7rQp6oNm5lKj4iHg3k"
+    for text, want in ((hexa + rest, [rest]), (rest + hexa + rest, [rest, rest]), ("x" * 15 + hexa + "y" * 20, []), (rest, [rest]), (f"{rest}_password={rest} {rest}", [rest + "_", rest])):
+        assert [text[s:e] for s, e in secret_scan.candidates(text, secret_scan.base_spans(text))] == want
+
+
 def test_packing_covers_everything_once():
     rng = np.random.default_rng(0)
     lengths = rng.integers(0, 8193, 700)
