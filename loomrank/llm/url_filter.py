@@ -105,8 +105,7 @@ def tokens(host: str, path: str, cut_name) -> list[str]:
             if c.isalpha():
                 name += c
             elif name:
-                out += cut_name(name[:63])  # a host name has 63 letters at most
-                out += [name[i : i + 63] for i in range(63, len(name), 63)]
+                out += cut_name(name)
                 name = ""
     return out
 
@@ -152,6 +151,8 @@ def judge(pages: DataFrame, counts: Mapping[str, int], id_col: str = "page_id",
         seen: dict[str, list[str]] = {}
 
         def cut_name(name: str) -> list[str]:
+            if len(name) > 63:  # longer than any label of a host: not kept
+                return segment(name)
             if name not in seen:
                 if len(seen) > 100_000:
                     seen.clear()

@@ -95,6 +95,16 @@ def test_urls(spark):
     assert (got[10]["host"], got[10]["path"]) == ("net", "")
 
 
+def test_long_names_are_judged_whole(spark):
+    plain, bad = "newsofthecityandthelibrary" * 3, "casinobonusfreespinsjackpot" * 4
+    df = spark.createDataFrame(list(enumerate([f"http://b.org/{plain}{bad}", f"http://{plain}{bad}.org/", f"http://b.org/{plain}"])), "page_id long, url string")
+    counts = url_filter.word_counts(spark.createDataFrame([("<p>the and then news of the city</p>",)] * 3, "html string"))
+    got = {r["page_id"]: r for r in url_filter.judge(df, counts).collect()}
+    assert [got[i]["verdict"] for i in range(3)] == ["block", "block", "allow"]
+    words = url_filter.tokens("", "/" + plain + bad, url_filter.Segmenter(counts))
+    assert "".join(words) == plain + bad and words.count("casino") == words.count("jackpot") == 4
+
+
 def test_segmenter():
     cut = url_filter.Segmenter({"then": 50, "the": 100, "news": 20, "city": 10})
     assert cut("newscity") == ["news", "city"] and cut("") == [] and "".join(cut("qqzzx")) == "qqzzx"
