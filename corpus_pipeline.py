@@ -23,9 +23,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest document of each group of near copies."""
-    kept = ngram_join.ngram_join(docs, SHINGLE, NUM, DEN).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Keep the smallest document of each group of near copies.
+
+    Rows with equal ids are one document: one of them stays, that with the
+    greatest text. Rows without an id belong to no group and all stay.
+    """
+    docs = docs.select(COLUMNS)
+    joined = ngram_join.ngram_join(docs, SHINGLE, NUM, DEN)
+    kept = cut(joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(COLUMNS).unionByName(docs.where("doc_id is null"))
+    often = kept.where("n > 1")
+    if often.isEmpty():
+        return out
+    rest = F.struct(*[c for c in COLUMNS if c != "doc_id"])
+    one = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(rest).alias("row"))
+    return out.unionByName(one.select("doc_id", "row.*").select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +47,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents so that sources, languages and topics meet their targets."""
-    chosen = mixing.mix(docs).where("selected").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(COLUMNS)
+    """Sample documents so that sources, languages and topics meet their targets.
+
+    Rows with equal ids are drawn by one number; a row without an id is drawn by
+    its content.
+    """
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*COLUMNS)).alias("draw_id"))
+    chosen = mixing.mix(keyed, id_col="draw_id").where("selected").select(F.col("doc_id").alias("draw_id")).distinct()
+    return keyed.join(chosen, "draw_id", "left_semi").select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

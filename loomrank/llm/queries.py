@@ -39,11 +39,14 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches of inserts, one of them sent twice; then every tenth document is deleted and comes back."""
+    """Four batches of inserts, one of them sent twice; then every tenth document is deleted and comes back.
+
+    Rows without an id are in the first batch.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rollup = token_counts.TokenRollup(spark)
     for b in range(4):
-        rollup.commit(b, docs.where(f"pmod(doc_id, 4) = {b}"))
+        rollup.commit(b, docs.where(f"coalesce(pmod(doc_id, 4), 0) = {b}"))
     some = docs.where("pmod(doc_id, 10) = 0")
     rollup.commit(3, docs.where("pmod(doc_id, 4) = 3"))
     rollup.commit(4, some.withColumn("op", F.lit("delete")), op_col="op")

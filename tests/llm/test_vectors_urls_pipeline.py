@@ -124,5 +124,33 @@ def test_pipeline_stages(spark):
         docs = out
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[40 * i : 40 * i + 40]) for i in range(8)}
+    rows = [(1, texts[1]), (1, texts[1]), (2, texts[1]), (3, texts[3]), (4, None), (4, texts[4]), (None, texts[3]), (None, texts[5]), (None, None), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, texts[1]), (3, texts[3]), (4, texts[4]), (None, texts[3]), (None, texts[5]), (None, None), (None, texts[5])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_mixing_draws_rows_without_id_by_content(spark):
+    rows = [(i if i % 2 else None, f"one two three w{i}", "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    chosen = {r["doc_id"] for r in queries.mixing.mix(docs).where("selected and doc_id is not null").collect()}
+    assert {r["doc_id"] for r in got} - {None} == chosen
+    nulls, others = sum(r["doc_id"] is None for r in got), sum(r["doc_id"] is not None for r in got)
+    assert 0 < nulls and 0.6 < nulls / others < 1.7
+
+
+def test_token_counts_of_rows_without_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (None, "c", "en", "s"), (20, "d e f", "en", "s"), (None, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["tokenizer"]: (r["n_docs"], r["n_tokens"]) for r in queries.op7_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {"words-1": (4, 6), "chars-1": (4, 9)}
+
+
 def test_registered():
     assert sorted(queries.QUERIES, key=len) and sum(n.startswith("op") for n in queries.QUERIES) == 10
