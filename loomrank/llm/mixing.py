@@ -27,10 +27,8 @@ BUDGET_SHARE = 0.5
 
 
 def word_count(text: Column) -> Column:
-    """Words between ``[\\x20\\x09-\\x0D]``: starts of words, counted without a list of them."""
-    spaces = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    packed = F.trim(F.regexp_replace(spaces, " {2,}", " "))
-    return F.coalesce(F.when(F.length(packed) > 0, F.length(packed) - F.length(F.replace(packed, F.lit(" "), F.lit(""))) + 1), F.lit(0)).cast("long")
+    """Words between ``[\\x20\\x09-\\x0D]``; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def topic(text: Column) -> Column:

@@ -69,18 +69,29 @@ def test_ngram_join_near_copies_at_the_threshold(spark):
     assert got == jaccard_classes(docs, 3, 90, 100)
 
 
-def test_blocks_keep_every_possible_partner():
-    bands = ngram_join.Bands(80, 100)
+@pytest.mark.parametrize("num", [80, 90])
+@pytest.mark.parametrize("loads", ["constant", "drawn", "counted"])
+def test_blocks_keep_every_possible_partner(num, loads):
+    bands, found = ngram_join.Bands(num, 100), 0
     rng = np.random.default_rng(5)
-    for _ in range(300):
+    sets = []
+    for _ in range(600):
         size = int(rng.integers(1, 200))
         a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
         apart = int(rng.integers(0, 3 + size // 4))
         b = np.unique(np.concatenate([a[: max(1, size - apart)], rng.integers(0, 1 << 63, apart // 2, dtype=np.uint64)]))
-        a = np.unique(a)
+        sets.append((np.unique(a), b))
+    load = {
+        "constant": np.full(ngram_join.LOADS, 7, np.uint8),
+        "drawn": rng.integers(0, 256, ngram_join.LOADS).astype(np.uint8),
+        "counted": np.minimum(255, np.bincount(ngram_join.bucket(np.concatenate([x for s in sets for x in s])), minlength=ngram_join.LOADS)).astype(np.uint8),
+    }[loads]
+    for a, b in sets:
         inter = len(np.intersect1d(a, b))
-        if 100 * inter >= 80 * (len(a) + len(b) - inter):
-            assert len(np.intersect1d(ngram_join.block_keys(a, bands), ngram_join.block_keys(b, bands)))
+        if 100 * inter >= num * (len(a) + len(b) - inter):
+            found += 1
+            assert len(np.intersect1d(ngram_join.block_keys(a, bands, load), ngram_join.block_keys(b, bands, load)))
+    assert found > 100
 
 
 @pytest.mark.parametrize("kind", ["odd", "table"])
