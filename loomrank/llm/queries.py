@@ -39,18 +39,22 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches of inserts, one of them sent twice; then every tenth document is deleted and comes back.
+    """Inserts in four batches, deletes, revisions and a compaction, some batches sent twice.
 
-    Rows without an id are in the first batch.
+    Documents whose id ends in 0 are deleted, and every other one of those comes
+    back; those whose id ends in 1 are revised to their text twice over.  Rows
+    without an id are in the first batch and stay as they are.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rollup = token_counts.TokenRollup(spark)
-    for b in range(4):
+    for b in (0, 1, 2, 3, 3):
         rollup.commit(b, docs.where(f"coalesce(pmod(doc_id, 4), 0) = {b}"))
-    some = docs.where("pmod(doc_id, 10) = 0")
-    rollup.commit(3, docs.where("pmod(doc_id, 4) = 3"))
-    rollup.commit(4, some.withColumn("op", F.lit("delete")), op_col="op")
-    rollup.commit(5, some.withColumn("old", F.lit(None).cast("string")).withColumn("op", F.lit("insert")), op_col="op", old_col="old")
+    rollup.commit(4, docs.where("pmod(doc_id, 10) = 0").withColumn("op", F.lit("delete")), op_col="op")
+    twice = docs.where("pmod(doc_id, 10) = 1").withColumn("old", F.col("text")).withColumn("text", F.concat_ws(" ", "text", "text")).withColumn("op", F.lit("revise"))
+    rollup.commit(5, twice, op_col="op", old_col="old")
+    rollup.compact()
+    rollup.commit(5, twice, op_col="op", old_col="old")
+    rollup.commit(6, docs.where("pmod(doc_id, 20) = 10"))
     return rollup.totals()
 
 
@@ -84,10 +88,12 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
     "op7_token_counts": rf"""
+        WITH kept AS (SELECT source, lang, CASE WHEN doc_id % 10 = 1 THEN concat_ws(' ', text, text) ELSE text END AS text
+                      FROM documents WHERE coalesce(doc_id % 20 <> 0, true))
         SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs,
                CAST(sum(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))) AS BIGINT) AS n_tokens
-        FROM documents GROUP BY source, lang
+        FROM kept GROUP BY source, lang
         UNION ALL
         SELECT source, lang, 'chars-1', count(*), CAST(sum(length(coalesce(text, ''))) AS BIGINT)
-        FROM documents GROUP BY source, lang""",
+        FROM kept GROUP BY source, lang""",
 }

@@ -197,28 +197,61 @@ def test_packing_covers_everything_once():
     for h, s in zip(held, size):
         assert s == min(c for c in packing.CAPACITIES if c >= h)
     assert size.sum() < 1.06 * lengths.sum()
+    assert packing.pack(np.zeros(0, np.int64))[1].size == packing.pack_jointly(np.zeros(3, np.int64))[1].size == 0
 
 
-def test_best_fit_matches_a_plain_version():
-    rng = np.random.default_rng(7)
-    lengths = rng.integers(1, 3000, 120)
-    free, opened, want, left = [], [], {}, int(lengths.sum())
-    for i in np.argsort(-lengths, kind="stable"):
+def plain_pack(lengths, capacities, opened):
+    """Best fit by search through all bins; equal room: the bin that changed last."""
+    free, changed, held, want, clock = [], [], [], [-1] * len(lengths), 0
+    order = [int(i) for i in np.argsort(-lengths, kind="stable") if lengths[i]]
+    end = lambda n: min(c for c in capacities if c >= n)
+    for k, i in enumerate(order):
         need = int(lengths[i])
-        fits = [(f, b) for b, f in enumerate(free) if f >= need]
+        fits = [(free[b], -changed[b], b) for b in range(len(free)) if free[b] >= need]
         if fits:
-            best = min(f for f, _ in fits)
-            b = max((b for f, b in fits if f == best), key=lambda b: b)
+            b = min(fits)[2]
         else:
+            price = []
+            for c in opened:
+                if c < need:
+                    continue
+                total = need
+                for j in order[k + 1 :]:  # longest first
+                    if total + int(lengths[j]) <= c:
+                        total += int(lengths[j])
+                price.append((packing.bin_cost(end(total)) / total, c))
             b = len(free)
-            c = min((c for c in packing.CAPACITIES if c >= need), key=lambda c: (packing.bin_cost(c) / min(c, left), c))
-            free.append(c)
-            opened.append(c)
+            free.append(min(price)[1])
+            changed.append(0)
+            held.append(0)
+        clock += 1
         free[b] -= need
-        left -= need
+        changed[b] = clock
+        held[b] += need
         want[i] = b
-    _, size = packing.pack(lengths)
-    assert len(size) == len(opened)
+    return want, [end(h) for h in held]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_matches_a_plain_version(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.concatenate([rng.integers(0, 3000, 80), rng.integers(1, 300, 80), np.full(20, 700), [8192]])[: 181 if seed else 160]
+    for mix in packing.mixes(int(lengths.max()))[:: 3 if seed else 1]:
+        bins, size = packing.pack(lengths, packing.CAPACITIES, mix)
+        assert (bins.tolist(), size.tolist()) == plain_pack(lengths, packing.CAPACITIES, mix)
+
+
+@pytest.mark.parametrize("high", [400, 1999, 8192])
+def test_joint_choice_is_below_every_single_size(high):
+    rng = np.random.default_rng(6)
+    lengths = np.concatenate([rng.integers(1, high + 1, 600), np.minimum(high, rng.geometric(1 / 300, 900))])
+    _, size, mix, costs = packing.pack_jointly(lengths)
+    cost = sum(packing.bin_cost(int(c)) for c in size)
+    assert cost == min(costs.values()) == costs[mix]
+    for c in packing.CAPACITIES:
+        if c >= high:  # small pieces alone fill bins of one size without a gap
+            fixed = packing.bin_cost(c) * len(packing.pack(lengths, (c,))[1])
+            assert cost < fixed or high == 400 and cost == fixed
 
 
 def test_packing_pieces(spark):
@@ -244,9 +277,42 @@ def test_raking_matches_numpy(spark):
     assert np.allclose([got[c[:3]] for c in cells], w.reshape(-1), atol=1e-6)
 
 
+def test_raking_to_targets_that_no_weights_meet(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 90), ("b", "x", "t", 5), ("c", "y", "t", 5), ("d", "y", "t", 0), ("e", "y", "t", None)], "source string, lang string, topic string, tokens long")
+    got = {r["source"]: r for r in mixing.rake(cells, {"source": {"a": 0.2, "b": 0.2, "c": 0.6}, "lang": {"x": 0.9, "y": 0.1}}).collect()}
+    assert got["a"]["gap"] > 0.1 and got["d"]["weight"] == got["e"]["weight"] == 0
+    assert abs(got["a"]["weight"] + got["b"]["weight"] - 0.9) < 1e-9  # the margin that came later holds
+    even = mixing.rake(cells, {"source": {"a": 0.2, "b": 0.2, "c": 0.6}, "lang": {"x": 0.4, "y": 0.6}}).collect()
+    assert all(r["gap"] <= mixing.TOLERANCE for r in even)
+
+
+@pytest.mark.parametrize("budget", [0, 10, 500, 900, 5000])
+def test_rates_match_a_plain_search(spark, budget):
+    cells = [("s1", "l", "t", 100, 0.6), ("s2", "l", "t", 400, 0.3), ("s3", "l", "t", 450, 0.1), ("s4", "l", "t", 0, 0.0), ("s5", "l", "t", 50, 0.0)]
+    got = {r["source"]: r["rate"] for r in mixing.rates(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, weight double"), budget).collect()}
+    low, high = 0.0, 1e7
+    for _ in range(200):
+        mid = (low + high) / 2
+        total = sum(min(t, w * mid) for *_, t, w in cells)
+        low, high = (mid, high) if total < budget else (low, mid)
+    want = {c[0]: min(1.0, high * c[4] / c[3]) if c[3] and c[4] and budget else 0.0 for c in cells}
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_mixing_rows(spark):
     r = mixing.mix(odd_docs(spark)).collect()
     assert len(r) == 14 and all(0 <= x["rate"] <= 1 for x in r) and not any(x["selected"] for x in r if not x["n_tokens"])
+    assert [x["n_tokens"] for x in sorted(r, key=lambda x: x["doc_id"])] == [len(WORDS.findall(x["text"] or "")) for x in sorted(odd_docs(spark).collect(), key=lambda x: x["doc_id"])]
+
+
+def test_mixing_draws_what_the_rates_say(spark):
+    rows = [(i, "one two three four " * (1 + i % 3), "en" if i % 4 else "fr", f"s{min(2, i % 7)}", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(docs, {"lang": {"en": 0.5, "fr": 0.5}}, share=0.25).collect()
+    total, drawn = sum(r["n_tokens"] for r in got), [r for r in got if r["selected"]]
+    assert abs(sum(r["n_tokens"] * r["rate"] for r in got) / total - 0.25) < 1e-6
+    assert abs(sum(r["n_tokens"] for r in drawn) / total - 0.25) < 0.02
+    assert abs(sum(r["n_tokens"] for r in drawn if r["lang"] == "fr") / sum(r["n_tokens"] for r in drawn) - 0.5) < 0.05
 
 
 def test_token_rollup_is_idempotent(spark):
@@ -264,3 +330,36 @@ def test_token_rollup_is_idempotent(spark):
     roll.compact()
     roll.commit(1, docs)
     assert words() == {"s": (1, 4), None: (1, 0)}
+    # another object on the same folder sees the same state, before and after further batches
+    roll.commit(4, docs.where("doc_id = 2"))
+    first, roll = roll, token_counts.TokenRollup(spark, roll.path)
+    assert words() == {"s": (2, 5), None: (1, 0)}
+    roll.commit(4, docs.where("doc_id = 9"))
+    assert words() == {"s": (1, 4), None: (1, 0)}
+    assert first.vacuum() >= 4 and words() == {"s": (1, 4), None: (1, 0)}
+    roll.compact()
+    roll.commit(5, docs.where("false"))
+    assert words() == {"s": (1, 4), None: (1, 0)}
+
+
+def test_token_rollup_of_two_writers_and_of_one_that_dies(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
+    roll = token_counts.TokenRollup(spark)
+    assert roll.totals().count() == 0
+    roll.commit(1, docs)
+    state, seen = roll._state, []
+
+    def overtaken():
+        found = state()
+        if not seen:  # another writer takes the next number between reading and renaming
+            seen.append(1)
+            token_counts.TokenRollup(spark, roll.path).commit(7, docs)
+        return found
+
+    name = roll._write(roll.deltas(docs))
+    roll._state = overtaken
+    roll._publish(lambda s: s | {"batches": s["batches"] | {"2": name}})
+    assert sorted(state()[1]["batches"]) == ["1", "2", "7"]
+    with pytest.raises(Exception, match="unknown operation"):
+        token_counts.TokenRollup(spark, roll.path).commit(1, docs.withColumn("op", F.lit("move")), op_col="op")
+    assert token_counts.TokenRollup(spark, roll.path).totals().where("tokenizer = 'words-1'").first()["n_docs"] == 3
