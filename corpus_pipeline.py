@@ -29,15 +29,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     greatest text. Rows without an id belong to no group and all stay.
     """
     docs = docs.select(COLUMNS)
-    joined = ngram_join.ngram_join(docs, SHINGLE, NUM, DEN)
-    kept = cut(joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(COLUMNS).unionByName(docs.where("doc_id is null"))
-    often = kept.where("n > 1")
+    joined = cut(ngram_join.ngram_join(docs, SHINGLE, NUM, DEN).where("doc_id is not null").select("doc_id", "component_id"), "joined")
+    gone = cut(joined.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    out = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    often = cut(joined.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
     if often.isEmpty():
         return out
     rest = F.struct(*[c for c in COLUMNS if c != "doc_id"])
-    one = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(rest).alias("row"))
-    return out.unionByName(one.select("doc_id", "row.*").select(COLUMNS))
+    one = out.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(rest).alias("row")).select("doc_id", "row.*")
+    return out.join(often, "doc_id", "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
