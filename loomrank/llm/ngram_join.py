@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, session_settings
+from .common import cut, session_settings, within
 from .graph import components
 from .textops import U, mix
 
@@ -304,7 +304,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     members = cut(members.join(copies, "doc", "left").select("block", F.coalesce("rep", "doc").alias("doc")).distinct(), "members")
 
     wanted = cut(members.select("doc").distinct(), "wanted")
-    texts = cut(text.join(wanted, "doc", "left_semi").mapInArrow(_sketches(n, num, den), "doc long, text string, info struct<n:long,sketch:array<long>>"), "texts")
+    texts = cut(within(text, "doc", wanted).mapInArrow(_sketches(n, num, den), "doc long, text string, info struct<n:long,sketch:array<long>>"), "texts")
     one, two = (texts.select(F.col("doc").alias(x), F.col("info").alias(f"i{x}")) for x in "ab")
     left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 

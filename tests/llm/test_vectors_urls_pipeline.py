@@ -1,9 +1,10 @@
 """Vector operators, URL filters and the pipeline."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from loomrank.llm import ann, embed_dedup, queries, url_filter
+from loomrank.llm import ann, common, embed_dedup, queries, url_filter
 from loomrank.llm.graph import components
 
 
@@ -110,6 +111,16 @@ def test_segmenter():
     assert cut("newscity") == ["news", "city"] and cut("") == [] and "".join(cut("qqzzx")) == "qqzzx"
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_rows_by_ids(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    df = spark.createDataFrame([(i if i else None, str(i)) for i in range(-200, 200)] * 2, "k long, v string")
+    ids = spark.createDataFrame([(3 * i,) for i in range(-40, 90)], "k long")
+    inside = [r["v"] for r in df.collect() if r["k"] is not None and r["k"] % 3 == 0 and -120 <= r["k"] < 270]
+    assert sorted(r["v"] for r in common.within(df, "k", ids).collect()) == sorted(inside)
+    assert sorted(r["v"] for r in common.without(df, "k", ids).collect()) == sorted(r["v"] for r in df.collect() if r["v"] not in inside)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
