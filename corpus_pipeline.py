@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.llm import lang_id, mixing, ngram_join, packing, secret_scan
-from loomrank.llm.common import cut
+from loomrank.llm.common import cut, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: near-duplicates: five-word shingles, Jaccard of 0.8
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(COLUMNS)
     joined = cut(ngram_join.ngram_join(docs, SHINGLE, NUM, DEN).where("doc_id is not null").select("doc_id", "component_id"), "joined")
     gone = cut(joined.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    out = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    out = without(docs, "doc_id", gone).select(COLUMNS)
     often = cut(joined.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "often")
     if often.isEmpty():
         return out
