@@ -5,9 +5,9 @@ a bounded sample drawn over all labelled documents by a hash of their id.  Of a
 text longer than a quarter of a dictionary a slice from inside is taken.  Every
 language has a dictionary; many languages have smaller ones.
 Letters are lower-cased and runs of anything else become one space, in texts and
-dictionaries alike.  A text is compressed with every dictionary, in pieces of ``PIECE`` bytes so that
-the dictionary speaks to all of a long text, and the language with the smallest
-total wins.  The margin is the share by which the runner-up is larger; texts with
+dictionaries alike.  A text is compressed with every dictionary, in pieces of ``PIECE`` bytes, so that
+the dictionary speaks to every part of it and not the text before, and the language with
+the smallest total wins.  The margin is the share by which the runner-up is larger; texts with
 a margin below ``min_margin`` are rejected.
 """
 
@@ -26,9 +26,7 @@ from .common import session_settings, unit_hash
 DICT_BYTES, SAMPLE_ROWS = 128 << 10, 400
 #: bytes of all dictionaries together, and of one however many there are
 TOTAL_BYTES, LEAST_BYTES = 64 * DICT_BYTES, 512
-PIECE, LEVEL = 4096, 3
-#: a shorter text is also compressed word by word
-SHORT = 256
+PIECE, LEVEL = 64, 3
 MIN_MARGIN = 0.001
 _ASCII = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
@@ -110,8 +108,6 @@ class Classifier:
         if not raw:
             return "und", 0.0
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-        if len(raw) < SHORT:  # whole bytes are too coarse for one short piece
-            pieces += [b" %b " % w for w in raw.split()]
         sizes = [sum(len(t.compress(p)) for p in pieces) for t in self.tools]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
@@ -125,7 +121,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
 
     ``score`` is the margin, from 0 to 1; ties go to the language that is
     commoner in training.  Null texts and texts without a letter are ``und``
-    with score 0 and rejected.  Other columns are ignored.
+    with score 0 and rejected.  Repeated rows are judged alike, each for itself; null
+    ids stay null.  Other columns are ignored; an empty table gives no rows.
     """
     session_settings(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
