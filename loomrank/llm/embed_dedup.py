@@ -17,14 +17,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, session_settings
 from .graph import components
+from .textops import U, mix
 from .vectors import matrix
 
 THRESHOLD = 0.95
@@ -48,10 +51,35 @@ def rotate(x: np.ndarray, seed: int, rounds: int = 3) -> np.ndarray:
     return x
 
 
-def plan_tables(n: int, dim: int, hit: float = 0.79, miss: float = 1e-5) -> tuple[int, int]:
-    """``(k, tables)``: buckets hold a few vectors each; ``hit`` is the measured chance of one hash at cosine 0.95."""
-    k = max(1, math.ceil(math.log(max(n, 2) / 8) / math.log(2 * dim)))
-    return k, math.ceil(math.log(miss) / math.log(1 - hit**k))
+def padded(dim: int) -> int:
+    """Width of the rotations: the next power of two."""
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+@lru_cache
+def hit_chance(wide: int, threshold: float, k: int, pairs: int = 4000) -> float:
+    """The chance that a table finds a pair at the threshold, from drawn pairs: all k hashes agree, or all but one, which is the runner-up.
+
+    Both chances of one hash are taken at the lower end of three standard deviations.
+    """
+    rng = np.random.default_rng(wide)
+    x, y = rng.standard_normal((2, pairs, wide))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = threshold * x + math.sqrt(1 - threshold * threshold) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = np.arange(pairs)
+    top = np.argsort(-np.abs(x), axis=1)[:, :2]
+    other = np.abs(y).argmax(1)
+    same, second = ((top[:, i] == other) & (np.sign(x[rows, top[:, i]]) == np.sign(y[rows, other])) for i in (0, 1))
+    one, two = (max(0.01, p - 3 * math.sqrt(p * (1 - p) / pairs)) for p in (same.mean(), second.mean()))
+    return one**k + k * one ** (k - 1) * two
+
+
+def plan_tables(n: int, dim: int, threshold: float = THRESHOLD, miss: float = 1e-5) -> tuple[int, int]:
+    """``(k, tables)``: buckets hold a few vectors each; a pair at the threshold is missed in all tables with chance ``miss`` at most."""
+    wide = padded(dim)
+    k = max(1, math.ceil(math.log(max(n, 2) / 8) / math.log(2 * wide)))
+    return k, math.ceil(math.log(miss) / math.log(1 - hit_chance(wide, threshold, k)))
 
 
 def buckets(unit: np.ndarray, k: int, table: int) -> np.ndarray:
@@ -78,35 +106,46 @@ def buckets(unit: np.ndarray, k: int, table: int) -> np.ndarray:
     return np.stack([number(own)] + [number([*own[:i], second[i], *own[i + 1 :]]) for i in range(k)], 1)
 
 
-def _hash(dim: int, k: int, tables: int):
-    wide = 1 << max(1, (dim - 1).bit_length())
+def _by_width(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """``(width, its rows)`` of a column of vectors."""
+    length = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+    for dim in np.unique(length[length > 0]).tolist():
+        yield dim, np.flatnonzero(length == dim)
+
 
+def _hash(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, good = matrix(batch.column(1), dim)
-            ids = np.asarray(batch.column(0))[good]
-            unit = np.zeros((len(ids), wide))
-            unit[:, :dim] = x[good]
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            planes = np.random.default_rng(64).standard_normal((wide, 64))
-            code = np.packbits(unit @ planes > 0, axis=1).view(np.int64)[:, 0] if len(ids) else np.zeros(0, np.int64)
-            for t in range(tables):
-                b = buckets(unit, k, t)
-                n, m = b.shape
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.T.reshape(-1)), pa.array(np.tile(ids, m)), pa.array(np.tile(code, m)), pa.array(np.repeat(np.arange(m) == 0, n))], names=["bucket", "rep", "code", "own"]
-                )
+            for dim, rows in _by_width(batch.column(1)):
+                x, good = matrix(batch.column(1).take(pa.array(rows)), dim)
+                ids, wide = np.asarray(batch.column(0))[rows[good]], padded(dim)
+                unit = np.zeros((len(ids), wide))
+                unit[:, :dim] = x[good]
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                planes = np.random.default_rng(64).standard_normal((wide, 64))
+                code = np.packbits(unit @ planes > 0, axis=1).view(np.int64)[:, 0] if len(ids) else np.zeros(0, np.int64)
+                k, tables = plan_tables(n, dim, threshold)
+                for t in range(tables):
+                    b = mix(buckets(unit, k, t).view(U) ^ mix(np.array([dim], U))).view(np.int64)  # widths do not meet
+                    rest = b.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(b.T.reshape(-1)), pa.array(np.tile(ids, rest)), pa.array(np.tile(code, rest)), pa.array(np.repeat(np.arange(rest) == 0, len(ids)))], names=["bucket", "rep", "code", "own"]
+                    )
 
     return run
 
 
-def _cosine(dim: int, threshold: float):
+def _cosine(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, _ = matrix(batch.column(2), dim)
-            y, _ = matrix(batch.column(3), dim)
-            cos = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(cos >= threshold))
+            keep = np.zeros(batch.num_rows, bool)
+            for dim, rows in _by_width(batch.column(2)):
+                x, left = matrix(batch.column(2).take(pa.array(rows)), dim)
+                y, right = matrix(batch.column(3).take(pa.array(rows)), dim)
+                both = left & right
+                cos = (x * y)[both].sum(1) / (np.sqrt((x * x)[both].sum(1)) * np.sqrt((y * y)[both].sum(1)))
+                keep[rows[both]] = cos >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -115,27 +154,28 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     """``(vec_id, n_links, component_id, kept)``, one row per vector.
 
     Vectors that are null, zero, or hold a null or non-finite component link with
-    nothing.  Vectors of unequal width are not compared: the commonest width is
-    taken, others link with nothing.  Equal vectors always link.  Ids are unique;
-    a null id keeps a null component and ``kept`` null.  Other columns are
-    ignored.
+    nothing.  Vectors of unequal width are not compared; equal ones always link.
+    Rows with equal ids are one vector, the greatest in the order of arrays, and have
+    one result each; a null id keeps a null component and ``kept`` null.  Other
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     session_settings(spark)
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    dim = (base.where("size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first() or {"d": 1})["d"]
-    bad = f"v is null or size(v) <> {dim} or exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) or not exists(v, x -> x <> 0)"
-    usable = base.where(f"id is not null and not coalesce({bad}, true)")
+    bad = "v is null or size(v) = 0 or exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) or not exists(v, x -> x <> 0)"
+    one = base.where("id is not null")
+    if not one.groupBy("id").count().where("count > 1").isEmpty():
+        one = one.groupBy("id").agg(F.max("v").alias("v"))
+    usable = one.where(f"not coalesce({bad}, true)")
     # -0.0 and 0.0 are one value: Spark groups doubles that way
     reps = cut(usable.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "vectors")
     member = usable.join(reps, "v").select("id", "rep", "m")
-    k, tables = plan_tables(reps.count(), dim)
-    hashed = reps.select("rep", "v").mapInArrow(_hash(dim, k, tables), "bucket long, rep long, code long, own boolean")
+    hashed = reps.select("rep", "v").mapInArrow(_hash(reps.count(), threshold), "bucket long, rep long, code long, own boolean")
     index, probe = hashed.where("own").select("bucket", F.col("rep").alias("b"), F.col("code").alias("cb")), hashed.select("bucket", F.col("rep").alias("a"), F.col("code").alias("ca"))
     near = probe.join(index, "bucket").where(f"a <> b and bit_count(ca ^ cb) <= {max_bits}")
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("v").alias("va")), reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
-    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_cosine(dim, threshold), "a long, b long"), "links")
+    links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_cosine(threshold), "a long, b long"), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(reps.select(F.col("rep").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("d"))
     classes = components(links)
