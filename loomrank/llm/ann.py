@@ -103,8 +103,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """``(query_id, rank, vec_id, score)``: k nearest rows of ``vectors`` of each query, its own id left out.
 
     ``score`` is the Euclidean distance in double precision; ties go to the
-    smaller id.  Null, zero or non-finite vectors, vectors of another width than
-    the commonest, and null ids take no part.  An empty table gives no rows.
+    smaller id.  Null, zero or non-finite vectors and null ids take no part; vectors
+    of unequal width are not compared, and each width has a model of its own.
+    Repeated rows are candidates each; of equal queries the rows are found once each.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     session_settings(spark)
@@ -114,12 +116,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         out = out.where("id is not null and size(v) > 0 and coalesce(not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0), false)")
         return out.where(F.size("v") == dim) if dim else out
 
-    widths = usable(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, vec_id long, score double"
-    if widths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = widths["d"], widths["count"]
-    rows, asked = usable(vectors, dim), usable(queries, dim)
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for width in usable(vectors).groupBy(F.size("v").alias("d")).count().orderBy("d").collect():
+        found = found.unionByName(_nearest(usable(vectors, width["d"]), usable(queries, width["d"]).distinct(), width["count"], k, sample_rows))
+    return found
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, total: int, k: int, sample_rows: int) -> DataFrame:
+    """:func:`nearest` of ``(id, v)`` rows of one width."""
     sample = bounded_sample(rows, "id", sample_rows, total).orderBy("id").limit(2 * sample_rows)
     model = CodeModel(np.array([r["v"] for r in sample.select("v").collect()]), k)
     n_blocks = math.ceil(total / BLOCK_ROWS)
@@ -135,7 +139,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             found = search_block(model, q["id"].to_numpy(), np.stack(q["v"]), x["id"].to_numpy(), np.stack(x["v"]), k, radius)
             return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
-        near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, schema)
+        near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, "query_id long, vec_id long, score double")
         best = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
