@@ -1,10 +1,11 @@
 """URL filters: host rules, then segmented words scored by naive Bayes.
 
 Rules of (host, path start) are applied first; the longest that fits wins.  For
-the other urls the host's names are split into words by a unigram Viterbi search
-whose word counts come from the visible text of all pages, and the words of host
-and path are scored by multinomial naive Bayes: words of unwanted sites against
-the words that hosts and paths of the corpus are made of.
+the other urls the names in host and path are split into words by a unigram Viterbi
+search, whose word counts come from the visible text of all pages, and the words are
+scored by multinomial naive Bayes.  Its training rows are the pages that rules decide:
+their words, without those of the rule itself, count for the rule's verdict.  A short
+list of words of unwanted sites is added to the blocked class, as prior knowledge.
 """
 
 from __future__ import annotations
@@ -16,25 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_settings
+from .common import cut, session_settings
 
 #: (host, path start, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: words of sites that are not wanted, and ordinary words of addresses; training rows of the two classes
+#: words of sites that are not wanted: prior knowledge, each as if seen ``PRIOR_COUNT`` times in blocked pages
 UNWANTED = (
     "adult bet bets betting bingo blackjack bonus camgirl casino cash cheap cialis clickbait crack dating escort "
     "free gambling hentai hookup jackpot keygen loan loans lottery lotto nude nudes pharma pills poker porn porno pron roulette "
     "sex sexy slot slots spam spins sportsbook torrent viagra warez webcam win winner winning xxx"
 ).split()
-ORDINARY = (
-    "about academy archive article articles author blog book books category city college contact data de doc docs edu en es example faq feed "
-    "forum fr gallery gov health help history home html index info library local m mail map media museum news page pages paper photo "
-    "post press project ref research school science search shop site source sport static store student tag team tech text topic travel "
-    "university user utm video weather web wiki www com net org"
-).split()
-#: parts of any address, wanted or not: as likely in one class as in the other, so left out of both
-ADDRESS = "com de en es example fr html index m net org www".split()
-MAX_WORDS, MAX_LENGTH, MIN_COUNT = 50_000, 20, 2
+#: words of the segmenter's model, and of each table of the classifier, at most: the most frequent
+MAX_WORDS, PRIOR_COUNT = 50_000, 20
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -55,15 +49,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return best
 
 
+def most_frequent(counts: DataFrame, max_words: int, by: str = "n") -> DataFrame:
+    """Rows of a table of counts that are at or above the least count which no more than ``max_words`` rows reach.
+
+    Only a histogram of counts, by 64ths of their logarithm, comes to the driver to find it.
+    """
+    level = F.floor(64 * F.log2(F.col(by)))
+    left, least = max_words, 1 << 30
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counts.where(level >= least)
+
+
 def word_counts(pages: DataFrame, html_col: str = "html", max_words: int = MAX_WORDS) -> dict[str, int]:
     """Counts of the commonest words of all pages' visible text: the segmenter's unigrams.
 
-    All pages are counted; the model keeps ``max_words`` words.
+    All pages are counted; the model keeps ``max_words`` words at most.
     """
     seen = F.lower(F.regexp_replace(F.col(html_col), r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(seen, r"[^\p{L}]+")).alias("w")).where(f"length(w) between 1 and {MAX_LENGTH}")
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).where(f"n >= {MIN_COUNT}").orderBy(F.desc("n"), "w").limit(max_words).collect()
-    return {r["w"]: r["n"] for r in rows}
+    words = pages.select(F.explode(F.split(seen, r"[^\p{L}]+")).alias("w")).where("w <> ''")
+    counts = cut(words.groupBy("w").agg(F.count("*").alias("n")), "words")
+    return {r["w"]: r["n"] for r in most_frequent(counts, max_words).collect()}
 
 
 class Segmenter:
@@ -71,9 +80,8 @@ class Segmenter:
 
     def __init__(self, counts: Mapping[str, int]) -> None:
         known = dict(counts)
-        for w in (*UNWANTED, *ORDINARY):
-            if len(w) > 2:
-                known[w] = max(known.get(w, 0), 50)
+        for w in UNWANTED:
+            known[w] = max(known.get(w, 0), PRIOR_COUNT)
         total = sum(known.values())
         self.cost = {w: -math.log(n / total) for w, n in known.items()}
         self.unknown = math.log(total) + 2.0
@@ -111,54 +119,90 @@ def tokens(host: str, path: str, cut_name) -> list[str]:
 
 
 class NaiveBayes:
-    """Multinomial, two classes, add-one smoothing; long addresses are not over-sure by length alone."""
-
-    def __init__(self, ordinary: Mapping[str, int], prior: float = 0.5) -> None:
-        bad = dict.fromkeys(UNWANTED, 20)
-        good = {w: n for w, n in ordinary.items() if w not in bad and w not in ADDRESS}
-        for w in (w for w in ORDINARY if w not in ADDRESS):
-            good[w] = good.get(w, 0) + 20
-        size = len(set(bad) | set(good)) + 1
-        self.bad, self.good = bad, good
-        # both classes weigh alike, whatever the size of the corpus
-        self.n_bad, self.n_good = sum(bad.values()), sum(good.values())
-        self.size = size
-        self.prior = math.log(prior / (1 - prior))
+    """Multinomial, two classes of equal weight, add-one smoothing, from ``{word: (n blocked, n allowed)}``."""
+
+    def __init__(self, counts: Mapping[str, tuple[int, int]]) -> None:
+        known = {w: list(n) for w, n in counts.items()}
+        for w in UNWANTED:
+            known.setdefault(w, [0, 0])[0] += PRIOR_COUNT
+        bad, good = (sum(n[i] for n in known.values()) + len(known) + 1 for i in (0, 1))
+        self.odds = {w: math.log((n[0] + 1) / bad) - math.log((n[1] + 1) / good) for w, n in known.items()}
 
     def score(self, words: list[str]) -> float:
-        """Log odds of unwanted; words that neither class knows say nothing."""
-        z = self.prior
-        for w in words:
-            if w in self.bad or w in self.good:
-                z += math.log((self.bad.get(w, 0) + 1) / (self.n_bad + self.size)) - math.log((self.good.get(w, 0) * self.n_bad / max(1, self.n_good) + 1) / (self.n_bad + self.size))
-        return z
+        """Log odds of blocked; words that neither class knows say nothing."""
+        return sum(self.odds.get(w, 0.0) for w in words)
+
+
+def _cutter(counts: Mapping[str, int]):
+    """Segmentation with a bounded memory of names."""
+    segment, seen = Segmenter(counts), {}
+
+    def cut_name(name: str) -> list[str]:
+        if len(name) > 63:  # longer than any label of a host: not kept
+            return segment(name)
+        if name not in seen:
+            if len(seen) > 100_000:
+                seen.clear()
+            seen[name] = segment(name)
+        return seen[name]
+
+    return cut_name
+
+
+def _ruled(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
+    host, path = url_parts(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    return rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "hit.rule", "hit.verdict")
 
 
-def judge(pages: DataFrame, counts: Mapping[str, int], id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def train(pages: DataFrame, counts: Mapping[str, int], id_col: str = "page_id", url_col: str = "url", rules=RULES, max_words: int = MAX_WORDS) -> NaiveBayes:
+    """The classifier, from all pages that a rule decides.
+
+    A page's words count once each.  What a rule looks at is left out: the end of the
+    host and the start of the path that are the rule's, and in the words of all pages
+    the rules' own names; so the classes differ by what stands beside the rules.
+    """
+    session_settings(pages.sparkSession)
+    own = {w for h, p, _ in rules for w in tokens(h, p, lambda name: [name])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_name, n = _cutter(counts), {}
+        for batch in batches:
+            for h, p, r, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rule_host, _, rule_path = r.partition("/")
+                for w in set(tokens(h.removesuffix(rule_host), p[len(rule_path) :], cut_name)) - own:
+                    n.setdefault(w, [0, 0])[v == "allow"] += 1
+            if len(n) > 100_000:
+                yield _counted(n)
+                n.clear()
+        yield _counted(n)
+
+    labelled = _ruled(pages, id_col, url_col, rules).where("verdict is not null").select("host", "path", "rule", "verdict")
+    words = labelled.mapInArrow(run, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = cut(words.withColumn("n", F.col("bad") + F.col("good")), "address_words")
+    return NaiveBayes({r["w"]: (r["bad"], r["good"]) for r in most_frequent(words, max_words).collect()})
+
+
+def _counted(n: Mapping[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([c[i] for c in n.values()], pa.int64()) for i in (0, 1))], names=["w", "bad", "good"])
+
+
+def judge(pages: DataFrame, counts: Mapping[str, int], bayes: NaiveBayes | None = None, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)``, one row per row of ``pages``.
 
-    ``score`` is the naive Bayes log odds, null where a rule decides.  Null urls
-    and urls without ``://`` have empty host and path and are scored on those.
+    ``score`` is the naive Bayes log odds, null where a rule decides; over 0 blocks, and 0
+    allows.  Null urls and urls without ``://`` have empty host and path and are
+    scored on those (0).  Whole urls are scored, however long.  Null and repeated ids
+    keep a row each; other columns are ignored; an empty table gives no rows.
+    Without ``bayes`` the classifier is trained on ``pages``.
     """
     session_settings(pages.sparkSession)
-    host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "hit.rule", "hit.verdict")
+    bayes = bayes or train(pages, counts, id_col, url_col, rules)
+    rows = _ruled(pages, id_col, url_col, rules)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, bayes = Segmenter(counts), NaiveBayes(counts)
-        seen: dict[str, list[str]] = {}
-
-        def cut_name(name: str) -> list[str]:
-            if len(name) > 63:  # longer than any label of a host: not kept
-                return segment(name)
-            if name not in seen:
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen[name] = segment(name)
-            return seen[name]
-
+        cut_name = _cutter(counts)
         for batch in batches:
             verdicts, scores = [], []
             for h, p, v in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
