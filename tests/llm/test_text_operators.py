@@ -171,6 +171,38 @@ def test_secrets(spark):
     assert p[y].mean() > 0.85 and p[~y].mean() < 0.1
 
 
+def plain_base(text):
+    """The base rules by search for one match after another, in code points."""
+    rules = [
+        ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        ("access", r"(AKIA[A-Z0-9]+)", 20),
+        ("hex", r"([0-9a-f]+)", 24),
+    ]
+    found = []
+    for k, (kind, rule, least) in enumerate(rules):
+        at = 0
+        while m := re.compile(rule).search(text or "", at):
+            at = m.end()
+            if len(m.group(1)) >= least:
+                found.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return found
+
+
+def test_secrets_of_a_table_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["TOKEN='abcdef' ſecret=abcdef pa\u017f\u017fword=abcdef", "password=password=abcdef", "api_key:apikey: a.b=c-d/e+f", "\U0001f600 token = \"abcdef\u00e9\" AKIAAKIA" + "B" * 20, "0" * 24 + "A" + "f" * 23, "secret\n=abcdef secret\t:abcdef passwd  :  'abcde'", "x" * 200000 + " token=abcdefgh " + "ab12" * 5000, None, ""]
+    both = docs.unionByName(spark.createDataFrame([(-1, t) for t in odd], "doc_id long, text string"))
+    want = []
+    for r in both.collect():
+        found = sorted(plain_base(r["text"]))
+        listed = ",".join(f for *_, f in found)
+        want.append((r["doc_id"], *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(listed.encode()).hexdigest()))
+    rows = secret_scan.find_secrets(both, secret_scan.train(docs)).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    for r in rows:  # base spans stay, in their order, among all spans
+        assert hashlib.sha256(",".join(s for s in r["spans"].split(",") if not s.startswith("model")).encode()).hexdigest() == r["base_sha256"]
+
+
 def test_secrets_deep_in_long_runs(spark):
     key, hexa, rest = "ghp_abcDEF0123456789abcdefABCDEF012345", "0123456789abcdef01234567", "Zy9xWv8uTs7rQp6oNm5lKj4iHg3k"
     way = "/home/some/long/path/of/several/plain/words/that/go/on/and/on/"

@@ -1,5 +1,7 @@
 """Vector operators, URL filters and the pipeline."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -29,10 +31,38 @@ def test_embedding_dedup(spark):
     for _ in range(300):
         low = np.minimum(low, np.where(near, low, 999).min(1))
     assert [got[i][1] for i in range(300)] == low.tolist()
-    assert all(got[i] == (0, i, True) for i in range(300, 305))
+    assert all(got[i] == (0, i, True) for i in range(300, 305)) and not any(got[i][0] for i in (303, 304))
     assert embed_dedup.embedding_dedup(df.where("false")).count() == 0
 
 
+def test_vectors_of_other_widths_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=3), rng.normal(size=200)
+    near = (b + 0.01 * rng.normal(size=200)).tolist()
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, a.tolist()), (4, a.tolist()), (5, b.tolist()), (6, near), (7, [9.0]), (8, [-9.0]), (None, a.tolist()), (9, [1.0]), (9, [5.0, 1.0])] + [(20 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 3)))]
+    df = spark.createDataFrame([(i, v, i, "c") for i, v in rows], "vec_id long, embedding array<double>, id int, code string")
+    got = [tuple(r) for r in embed_dedup.embedding_dedup(df).where("vec_id < 20 or vec_id is null").collect()]
+    want = [(None, 0, None, None), (1, 1, 1, True), (2, 1, 1, False), (3, None, 3, True), (4, None, 3, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (9, 0, 9, True)]
+    assert sorted(map(str, ((i, None if i in (3, 4) else n, c, k) for i, n, c, k in got))) == sorted(map(str, want))
+    found = [tuple(r) for r in ann.nearest(df, df.where("vec_id in (1, 3, 5, 7)"), k=2).orderBy("query_id", "rank").collect()]
+    assert [r[:3] for r in found if r[0] in (1, 5)] == [(1, 1, 2), (1, 2, 9), (5, 1, 6)]
+    assert [r[:3] for r in found if r[0] == 3][0] == (3, 1, 4) and [r[2] for r in found if r[0] == 7] == [9, 8]
+
+
+@pytest.mark.parametrize("wide", [16, 64, 1024])
+def test_tables_find_pairs_at_the_threshold(wide):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(2, 400, wide))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    k, tables = embed_dedup.plan_tables(1_000_000, wide)
+    found = np.zeros(400, bool)
+    for t in range(tables):
+        found |= (embed_dedup.buckets(x, k, t) == embed_dedup.buckets(y, k, t)[:, :1]).any(1)
+    assert found.all()
+
+
 def test_nearest_recall(spark):
     df, x = vectors(spark)
     got = {}
@@ -84,22 +114,68 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+HTML = ["<p>the and then news of the city library</p>"] * 3
+
+
 def test_urls(spark):
     urls = ["http://A.Net/x", "https://www.example.net/en/1?q", "https://example.net/de/", "http://m.example.com/de/x#y", "http://b.org/fr/z", "http://b.org/en/", None, "no scheme", "http://casino-bets.example.com/en/2", "http://xorg/fr/", "http://net"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    counts = url_filter.word_counts(spark.createDataFrame([("<p>the and then news of the city</p>",)] * 3, "html string"))
+    df = spark.createDataFrame([(i, u, "clash", "x") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    counts = url_filter.word_counts(spark.createDataFrame([(h,) for h in HTML], "html string"))
     got = {r["page_id"]: r for r in url_filter.judge(df, counts).collect()}
     assert [got[i]["rule"] for i in range(11)] == ["net/", "example.net/en/", "net/", "example.com/de/", "org/fr/", None, None, None, None, None, None]
     assert [got[i]["verdict"] for i in (0, 1, 2, 3, 4)] == ["block", "allow", "block", "block", "allow"]
     assert got[8]["verdict"] == "block" and got[5]["verdict"] == "allow"
     assert (got[0]["host"], got[0]["path"]) == ("a.net", "/x") and (got[6]["host"], got[7]["path"]) == ("", "")
     assert (got[10]["host"], got[10]["path"]) == ("net", "")
+    assert url_filter.judge(df.where("false"), counts).count() == 0
+
+
+def plain_parts(url):
+    rest = (url or "").partition("://")[2]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+
+
+def test_urls_of_a_table_against_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd = ["HTTP://X.ORG/fr/", "a://b://c/d?e#f", "://", "x://?q", "x://h#/p?", "x://net?/en", "x://NETnet/", "ftp://u@example.com:80/de/", "x://example.com/de", "x://É.Org/fr/é\n/z", "x://" + "a.b/" * 3000]
+    extra = spark.createDataFrame([(None if i % 2 else -i, u, None) for i, u in enumerate(odd)], "page_id long, url string, html string")
+    both = pages.select("page_id", "url", "html").unionByName(extra)
+    got = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"])) for r in url_filter.judge(both, url_filter.word_counts(both)).collect())
+    want = []
+    for r in both.collect():
+        host, path = plain_parts(r["url"])
+        fits = [h + p for h, p, _ in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want.append((str(r["page_id"]), host, path, str(max(fits, key=len) if fits else None)))
+    assert got == sorted(want)
+
+
+def test_url_classifier_learns_from_ruled_pages(spark):
+    rng = np.random.default_rng(2)
+    bad, good = ["meadow", "river", "cliff"], ["copper", "silver", "nickel"]
+    urls = [f"http://{rng.choice(bad)}{rng.choice(bad)}.site.net/{rng.choice(bad)}" for _ in range(60)]
+    urls += [f"http://{rng.choice(good)}{rng.choice(good)}.example.net/en/{rng.choice(good)}" for _ in range(60)]
+    urls += ["http://rivercliff.org/meadow", "http://coppersilver.org/nickel", "http://rivercliff.org/en/copper-silver-nickel", "http://other.org/"]
+    html = [" ".join(bad + good)] * 124
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string")
+    counts = url_filter.word_counts(df)
+    bayes = url_filter.train(df, counts)
+    assert not {"net", "example", "en", "org", "de", "fr", "com"} & set(bayes.odds)
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, counts, bayes).collect()}
+    assert [got[i] for i in range(120, 124)] == ["block", "allow", "allow", "allow"]
+
+
+def test_most_frequent_words_are_bounded(spark):
+    df = spark.createDataFrame([(f"w{i}", i) for i in range(1, 1001)], "w string, n long")
+    for limit in (0, 1, 50, 5000):
+        kept = sorted(r["n"] for r in url_filter.most_frequent(df, limit).collect())
+        assert len(kept) <= limit and kept == list(range(1001 - len(kept), 1001)) and (limit < 50 or kept)
 
 
 def test_long_names_are_judged_whole(spark):
     plain, bad = "newsofthecityandthelibrary" * 3, "casinobonusfreespinsjackpot" * 4
     df = spark.createDataFrame(list(enumerate([f"http://b.org/{plain}{bad}", f"http://{plain}{bad}.org/", f"http://b.org/{plain}"])), "page_id long, url string")
-    counts = url_filter.word_counts(spark.createDataFrame([("<p>the and then news of the city</p>",)] * 3, "html string"))
+    counts = url_filter.word_counts(spark.createDataFrame([(h,) for h in HTML], "html string"))
     got = {r["page_id"]: r for r in url_filter.judge(df, counts).collect()}
     assert [got[i]["verdict"] for i in range(3)] == ["block", "block", "allow"]
     words = url_filter.tokens("", "/" + plain + bad, url_filter.Segmenter(counts))
