@@ -9,14 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import windows
-from ..sources.files import scratch
 from .alignment import global_identity
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .spread import cut as _cut
 
 
 def kmer_hits(queries: DataFrame, library: DataFrame, k: int = 4, top: int = 1000) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spread
+
 
 def pearson(x: str, y: str) -> Column:
     """NULL for fewer than three complete rows or a constant side."""
@@ -18,10 +20,9 @@ def pearson(x: str, y: str) -> Column:
 
 
 def with_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Average-tie ranks ``r_<column>`` within keys."""
+    """Average-tie ranks ``r_<column>`` within keys, however many rows a key has."""
     for c in columns:
-        w = Window.partitionBy(*keys).orderBy(c)
-        df = df.withColumn(f"r_{c}", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0)
+        df = spread.average_ranks(df, keys, c, f"r_{c}")
     return df
 
 
@@ -40,7 +41,7 @@ def draw(replicate: Column, item: Column, n: Column) -> Column:
 def cluster_sums(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
     """Six sufficient sums of a correlation per cluster, clusters numbered from 0 by name."""
     s = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    return s.withColumn("c", F.row_number().over(Window.orderBy(cluster)) - 1)
+    return spread.number_rows(s, [], [cluster], "c").withColumn("c", F.col("c") - 1)
 
 
 def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
@@ -65,17 +66,17 @@ def bootstrap_replicates(sums: DataFrame, replicates: int) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(p, tie))).withColumn("_n", F.count("*").over(w))
-    back = w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(back))).drop("_r", "_n")
+    """``q`` of each row: the least of p n / r over its own and larger ranks r of its key."""
+    ranked = spread.number_rows(df, keys, [p, tie], "_r", "_n")
+    found = spread.running(ranked, keys, [F.desc("_r")], {"q": ("min", F.col(p) * F.col("_n") / F.col("_r"))})
+    return found.withColumn("q", F.least(F.lit(1.0), "q")).drop("_r", "_n")
 
 
 def holm(df: DataFrame, p: str, tie: str, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(p, tie))).withColumn("_n", F.count("*").over(w))
-    run = w.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("adjusted", F.least(F.lit(1.0), F.max((F.col("_n") - F.col("_r") + 1) * F.col(p)).over(run))).drop("_r", "_n")
+    """``adjusted`` of each row: the largest of (n - r + 1) p over its own and smaller ranks r of its key."""
+    ranked = spread.number_rows(df, keys, [p, tie], "_r", "_n")
+    found = spread.running(ranked, keys, ["_r"], {"adjusted": ("max", (F.col("_n") - F.col("_r") + 1) * F.col(p))})
+    return found.withColumn("adjusted", F.least(F.lit(1.0), "adjusted")).drop("_r", "_n")
 
 
 def mcnemar_exact(a: Column, b: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spread
+
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
@@ -47,7 +49,7 @@ def best_row(df: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
 
 def quantile_cut(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows at or below the linearly interpolated quantile; the cut is one broadcast row."""
-    cut = df.agg(F.percentile(column, q).alias("_cut"))
+    cut = spread.quantiles(df, [], column, {"_cut": q})
     return df.crossJoin(F.broadcast(cut)).where(F.col(column) <= F.col("_cut")).drop("_cut")
 
 
@@ -60,18 +62,8 @@ def average_rank(column: str, keys: list[str] | None = None, descending: bool =
 
 
 def global_average_rank(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
-    """Average-tie rank of all rows without one task that holds them all.
-
-    Distinct values are counted, range-partitioned and summed per partition;
-    the offsets of partitions are a few rows.  Missing values get no rank.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_p").orderBy(column)) - F.col("_n"))
-    sums = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    offsets = sums.withColumn("_o", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).select("_p", "_o")
-    ranks = local.join(F.broadcast(offsets), "_p").select(column, (F.col("_o") + F.col("_before") + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, column, "left")
+    """Average-tie rank of all rows without one task that holds them all. Missing values get no rank."""
+    return spread.average_ranks(df, [], column, out)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import spread
 from ..operators import tables as T
 from .base import query
 from .projections import KQ, K
@@ -72,9 +73,10 @@ def a7(t):
 )
 def a8(t):
     x = "l_extendedprice"
-    q = F.percentile(x, [0.25, 0.5, 0.75])
-    out = t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), q.alias("q"), F.min(x).alias("low"), F.max(x).alias("high"))
-    return out.select("l_returnflag", "l_linestatus", "n", "mean", "sd", *[F.round(F.col("q")[i], 4).alias(n) for i, n in ((1, "median"), (0, "q1"), (2, "q3"))], "low", "high")
+    keys = ["l_returnflag", "l_linestatus"]
+    out = t.lineitem.groupBy(*keys).agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_samp(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    out = spread.join_on_keys(out, spread.quantiles(t.lineitem, keys, x, {"median": 0.5, "q1": 0.25, "q3": 0.75}), keys)
+    return out.select(*keys, "n", "mean", "sd", *[F.round(n, 4).alias(n) for n in ("median", "q1", "q3")], "low", "high")
 
 
 @query("a9_two_level", "SELECT event_type, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -120,7 +122,8 @@ def a13(t):
 @query("a14_retention_by_donor", "SELECT round(min(p), 6) AS low, round(quantile_cont(p, 0.5), 6) AS median, round(max(p), 6) AS high FROM (SELECT user_id, 100.0 * count(*) FILTER (value <= 10) / count(*) AS p FROM events GROUP BY 1)")
 def a14(t):
     per = t.events.groupBy("user_id").agg((100.0 * F.count_if(F.col("value") <= 10) / F.count("*")).alias("p"))
-    return per.agg(F.round(F.min("p"), 6).alias("low"), F.round(F.percentile("p", 0.5), 6).alias("median"), F.round(F.max("p"), 6).alias("high"))
+    ends = per.agg(F.round(F.min("p"), 6).alias("low"), F.round(F.max("p"), 6).alias("high"))
+    return ends.crossJoin(spread.quantiles(per, [], "p", {"median": 0.5})).select("low", F.round("median", 6).alias("median"), "high")
 
 
 @query(
@@ -141,7 +144,8 @@ def a16(t):
 
 @query("a17_task_overview", "SELECT event_type, min(value) AS low, round(quantile_cont(value, 0.5), 6) AS median, max(value) AS high, round(avg(value), 6) AS mean, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def a17(t):
-    return t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 4).alias("total"))
+    out = t.events.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.sum("value"), 4).alias("total"))
+    return spread.join_on_keys(out, spread.quantiles(t.events, ["event_type"], "value", {"median": 0.5}), ["event_type"]).withColumn("median", F.round("median", 6))
 
 
 @query("a18_pair_count", "SELECT sum(n * (n - 1) / 2)::BIGINT AS pairs FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)")
@@ -191,7 +195,8 @@ def a22(t):
 
 @query("a23_order_by_median", "SELECT event_type, median, row_number() OVER (ORDER BY median NULLS LAST, event_type) AS place FROM (SELECT event_type, round(quantile_cont(value, 0.5) FILTER (event_type <> 'error'), 6) AS median FROM events GROUP BY 1)")
 def a23(t):
-    m = t.events.groupBy("event_type").agg(F.round(F.percentile(F.when(F.col("event_type") != "error", F.col("value")), 0.5), 6).alias("median"))
+    some = t.events.select("event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    m = spread.quantiles(some, ["event_type"], "value", {"median": 0.5}).withColumn("median", F.round("median", 6))
     return m.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("median"), "event_type")).cast("long"))
 
 

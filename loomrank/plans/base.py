@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,8 +47,8 @@ def query(name: str, sql: str | None = None):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank the library by distance to vector 0, keep the best decile, add the third block's distance.
 
-    One broadcast row meets the library in a single pass; the decile cut is one
-    aggregate row.
+    One broadcast row meets the library; the decile is exact, from counts of values
+    that no single task holds.
     """
     emb = Tables(spark, sf_dir).embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     donor = emb.where("vec_id = 0").select(F.col("v").alias("q"))
@@ -57,8 +58,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         V.euclidean(F.col("v"), F.col("q")).alias("distance"),
         V.euclidean(V.blocks(F.col("v"), 64)[2], V.blocks(F.col("q"), 64)[2]).alias("block3"),
     )
-    cut = scored.agg(F.percentile("distance", 0.1).alias("cut"))
-    return scored.crossJoin(F.broadcast(cut)).where("distance <= cut").select("vec_id", "distance", "block3")
+    return T.quantile_cut(scored, "distance", 0.1)
 
 
 query(

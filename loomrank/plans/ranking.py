@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import spread
 from ..operators import tables as T
 from .base import query
 
@@ -20,8 +21,7 @@ def _dist(t):
 
 @query("o1_distance_sort", f"SELECT vec_id, round(d, 9) AS d, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS place FROM {DIST}")
 def o1(t):
-    w = Window.partitionBy("label").orderBy("d", "vec_id")
-    return _dist(t).select("vec_id", F.round("d", 9).alias("d"), F.row_number().over(w).cast("long").alias("place")).orderBy("d")
+    return spread.number_rows(_dist(t), ["label"], ["d", "vec_id"], "place").select("vec_id", F.round("d", 9).alias("d"), "place").orderBy("d")
 
 
 @query("o2_top_n", f"SELECT vec_id, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY d, vec_id) AS r FROM {DIST}) WHERE r = 1 ORDER BY d, vec_id LIMIT 50")
@@ -50,34 +50,31 @@ def o4(t):
 def o5(t):
     place = {"MACHINERY": 0, "AUTOMOBILE": 1, "unknown": 2}
     p = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("c_mktsegment")]
-    w = Window.partitionBy("c_nationkey").orderBy(F.asc_nulls_last(p), "c_mktsegment", "c_custkey")
-    return t.customer.select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", p.alias("p"))
+    return spread.number_rows(c, ["c_nationkey"], [F.asc_nulls_last("p"), "c_mktsegment", "c_custkey"], "place").select("c_custkey", "place")
 
 
 @query("o6_half_split", "SELECT l_orderkey, l_linenumber, l_tax <= (SELECT quantile_cont(l_tax, 0.5) FROM lineitem) AS lower_half FROM lineitem")
 def o6(t):
-    m = t.lineitem.agg(F.percentile("l_tax", 0.5).alias("m"))
+    m = spread.quantiles(t.lineitem, [], "l_tax", {"m": 0.5})
     return t.lineitem.crossJoin(F.broadcast(m)).select("l_orderkey", "l_linenumber", (F.col("l_tax") <= F.col("m")).alias("lower_half"))
 
 
 @query("o7_shortlist", "WITH s AS (SELECT event_id, value FROM events WHERE value <= (SELECT quantile_cont(value, 0.1) FROM events)) SELECT event_id, round_even(value, 2) AS score, row_number() OVER (ORDER BY value, event_id) AS place FROM s")
 def o7(t):
-    """The shortlist is a tenth of the rows: its places come from range-partitioned counts, not one sorted task."""
+    """The shortlist is a tenth of the rows: its places are numbered by ranges, not in one sorted task."""
     s = T.quantile_cut(t.events.select("event_id", "value"), "value", 0.1)
-    ranked = T.global_average_rank(s, "value")
-    ties = Window.partitionBy("value")
-    first = F.col("rank") - (F.count("*").over(ties) - 1) / 2.0
-    return ranked.select("event_id", F.bround("value", 2).alias("score"), (first + F.row_number().over(ties.orderBy("event_id")) - 1).cast("long").alias("place"))
+    return spread.number_rows(s, [], ["value", "event_id"], "place").select("event_id", F.bround("value", 2).alias("score"), "place")
 
 
 @query("o8_round_robin", "SELECT c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 4 AS bucket FROM customer")
 def o8(t):
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    return t.customer.select("c_custkey", F.pmod(F.row_number().over(w) - 1, F.lit(4)).cast("long").alias("bucket"))
+    c = spread.number_rows(t.customer.select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], "r")
+    return c.select("c_custkey", F.pmod(F.col("r") - 1, F.lit(4)).alias("bucket"))
 
 
 @query("o9_top_fraction", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE r <= floor(0.05 * n) + 1")
 def o9(t):
-    w = Window.partitionBy("l_returnflag")
-    r = t.lineitem.withColumn("r", F.row_number().over(w.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))).withColumn("n", F.count("*").over(w))
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    r = spread.number_rows(li, ["l_returnflag"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], "r", "n")
     return r.where("r <= floor(0.05 * n) + 1").select("l_orderkey", "l_linenumber")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import spread
 from ..operators import statistics as S
 from ..operators import tables as T
 from .base import query
@@ -118,37 +119,32 @@ def t8(t):
     return d.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.least(F.lit(1.0), p).alias("p"))
 
 
-def crossed_bootstrap(cells, replicates: int, seed: int = 20260831):
+def crossed_bootstrap(cells, replicates: int):
     """Crossed two-way bootstrap over a (donor, carrier) cell table: ``b, r`` of weighted rank correlations.
 
-    Replicates are distributed; the cell table (one row per cell, checked to be
-    at most a million) is shipped to the tasks.
+    A cell weighs the times its donor was drawn times the times its carrier was.
+    Names are numbered in order, draws are numbers from a hash of the replicate and
+    a place, and only (replicate, name, count) rows are joined to the cells; weighted
+    mid-ranks are running sums by replicate. Replicates of no weight, or of one
+    value, have no ``r``.
     """
-    rows = cells.select("donor", "carrier", "x", "y").limit(1_000_001).toPandas()
-    if len(rows) > 1_000_000:
-        raise ValueError("too many cells to ship; aggregate the donors first")
-    rows = rows.sort_values(["donor", "carrier"]).reset_index(drop=True)
-    d, dn = pd.factorize(rows["donor"])
-    c, cn = pd.factorize(rows["carrier"])
-    xy = [np.unique(rows[k].to_numpy(float), return_inverse=True)[1] for k in ("x", "y")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for b in pdf["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                w = np.bincount(rng.integers(0, len(dn), len(dn)), minlength=len(dn))[d] * np.bincount(rng.integers(0, len(cn), len(cn)), minlength=len(cn))[c]
-                r = []
-                for v in xy:
-                    g = np.bincount(v, weights=w)
-                    r.append((np.cumsum(g) - g + (g + 1) / 2)[v])
-                n = w.sum()
-                mx, my = (w * r[0]).sum() / max(n, 1), (w * r[1]).sum() / max(n, 1)
-                den = np.sqrt((w * (r[0] - mx) ** 2).sum() * (w * (r[1] - my) ** 2).sum())
-                out.append((w * (r[0] - mx) * (r[1] - my)).sum() / den if den > 0 else None)
-            yield pd.DataFrame({"b": pdf["id"], "r": out})
-
-    return cells.sparkSession.range(0, replicates, 1, min(replicates, 8)).mapInPandas(run, "b long, r double")
+    spark = cells.sparkSession
+    reps = spark.range(replicates).select(F.col("id").alias("b"))
+
+    def counts(name: str):
+        names = spread.number_rows(cells.select(name).distinct(), [], [name], "i", "k").withColumn("i", F.col("i") - 1)
+        drawn = names.crossJoin(F.broadcast(reps)).select("b", S.draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
+        return drawn.groupBy("b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select("i", name), "i").select("b", name, f"n_{name}")
+
+    donors, carriers = counts("donor"), counts("carrier")
+    w = cells.join(donors, "donor").join(carriers, ["b", "carrier"]).select("b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
+    for v in ("x", "y"):
+        g = w.groupBy("b", v).agg(F.sum("w").alias("g"))
+        g = spread.running(g, ["b"], [v], {"upto": ("sum", F.col("g"))})
+        w = w.join(g.select("b", v, (F.col("upto") - (F.col("g") - 1) / 2.0).alias(f"r{v}")), ["b", v])
+    sums = [F.sum(F.expr(e)).cast("double").alias(n) for n, e in (("n", "w"), ("sx", "w * rx"), ("sy", "w * ry"), ("sxx", "w * rx * rx"), ("syy", "w * ry * ry"), ("sxy", "w * rx * ry"))]
+    tot = w.groupBy("b").agg(*sums)
+    return tot.select("b", S.from_sums(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
 
 
 def _cells(t):
@@ -218,8 +214,7 @@ def t15(t):
 )
 def t16(t):
     u = t.events.where(F.col("event_type").isin("click", "view")).groupBy(F.col("event_type").alias("g"), "user_id").agg(F.avg("value").alias("v"))
-    w = Window.partitionBy("g")
-    x = u.withColumn("i", (F.row_number().over(w.orderBy("user_id")) - 1).cast("long")).withColumn("k", F.count("*").over(w))
+    x = spread.number_rows(u, ["g"], ["user_id"], "i", "k").withColumn("i", F.col("i") - 1)
     reps = t.spark.range(B).select(F.col("id").alias("b"))
     d = x.crossJoin(F.broadcast(reps)).select("b", "g", S.draw(F.col("b"), F.concat("g", F.col("i").cast("string")), F.col("k")).alias("i"))
     m = d.join(x.select("g", "i", "v"), ["g", "i"]).groupBy("b").agg((F.avg(F.when(F.col("g") == "click", F.col("v"))) - F.avg(F.when(F.col("g") == "view", F.col("v")))).alias("r"))

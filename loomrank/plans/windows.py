@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import spread
 from ..operators import tables as T
 from .base import query
 
@@ -40,9 +41,8 @@ def w2(t):
 
 @query("w3_sequential_rank", "SELECT o_orderkey, o_orderpriority, row_number() OVER w AS rank, round(100.0 * row_number() OVER w / count(*) OVER (PARTITION BY o_orderpriority), 9) AS percent FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)")
 def w3(t):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    rn = F.row_number().over(w).cast("long")
-    return t.orders.select("o_orderkey", "o_orderpriority", rn.alias("rank"), F.round(100.0 * rn / F.count("*").over(Window.partitionBy("o_orderpriority")), 9).alias("percent"))
+    o = spread.number_rows(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], ["o_totalprice", "o_orderkey"], "rank", "n")
+    return o.select("o_orderkey", "o_orderpriority", "rank", F.round(100.0 * F.col("rank") / F.col("n"), 9).alias("percent"))
 
 
 @query("w4_top_k", "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events WHERE value >= 1) WHERE rank <= 3")
@@ -73,8 +73,9 @@ def w6(t):
 )
 def w7(t):
     x = F.col("l_extendedprice")
-    cuts = t.lineitem.agg(F.percentile("l_extendedprice", [0.1, 0.2, 0.3, 0.5]).alias("c"))
-    band = F.when(x <= F.col("c")[0], "P10").when(x <= F.col("c")[1], "P20").when(x <= F.col("c")[2], "P30").when(x <= F.col("c")[3], "P50").otherwise("rest")
+    shares = (10, 20, 30, 50)
+    cuts = spread.quantiles(t.lineitem, [], "l_extendedprice", {f"P{p}": p / 100 for p in shares})
+    band = F.coalesce(*[F.when(x <= F.col(f"P{p}"), f"P{p}") for p in shares], F.lit("rest"))
     return t.lineitem.crossJoin(F.broadcast(cuts)).select("l_orderkey", "l_linenumber", band.alias("band"))
 
 
@@ -83,8 +84,8 @@ def w7(t):
     "SELECT l_orderkey, l_linenumber, round(1 - (r - 0.5) / n, 9) AS height, CASE WHEN r <= 0.1 * n THEN 'top' WHEN r <= 0.5 * n THEN 'middle' ELSE 'low' END AS stratum FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)",
 )
 def w8(t):
-    w = Window.partitionBy("l_returnflag")
-    li = t.lineitem.withColumn("r", F.row_number().over(w.orderBy("l_extendedprice", "l_orderkey", "l_linenumber"))).withColumn("n", F.count("*").over(w))
+    order = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+    li = spread.number_rows(t.lineitem.select("l_returnflag", *order), ["l_returnflag"], order, "r", "n")
     part = F.when(F.col("r") <= 0.1 * F.col("n"), "top").when(F.col("r") <= 0.5 * F.col("n"), "middle").otherwise("low")
     return li.select("l_orderkey", "l_linenumber", F.round(1 - (F.col("r") - 0.5) / F.col("n"), 9).alias("height"), part.alias("stratum"))
 
@@ -130,8 +131,8 @@ def w12(t):
 )
 def w13(t):
     v = t.lineitem.groupBy(F.col("l_returnflag").alias("f"), F.col("l_extendedprice").alias("x")).agg(F.sum("l_quantity").alias("w"))
-    run = F.sum("w").over(Window.partitionBy("f").orderBy("x"))
-    return v.select("f", "x", F.round(run - F.col("w") + (F.col("w") + 1) / 2.0, 4).alias("rank"))
+    v = spread.running(v, ["f"], ["x"], {"upto": ("sum", F.col("w"))})
+    return v.select("f", "x", F.round(F.col("upto") - F.col("w") + (F.col("w") + 1) / 2.0, 4).alias("rank"))
 
 
 @query("w14_torsions")

@@ -1,9 +1,11 @@
 """Invariants and cross-checks of operators that SQL does not cover."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
-from loomrank.operators import geometry, statistics, tables
+from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.operators.alignment import global_identity
 from loomrank.operators.search import greedy_clusters
 from loomrank.plans.statistics import crossed_bootstrap
@@ -83,8 +85,61 @@ def test_greedy_clusters_match_the_sequential_rule(spark):
     assert sum(got[i] == want[s] for i, s in seqs) == len(seqs)
 
 
-def test_crossed_bootstrap_repeats(spark):
-    rows = [(f"d{i}", f"c{j}", float(i + j), float(i * 2 + j)) for i in range(6) for j in range(5)]
+def test_crossed_bootstrap_matches_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"d{i}", f"c{j}", float(rng.integers(0, 9)), float(rng.integers(0, 9))) for i in range(6) for j in range(5) if rng.random() < 0.9]
     cells = spark.createDataFrame(rows, "donor string, carrier string, x double, y double")
-    one, two = (sorted(map(tuple, crossed_bootstrap(cells, 20).collect())) for _ in range(2))
-    assert one == two and all(r is None or -1 <= r <= 1 for _, r in one)
+    got = {r["b"]: r["r"] for r in crossed_bootstrap(cells, 20).collect()}
+
+    def drawn(b, kind, names):
+        picks = [int(hashlib.md5(f"{b}:{kind}/{i}".encode()).hexdigest()[:8], 16) % len(names) for i in range(len(names))]
+        return {n: picks.count(i) for i, n in enumerate(names)}
+
+    def mid_ranks(v, w):
+        return np.array([w[v < x].sum() + (w[v == x].sum() + 1) / 2 for x in v])
+
+    x, y = (np.array([r[i] for r in rows]) for i in (2, 3))
+    for b in range(20):
+        d, c = drawn(b, "donor", sorted({r[0] for r in rows})), drawn(b, "carrier", sorted({r[1] for r in rows}))
+        w = np.array([d[r[0]] * c[r[1]] for r in rows], float)
+        rx, ry = mid_ranks(x, w), mid_ranks(y, w)
+        mx, my = np.average(rx, weights=w), np.average(ry, weights=w)
+        want = (w * (rx - mx) * (ry - my)).sum() / np.sqrt((w * (rx - mx) ** 2).sum() * (w * (ry - my) ** 2).sum())
+        assert got[b] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_spread_ranks_and_quantiles(spark, keys):
+    rng = np.random.default_rng(9)
+    # one key holds nearly all rows, one is missing, one has missing values only
+    rows = [(None if i % 50 == 0 else "rare" if i % 60 == 1 else "empty" if i % 60 == 2 else "hot", i, None if i % 60 == 2 or i % 37 == 0 else float(rng.integers(0, 60))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, x double").repartition(9)
+    groups = {}
+    for k, i, x in rows:
+        groups.setdefault(k if keys else 0, []).append((i, x))
+
+    def of(r):
+        return r["k"] if keys else 0
+
+    want = {i: (n, len(g)) for g in groups.values() for n, (i, _) in enumerate(sorted(g, key=lambda t: (t[1] is not None, t[1], t[0])), 1)}
+    got = spread.number_rows(df, keys, ["x", "i"], "n", "all").collect()
+    assert {r["i"]: (r["n"], r["all"]) for r in got} == want
+    got = spread.average_ranks(df, keys, "x", "r").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        have = [x for _, x in groups[of(r)] if x is not None]
+        assert r["r"] is None if r["x"] is None else r["r"] == sum(x < r["x"] for x in have) + (have.count(r["x"]) + 1) / 2
+    got = {of(r): r for r in spread.quantiles(df, keys, "x", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 1.0}).collect()}
+    assert set(got) == set(groups)
+    for k, g in groups.items():
+        have = [x for _, x in g if x is not None]
+        for n, q in zip("abcd", (0.0, 0.1, 0.5, 1.0)):
+            assert got[k][n] == (pytest.approx(np.quantile(have, q)) if have else None)
+    assert spread.number_rows(df.where("false"), keys, ["i"]).count() == 0
+
+
+def test_ten_thousand_replicates(spark):
+    rows = [(f"u{i % 12}", float(i % 7), float(i * i % 11)) for i in range(200)]
+    sums = statistics.cluster_sums(spark.createDataFrame(rows, "u string, x double, y double"), "u", "x", "y")
+    r = statistics.bootstrap_replicates(sums, 10_000)
+    assert r.count() == 10_000 and r.where("r between -1 and 1").count() == 10_000
