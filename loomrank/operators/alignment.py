@@ -1,27 +1,143 @@
-"""Global alignment of two short sequences."""
+"""Global alignment of many pairs of sequences at once, in numpy.
+
+Scores, matches and columns are packed in one integer, so that a maximum is the best
+score, of those the most matches, of those the fewest columns.  A row of the table is
+worked out for all pairs and columns together: what a run of gaps along the row
+brings is a running maximum.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 
+_K = 1 << 20
+_LOW = -(1 << 62)
+#: cells of a table held at once
+CELLS = 1 << 21
+
+
+def _codes(seqs: Sequence[str], width: int) -> np.ndarray:
+    out = np.zeros((len(seqs), width), np.uint32)
+    for i, s in enumerate(seqs):
+        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _chunks(a: Sequence[str], b: Sequence[str], layers: int) -> Iterator[list[int]]:
+    """Pairs of like size, so many that their tables stay below ``CELLS``."""
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i])))
+    part: list[int] = []
+    wide = 0
+    for i in order:
+        size = (max(wide, len(b[i])) + 1) * ((len(a[i]) + 1) if layers > 1 else 1) * layers
+        if part and size * (len(part) + 1) > CELLS:
+            yield part
+            part, wide = [], 0
+        part.append(i)
+        wide = max(wide, len(b[i]))
+    if part:
+        yield part
+
+
+def global_identities(a: Sequence[str | None], b: Sequence[str | None], match: int = 2, mismatch: int = -1, gap: int = -2) -> list[float | None]:
+    """Matches over columns of a best alignment with linear gaps; of best ones that with most matches, then fewest columns.
+
+    None where a side is missing or both are empty.
+    """
+    out: list[float | None] = [None] * len(a)
+    some = [i for i in range(len(a)) if a[i] is not None and b[i] is not None and (a[i] or b[i])]
+    one = gap * _K * _K - 1  # a gap: its score, no match, one column
+    for part in _chunks([a[i] for i in some], [b[i] for i in some], 1):
+        rows = [some[p] for p in part]
+        n, m = (np.array([len(s[i]) for i in rows]) for s in (a, b))
+        x, y = _codes([a[i] for i in rows], n.max()), _codes([b[i] for i in rows], m.max())
+        steps = one * np.arange(m.max() + 1, dtype=np.int64)
+        row = np.repeat(steps[None], len(rows), 0)
+        best = row[np.arange(len(rows)), m].copy()
+        for i in range(1, n.max() + 1):
+            same = x[:, i - 1 : i] == y
+            new = row + one
+            new[:, 1:] = np.maximum(new[:, 1:], row[:, :-1] + np.where(same, match * _K * _K + _K - 1, mismatch * _K * _K - 1))
+            row = np.maximum.accumulate(new - steps, 1) + steps
+            ended = n == i
+            best[ended] = row[np.flatnonzero(ended), m[ended]]
+        columns = -best % _K
+        matches = (best + columns) // _K % _K
+        for i, k, c in zip(rows, matches.tolist(), columns.tolist(), strict=True):
+            out[i] = k / c
+    return out
+
 
 def global_identity(a: str | None, b: str | None, match: int = 2, mismatch: int = -1, gap: int = -2) -> float | None:
-    """Matches over columns of a best alignment; among best ones the one with most matches, then fewest columns."""
-    if a is None or b is None:
-        return None
-    n, m = len(a), len(b)
-    if not n and not m:
-        return None
-    # cells are (score, matches, -columns): tuples compare in that order
-    row = [(gap * j, 0, -j) for j in range(m + 1)]
-    for i in range(1, n + 1):
-        last, row = row, [(gap * i, 0, -i)]
-        for j in range(1, m + 1):
-            same = a[i - 1] == b[j - 1]
-            s, k, c = last[j - 1]
-            best = (s + (match if same else mismatch), k + same, c - 1)
-            for s, k, c in (last[j], row[j - 1]):
-                best = max(best, (s + gap, k, c - 1))
-            row.append(best)
-    _, matches, columns = row[m]
-    return float(np.float64(matches) / -columns)
+    return global_identities([a], [b], match, mismatch, gap)[0]
+
+
+def fit_targets(chains: Sequence[str], targets: Sequence[str], match: float = 2, mismatch: float = -1, opening: float = -2, extending: float = -0.5, places: bool = False) -> list[tuple]:
+    """Whole targets in chains, with affine gaps: ``(score, matches[, matched])``.
+
+    Residues of the chain before and behind the target cost nothing; a gap costs
+    ``opening`` for its first place and ``extending`` for each further one.  Of
+    alignments of the best score one of most matches is taken; ``matched`` lists
+    the target's places (from 0) that meet an equal residue in it.
+    """
+    half = 2 * _K  # scores are multiples of one half
+    hit, miss, first, more = (int(v * half) for v in (match, mismatch, opening, extending))
+    hit += 1
+    out: list[tuple] = [()] * len(chains)
+    for part in _chunks(chains, targets, 3 if places else 1):
+        n, m = (np.array([len(s[i]) for i in part]) for s in (chains, targets))
+        x, y = _codes([chains[i] for i in part], n.max()), _codes([targets[i] for i in part], m.max())
+        steps = more * np.arange(m.max() + 1, dtype=np.int64)
+        shape = (len(part), m.max() + 1)
+
+        def along(start: np.ndarray) -> np.ndarray:
+            """Best ending in a run of target residues without a partner."""
+            run = np.full(shape, _LOW, np.int64)
+            run[:, 1:] = np.maximum.accumulate(start - steps, 1)[:, :-1] + steps[:-1] + first
+            return run
+
+        pair, down = np.full(shape, _LOW, np.int64), np.full(shape, _LOW, np.int64)
+        pair[:, 0] = 0
+        side = along(pair)
+        table = [(pair, down, side)]
+        best = np.maximum(pair, side)[np.arange(len(part)), m]
+        where = np.zeros(len(part), np.int64)
+        for i in range(1, n.max() + 1):
+            any_ = np.maximum(np.maximum(pair, down), side)
+            new_down = np.maximum(np.maximum(pair, side) + first, down + more)
+            new_pair = np.full(shape, _LOW, np.int64)
+            new_pair[:, 1:] = any_[:, :-1] + np.where(x[:, i - 1 : i] == y, hit, miss)
+            new_pair[:, 0] = 0  # the target may begin here
+            pair, down = new_pair, new_down
+            side = along(np.maximum(pair, down))
+            end = np.maximum(pair, side)[np.arange(len(part)), m]
+            better = (i <= n) & (end > best)
+            best, where = np.where(better, end, best), np.where(better, i, where)
+            if places:
+                table.append((pair, down, side))
+        score = np.floor_divide(best, _K)  # in halves
+        for k, p in enumerate(part):
+            found = (float(score[k]) / 2, int(best[k] - score[k] * _K))
+            out[p] = (*found, _trace(table, k, int(where[k]), int(m[k]), chains[p], targets[p], first, more)) if places else found
+    return out
+
+
+def _trace(table: list, k: int, i: int, j: int, chain: str, target: str, first: int, more: int) -> list[int]:
+    """Places of the target that meet an equal residue, along one best path that ends at (i, j)."""
+    at = 0 if table[i][0][k, j] >= table[i][2][k, j] else 2
+    matched = []
+    while j:
+        if at == 0:
+            if chain[i - 1] == target[j - 1]:
+                matched.append(j - 1)
+            i, j = i - 1, j - 1
+            at = int(np.argmax([table[i][s][k, j] for s in range(3)]))
+        elif at == 1:
+            back = [table[i - 1][0][k, j] + first, table[i - 1][1][k, j] + more, table[i - 1][2][k, j] + first]
+            i, at = i - 1, int(np.argmax(back))
+        else:
+            back = [table[i][0][k, j - 1] + first, table[i][1][k, j - 1] + first, table[i][2][k, j - 1] + more]
+            j, at = j - 1, int(np.argmax(back))
+    return matched[::-1]

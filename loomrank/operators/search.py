@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import windows
-from .alignment import global_identity
+from .alignment import global_identities
 from .spread import cut as _cut
 
 
@@ -51,7 +51,7 @@ def greedy_clusters(seqs: DataFrame, identity: float = 0.9, k: int = 3, max_roun
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near = [(global_identity(x, y) or 0) >= identity for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            near = [(v or 0) >= identity for v in global_identities(pdf["x"].tolist(), pdf["y"].tolist())]
             yield pdf.loc[near, ["a", "b"]]
 
     near = _cut(pairs.mapInPandas(run, "a long, b long"))

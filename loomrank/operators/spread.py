@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch
+from ..session import scratch
 
 _HOW = {"sum": F.sum, "min": F.min, "max": F.max}
 

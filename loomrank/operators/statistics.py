@@ -128,6 +128,31 @@ def correlation_p(r: str, n: Column) -> Column:
     return run(r, n)
 
 
+def t_quantile(freedom: Column, share: float = 0.975) -> Column:
+    """Student quantile of result rows, by bisection on the two-sided tail; NULL without degrees of freedom."""
+
+    def tail(t: float, v: float) -> float:
+        # the tail of t is that of the correlation which gives it
+        return t_two_sided(t / math.sqrt(v + t * t), v + 2)
+
+    def one(v: float | None) -> float | None:
+        if v is None or math.isnan(v) or v <= 0:
+            return None
+        low, high = 0.0, 1.0
+        while tail(high, v) > 2 * (1 - share):
+            high *= 2
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if tail(mid, v) > 2 * (1 - share) else (low, mid)
+        return high
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in v], dtype="float64")
+
+    return run(freedom.cast("double"))
+
+
 def normal_two_sided(z: Column) -> Column:
     @F.pandas_udf("double")
     def run(z: pd.Series) -> pd.Series:

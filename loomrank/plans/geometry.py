@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import geometry as G
-from ..operators.alignment import global_identity
+from ..operators.alignment import global_identities
 from .base import query
 
 PTS = "p AS (SELECT vec_id, i, list_slice(embedding::DOUBLE[], i * 3 + 1, i * 3 + 3) AS p FROM embeddings, (SELECT unnest(range(21)) AS i))"
@@ -134,7 +134,7 @@ def g11(t):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "identity": [global_identity(a, b) for a, b in zip(pdf["a"], pdf["b"], strict=True)]})
+            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "identity": global_identities(pdf["a"].tolist(), pdf["b"].tolist())})
 
     return pairs.mapInPandas(run, "p_partkey long, identity double")
 

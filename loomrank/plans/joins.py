@@ -15,14 +15,14 @@ def _vectors(t):
 
 @query(
     "j1_region_join",
-    """WITH q AS (SELECT label, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id < 10 AND vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+    """WITH q AS (SELECT label, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
        s AS (SELECT e.vec_id, e.label, e.embedding::DOUBLE[] AS v, q.d FROM embeddings e JOIN q USING (label))
        SELECT vec_id, round(list_distance(v, d), 9) AS d_all, round(list_distance(list_slice(v, 1, 21), list_slice(d, 1, 21)), 9) AS d_1,
               round(list_distance(list_slice(v, 22, 42), list_slice(d, 22, 42)), 9) AS d_2, round(list_distance(list_slice(v, 44, 64), list_slice(d, 44, 64)), 9) AS d_3 FROM s""",
 )
 def j1(t):
     e = _vectors(t)
-    donors = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("q")).where("q.vec_id < 10").select("label", F.col("q.v").alias("d"))
+    donors = e.groupBy("label").agg(F.min_by(F.struct("vec_id", "v"), "vec_id").alias("q")).select("label", F.col("q.v").alias("d"))
     both = e.join(donors, "label")
     parts = [(F.col("v"), F.col("d")), *zip(V.blocks(F.col("v"), 64), V.blocks(F.col("d"), 64), strict=True)]
     return both.select("vec_id", *[F.round(V.euclidean(a, b), 9).alias(n) for n, (a, b) in zip(["d_all", "d_1", "d_2", "d_3"], parts, strict=True)])
@@ -82,7 +82,7 @@ def j8(t):
 @query("j9_grid", "SELECT a.n_name AS donor, b.n_name AS carrier FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey")
 def j9(t):
     n = t.nation.select("n_nationkey", "n_name")
-    return n.alias("a").join(F.broadcast(n.alias("b")), F.expr("a.n_nationkey <> b.n_nationkey")).select(F.col("a.n_name").alias("donor"), F.col("b.n_name").alias("carrier"))
+    return n.alias("a").join(n.alias("b"), F.expr("a.n_nationkey <> b.n_nationkey")).select(F.col("a.n_name").alias("donor"), F.col("b.n_name").alias("carrier"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import tables as T
-from ..operators.alignment import global_identity
+from ..operators.alignment import fit_targets
 from ..operators.search import greedy_clusters, kmer_hits
 from .base import query
 
@@ -63,12 +63,27 @@ def m6(t):
 
 @query("m7_best_chain")
 def m7(t):
-    """Each supplier name against the names of its nation's customers: the best aligned one and its identity."""
-    pairs = t.supplier.select("s_suppkey", "s_name", F.col("s_nationkey").alias("n")).join(t.customer.select("c_custkey", "c_name", F.col("c_nationkey").alias("n")), "n")
+    """Each supplier name as a target, the names of its nation's customers as chains: the best chain and how the target lies in it.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only scores are worked out for all pairs; the places are traced for the best chain.
+    """
+    targets = t.supplier.select("s_suppkey", F.upper(F.regexp_replace("s_name", r"\s", "")).alias("target"), F.col("s_nationkey").alias("n")).where("target <> ''")
+    chains = t.customer.select("c_custkey", F.upper("c_name").alias("chain"), F.col("c_nationkey").alias("n"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[["s_suppkey", "c_custkey"]].assign(identity=[global_identity(a, b) for a, b in zip(pdf["s_name"], pdf["c_name"], strict=True)])
+            found = fit_targets(pdf["chain"].tolist(), pdf["target"].tolist())
+            yield pdf[["s_suppkey", "c_custkey"]].assign(score=[f[0] for f in found], matches=[f[1] for f in found])
 
-    scored = pairs.select("s_suppkey", "c_custkey", "s_name", "c_name").mapInPandas(run, "s_suppkey long, c_custkey long, identity double")
-    return scored.groupBy("s_suppkey").agg(F.max_by("c_custkey", F.struct("identity", -F.col("c_custkey"))).alias("c_custkey"), F.max("identity").alias("identity"))
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = fit_targets(pdf["chain"].tolist(), pdf["target"].tolist(), places=True)
+            lost = [[f"{i + 1}:{c}" for i, c in enumerate(s) if i not in set(f[2])] for s, f in zip(pdf["target"], found, strict=True)]
+            out = pdf[["s_suppkey", "c_custkey"]].assign(score=[f[0] for f in found], matches=[f[1] for f in found])
+            yield out.assign(missing=[len(x) for x in lost], identity=[f[1] / len(s) for f, s in zip(found, pdf["target"], strict=True)], missing_positions=[",".join(x) for x in lost])
+
+    pairs = targets.join(chains, "n").select("s_suppkey", "c_custkey", "target", "chain")
+    scored = pairs.mapInPandas(score, "s_suppkey long, c_custkey long, score double, matches long")
+    best = scored.groupBy("s_suppkey").agg(F.max_by("c_custkey", F.struct("score", "matches", -F.col("c_custkey"))).alias("c_custkey"))
+    named = best.join(targets, "s_suppkey").join(chains.select("c_custkey", "chain"), "c_custkey").select("s_suppkey", "c_custkey", "target", "chain")
+    return named.mapInPandas(place, "s_suppkey long, c_custkey long, score double, matches long, missing long, identity double, missing_positions string")

@@ -93,10 +93,13 @@ def f12(t):
     return wide.select("l_orderkey", *[F.coalesce(F.col(f"`{i}`"), F.lit("-")).alias(f"p{i}") for i in range(1, 8)])
 
 
-@query("f13_one_letter", "SELECT p_partkey, code, CASE code WHEN 'MET' THEN 'M' WHEN 'PRO' THEN 'P' WHEN 'SER' THEN 'S' WHEN 'THR' THEN 'T' ELSE 'X' END AS aa FROM (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'MET' WHEN 1 THEN 'PRO' WHEN 2 THEN 'SER' WHEN 3 THEN 'THR' ELSE 'UNK' END AS code FROM part)")
+_CODES = ["MET", "PRO", "SEC", "THR", "UNK", "PYL", "SAR"]
+
+
+@query("f13_one_letter", f"SELECT p_partkey, code, ['M', 'P', 'U', 'T', 'X', 'O', 'G'][p_size % 7 + 1] AS aa FROM (SELECT p_partkey, p_size, {_CODES}[p_size % 7 + 1] AS code FROM part)")
 def f13(t):
-    code = F.expr("CASE p_size % 5 WHEN 0 THEN 'MET' WHEN 1 THEN 'PRO' WHEN 2 THEN 'SER' WHEN 3 THEN 'THR' ELSE 'UNK' END")
-    return t.part.select("p_partkey", code.alias("code")).withColumn("aa", F.coalesce(F.try_element_at(X.literal_map(X.ONE_LETTER), F.col("code")), F.lit("X")))
+    code = F.element_at(F.array(*[F.lit(c) for c in _CODES]), F.col("p_size") % 7 + 1)
+    return t.part.select("p_partkey", code.alias("code")).withColumn("aa", X.one_letter(F.col("code")))
 
 
 @query(
@@ -106,7 +109,7 @@ def f13(t):
 def f14(t):
     """Full symmetric matrix of a fixed dimension: all pairs are its stated result."""
     s = t.supplier.select("s_name")
-    both = s.select(F.col("s_name").alias("a")).join(F.broadcast(s.select(F.col("s_name").alias("b"))), F.lit(True))
+    both = s.select(F.col("s_name").alias("a")).join(s.select(F.col("s_name").alias("b")), F.lit(True))
     unequal = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & (x == y), 0).otherwise(1))
     return both.select("a", "b", F.aggregate(unequal, F.lit(0), lambda n, x: n + x).cast("long").alias("d"))
 
@@ -122,7 +125,7 @@ _HYDRO = "map {" + ", ".join(f"'{k}': {v}" for k, v in X.HYDROPATHY.items()) + "
 
 @query(
     "f16_hydropathy",
-    f"WITH c AS (SELECT p_partkey, unnest(string_split(p_type, '')) AS c FROM part), m AS (SELECT {_HYDRO} AS m) SELECT p_partkey, round(avg(m[c]), 9) AS h FROM c, m GROUP BY 1",
+    f"WITH c AS (SELECT p_partkey, unnest(string_split(p_type, '')) AS c FROM part), m AS (SELECT {_HYDRO} AS m) SELECT p_partkey, round(avg(coalesce(m[c], 0)), 9) AS h FROM c, m GROUP BY 1",
 )
 def f16(t):
     return t.part.select("p_partkey", F.round(X.mean_hydropathy("p_type"), 9).alias("h"))
@@ -136,9 +139,27 @@ def f17(t):
     return t.part.select("p_partkey", F.round(X.hydrophobic_moment("p_type"), 6).alias("moment"))
 
 
-@query("f18_charge")
+def _charge_sql(ph):
+    """Net charge of the sequence s at a pH, as SQL."""
+
+    def end(residue, special, usual):
+        return f"CASE {residue} " + " ".join(f"WHEN '{c}' THEN {pk}" for c, pk in special.items()) + f" ELSE {usual} END"
+
+    def side(pks, sign):
+        return " + ".join(f"(length(s) - length(replace(s, '{c}', ''))) / (1 + pow(10.0::DOUBLE, {sign} * ({ph} - {pk})))" for c, pk in pks.items())
+
+    plus = f"1 / (1 + pow(10.0::DOUBLE, {ph} - {end('left(s, 1)', X.PK_N_TERM_OF, X.PK_N_TERM)})) + {side(X.PK_POSITIVE, 1)}"
+    return f"({plus} - (1 / (1 + pow(10.0::DOUBLE, {end('right(s, 1)', X.PK_C_TERM_OF, X.PK_C_TERM)} - {ph})) + {side(X.PK_NEGATIVE, -1)}))"
+
+
+@query(
+    "f18_charge",
+    f"""WITH RECURSIVE p AS (SELECT p_partkey, upper(p_type) AS s FROM part), h AS (SELECT p_partkey, s, 4.05::DOUBLE AS lo, 12.0::DOUBLE AS hi, 7.775::DOUBLE AS ph, 0 AS i FROM p
+        UNION ALL SELECT p_partkey, s, lo, hi, (lo + hi) / 2, i FROM (SELECT p_partkey, s, CASE WHEN {_charge_sql('ph')} > 0 THEN ph ELSE lo END AS lo, CASE WHEN {_charge_sql('ph')} > 0 THEN hi ELSE ph END AS hi, i + 1 AS i FROM h WHERE hi - lo > 1e-4))
+        SELECT p_partkey, round({_charge_sql('7.4::DOUBLE')}, 9) AS charge, round(ph, 6) AS pi FROM h WHERE hi - lo <= 1e-4""",
+)
 def f18(t):
-    return t.part.select("p_partkey", X.net_charge("p_type", F.lit(7.0)).alias("charge"), X.isoelectric_point("p_type").alias("pi"))
+    return t.part.select("p_partkey", F.round(X.net_charge("p_type", F.lit(7.4)), 9).alias("charge"), F.round(X.isoelectric_point("p_type"), 6).alias("pi"))
 
 
 @query("f19_hit_identity", "WITH h AS (SELECT user_id AS q, event_id AS target, CAST(json_extract_string(props, '$.k') AS BIGINT) AS nident FROM events), l AS (SELECT q, max(nident) + 20 AS len FROM h GROUP BY 1) SELECT q, target, round_even(sqrt(nident / len::DOUBLE), 3) AS identity FROM h JOIN l USING (q)")
@@ -165,32 +186,26 @@ def f22(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns").alias("stars"))
 
 
-STOP = ["and", "of", "the", "to", "in", "for", "with", "a", "is", "by"]
-_KW = "list_filter(regexp_extract_all(regexp_replace(lower(replace(text, '-', ' ')), '[^a-z\\s]', '', 'g'), '[a-z]+'), lambda w: length(w) > 1 AND NOT list_contains(['and','of','the','to','in','for','with','a','is','by'], w))"
-
-
-def keywords(text):
-    plain = F.regexp_replace(F.lower(F.replace(text, F.lit("-"), F.lit(" "))), r"[^a-z\s]", "")
-    words = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP))
+# words of an element, then its pairs; _TERMS gives the kept terms of a document
+_WORDS = "regexp_extract_all(lower(regexp_replace(replace(e, '-', ' '), '[!-/:-@\\[-`{-~]', '', 'g')), '[^\\x20\\x09-\\x0D]+')"
+_TERMS = f"list_filter(flatten(list_transform(list_transform(string_split(text, ', '), lambda e: {_WORDS}), lambda w: list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))), lambda x: length(x) > 1 AND NOT list_contains({X.EXCLUDED_TERMS}, x))"
 
 
-@query("f23_keywords", f"WITH k AS (SELECT doc_id, {_KW} AS k FROM documents) SELECT doc_id, len(k) AS n_words, len(list_distinct(k)) AS n_distinct, greatest(len(k) - 1, 0) AS n_bigrams FROM k")
+@query("f23_keywords", f"SELECT doc_id, k AS terms, len(k) AS n_terms, len(list_distinct(k)) AS n_distinct FROM (SELECT doc_id, {_TERMS} AS k FROM documents)")
 def f23(t):
-    k = t.documents.select("doc_id", keywords(F.col("text")).alias("k"))
-    pairs = F.zip_with(F.slice("k", 1, F.greatest(F.size("k") - 1, F.lit(0))), F.slice("k", 2, F.greatest(F.size("k") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return k.select("doc_id", F.size("k").cast("long").alias("n_words"), F.size(F.array_distinct("k")).cast("long").alias("n_distinct"), F.size(pairs).cast("long").alias("n_bigrams"))
+    k = t.documents.select("doc_id", X.keywords(F.col("text")).alias("terms"))
+    return k.select("doc_id", "terms", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"))
 
 
 @query(
     "f24_tfidf",
-    f"""WITH t AS (SELECT doc_id, unnest({_KW}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    f"""WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
         i AS (SELECT term, ln((SELECT count(*) FROM documents) / count(*)::DOUBLE) + 1 AS idf FROM c GROUP BY 1 HAVING count(*) >= 2),
         w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN i USING (term)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
         SELECT doc_id, term, round(w / n, 6) AS w FROM w JOIN n USING (doc_id)""",
 )
 def f24(t):
-    terms = t.documents.select("doc_id", F.explode(keywords(F.col("text"))).alias("term"))
+    terms = t.documents.select("doc_id", F.explode(X.keywords(F.col("text"))).alias("term"))
     c = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     n = t.documents.agg(F.count("*").alias("n"))
     idf = c.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tables as T
 from .base import query
 
 
-@query("u1_tagged_union", "SELECT 'click' AS class, event_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT 'view', event_id, value FROM events WHERE event_type = 'view'")
+@query("u1_tagged_union", "SELECT event_type AS class, event_id, value FROM events WHERE event_type IS NOT NULL")
 def u1(t):
-    one, two = (t.events.where(F.col("event_type") == k).select(F.lit(k).alias("class"), "event_id", "value") for k in ("click", "view"))
-    return one.unionByName(two)
+    """The tables of all classes, each tagged with its class, stacked."""
+    classes = ("click", "error", "purchase", "signup", "view")
+    known = [t.events.where(F.col("event_type") == k).select(F.lit(k).alias("class"), "event_id", "value") for k in classes]
+    rest = t.events.where(~F.col("event_type").isin(*classes)).select(F.col("event_type").alias("class"), "event_id", "value")
+    return reduce(DataFrame.unionByName, [*known, rest])
 
 
 @query(

@@ -58,10 +58,9 @@ def s6(t):
     return one.select(R.fasta_text("p_brand", "p_name").alias("value"))
 
 
-@query("s7_fasta_wrap", "SELECT doc_id, length(text) + greatest(0, ceil(length(text) / 60.0) - 1)::BIGINT AS n FROM documents WHERE NOT contains(text, chr(10))")
+@query("s7_fasta_wrap", "SELECT doc_id, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda l: length(l) + greatest(0, ceil(length(l) / 60.0) - 1) + 1)) - 1 AS BIGINT) AS n FROM documents")
 def s7(t):
-    d = t.documents.where(~F.contains("text", F.lit("\n")))
-    return d.select("doc_id", F.length(F.regexp_replace("text", "(.{60})(?=.)", "$1\n")).cast("long").alias("n"))
+    return t.documents.select("doc_id", F.length(F.regexp_replace("text", "([^\n]{60})(?=[^\n])", "$1\n")).cast("long").alias("n"))
 
 
 def _pdb_lines(t):
@@ -70,15 +69,19 @@ def _pdb_lines(t):
     from .geometry import points
 
     lines = points(t).select("vec_id", "i", atom.alias("l")).groupBy("vec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "l"))), lambda s: s["l"]), "\n").alias("a"))
-    return lines.select(F.col("vec_id").cast("string").alias("path"), F.concat(F.lit("MODEL 1\n"), "a", F.lit("\nENDMDL\nMODEL 2\n"), "a", F.lit("\nENDMDL\n")).alias("text"))
+    return lines.select(F.col("vec_id").cast("string").alias("path"), F.concat(F.lit("MODEL 1\n"), "a", F.lit("\nHETATM   99  O   HOH A  99       1.000   2.000   3.000  1.00\nENDMDL\nMODEL 2\n"), "a", F.lit("\nENDMDL\n")).alias("text"))
 
 
-@query("s8_pdb_atoms")
+_AT = ", ".join(f"round(embedding[i * 3 + {k + 1}]::DOUBLE * 100, 3) AS {c}" for k, c in enumerate("xyz"))
+_GRID = "FROM embeddings, (SELECT unnest(range(21)) AS i)"
+
+
+@query("s8_pdb_atoms", f"SELECT vec_id::VARCHAR AS path, 'A' AS chain, (i + 1)::INTEGER AS resseq, 'CA' AS atom, ['ALA', 'GLY', 'SER', 'THR'][i % 4 + 1] AS resname, {_AT}, 1.0::DOUBLE AS occ, false AS name_conflict {_GRID}")
 def s8(t):
     return R.parse_pdb(_pdb_lines(t)).select("path", "chain", "resseq", "atom", "resname", "x", "y", "z", "occ", "name_conflict")
 
 
-@query("s9_mmcif_atoms")
+@query("s9_mmcif_atoms", f"SELECT vec_id::VARCHAR AS path, 'A' AS chain, (i + 1)::INTEGER AS resseq, 'GLY' AS resname, {_AT} {_GRID}")
 def s9(t):
     from .geometry import points
 
@@ -111,7 +114,7 @@ def s12(t):
     return sim.unionByName(t.events.select(F.lit("alignment").alias("part"), "event_id", F.get_json_object("props", "$.k").cast("double").alias("v")))
 
 
-@query("s13_traces")
+@query("s13_traces", "SELECT l_orderkey, CAST(printf('%.9f', l_orderkey * 1e-9::DOUBLE) AS DOUBLE) * 1e9::DOUBLE AS nanomolar, l_linenumber::DOUBLE AS time, l_quantity::DOUBLE AS signal FROM lineitem")
 def s13(t):
     """Instrument files: concentration on line 2, header on line 5, molar to nanomolar."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: F.concat_ws("\t", s["l_linenumber"].cast("string"), s["l_quantity"].cast("string"))), "\n")
@@ -166,11 +169,13 @@ def s19(t):
     return t.spark.read.schema("l_orderkey long, l_linenumber int, value double, stage string").parquet(path)
 
 
-@query("s20_publish", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+@query("s20_publish", "SELECT 'result' AS part, event_type AS status, count(*) AS n FROM events WHERE value IS NOT NULL AND value <= 20 GROUP BY 2 UNION ALL SELECT 'qc', event_type, count(*) FROM events WHERE NOT coalesce(value <= 20, false) GROUP BY 2")
 def s20(t):
-    path = R.scratch(t.spark, "published")
-    t.events.select("event_id", F.col("event_type").alias("status")).write.mode("overwrite").parquet(path)
-    return t.spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"))
+    """Rows that pass and a side table of those that do not, published together or not at all."""
+    e = t.events.select("event_id", F.col("event_type").alias("status"), F.coalesce(F.col("value") <= 20, F.lit(False)).alias("good"))
+    path = R.publish(t.spark, R.scratch(t.spark, "published"), {"result": e.where("good").drop("good"), "qc": e.where("not good").drop("good")})
+    read = [R.read_published(t.spark, path, p).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(p).alias("part"), "status", "n") for p in ("result", "qc")]
+    return read[0].unionByName(read[1])
 
 
 @query("s21_directory", "SELECT o_orderpriority AS file, o_orderkey, o_totalprice * 2 AS doubled FROM orders")
@@ -180,7 +185,7 @@ def s21(t):
     return t.spark.read.parquet(path).select(F.col("file").cast("string").alias("file"), "o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"))
 
 
-@query("s22_harvest")
+@query("s22_harvest", "SELECT 'task_' || page_id AS task, 'task_' || page_id || '/model_0.cif' AS structure, CASE WHEN page_id % 7 <> 0 THEN 'task_' || page_id || '/confidence_0.json' END AS confidence, page_id % 7 = 0 AS missing FROM pages")
 def s22(t):
     """Structure and confidence files of each task, joined by folder; missing ones are reported."""
     names = t.pages.select(F.explode(F.array(F.format_string("task_%d/model_0.cif", "page_id"), F.when(F.col("page_id") % 7 != 0, F.format_string("task_%d/confidence_0.json", "page_id")))).alias("path")).where("path is not null")
@@ -193,7 +198,7 @@ def s22(t):
 @query("s23_sequence_from_atoms", "SELECT vec_id::VARCHAR AS id, string_agg(CASE i % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'G' WHEN 2 THEN 'S' ELSE 'T' END, '' ORDER BY i) AS seq FROM embeddings, (SELECT unnest(range(21)) AS i) GROUP BY 1")
 def s23(t):
     atoms = R.parse_pdb(_pdb_lines(t)).select("path", "chain", "resseq", "icode", "resname").distinct()
-    aa = F.coalesce(F.try_element_at(X.literal_map(X.ONE_LETTER), F.col("resname")), F.lit("X"))
+    aa = X.one_letter(F.col("resname"))
     g = atoms.groupBy(F.col("path").alias("id")).agg(F.array_sort(F.collect_list(F.struct("chain", "resseq", "icode", aa.alias("aa")))).alias("r"))
     return g.select("id", F.array_join(F.transform("r", lambda s: s["aa"]), "").alias("seq"))
 

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import require_columns
+from ..session import scratch  # noqa: F401
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: in ``spark.checkpoint.dir``, else a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/loomrank-{uuid.uuid4().hex}/{name}"
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> str:
+    """Write several tables as one version below ``path``; they become visible together.
+
+    Each goes to a new folder of the version first; the version counts once its marker
+    is in place, which is written last. Readers of an earlier version keep its files.
+    """
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("append").json(f"{path}/versions")
+    return path
+
+
+def read_published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the latest version whose marker was committed."""
+    marks = spark.read.schema("version string, tables array<string>").json(f"{path}/versions").select("version", "_metadata.file_modification_time")
+    last = marks.orderBy(F.desc("file_modification_time"), "version").first()
+    return spark.read.parquet(f"{path}/{last['version']}/{name}")
 
 
 def write_tsv(df: DataFrame, path: str) -> str:
@@ -72,10 +86,10 @@ def read_tasks(spark: SparkSession, root: str, schema: str, key: str = "donor")
 
 
 def parse_pdb(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """ATOM records of the first model; of alternate locations blank wins, then A, then occupancy, then line."""
+    """ATOM records, not HETATM, of the first model; of alternate locations blank wins, then A, then occupancy, then line."""
     lines = files.select(path, F.posexplode(F.split(text, "\r?\n")).alias("line", "l"))
     model_end = lines.where("l like 'ENDMDL%'").groupBy(path).agg(F.min("line").alias("stop"))
-    at = lines.where("l like 'ATOM  %' or l like 'HETATM%'").join(model_end, path, "left").where("stop is null or line < stop")
+    at = lines.where("l like 'ATOM  %'").join(model_end, path, "left").where("stop is null or line < stop")
 
     def f(a, b):
         return F.trim(F.substring("l", a, b - a + 1))

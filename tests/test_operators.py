@@ -1,16 +1,25 @@
 """Invariants and cross-checks of operators that SQL does not cover."""
 
 import hashlib
+import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from loomrank import plans
 
 from loomrank.operators import geometry, spread, statistics, tables
-from loomrank.operators.alignment import global_identity
+from loomrank.functions import text as X
+from loomrank.operators.alignment import fit_targets, global_identities, global_identity
 from loomrank.operators.search import greedy_clusters
 from loomrank.plans.statistics import crossed_bootstrap
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_fit_recovers_a_rotation_and_never_mirrors(spark):
     rng = np.random.default_rng(1)
     p = rng.normal(size=(12, 3)) + 100
@@ -143,3 +152,162 @@ def test_ten_thousand_replicates(spark):
     sums = statistics.cluster_sums(spark.createDataFrame(rows, "u string, x double, y double"), "u", "x", "y")
     r = statistics.bootstrap_replicates(sums, 10_000)
     assert r.count() == 10_000 and r.where("r between -1 and 1").count() == 10_000
+
+
+def plain_fit(chain, target):
+    """All alignments, by recursion: the best (score, matches)."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def go(i, j, last):
+        if j == len(target):
+            return (0.0, 0)  # the rest of the chain is free
+        found = []
+        if i < len(chain):
+            s, k = go(i + 1, j + 1, "pair")
+            same = chain[i] == target[j]
+            found.append((s + (2 if same else -1), k + same))
+            s, k = go(i + 1, j, "start" if last == "start" else "down")
+            found.append((s + (0 if last == "start" else -0.5 if last == "down" else -2), k))
+        s, k = go(i, j + 1, "side")
+        found.append((s + (-0.5 if last == "side" else -2), k))
+        return max(found)
+
+    return go(0, 0, "start")
+
+
+def test_targets_in_chains_match_a_plain_search():
+    rng = np.random.default_rng(5)
+    chains = ["".join(rng.choice(list("ABC"), rng.integers(0, 9))) for _ in range(200)]
+    targets = ["".join(rng.choice(list("ABC"), rng.integers(1, 7))) for _ in range(200)]
+    got = fit_targets(chains, targets, places=True)
+    assert [g[:2] for g in got] == [plain_fit(c, s) for c, s in zip(chains, targets)]
+    assert all(len(g[2]) == g[1] and g[2] == sorted(set(g[2])) for g in got)
+    assert fit_targets(chains, targets) == [g[:2] for g in got]
+    assert fit_targets(["XXACDEYY"], ["ACDE"], places=True) == [(8.0, 4, [0, 1, 2, 3])]
+    assert fit_targets(["ACDE"], ["ACWWDE"], places=True) == [(5.5, 4, [0, 1, 4, 5])]
+
+
+def test_identities_of_a_batch_match_a_plain_table():
+    def plain(a, b):
+        row = [(-2 * j, 0, -j) for j in range(len(b) + 1)]
+        for i in range(1, len(a) + 1):
+            last, row = row, [(-2 * i, 0, -i)]
+            for j in range(1, len(b) + 1):
+                s, k, c = last[j - 1]
+                same = a[i - 1] == b[j - 1]
+                row.append(max((s + (2 if same else -1), k + same, c - 1), *((s - 2, k, c - 1) for s, k, c in (last[j], row[j - 1]))))
+        return row[-1][1] / -row[-1][2]
+
+    rng = np.random.default_rng(6)
+    a, b = (["".join(rng.choice(list("ABé"), rng.integers(0, 12))) for _ in range(300)] for _ in range(2))
+    want = [plain(x, y) if x or y else None for x, y in zip(a, b)]
+    assert global_identities([*a, None, "A"], [*b, "A", None]) == [*want, None, None]
+
+
+def test_sequence_values_worked_by_hand(spark):
+    df = spark.createDataFrame([("AR",), ("",), ("A?",), (None,), ("K",), ("DE",)], "s string")
+    rows = df.select("s", X.mean_hydropathy("s").alias("h"), X.hydrophobic_moment("s").alias("m"), X.net_charge("s", F.lit(7.0)).alias("c"), X.isoelectric_point("s").alias("pi")).collect()
+    got = {r["s"]: r for r in rows}
+    assert got["AR"]["h"] == pytest.approx((0.62 - 2.53) / 2) and got["A?"]["h"] == pytest.approx(0.31)
+    assert got[""]["h"] == 0 and got[None]["h"] is None and got[""]["m"] == 0
+    turn = np.deg2rad(100)
+    assert got["AR"]["m"] == pytest.approx(np.hypot(0.62 - 2.53 * np.cos(turn), -2.53 * np.sin(turn)) / 2)
+    # lysine: side chain 10.0 and ends 7.5 and 3.55; DE: ends 7.5 and, of E, 4.75
+    assert got["K"]["c"] == pytest.approx(1 / (1 + 10**-0.5) + 1 / (1 + 10**-3.0) - 1 / (1 + 10**-3.45))
+    assert got["DE"]["c"] == pytest.approx(1 / (1 + 10**-0.5) - 1 / (1 + 10**-2.25) - 1 / (1 + 10**-2.95) - 1 / (1 + 10**-2.55))
+    assert got["K"]["pi"] == pytest.approx(8.75, abs=0.01) and got[""]["pi"] is None
+    here = df.select("s", X.net_charge("s", X.isoelectric_point("s")).alias("c")).where("s in ('K', 'DE', 'AR')").collect()
+    assert all(abs(r["c"]) < 1e-3 for r in here if r["s"] != "AR")
+
+
+def test_keywords(spark):
+    df = spark.createDataFrame([("DNA-binding domain, Zn2 (c) n, cellular process x",), (None,), ("",)], "t string")
+    got = [r["k"] for r in df.select(X.keywords(F.col("t")).alias("k")).collect()]
+    assert got == [["dna", "binding", "domain", "dna binding", "zn2", "zn2 c", "c n", "cellular", "process", "process x"], None, []]
+
+
+def test_student_quantiles(spark):
+    df = spark.createDataFrame([(1.0,), (10.0,), (1000.0,), (0.0,), (None,)], "v double")
+    got = [r["t"] for r in df.select(statistics.t_quantile(F.col("v")).alias("t")).collect()]
+    assert got[:3] == [pytest.approx(12.7062, abs=1e-4), pytest.approx(2.22814, abs=1e-5), pytest.approx(1.96234, abs=1e-5)] and got[3:] == [None, None]
+
+
+def points_of(vec):
+    return np.array(vec, float)[:63].reshape(21, 3)
+
+
+def superposed(p, q):
+    a, b = p - p.mean(0), q - q.mean(0)
+    u, _, v = np.linalg.svd(a.T @ b)
+    d = np.sign(np.linalg.det(u @ v))
+    return (u @ np.diag([1, 1, d]) @ v), p.mean(0), q.mean(0)
+
+
+def test_fits_match_numpy(spark):
+    vec = {r["vec_id"]: points_of(r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    tm = {r["vec_id"]: r["tm"] for r in plans.QUERIES["g3_tm_score"](spark, SF).collect()}
+    rmsd = {r["vec_id"]: r["rmsd"] for r in plans.QUERIES["g2_superposed_rmsd"](spark, SF).collect()}
+    region = {(r["vec_id"], r["region"]): r["rmsd"] for r in plans.QUERIES["g13_framework_fit"](spark, SF).collect()}
+    n = 0
+    for i in sorted(vec)[:60]:
+        if i + 1 not in vec:
+            continue
+        p, q = vec[i], vec[i + 1]
+        turn, mp, mq = superposed(p, q)
+        d = np.linalg.norm((p - mp) @ turn - (q - mq), axis=1)
+        d0 = max(0.5, 1.24 * np.cbrt(21 - 15) - 1.8)
+        assert rmsd[i] == pytest.approx(np.sqrt((d**2).mean()), rel=1e-6) and tm[i] == pytest.approx((1 / (1 + (d / d0) ** 2)).mean(), rel=1e-6)
+        place = np.arange(21)
+        one, two = (place >= 5) & (place <= 8), (place >= 13) & (place <= 16)
+        rest = ~one & ~two
+        turn, mp, mq = superposed(p[rest], q[rest])
+        for k, part in ((1, one), (2, two)):
+            d = np.linalg.norm((p[part] - mp) @ turn - (q[part] - mq), axis=1)
+            assert region[i, k] == pytest.approx(np.sqrt((d**2).mean()), rel=1e-6)
+        n += 1
+    assert n > 20
+
+
+def test_hashes_torsions_and_clusters_match_numpy(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    rng = random.Random(1)
+    planes = np.array([[[rng.gauss(0, 1) for _ in range(64)] for _ in range(8)] for _ in range(4)])
+    for r in plans.QUERIES["v10_hyperplane_hash"](spark, SF).collect():
+        sign = planes @ rows[r["vec_id"]] >= 0
+        assert [r[f"token_{t}"] for t in range(4)] == [int(sum(1 << b for b in range(8) if sign[t, b])) for t in range(4)]
+    angles = {(r["vec_id"], r["i"]): r["angle"] for r in plans.QUERIES["w14_torsions"](spark, SF).collect()}
+    for v in sorted(rows)[:40]:
+        p = points_of(rows[v])
+        assert (v, 0) not in angles and (v, 19) not in angles
+        for i in range(1, 19):
+            a, b, c = p[i] - p[i - 1], p[i + 1] - p[i], p[i + 2] - p[i + 1]
+            m, n = np.cross(a, b), np.cross(b, c)
+            want = np.degrees(np.arctan2(np.linalg.norm(b) * (a @ n), m @ n))
+            assert angles[v, i] == pytest.approx(want, abs=1e-6)
+    found = {r["vec_id"]: (r["cluster"], r["distance"]) for r in plans.QUERIES["m4_kmeans"](spark, SF).collect()}
+    assert set(found) == set(rows)
+    for c in {k for k, _ in found.values()}:
+        own = np.stack([rows[i] for i, (k, _) in found.items() if k == c])
+        want = np.linalg.norm(own - own.mean(0), axis=1)
+        assert sorted(d for k, d in found.values() if k == c) == pytest.approx(sorted(want), rel=0.05, abs=0.05)
+
+
+def test_wilcoxon_matches_a_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").collect()
+    mean = {}
+    for r in rows:
+        if r["event_type"] in ("click", "view") and r["value"] is not None:
+            mean.setdefault(r["user_id"], {}).setdefault(r["event_type"], []).append(r["value"])
+    d = np.array([np.mean(m["click"]) - np.mean(m["view"]) for m in mean.values() if len(m) == 2])
+    d = d[d != 0]
+    a = np.abs(d)
+    rank = np.array([(a < x).sum() + ((a == x).sum() + 1) / 2 for x in a])
+    got = plans.QUERIES["t14_wilcoxon"](spark, SF).first().asDict()
+    n = len(d)
+    values = [v for v in got.values() if isinstance(v, (int, float))]
+    plus, minus = rank[d > 0].sum(), rank[d < 0].sum()
+    z = abs(plus - n * (n + 1) / 4) / np.sqrt(n * (n + 1) * (2 * n + 1) / 24 - sum((a == x).sum() ** 2 - 1 for x in a) / 48)
+    p = math.erfc(z / math.sqrt(2))
+    assert any(v == pytest.approx(p, abs=1e-6) for v in values), (got, p)
+    assert any(v == pytest.approx(w) for v in values for w in (plus, minus, min(plus, minus)))
