@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, session_settings, within
+from .common import cut, possibly_in, session_settings, within
 from .graph import components
 from .textops import U, mix
 
@@ -306,11 +306,13 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     wanted = cut(members.select("doc").distinct(), "wanted")
     texts = cut(within(text, "doc", wanted).mapInArrow(_sketches(n, num, den), "doc long, text string, info struct<n:long,sketch:array<long>>"), "texts")
     one, two = (texts.select(F.col("doc").alias(x), F.col("info").alias(f"i{x}")) for x in "ab")
-    left, right = (texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that link: sizes and sketches first, then whole sets."""
         near = cut(pairs.join(one, "a").join(two, "b").where(_possible(num, den, "ia", "ib")).select("a", "b"), f"near-{name}")
+        ids = near.select(F.explode(F.array("a", "b")).alias("doc"))
+        some = possibly_in(texts.select("doc", "text"), "doc", ids).where("possibly")  # the rest need not be shuffled
+        left, right = (some.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return cut(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(n, num, den), "a long, b long"), name)
 
     low = members.groupBy("block").agg(F.min("doc").alias("low"))
