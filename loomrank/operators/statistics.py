@@ -38,10 +38,11 @@ def draw(replicate: Column, item: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"), n)
 
 
-def cluster_sums(df: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
-    """Six sufficient sums of a correlation per cluster, clusters numbered from 0 by name."""
-    s = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    return spread.number_rows(s, [], [cluster], "c").withColumn("c", F.col("c") - 1)
+def cluster_sums(df: DataFrame, cluster: str, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
+    """Six sufficient sums of a correlation per cluster, clusters numbered from 0 by name (within ``keys``)."""
+    keys = keys or []
+    s = df.groupBy(*keys, cluster).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
+    return spread.number_rows(s, keys, [cluster], "c").withColumn("c", F.col("c") - 1)
 
 
 def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
@@ -49,20 +50,33 @@ def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
     return F.try_divide(cov, F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy))
 
 
-def bootstrap_replicates(sums: DataFrame, replicates: int) -> DataFrame:
-    """``b, r``: correlation of each replicate of resampled clusters.
+def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | None = None) -> DataFrame:
+    """``keys, b, r``: correlation of each replicate of resampled clusters, within ``keys``.
 
     Sums are one row per cluster; draws are replicates x clusters rows of one
     number, generated where they are used, never the data rows again.
     """
-    spark = sums.sparkSession
-    n = sums.agg(F.count("*").alias("k"))
-    draws = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-    draws = draws.select("b", draw(F.col("b"), F.col("i"), F.col("k")).alias("c"))
-    g = draws.join(sums, "c").groupBy("b")
+    keys = keys or []
+    n = sums.groupBy(*keys).agg(F.count("*").alias("k"))
+    reps = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    draws = reps.select(*keys, "b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("i"))
+    draws = draws.select(*keys, "b", draw(F.col("b"), F.col("i"), F.col("k")).alias("c"))
+    g = draws.join(sums, [*keys, "c"]).groupBy(*keys, "b")
     cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     tot = g.agg(*[F.sum(c).alias(c) for c in cols])
-    return tot.select("b", from_sums(*[F.col(c) for c in cols]).alias("r"))
+    return tot.select(*keys, "b", from_sums(*[F.col(c) for c in cols]).alias("r"))
+
+
+def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None) -> DataFrame:
+    """``keys, p``: share of replicates, the seen one counted in, whose covariance is as large when clusters change sign."""
+    keys = keys or []
+    m = sums.groupBy(*keys).agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
+    with_means = sums.join(m, keys) if keys else sums.crossJoin(F.broadcast(m))
+    z = with_means.select(*keys, "c", F.expr("sxy - mx * sy - my * sx + n * mx * my").alias("z"))
+    flips = z.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    sign = F.when(draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
+    f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), F.abs(F.sum("z")).alias("seen"))
+    return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, keys: list[str]) -> DataFrame:

@@ -51,13 +51,32 @@ def m5(t):
     return kmer_hits(queries, t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("seq")), k=4, top=1000)
 
 
-@query("m6_candidates", "SELECT doc_id AS id, 'table' AS mode FROM labels WHERE quality = 1 UNION ALL SELECT vec_id, 'distance' FROM (SELECT e.vec_id FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id LIMIT 100) WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+_WORDS = r"regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')"
+
+
+def _grams(name: str, source: str) -> str:
+    return f"{name} AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM (SELECT id, {_WORDS} AS w FROM ({source})))"
+
+
+@query(
+    "m6_candidates",
+    f"""WITH {_grams("q", "SELECT item_id AS id, text FROM benchmark WHERE item_id = 0")}, {_grams("l", "SELECT doc_id AS id, text FROM documents")},
+        tab AS (SELECT doc_id AS id FROM labels WHERE quality = 1),
+        dist AS (SELECT e.vec_id AS id FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.vec_id <> 0 ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id LIMIT 100),
+        hits AS (SELECT l.id, count(*) AS shared FROM l JOIN q USING (g) GROUP BY 1 ORDER BY shared DESC, l.id LIMIT 100),
+        u AS (SELECT id, 'table' AS mode, 0 AS pri FROM tab UNION ALL SELECT id, 'distance', 1 FROM dist UNION ALL SELECT id, 'sequence', 2 FROM hits)
+        SELECT id, min_by(mode, pri) AS mode FROM u GROUP BY 1""",
+)
 def m6(t):
+    """Rows of a table, the nearest vectors and the best sequence hits of one query; an id in several goes to the first."""
     table = t.labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("table").alias("mode"), F.lit(0).alias("pri"))
     e = t.embeddings.select("vec_id", V.doubles(F.col("embedding")).alias("v"))
     q = e.where("vec_id = 0").select(F.col("v").alias("q"))
     near = e.where("vec_id <> 0").crossJoin(F.broadcast(q)).select("vec_id", V.euclidean(F.col("v"), F.col("q")).alias("d")).orderBy("d", "vec_id").limit(100)
+    item = t.benchmark.where("item_id = 0").select(F.col("item_id").alias("query"), F.col("text").alias("seq"))
+    hits = kmer_hits(item, t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("seq")), k=4, top=100)
     both = table.unionByName(near.select(F.col("vec_id").alias("id"), F.lit("distance").alias("mode"), F.lit(1).alias("pri")))
+    both = both.unionByName(hits.select("id", F.lit("sequence").alias("mode"), F.lit(2).alias("pri")))
     return T.first_row(both, ["id"], ["pri"]).select("id", "mode")
 
 

@@ -91,11 +91,20 @@ def s9(t):
     return R.parse_mmcif(text)
 
 
-@query("s10_confidence_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, regexp_extract('seed_' || user_id || '/sample_' || event_id, 'seed_([0-9]+)', 1)::BIGINT AS seed FROM events")
+@query(
+    "s10_confidence_json",
+    """SELECT event_type AS target, user_id::VARCHAR AS seed, event_id::VARCHAR AS sample, value::DOUBLE AS iptm, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS ptm, user_id * CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS plddt,
+       CASE WHEN event_id % 2 = 0 THEN event_type || '/seed_' || user_id || '/predictions/' || event_type || '_summary_confidence_sample_' || event_id || '.json'
+       ELSE event_type || '/seed-' || user_id || '_sample-' || event_id || '/' || event_type || '_seed-' || user_id || '_sample-' || event_id || '_summary_confidences.json' END AS json_path FROM events""",
+)
 def s10(t):
-    path = F.concat(F.lit("seed_"), F.col("user_id").cast("string"), F.lit("/sample_"), F.col("event_id").cast("string"))
-    j = F.from_json("props", "k long")
-    return t.events.select("event_id", j["k"].alias("k"), F.regexp_extract(path, "seed_([0-9]+)", 1).cast("long").alias("seed"))
+    """Files of both presets: even events by the first, odd ones by the second with a scale."""
+    metrics = [F.col("value").cast("double").alias("iptm"), F.get_json_object("props", "$.k").cast("double").alias("ptm")]
+    e = t.events.select("event_id", *[F.col(c).cast("string") for c in ("event_type", "user_id")], *metrics)
+    one = e.where("event_id % 2 = 0").select(F.expr("concat('out/', event_type, '/seed_', user_id, '/predictions/', event_type, '_summary_confidence_sample_', event_id, '.json')").alias("path"), F.to_json(F.struct("iptm", "ptm", F.col("user_id").cast("double").alias("plddt"))).alias("text"))
+    two = e.where("event_id % 2 <> 0").select(F.expr("concat('out/', event_type, '/seed-', user_id, '_sample-', event_id, '/', event_type, '_seed-', user_id, '_sample-', event_id, '_summary_confidences.json')").alias("path"), F.to_json(F.struct("iptm", "ptm", F.col("user_id").cast("double").alias("overall_plddt"))).alias("text"))
+    files = one.unionByName(two)
+    return R.parse_confidence(files).unionByName(R.parse_confidence(files, "rf3", plddt_scale=100.0))
 
 
 _HITS = "SELECT user_id AS query, event_type || '.pdb' AS TARGET, value AS BITS, event_id FROM events"

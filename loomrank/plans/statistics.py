@@ -88,14 +88,7 @@ def t6(t):
         SELECT (1 + count(*) FILTER (abs(s) >= (SELECT abs(sum(z)) FROM z))) / ({B} + 1.0)::DOUBLE AS p FROM f""",
 )
 def t7(t):
-    s = _sums(t)
-    m = s.agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
-    z = s.crossJoin(F.broadcast(m)).select("c", F.expr("sxy - mx * sy - my * sx + n * mx * my").alias("z"))
-    seen = z.agg(F.abs(F.sum("z")).alias("seen"))
-    reps = t.spark.range(B).select(F.col("id").alias("b"))
-    sign = F.when(S.draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
-    f = z.crossJoin(F.broadcast(reps)).groupBy("b").agg(F.sum(F.col("z") * sign).alias("s"))
-    return f.crossJoin(F.broadcast(seen)).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(B + 1.0)).alias("p"))
+    return S.sign_flip(_sums(t), B)
 
 
 _CL2 = _CL.replace("rank() OVER (PARTITION BY 1=1 ORDER BY y) + (count(*) OVER (PARTITION BY 1=1, y) - 1) / 2.0", "rank() OVER (ORDER BY event_id)")
@@ -115,8 +108,8 @@ def t8(t):
     return d.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.least(F.lit(1.0), p).alias("p"))
 
 
-def crossed_bootstrap(cells, replicates: int):
-    """Crossed two-way bootstrap over a (donor, carrier) cell table: ``b, r`` of weighted rank correlations.
+def crossed_bootstrap(cells, replicates: int, keys: list[str] | None = None):
+    """Crossed two-way bootstrap over a (donor, carrier) cell table: ``keys, b, r`` of weighted rank correlations.
 
     A cell weighs the times its donor was drawn times the times its carrier was.
     Names are numbered in order, draws are numbers from a hash of the replicate and
@@ -124,23 +117,23 @@ def crossed_bootstrap(cells, replicates: int):
     mid-ranks are running sums by replicate. Replicates of no weight, or of one
     value, have no ``r``.
     """
-    spark = cells.sparkSession
+    keys, spark = keys or [], cells.sparkSession
     reps = spark.range(replicates).select(F.col("id").alias("b"))
 
     def counts(name: str):
-        names = spread.number_rows(cells.select(name).distinct(), [], [name], "i", "k").withColumn("i", F.col("i") - 1)
-        drawn = names.crossJoin(F.broadcast(reps)).select("b", S.draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
-        return drawn.groupBy("b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select("i", name), "i").select("b", name, f"n_{name}")
+        names = spread.number_rows(cells.select(*keys, name).distinct(), keys, [name], "i", "k").withColumn("i", F.col("i") - 1)
+        drawn = names.crossJoin(F.broadcast(reps)).select(*keys, "b", S.draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
+        return drawn.groupBy(*keys, "b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select(*keys, "i", name), [*keys, "i"]).select(*keys, "b", name, f"n_{name}")
 
     donors, carriers = counts("donor"), counts("carrier")
-    w = cells.join(donors, "donor").join(carriers, ["b", "carrier"]).select("b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
+    w = cells.join(donors, [*keys, "donor"]).join(carriers, [*keys, "b", "carrier"]).select(*keys, "b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
     for v in ("x", "y"):
-        g = w.groupBy("b", v).agg(F.sum("w").alias("g"))
-        g = spread.running(g, ["b"], [v], {"upto": ("sum", F.col("g"))})
-        w = w.join(g.select("b", v, (F.col("upto") - (F.col("g") - 1) / 2.0).alias(f"r{v}")), ["b", v])
+        g = w.groupBy(*keys, "b", v).agg(F.sum("w").alias("g"))
+        g = spread.running(g, [*keys, "b"], [v], {"upto": ("sum", F.col("g"))})
+        w = w.join(g.select(*keys, "b", v, (F.col("upto") - (F.col("g") - 1) / 2.0).alias(f"r{v}")), [*keys, "b", v])
     sums = [F.sum(F.expr(e)).cast("double").alias(n) for n, e in (("n", "w"), ("sx", "w * rx"), ("sy", "w * ry"), ("sxx", "w * rx * rx"), ("syy", "w * ry * ry"), ("sxy", "w * rx * ry"))]
-    tot = w.groupBy("b").agg(*sums)
-    return tot.select("b", S.from_sums(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
+    tot = w.groupBy(*keys, "b").agg(*sums)
+    return tot.select(*keys, "b", S.from_sums(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
 
 
 def _cells(t):
@@ -152,12 +145,34 @@ def t9(t):
     return crossed_bootstrap(_cells(t), 200).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.count("r").alias("n"))
 
 
+def subset_statistics(rows, replicates: int):
+    """Rank correlation of each (subset, region) with its p, q, cluster bootstrap and sign flip, and the subset's crossed bootstrap.
+
+    ``rows`` is ``(subset, region, cluster, x, y)``, a row once for each subset that
+    holds it, so all subsets run as one grouped job. q is adjusted over the subsets of
+    a region. A statistic that does not exist (fewer than three rows, no spread) is NULL.
+    """
+    keys = ["subset", "region"]
+    ranked = S.with_ranks(rows.where("x is not null and y is not null"), keys, ["x", "y"])
+    rho = ranked.groupBy(*keys).agg(F.count("*").alias("n"), S.pearson("r_x", "r_y").alias("rho"))
+    rho = rho.withColumn("p", S.correlation_p("rho", F.col("n").cast("double")))
+    q = S.benjamini_hochberg(rho.where("p is not null"), "p", "subset", ["region"]).select(*keys, "q")
+    sums = spread.cut(S.cluster_sums(ranked, "cluster", "r_x", "r_y", keys))
+    one_way = spread.quantiles(S.bootstrap_replicates(sums, replicates, keys), keys, "r", {"low": 0.025, "high": 0.975})
+    flips = S.sign_flip(sums, replicates, keys).withColumnRenamed("p", "flip_p")
+    cells = rows.groupBy("subset", F.col("cluster").alias("donor"), F.col("region").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
+    crossed = spread.quantiles(crossed_bootstrap(cells, replicates, ["subset"]), ["subset"], "r", {"crossed_low": 0.025, "crossed_high": 0.975})
+    return rho.join(q, keys, "left").join(one_way, keys, "left").join(flips, keys, "left").join(crossed, "subset", "left")
+
+
 @query("t10_subset_statistics")
 def t10(t):
-    """Correlation per anchor threshold, with its p and q; subsets are stacked and run as one group-by."""
-    e = _ev(t).withColumn("subset", F.explode(F.array(*[F.lit(float(x)) for x in (5, 10, 30, 1000)]))).where("x <= subset")
-    r = S.spearman(e, ["subset", "event_type"], "x", "y").withColumn("p", S.correlation_p("rho", F.col("n").cast("double")))
-    return S.benjamini_hochberg(r.where("p is not null"), "p", "event_type", ["subset"])
+    """Anchor thresholds on x, and nested neighbourhoods: each user's rows up to a percentile of x."""
+    pct = 100.0 * T.average_rank("x", ["user_id"]) / F.count("*").over(Window.partitionBy("user_id"))
+    anchors = [F.when(F.col("x") <= a, F.lit(f"x<={a}")) for a in (5, 10, 30)]
+    nested = [F.when(F.col("pct") <= c, F.lit(f"nearest {c}%")) for c in (25, 50, 100)]
+    e = _ev(t).withColumn("pct", pct).withColumn("subset", F.explode(F.array_compact(F.array(*anchors, *nested))))
+    return subset_statistics(e.select("subset", F.col("event_type").alias("region"), F.col("user_id").alias("cluster"), "x", "y"), B)
 
 
 @query("t11_bh", "WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_tax AS p, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_tax, l_orderkey * 10 + l_linenumber) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_tax FROM lineitem)) SELECT DISTINCT l_returnflag, p, round(least(1.0, min(p * n / r) OVER (PARTITION BY l_returnflag ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM r")
@@ -242,6 +257,15 @@ def t17(t):
     return g.select("i", F.round("x", 6).alias("x"), F.round(mid, 4).alias("y"), F.round(mid - wide, 2).alias("low"), F.round(mid + wide, 2).alias("high"), F.round(F.sqrt("s2"), 4).alias("residual_sd"))
 
 
+@query("t17_residuals", "SELECT l_orderkey, l_linenumber, round(l_extendedprice - (a + b * l_quantity), 1) AS residual FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)")
+def t17_residuals(t):
+    """What the line leaves of every row; NULL where a side is missing."""
+    x, y = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    line = t.lineitem.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    rows = t.lineitem.crossJoin(F.broadcast(line))  # one row
+    return rows.select("l_orderkey", "l_linenumber", F.round(y - (F.col("a") + F.col("b") * x), 1).alias("residual"))
+
+
 @query("t18_scatter_summary", "SELECT 'l_quantity' AS metric, count(*) AS n, count(*) FILTER (l_quantity > 10) AS kept, CASE WHEN count(*) FILTER (l_quantity > 10) < 3 THEN 'too_few' ELSE 'ok' END AS reason FROM lineitem UNION ALL SELECT 'l_tax', count(*), count(*) FILTER (l_tax > 10), CASE WHEN count(*) FILTER (l_tax > 10) < 3 THEN 'too_few' ELSE 'ok' END FROM lineitem")
 def t18(t):
     long = t.lineitem.unpivot([], ["l_quantity", "l_tax"], "metric", "v")

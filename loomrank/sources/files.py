@@ -31,6 +31,40 @@ def read_published(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{last['version']}/{name}")
 
 
+# fixed values: where a predictor puts its confidence files below a root, and how they name the metrics
+CONFIDENCE = {
+    "protenix": {
+        "path": r"([^/]+)/(seed_[^/]*)/predictions/\1_summary_confidence_sample_(\d+)\.json$",
+        "keys": {"iptm": "iptm", "ptm": "ptm", "plddt": "plddt"},
+    },
+    "rf3": {
+        "path": r"([^/]+)/seed-\d+_sample-\d+/\1_(seed-\d+)_sample-(\d+)_summary_confidences\.json$",
+        "keys": {"iptm": "iptm", "ptm": "ptm", "plddt": "overall_plddt"},
+    },
+}
+
+
+def parse_confidence(files: DataFrame, preset: str = "protenix", keys: dict[str, str] | None = None, plddt_scale: float = 1.0) -> DataFrame:
+    """``(path, text)`` of JSON files to ``target, seed, sample, iptm, ptm, plddt, json_path``.
+
+    Files whose path does not follow the preset are left out. ``keys`` replaces single
+    JSON keys of the preset; what is missing or no number is NULL; ``plddt`` is scaled.
+    ``json_path`` begins at the target. ``seed`` is empty where its folder has no number.
+    """
+    pattern, names = CONFIDENCE[preset]["path"], CONFIDENCE[preset]["keys"] | (keys or {})
+    part = [F.regexp_extract("path", pattern, i) for i in range(4)]
+    found = files.select("text", *[p.alias(n) for p, n in zip(part, ("json_path", "target", "seed", "sample"), strict=True)]).where("json_path <> ''")
+    value = {n: F.get_json_object("text", f"$['{k}']").try_cast("double") for n, k in names.items()}
+    value["plddt"] = value["plddt"] * plddt_scale
+    return found.select("target", F.regexp_extract("seed", r"seed[_-](\d+)", 1).alias("seed"), "sample", *[value[n].alias(n) for n in ("iptm", "ptm", "plddt")], "json_path")
+
+
+def read_confidence(spark: SparkSession, root: str, preset: str = "protenix", keys: dict[str, str] | None = None, plddt_scale: float = 1.0) -> DataFrame:
+    """All confidence files below ``root``; see :func:`parse_confidence`."""
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return parse_confidence(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), preset, keys, plddt_scale)
+
+
 def write_tsv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').csv(path)
     return path

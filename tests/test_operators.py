@@ -14,7 +14,8 @@ from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
 from loomrank.operators.alignment import fit_targets, global_identities, global_identity
 from loomrank.operators.search import greedy_clusters
-from loomrank.plans.statistics import crossed_bootstrap
+from loomrank.plans.statistics import crossed_bootstrap, subset_statistics
+from loomrank.sources import files as R
 
 
 SF = "/root/testdata/sf0.001"
@@ -311,3 +312,42 @@ def test_wilcoxon_matches_a_plain_version(spark):
     p = math.erfc(z / math.sqrt(2))
     assert any(v == pytest.approx(p, abs=1e-6) for v in values), (got, p)
     assert any(v == pytest.approx(w) for v in values for w in (plus, minus, min(plus, minus)))
+
+
+def test_subsets_in_one_job_match_each_subset_alone(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, r, int(rng.integers(0, 9)), float(rng.integers(0, 20)), float(rng.normal())) for s, n in (("all", 120), ("near", 40), ("tiny", 2)) for r in "ab" for _ in range(n)]
+    df = spark.createDataFrame(rows, "subset string, region string, cluster long, x double, y double")
+    got = {(r["subset"], r["region"]): r for r in subset_statistics(df, 30).collect()}
+    assert set(got) == {(s, r) for s in ("all", "near", "tiny") for r in "ab"}
+    assert got["tiny", "a"]["rho"] is None and got["tiny", "a"]["q"] is None
+    for subset in ("all", "near"):
+        part = df.where(F.col("subset") == subset)
+        cells = part.groupBy(F.col("cluster").alias("donor"), F.col("region").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
+        r = [x["r"] for x in crossed_bootstrap(cells, 30).where("r is not null").collect()]
+        assert got[subset, "a"]["crossed_low"] == pytest.approx(np.quantile(r, 0.025))
+        p = sorted(got[s, "a"]["p"] for s in ("all", "near"))
+        assert sorted(got[s, "a"]["q"] for s in ("all", "near")) == pytest.approx([min(2 * p[0], p[1]), p[1]])
+        for region in "ab":
+            one = part.where(F.col("region") == region)
+            ranked = statistics.with_ranks(one.select("cluster", "x", "y"), [], ["x", "y"])
+            sums = statistics.cluster_sums(ranked, "cluster", "r_x", "r_y")
+            r = [x["r"] for x in statistics.bootstrap_replicates(sums, 30).collect()]
+            row = got[subset, region]
+            assert (row["low"], row["high"]) == pytest.approx(tuple(np.quantile(r, [0.025, 0.975])))
+            assert row["flip_p"] == pytest.approx(statistics.sign_flip(sums, 30).first()["p"])
+
+
+def test_confidence_files(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("t1/seed_7/predictions/t1_summary_confidence_sample_3.json", '{"iptm": 0.5,\n "ptm": "bad", "plddt": 80}')
+    put("t1/seed_7/predictions/other_summary_confidence_sample_3.json", '{"iptm": 1}')
+    put("t2/seed-4_sample-0/t2_seed-4_sample-0_summary_confidences.json", '{"iptm": "0.25", "overall_plddt": 0.9, "mine": 3}')
+    put("t2/t2_summary_confidences.json", '{"iptm": 1}')
+    one = R.read_confidence(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in one] == [("t1", "7", "3", 0.5, None, 80.0, "t1/seed_7/predictions/t1_summary_confidence_sample_3.json")]
+    two = R.read_confidence(spark, str(tmp_path), "rf3", {"ptm": "mine"}, 100.0).collect()
+    assert [tuple(r)[:6] for r in two] == [("t2", "4", "0", 0.25, 3.0, 90.0)]
