@@ -41,12 +41,12 @@ def _chunks(a: Sequence[str], b: Sequence[str], layers: int) -> Iterator[list[in
         yield part
 
 
-def global_identities(a: Sequence[str | None], b: Sequence[str | None], match: int = 2, mismatch: int = -1, gap: int = -2) -> list[float | None]:
-    """Matches over columns of a best alignment with linear gaps; of best ones that with most matches, then fewest columns.
+def global_matches(a: Sequence[str | None], b: Sequence[str | None], match: int = 2, mismatch: int = -1, gap: int = -2) -> list[tuple[int, int] | None]:
+    """``(matches, columns)`` of a best alignment with linear gaps; of best ones that with most matches, then fewest columns.
 
     None where a side is missing or both are empty.
     """
-    out: list[float | None] = [None] * len(a)
+    out: list[tuple[int, int] | None] = [None] * len(a)
     some = [i for i in range(len(a)) if a[i] is not None and b[i] is not None and (a[i] or b[i])]
     one = gap * _K * _K - 1  # a gap: its score, no match, one column
     for part in _chunks([a[i] for i in some], [b[i] for i in some], 1):
@@ -66,10 +66,15 @@ def global_identities(a: Sequence[str | None], b: Sequence[str | None], match: i
         columns = -best % _K
         matches = (best + columns) // _K % _K
         for i, k, c in zip(rows, matches.tolist(), columns.tolist(), strict=True):
-            out[i] = k / c
+            out[i] = k, c
     return out
 
 
+def global_identities(a: Sequence[str | None], b: Sequence[str | None], match: int = 2, mismatch: int = -1, gap: int = -2) -> list[float | None]:
+    """Matches over columns of :func:`global_matches`; None where a side is missing or both are empty."""
+    return [None if found is None else found[0] / found[1] for found in global_matches(a, b, match, mismatch, gap)]
+
+
 def global_identity(a: str | None, b: str | None, match: int = 2, mismatch: int = -1, gap: int = -2) -> float | None:
     return global_identities([a], [b], match, mismatch, gap)[0]
 

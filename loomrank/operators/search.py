@@ -1,15 +1,16 @@
-"""Sequence search and redundancy clustering on shared k-mers."""
+"""Sequence search and redundancy clustering on shared k-mers; exact vector search in blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import windows
-from .alignment import global_identities
+from .alignment import global_matches
 from .spread import cut as _cut
 
 
@@ -31,44 +32,96 @@ def kmer_hits(queries: DataFrame, library: DataFrame, k: int = 4, top: int = 100
 
 
 def greedy_clusters(seqs: DataFrame, identity: float = 0.9, k: int = 3, max_rounds: int = 30) -> DataFrame:
-    """``(rep, member)``: longest first, a sequence joins the first representative it is similar to.
+    """``(rep, member)``: longest first, a sequence joins the first representative it is similar to."""
+    return redundancy_levels(seqs, [(identity, 0.0)], k, max_rounds).select("rep", "member")
 
-    Equal sequences are one.  An edit spoils at most k k-mers, so similar pairs
-    share all but k per allowed edit; such pairs are aligned once.  Rounds
-    then take every unassigned sequence without an unassigned better neighbour
-    as a representative and assign its neighbours, until none is left: the same
-    result as going through all sequences in order.
+
+def redundancy_levels(seqs: DataFrame, levels: list[tuple[float, float]], k: int = 3, max_rounds: int = 30) -> DataFrame:
+    """``(identity, coverage, rep, member)``: greedy clusters at each pair of thresholds, candidates found and aligned once.
+
+    Two sequences are similar at a level if the columns of their global alignment
+    match in a share of ``identity`` or more (0.9 at least), and the residues that
+    have a partner are a share of ``coverage`` or more of the longer one.  Equal
+    sequences are one; those without text take no part.
+
+    An edit spoils at most k k-mers, so of a sequence's k-mers all but k per allowed
+    edit are in every similar one: one of its k per edit and one rarest is.  Only
+    those meet the k-mers of shorter sequences, so common k-mers pair nothing.
+    Rounds then take every unassigned sequence without an unassigned better
+    neighbour as a representative and assign its neighbours, until none is left:
+    the same result as going through all sequences in order.
     """
-    whole = seqs.groupBy("seq").agg(F.min("id").alias("id"), F.collect_list("id").alias("same"))
+    lowest = min(identity for identity, _ in levels)
+    if lowest < 0.9:
+        raise ValueError("below an identity of 0.9 short sequences may share no k-mer")
+    whole = seqs.where("seq is not null").groupBy("seq").agg(F.min("id").alias("id"), F.collect_list("id").alias("same"))
     whole = _cut(whole.withColumn("n", F.length("seq")))
     grams = whole.select("id", "n", F.array_distinct(windows("seq", k)).alias("gs")).select("id", "n", F.size("gs").alias("m"), F.explode("gs").alias("g"))
+    grams = _cut(grams.withColumn("spoilt", k * F.floor(F.col("n") * (1 - lowest) / lowest + 1e-9)))
+    rarest = Window.partitionBy("id").orderBy("in", "g")
+    first = grams.join(grams.groupBy("g").agg(F.count("*").alias("in")), "g").withColumn("at", F.row_number().over(rarest)).where("at <= spoilt + 1")
     better = F.expr("a.n > b.n or (a.n = b.n and a.id < b.id)")
-    pairs = grams.alias("a").join(grams.alias("b"), (F.col("a.g") == F.col("b.g")) & better & (F.col("b.n") >= identity * F.col("a.n"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("a.m").alias("ma"))
-    edits = F.floor(F.col("na") * (1 - identity) / identity)
-    pairs = pairs.groupBy("a", "b", "na", "ma").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("ma") - k * edits).select("a", "b")
+    some = first.alias("a").join(grams.alias("b"), (F.col("a.g") == F.col("b.g")) & better & (F.col("b.n") >= lowest * F.col("a.n"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     text = whole.select("id", "seq")
-    pairs = pairs.join(text.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
+    pairs = some.join(text.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
+    shared = F.size(F.array_intersect(windows("x", k), windows("y", k)))
+    spoilt = k * F.floor(F.length("x") * (1 - lowest) / lowest + 1e-9)
+    pairs = pairs.where(shared >= F.size(F.array_distinct(windows("x", k))) - spoilt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near = [(v or 0) >= identity for v in global_identities(pdf["x"].tolist(), pdf["y"].tolist())]
-            yield pdf.loc[near, ["a", "b"]]
+            found = global_matches(pdf["x"].tolist(), pdf["y"].tolist())
+            sizes = [(len(x), len(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+            out = pdf[["a", "b"]].copy()
+            out["same"] = [matches / columns for matches, columns in found]
+            out["met"] = [(n + m - columns) / max(n, m) for (n, m), (_, columns) in zip(sizes, found, strict=True)]
+            yield out[out["same"] >= lowest]
 
-    near = _cut(pairs.mapInPandas(run, "a long, b long"))
-    order = whole.select("id", "n")
-    left, done = _cut(order), None
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("identity"), F.lit(c).alias("coverage")) for i, c in sorted(set(levels))]))
+    at = ["identity", "coverage"]
+    near = pairs.mapInPandas(run, "a long, b long, same double, met double").select("*", level.alias("level")).select("a", "b", "same", "met", "level.*")
+    near = _cut(near.where("same >= identity and met >= coverage").drop("same", "met"))
+    left, done = _cut(whole.select("id", "n", level.alias("level")).select("id", "n", "level.*")), None
     for _ in range(max_rounds):
         if left.isEmpty():
             break
-        alive = near.join(left.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(left.select(F.col("id").alias("b")), "b")
-        reps = _cut(left.join(alive.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        taken = alive.join(reps.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min_by("a", F.struct(-F.col("na"), F.col("a"))).alias("rep")).select("rep", F.col("b").alias("member"))
+        alive = near.join(left.select(*at, F.col("id").alias("a"), F.col("n").alias("na")), [*at, "a"]).join(left.select(*at, F.col("id").alias("b")), [*at, "b"])
+        reps = _cut(left.join(alive.select(*at, F.col("b").alias("id")).distinct(), [*at, "id"], "left_anti"))
+        taken = alive.join(reps.select(*at, F.col("id").alias("a")), [*at, "a"]).groupBy(*at, "b").agg(F.min_by("a", F.struct(-F.col("na"), F.col("a"))).alias("rep")).select(*at, "rep", F.col("b").alias("member"))
         # a sequence is settled once no better unassigned one could still become its representative
-        step = _cut(reps.select(F.col("id").alias("rep"), F.col("id").alias("member")).unionByName(taken))
+        step = _cut(reps.select(*at, F.col("id").alias("rep"), F.col("id").alias("member")).unionByName(taken))
         done = step if done is None else done.unionByName(step)
-        left = _cut(left.join(step.select(F.col("member").alias("id")), "id", "left_anti"))
+        left = _cut(left.join(step.select(*at, F.col("member").alias("id")), [*at, "id"], "left_anti"))
     else:
         raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     if done is None:
-        return seqs.sparkSession.createDataFrame([], "rep long, member long")
-    return done.join(whole.select(F.col("id").alias("member"), "same"), "member").select("rep", F.explode("same").alias("member"))
+        return seqs.sparkSession.createDataFrame([], "identity double, coverage double, rep long, member long")
+    return done.join(whole.select(F.col("id").alias("member"), "same"), "member").select(*at, "rep", F.explode("same").alias("member"))
+
+
+def nearest_by_blocks(rows: DataFrame, queries: DataFrame, k: int, block_rows: int = 16384, block_queries: int = 4096) -> DataFrame:
+    """``(query_id, rank, vec_id, distance)``: the k rows of smallest Euclidean distance to each query but itself, ties to the smaller id.
+
+    Both are ``(id, v)`` of one width. Blocks of rows meet blocks of queries and send k rows
+    for each query, so neither side is held by one task or broadcast.
+    """
+    n_blocks, q_blocks = max(1, -(-rows.count() // block_rows)), max(1, -(-queries.count() // block_queries))
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(x):
+            ids, vectors = x["id"].to_numpy(), np.stack(x["v"]).astype(float)
+            for query, v in zip(q["id"], q["v"], strict=True):
+                d = np.sqrt(((vectors - v) ** 2).sum(1))
+                d[ids == query] = np.inf
+                some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                out += [(query, ids[i], d[i]) for i in some[np.lexsort((ids[some], d[some]))][:k] if ids[i] != query]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
+
+    left, right = dealt(queries, "qb", q_blocks, "vb", n_blocks), dealt(rows, "vb", n_blocks, "qb", q_blocks)
+    near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, "query_id long, vec_id long, distance double")
+    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return near.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

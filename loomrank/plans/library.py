@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import tables as T
 from ..operators.alignment import fit_targets
-from ..operators.search import greedy_clusters, kmer_hits
+from ..operators.search import kmer_hits, redundancy_levels
 from .base import query
 
 
@@ -20,9 +20,13 @@ def _seqs(t):
     return t.part.select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_name", "p_brand", "p_type").alias("seq"))
 
 
+#: identity and coverage thresholds of the redundancy clusters
+LEVELS = [(0.9, 0.0), (0.9, 0.95), (0.95, 0.0), (0.98, 0.0)]
+
+
 @query("m1_redundancy_clusters")
 def m1(t):
-    return greedy_clusters(_seqs(t), identity=0.9)
+    return redundancy_levels(_seqs(t), LEVELS)
 
 
 @query("m2_cluster_ingest", "SELECT c_nationkey AS cluster, min(c_custkey) AS rep, count(*) AS n FROM customer GROUP BY 1")

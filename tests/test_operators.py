@@ -12,8 +12,8 @@ from loomrank import plans
 
 from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
-from loomrank.operators.alignment import fit_targets, global_identities, global_identity
-from loomrank.operators.search import greedy_clusters
+from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
+from loomrank.operators.search import greedy_clusters, nearest_by_blocks, redundancy_levels
 from loomrank.plans.statistics import crossed_bootstrap, subset_statistics
 from loomrank.sources import files as R
 
@@ -69,30 +69,60 @@ def test_duplicate_policy(spark):
         tables.checked_join(df, df, ["k"], "one_to_one")
 
 
-def test_greedy_clusters_match_the_sequential_rule(spark):
+def _sequential_clusters(seqs, identity, coverage):
+    """``{text: representative}`` by going through all sequences in order."""
+    first, reps, want = {}, [], {}
+    for i, s in sorted(seqs):
+        first.setdefault(s, i)
+    for s, i in sorted(first.items(), key=lambda x: (-len(x[0]), x[1])):
+        for r, t in reps:
+            matches, columns = global_matches([t], [s])[0]
+            if matches / columns >= identity and (len(s) + len(t) - columns) / max(len(s), len(t)) >= coverage:
+                want[s] = r
+                break
+        else:
+            reps.append((i, s))
+            want[s] = i
+    return want
+
+
+def test_redundancy_levels_match_the_sequential_rule(spark):
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("ACDEFGHIKL"), 30)) for _ in range(5)]
-    seqs = []
+    seqs = [(100, "A"), (101, "A"), (102, "AC"), (103, ""), (104, "AAAAAAAAAAAA"), (105, "AAAAAAAAAAA")]
     for i in range(40):
         s = list(base[i % 5])
         for j in rng.integers(0, 30, i % 4):
             s[j] = "W"
+        if i % 3 == 0:
+            s = s[:-1]
         seqs.append((i, "".join(s)))
-    left, want = sorted(seqs, key=lambda x: (-len(x[1]), x[0])), {}
-    first = {}
-    for i, s in sorted(seqs):
-        first.setdefault(s, i)
-    reps = []
-    for i, s in left:
-        if first[s] != i:
-            continue
-        hit = next((r for r, t in reps if (global_identity(t, s) or 0) >= 0.9), None)
-        if hit is None:
-            reps.append((i, s))
-        want[s] = hit if hit is not None else i
-    got = {r["member"]: r["rep"] for r in greedy_clusters(spark.createDataFrame(seqs, "id long, seq string")).collect()}
-    assert set(got) == {i for i, _ in seqs}
-    assert sum(got[i] == want[s] for i, s in seqs) == len(seqs)
+    df = spark.createDataFrame([*seqs, (200, None)], "id long, seq string")
+    levels = [(0.9, 0.0), (0.9, 0.98), (0.96, 0.0)]
+    got = {(r["identity"], r["coverage"], r["member"]): r["rep"] for r in redundancy_levels(df, levels).collect()}
+    assert len(got) == len(levels) * len(seqs)
+    for identity, coverage in levels:
+        want = _sequential_clusters(seqs, identity, coverage)
+        assert all(got[identity, coverage, i] == want[s] for i, s in seqs)
+    assert len({tuple(got[i, c, m] for m in range(40)) for i, c in levels}) == len(levels)
+    assert {r["member"]: r["rep"] for r in greedy_clusters(df).collect()} == {m: r for (i, c, m), r in got.items() if (i, c) == levels[0]}
+    assert redundancy_levels(df.where("id < 0"), levels).count() == 0
+    with pytest.raises(ValueError):
+        redundancy_levels(df, [(0.5, 0.0)])
+
+
+def test_nearest_by_blocks_matches_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (90, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_by_blocks(df, df.where("id % 5 = 0"), 7, block_rows=20, block_queries=6).collect()}
+    assert len(got) == 18 * 7
+    for q in range(0, 90, 5):
+        d = ((x - x[q]) ** 2).sum(1)
+        want = [i for i in np.lexsort((np.arange(90), d)) if i != q][:7]
+        assert [got[q, r] for r in range(1, 8)] == want
+    assert nearest_by_blocks(df.where("id < 3"), df.where("id = 0"), 7).count() == 2
+    assert nearest_by_blocks(df.where("id < 0"), df, 7).count() == 0
 
 
 def test_crossed_bootstrap_matches_numpy(spark):
