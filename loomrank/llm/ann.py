@@ -28,7 +28,8 @@ from .common import bounded_sample, cut, session_settings
 
 SAMPLE_ROWS = 4096
 BITS, SUB_BITS = 256, 16
-BLOCK_ROWS, BLOCK_QUERIES = 16384, 512
+#: rows and queries of a block, for vectors of up to 256 components; wider ones come in smaller blocks
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_WIDTH = 8192, 4096, 256
 
 
 class CodeModel:
@@ -112,7 +113,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     session_settings(spark)
 
     def usable(df: DataFrame, dim: int | None = None) -> DataFrame:
-        out = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+        # single floats are shuffled as such; all reckoning is in double
+        vector = F.col(vec_col) if df.schema[vec_col].dataType.simpleString() == "array<float>" else F.col(vec_col).cast("array<double>")
+        out = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
         out = out.where("id is not null and size(v) > 0 and coalesce(not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0), false)")
         return out.where(F.size("v") == dim) if dim else out
 
@@ -126,17 +129,18 @@ def _nearest(rows: DataFrame, asked: DataFrame, total: int, k: int, sample_rows:
     """:func:`nearest` of ``(id, v)`` rows of one width."""
     sample = bounded_sample(rows, "id", sample_rows, total).orderBy("id").limit(2 * sample_rows)
     model = CodeModel(np.array([r["v"] for r in sample.select("v").collect()]), k)
-    n_blocks = math.ceil(total / BLOCK_ROWS)
+    size = max(1, math.ceil(model.dim / BLOCK_WIDTH))
+    n_blocks = math.ceil(total * size / BLOCK_ROWS)
 
     def search(asked: DataFrame, radius: int) -> DataFrame:
-        q_blocks = math.ceil(max(1, asked.count()) / BLOCK_QUERIES)
+        q_blocks = math.ceil(max(1, asked.count()) * size / BLOCK_QUERIES)
         left = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("vb"))
         right = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
         def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            found = search_block(model, q["id"].to_numpy(), np.stack(q["v"]), x["id"].to_numpy(), np.stack(x["v"]), k, radius)
+            found = search_block(model, q["id"].to_numpy(), np.stack(q["v"]).astype(float), x["id"].to_numpy(), np.stack(x["v"]).astype(float), k, radius)
             return pd.DataFrame(list(found), columns=["query_id", "vec_id", "score"])
 
         near = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(run, "query_id long, vec_id long, score double")
