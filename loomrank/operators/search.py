@@ -31,6 +31,35 @@ def kmer_hits(queries: DataFrame, library: DataFrame, k: int = 4, top: int = 100
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def containing(texts: DataFrame, fragments: DataFrame, run: int = 3) -> DataFrame:
+    """``(item, id)``: every text ``(id, u)`` that holds a whole fragment ``(item, f)``, as often as such rows occur.
+
+    The words of a fragment but the first and the last are whole words wherever it
+    occurs.  Of its runs of ``run`` such words the one that is in the fewest texts
+    names the texts that may hold it; those are compared.  Fragments too short for
+    a run are compared with all texts.
+    """
+    def runs(col: str, cut_ends: bool):
+        w = F.split(col, " ")
+        if cut_ends:
+            w = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+        # the words beside their followers: the text is split a few times, not for each run
+        beside = F.arrays_zip(*[F.slice(w, 1 + j, F.size(w) - run + 1).alias(f"w{j}") for j in range(run)])
+        return F.array_distinct(F.transform(beside, lambda z: F.xxhash64(*[z[f"w{j}"] for j in range(run)])))
+
+    words = F.size(F.split("f", " "))
+    grams = fragments.where(words >= run + 2).select("item", F.explode(runs("f", True)).alias("g"))
+    grams = grams.groupBy("item", "g").agg(F.lit(1).alias("one")).drop("one")
+    long_enough = texts.where(F.size(F.split("u", " ")) >= run)
+    held = _cut(long_enough.select("id", F.explode(runs("u", False)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi"))
+    often = held.groupBy("g").agg(F.count("*").alias("n"))
+    seed = grams.join(often, "g", "left").groupBy("item").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    some = held.join(seed, "g").select("item", "id").distinct()
+    found = some.join(fragments, "item").join(texts, "id").where("contains(u, f)").select("item", "id")
+    short = texts.join(fragments.where(words < run + 2), F.expr("contains(u, f)")).select("item", "id")
+    return found.unionByName(short)
+
+
 def greedy_clusters(seqs: DataFrame, identity: float = 0.9, k: int = 3, max_rounds: int = 30) -> DataFrame:
     """``(rep, member)``: longest first, a sequence joins the first representative it is similar to."""
     return redundancy_levels(seqs, [(identity, 0.0)], k, max_rounds).select("rep", "member")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import tables as T
+from ..operators.search import containing
 from .base import query
 
 
@@ -91,9 +92,9 @@ def j9(t):
        FROM benchmark b JOIN documents d ON contains(upper(d.text), upper(b.text))) SELECT item_id, doc_id FROM m WHERE r = 1""",
 )
 def j10(t):
-    """Fragments are few and of fixed length: they are broadcast behind Spark's own size check."""
-    frag = t.benchmark.select("item_id", F.upper("text").alias("f"))
-    hits = t.documents.select("doc_id", F.upper("text").alias("u")).join(frag, F.expr("contains(u, f)")).select("item_id", "doc_id")
+    fragments = t.benchmark.select(F.col("item_id").alias("item"), F.upper("text").alias("f"))
+    texts = t.documents.select(F.col("doc_id").alias("id"), F.upper("text").alias("u"))
+    hits = containing(texts, fragments).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
     return T.first_row(hits, ["item_id"], [F.desc(F.col("doc_id") % 20 == F.col("item_id") % 20), F.col("doc_id")])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.files import scratch
-from ..streaming.intake import intake, tally
+from ..streaming.intake import intake, latest, tally
 from .base import query
 
 SCHEMA = "event_id long, user_id long, event_type string, value double"
@@ -26,4 +26,4 @@ def x1(t):
 def x2(t):
     source, out = _shards(t), scratch(t.spark, "tally")
     tally(t.spark, source, SCHEMA, "event_type", out, f"{out}-state")
-    return t.spark.read.parquet(out)
+    return latest(t.spark, out)

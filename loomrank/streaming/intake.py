@@ -7,22 +7,41 @@ from pyspark.sql import functions as F
 
 
 def intake(spark: SparkSession, source: str, schema: str, keys: list[str], out: str, checkpoint: str) -> None:
-    """Append new shard files to ``out``; a key that is already there is skipped. Restarts go on where they were."""
-    shards = spark.readStream.schema(schema).parquet(source).dropDuplicates(keys)
+    """Append new shard files to ``out`` (in ``batch=N`` folders); a key that is already there is skipped.
+
+    Keys seen are looked up in the table itself, so no state grows in the executors.
+    A restart with the same ``checkpoint`` goes on where it was; a repeated batch
+    replaces itself.  Missing parts of a key are equal to each other.
+    """
+    shards = spark.readStream.schema(schema).parquet(source)
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a repeated batch replaces itself
+        new = batch.dropDuplicates(keys)
+        if number:
+            seen = spark.read.schema(f"{schema}, batch long").option("basePath", out).parquet(out).where(F.col("batch") < number)
+            on = [new[k].eqNullSafe(seen[k]) for k in keys]
+            new = new.join(seen, on, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = shards.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
 def tally(spark: SparkSession, source: str, schema: str, status: str, out: str, checkpoint: str) -> None:
-    """Counts by status so far, rewritten with every batch."""
+    """Counts by status so far, a new ``version=N`` folder with every batch: a reader never sees one that is half written.
+
+    :func:`latest` reads the newest.
+    """
     counts = spark.readStream.schema(schema).parquet(source).groupBy(status).agg(F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
 
     query = counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest tally in ``out``."""
+    all_ = spark.read.option("basePath", out).parquet(out)
+    return all_.join(all_.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")

@@ -13,9 +13,10 @@ from loomrank import plans
 from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
 from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
-from loomrank.operators.search import greedy_clusters, nearest_by_blocks, redundancy_levels
+from loomrank.operators.search import containing, greedy_clusters, nearest_by_blocks, redundancy_levels
 from loomrank.plans.statistics import crossed_bootstrap, subset_statistics
 from loomrank.sources import files as R
+from loomrank.streaming.intake import intake, latest, tally
 
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +112,26 @@ def test_redundancy_levels_match_the_sequential_rule(spark):
         redundancy_levels(df, [(0.5, 0.0)])
 
 
+def test_containing_matches_a_plain_search(spark):
+    rng = random.Random(5)
+    words = ["ab", "b", "", "cab", "d"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (7, "d d cab b b d ab")]
+    pieces = [(j, (texts[j][1] + " x")[rng.randrange(0, 3) : 3 + 4 * j]) for j in range(20)] + [(90, None), (91, "no such words are in any text"), (92, "d")]
+    got = containing(spark.createDataFrame(texts, "id long, u string"), spark.createDataFrame(pieces, "item long, f string"))
+    want = sorted((j, i) for j, f in pieces for i, u in texts if f is not None and u is not None and f in u)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_intake_skips_keys_of_earlier_shards(spark, tmp_path):
+    source, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    for batch in ([(1, "a"), (2, "b"), (2, "b"), (None, "n")], [(2, "z"), (3, "c"), (None, "m")], [(1, "q"), (3, "r")]):
+        spark.createDataFrame(batch, "k long, v string").write.mode("append").parquet(source)
+        intake(spark, source, "k long, v string", ["k"], out, state)
+        tally(spark, source, "k long, v string", "k", out + "-tally", state + "-tally")
+    assert sorted(((r["k"], r["v"]) for r in spark.read.parquet(out).collect()), key=str) == sorted([(1, "a"), (2, "b"), (None, "n"), (3, "c")], key=str)
+    assert {r["k"]: r["n"] for r in latest(spark, out + "-tally").collect()} == {1: 2, 2: 3, 3: 2, None: 2}
+
+
 def test_nearest_by_blocks_matches_numpy(spark):
     rng = np.random.default_rng(8)
     x = rng.integers(0, 3, (90, 4)).astype(float)
