@@ -31,17 +31,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _byte_table(fold: bool) -> np.ndarray:
+def _byte_table(fold: bool, outside: np.ndarray) -> np.ndarray:
     table = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
     if fold:
         table[65:91] = table[97:123]
-    table[_SPACES] = 0
+    table[outside] = 0
     return table
 
 
-_TABLES = {fold: _byte_table(fold) for fold in (False, True)}
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[_SPACES] = True
+#: ASCII bytes that are neither digit nor letter
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+_OUTSIDE = {"spaces": _IS_SPACE, "marks": _IS_MARK}
+_TABLES = {(fold, kind): _byte_table(fold, outside) for fold in (False, True) for kind, outside in _OUTSIDE.items()}
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(4096)], dtype=U)
 
 
@@ -89,9 +93,12 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Split a slice into words; ``fold`` lower-cases A-Z in names."""
-    inside = ~_IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, outside: str = "spaces") -> Words:
+    """Split a slice into words; ``fold`` lower-cases A-Z in names.
+
+    Words end at ``spaces``, or at all ASCII ``marks``: what is neither digit nor letter.
+    """
+    inside = ~_OUTSIDE[outside][data]
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -103,7 +110,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
     first = np.searchsorted(starts, offsets)
     if len(starts):
         place = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-        value = _TABLES[fold][data]
+        value = _TABLES[fold, outside][data]
         value *= _powers(int(place.max()) + 1)[place]
         names = mix(np.add.reduceat(value, starts) ^ (ends - starts).astype(U))
     else:
