@@ -36,8 +36,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _step(depth: int) -> int:
-    """Letters on the edges that leave a depth: one up to 16, then about an eighth of the depth."""
-    return max(1, 1 << max(0, depth.bit_length() - 4))
+    """Letters on the edges that leave a depth: one up to 8, then an eighth to a quarter of the depth."""
+    return 1 << max(0, depth.bit_length() - 3)
 
 
 def _depths(least: int, most: int) -> list[int]:

@@ -138,8 +138,8 @@ def variant_texts():
     ends = ["xabcdefgh", "abcdefg", "bcdefgh", "aabbccdd", "aabbccd", "abbccdd", "aabccdd", "aabbccddd", "ÀÉÎõüÿß", "àÉÎõüÿß", "ÀÉÎõüÿßa"] * 2
     rng = random.Random(9)
     mixed = ["".join(rng.choice("ab") for _ in range(rng.randint(7, 11))) for _ in range(900)] * 2
-    body = "lo" * 20_000
-    deep = [body + "ng", body + "nh", body + "g", body[:9000] + "x" + body[9000:] + "ng", "p" * 70, "p" * 71, "q" + "p" * 70, "p" * 35 + "r" + "p" * 34] * 2
+    body = "lo" * 1_000
+    deep = [body + "ng", body + "nh", body + "g", body[:900] + "x" + body[900:] + "ng", "p" * 70, "p" * 71, "q" + "p" * 70, "p" * 35 + "r" + "p" * 34] * 2
     return [(1, " ".join(chain)), (2, " ".join(ends)), (3, " ".join(mixed).upper()), (4, " ".join(deep)), (5, None), (None, "abcdefgh abcdefgh 12"), (5, ""), (6, "one"), (2, " ".join(ends))]
 
 
