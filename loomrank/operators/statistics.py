@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,33 +53,223 @@ def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
     return F.try_divide(cov, F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy))
 
 
-def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | None = None) -> DataFrame:
+#: replicates that one task works out together
+BLOCK = 256
+#: clusters, or cells, of a key that one task may hold; with more of them replicates are joined to rows
+HELD = 1 << 20
+#: cells x replicates of a weight matrix held at once
+MATRIX = 1 << 21
+#: numbers that a worker keeps
+KEPT = 1 << 23
+_KEPT: dict[tuple[int, str], np.ndarray] = {}
+
+
+def raw_draws(replicates: Iterable[int], prefix: str, n: int) -> np.ndarray:
+    """The numbers of :func:`draw` before they are taken modulo ``n``, a row per replicate; kept for the other keys of a task."""
+    rows = []
+    if sum(map(len, _KEPT.values())) > KEPT:
+        _KEPT.clear()
+    for b in replicates:
+        have = _KEPT.get((b, prefix), np.zeros(0, np.uint32))
+        if len(have) < n:
+            more = b"".join(hashlib.md5(f"{b}:{prefix}{i}".encode()).digest()[:4] for i in range(len(have), n))
+            have = _KEPT[b, prefix] = np.concatenate([have, np.frombuffer(more, ">u4").astype(np.uint32)])
+        rows.append(have[:n])
+    return np.array(rows).reshape(-1, n)
+
+
+def counts_drawn(replicates: Iterable[int], prefix: str, n: int) -> np.ndarray:
+    """How often each of n items is drawn in each replicate."""
+    picks = raw_draws(replicates, prefix, n) % n
+    at = picks.astype(np.int64) + n * np.arange(len(picks))[:, None]
+    return np.bincount(at.ravel(), minlength=n * len(picks)).reshape(-1, n)
+
+
+def in_blocks(df: DataFrame, keys: list[str], replicates: int, run: Callable[[tuple, pd.DataFrame, range], pd.DataFrame], schema: str) -> DataFrame:
+    """``run(key, rows, replicates)`` for every key and block of replicates; rows are sent once for each block, not for each replicate."""
+    blocks = df.sparkSession.range(-(-replicates // BLOCK)).select(F.col("id").alias("_block"))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[-1]) * BLOCK
+        return run(key[:-1], pdf, range(first, min(first + BLOCK, replicates)))
+
+    return df.crossJoin(F.broadcast(blocks)).groupBy(*keys, "_block").applyInPandas(one, schema)
+
+
+def most_rows(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _typed(df: DataFrame, keys: list[str], rest: str) -> str:
+    return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + rest
+
+
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _correlations(n, sx, sy, sxx, syy, sxy) -> np.ndarray:
+    """:func:`from_sums` of arrays; NaN where a side does not vary."""
+    below = np.sqrt(np.maximum(n * sxx - sx * sx, 0)) * np.sqrt(np.maximum(n * syy - sy * sy, 0))
+    return np.divide(n * sxy - sx * sy, below, out=np.full(len(n), np.nan), where=below > 0)
+
+
+def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
     """``keys, b, r``: correlation of each replicate of resampled clusters, within ``keys``.
 
-    Sums are one row per cluster; draws are replicates x clusters rows of one
-    number, generated where they are used, never the data rows again.
+    Sums are one row per cluster. A task draws for a block of replicates and multiplies
+    the counts with the sums. Keys of more than ``held`` clusters join draws to sums instead.
     """
     keys = keys or []
+    if most_rows(sums, keys) > held:
+        return _joined_replicates(sums, replicates, keys)
+
+    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+        pdf = pdf.sort_values("c")
+        total = counts_drawn(reps, "", len(pdf)) @ pdf[SUMS].to_numpy(float)
+        r = _correlations(*total.T)
+        return pd.DataFrame({**{k: [v] * len(r) for k, v in zip(keys, key, strict=True)}, "b": list(reps), "r": r})
+
+    found = in_blocks(sums.select(*keys, "c", *SUMS), keys, replicates, run, _typed(sums, keys, "b long, r double"))
+    return found.withColumn("r", F.nanvl("r", F.lit(None)))
+
+
+def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
     n = sums.groupBy(*keys).agg(F.count("*").alias("k"))
     reps = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     draws = reps.select(*keys, "b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("i"))
     draws = draws.select(*keys, "b", draw(F.col("b"), F.col("i"), F.col("k")).alias("c"))
-    g = draws.join(sums, [*keys, "c"]).groupBy(*keys, "b")
-    cols = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-    tot = g.agg(*[F.sum(c).alias(c) for c in cols])
-    return tot.select(*keys, "b", from_sums(*[F.col(c) for c in cols]).alias("r"))
+    tot = draws.join(sums, [*keys, "c"]).groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return tot.select(*keys, "b", from_sums(*[F.col(c) for c in SUMS]).alias("r"))
 
 
-def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None) -> DataFrame:
+def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
     """``keys, p``: share of replicates, the seen one counted in, whose covariance is as large when clusters change sign."""
     keys = keys or []
     m = sums.groupBy(*keys).agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
     with_means = sums.join(m, keys) if keys else sums.crossJoin(F.broadcast(m))
     z = with_means.select(*keys, "c", F.expr("sxy - mx * sy - my * sx + n * mx * my").alias("z"))
-    flips = z.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    sign = F.when(draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
-    f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), F.abs(F.sum("z")).alias("seen"))
-    return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
+    if most_rows(sums, keys) > held:
+        flips = z.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+        sign = F.when(draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
+        f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), F.abs(F.sum("z")).alias("seen"))
+        return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
+
+    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+        own = pdf.sort_values("c")["z"].to_numpy()
+        signs = np.where(raw_draws(reps, "", len(own)) % 2 == 0, 1.0, -1.0)
+        large = int((np.abs(signs @ own) >= abs(own.sum())).sum())
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "large": [large]})
+
+    found = in_blocks(z, keys, replicates, run, _typed(sums, keys, "large long"))
+    return found.groupBy(*keys).agg(((1 + F.sum("large")) / F.lit(replicates + 1.0)).alias("p"))
+
+
+def bootstrap_means(rows: DataFrame, replicates: int, group: str, order: str, value: str, held: int = HELD) -> DataFrame:
+    """``group, b, m``: the mean of each replicate of a group's resampled values; draws are named by the group."""
+    x = spread.number_rows(rows.select(group, order, value), [group], [order], "_i", "_k").withColumn("_i", F.col("_i") - 1)
+    if most_rows(rows, [group]) > held:
+        reps = rows.sparkSession.range(replicates).select(F.col("id").alias("b"))
+        d = x.crossJoin(F.broadcast(reps)).select("b", group, draw(F.col("b"), F.concat(group, F.col("_i").cast("string")), F.col("_k")).alias("_i"))
+        return d.join(x.select(group, "_i", value), [group, "_i"]).groupBy(group, "b").agg(F.avg(value).alias("m"))
+
+    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+        own = pdf.sort_values("_i")[value].to_numpy(float)
+        means = counts_drawn(reps, str(key[0]), len(own)) @ own / len(own)
+        return pd.DataFrame({group: [key[0]] * len(means), "b": list(reps), "m": means})
+
+    return in_blocks(x.select(group, "_i", value), [group], replicates, run, _typed(rows, [group], "b long, m double"))
+
+
+def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
+    """Crossed two-way bootstrap over a (donor, carrier) cell table: ``keys, b, r`` of weighted rank correlations.
+
+    A cell weighs the times its donor was drawn times the times its carrier was.
+    Names are numbered in order, draws are numbers from a hash of the replicate and a
+    place. A task sorts the cells of a key once and works out a block of replicates as
+    matrices: weighted mid-ranks are cumulative sums over sorted cells. Keys of more than
+    ``held`` cells join draws to cells instead. Cells without one of the values take no
+    part; replicates of no weight, or of one value, have no ``r``.
+    """
+    keys = keys or []
+    cells = cells.where("x is not null and y is not null")
+    if most_rows(cells, keys) > held:
+        return _joined_crossed(cells, replicates, keys)
+
+    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+        donors, donor = np.unique(pdf["donor"].to_numpy(), return_inverse=True)
+        carriers, carrier = np.unique(pdf["carrier"].to_numpy(), return_inverse=True)
+        sides = []
+        for v in ("x", "y"):
+            values, group = np.unique(pdf[v].to_numpy(float), return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            sides.append((group, order, np.searchsorted(group[order], np.arange(len(values)), "right") - 1))
+        out = []
+        step = max(1, MATRIX // len(pdf))
+        for at in range(0, len(reps), step):
+            part = reps[at : at + step]
+            w = counts_drawn(part, "donor/", len(donors))[:, donor].T * counts_drawn(part, "carrier/", len(carriers))[:, carrier].T
+            n, sums, ranks = w.sum(0).astype(float), [], []
+            for group, order, last in sides:
+                upto = np.cumsum(w[order], axis=0)[last]
+                own = np.diff(upto, axis=0, prepend=0)
+                mid = upto - (own - 1) / 2.0
+                sums.append(((own * mid).sum(0), (own * mid * mid).sum(0)))
+                ranks.append(mid[group])
+            (sx, sxx), (sy, syy) = sums
+            out.append(_correlations(n, sx, sy, sxx, syy, np.einsum("cb,cb,cb->b", w, *ranks)))
+        r = np.concatenate(out)
+        return pd.DataFrame({**{k: [v] * len(r) for k, v in zip(keys, key, strict=True)}, "b": list(reps), "r": r})
+
+    found = in_blocks(cells.select(*keys, "donor", "carrier", "x", "y"), keys, replicates, run, _typed(cells, keys, "b long, r double"))
+    return found.withColumn("r", F.nanvl("r", F.lit(None)))
+
+
+def _joined_crossed(cells: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
+    reps = cells.sparkSession.range(replicates).select(F.col("id").alias("b"))
+
+    def counts(name: str) -> DataFrame:
+        names = spread.number_rows(cells.select(*keys, name).distinct(), keys, [name], "i", "k").withColumn("i", F.col("i") - 1)
+        drawn = names.crossJoin(F.broadcast(reps)).select(*keys, "b", draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
+        return drawn.groupBy(*keys, "b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select(*keys, "i", name), [*keys, "i"]).select(*keys, "b", name, f"n_{name}")
+
+    w = cells.join(counts("donor"), [*keys, "donor"]).join(counts("carrier"), [*keys, "b", "carrier"]).select(*keys, "b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
+    for v in ("x", "y"):
+        g = w.groupBy(*keys, "b", v).agg(F.sum("w").alias("g"))
+        g = spread.running(g, [*keys, "b"], [v], {"upto": ("sum", F.col("g"))})
+        w = w.join(g.select(*keys, "b", v, (F.col("upto") - (F.col("g") - 1) / 2.0).alias(f"r{v}")), [*keys, "b", v])
+    sums = [F.sum(F.expr(e)).cast("double").alias(n) for n, e in (("n", "w"), ("sx", "w * rx"), ("sy", "w * ry"), ("sxx", "w * rx * rx"), ("syy", "w * ry * ry"), ("sxy", "w * rx * ry"))]
+    tot = w.groupBy(*keys, "b").agg(*sums)
+    return tot.select(*keys, "b", from_sums(*[F.col(c) for c in SUMS]).alias("r"))
+
+
+def nested_spearman(df: DataFrame, keys: list[str], x: str, y: str, by: str, thresholds: list[float]) -> DataFrame:
+    """``keys, threshold, rho, n, retained``: rank correlation of the rows with ``by`` <= each threshold, and their percent of all rows.
+
+    Rows are counted once by their values and their band, the first threshold they
+    pass. For every value, counts are summed up over bands, and running sums of these
+    are its ranks in every subset at once; no row is repeated in a shuffle. Rows
+    without one of the values take no part; a subset without rows has no result.
+    """
+    at = sorted(thresholds)
+    band = F.coalesce(*[F.when(F.col(by) <= t, i) for i, t in enumerate(at)]) if at else F.lit(None).cast("int")
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(by).isNotNull())
+    counted = spread.cut(rows.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.coalesce(band, F.lit(len(at))).alias("_band")).groupBy(*keys, "_x", "_y", "_band").agg(F.count("*").alias("_n")))
+    ranked = counted.where(F.col("_band") < len(at))
+    for v in ("_x", "_y"):
+        upto = [f"_u{i}" for i in range(len(at))]
+        held = ranked.groupBy(*keys, v).agg(*[F.sum(F.when(F.col("_band") <= i, F.col("_n")).otherwise(0)).alias(f"_c{i}") for i in range(len(at))])
+        held = spread.running(held, keys, [v], {u: ("sum", F.col(f"_c{i}")) for i, u in enumerate(upto)})
+        ranks = F.array(*[F.col(u) - (F.col(f"_c{i}") - 1) / 2.0 for i, u in enumerate(upto)])
+        ranked = spread.join_on_keys(ranked, held.select(*keys, v, ranks.alias(f"_r{v}")), [*keys, v])
+    each = ranked.select(*keys, F.col("_n").cast("double").alias("n"), F.explode(F.sequence("_band", F.lit(len(at) - 1))).alias("_t"), "_r_x", "_r_y")
+    each = each.select(*keys, "_t", "n", F.expr("_r_x[_t]").alias("rx"), F.expr("_r_y[_t]").alias("ry"))
+    sums = [F.sum(F.expr(e)).alias(c) for c, e in zip(SUMS, ("n", "n * rx", "n * ry", "n * rx * rx", "n * ry * ry", "n * rx * ry"), strict=True)]
+    total = counted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    out = spread.join_on_keys(each.groupBy(*keys, "_t").agg(*sums), total, keys) if keys else each.groupBy("_t").agg(*sums).crossJoin(F.broadcast(total))
+    threshold = F.array(*[F.lit(float(t)) for t in at])[F.col("_t")]
+    rho = F.when(F.col("n") >= 3, from_sums(*[F.col(c) for c in SUMS]))
+    return out.select(*keys, threshold.alias("threshold"), rho.alias("rho"), F.col("n").cast("long").alias("n"), (100.0 * F.col("n") / F.col("_all")).alias("retained"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: str, keys: list[str]) -> DataFrame:
@@ -93,17 +286,6 @@ def holm(df: DataFrame, p: str, tie: str, keys: list[str]) -> DataFrame:
     return found.withColumn("adjusted", F.least(F.lit(1.0), "adjusted")).drop("_r", "_n")
 
 
-def mcnemar_exact(a: Column, b: Column) -> Column:
-    """Two-sided exact binomial p of the discordant counts, log factorials summed in the expression."""
-    n, k = a + b, F.least(a, b)
-
-    def lfact(x: Column) -> Column:
-        return F.when(x < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(x, F.lit(2).cast("long"))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double"))))
-
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(lfact(n) - lfact(i) - lfact(n - i) - n * math.log(2)))
-    return F.least(F.lit(1.0), 2 * tail)
-
-
 def _beta_cf(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
@@ -119,6 +301,25 @@ def _beta_cf(a: float, b: float, x: float) -> float:
     return h
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1 or a <= 0:
+        return float(x >= 1 or a <= 0)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
+
+
+def mcnemar_exact(a: Column, b: Column) -> Column:
+    """Two-sided exact binomial p of discordant counts: the tail of a fair coin is an incomplete beta, whatever the counts."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [None if math.isnan(x) or math.isnan(y) else min(1.0, 2 * beta_share(max(x, y), min(x, y) + 1, 0.5)) for x, y in zip(a.astype(float), b.astype(float), strict=True)]
+        return pd.Series(found, dtype="float64")
+
+    return run(a, b)
+
+
 def t_two_sided(r: float | None, n: float | None) -> float | None:
     """p-value of a correlation of n rows by the t approximation."""
     if r is None or n is None or math.isnan(r) or n < 3:
@@ -126,10 +327,7 @@ def t_two_sided(r: float | None, n: float | None) -> float | None:
     if abs(r) >= 1:
         return 0.0
     v = n - 2
-    x = v / (v + r * r * v / (1 - r * r))
-    a, b = v / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    return front * _beta_cf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_cf(b, a, 1 - x) / b
+    return beta_share(v / 2, 0.5, v / (v + r * r * v / (1 - r * r)))
 
 
 def correlation_p(r: str, n: Column) -> Column:

@@ -12,7 +12,8 @@ from .base import query
 from .projections import KQ, K
 
 E = f"(SELECT event_id, user_id, event_type, value AS x, ({KQ})::DOUBLE AS y FROM events)"
-B = 40
+#: replicates of every resampling
+B = 10_000
 
 
 def _ev(t):
@@ -41,24 +42,43 @@ def t3(t):
     return long.groupBy("event_type", "metric").agg(F.round(S.pearson("x", "v"), 9).alias("r"), F.count("*").alias("n"))
 
 
-_SWEEP = f"(SELECT e.*, g.t::DOUBLE AS t FROM {E} e, (SELECT unnest([2, 5, 10, 20, 30]) AS t) g WHERE x <= g.t)"
+_GRID = "(SELECT unnest(range(31)) AS t)"
+_SWEEP = f"(SELECT e.*, g.t::DOUBLE AS t FROM {E} e, {_GRID} g WHERE x <= g.t)"
 
 
-@query("t4_threshold_sweep", f"SELECT t, event_type, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM {_ranked_sql(_SWEEP, 't, event_type')} GROUP BY 1, 2")
+@query(
+    "t4_threshold_sweep",
+    f"""SELECT t, event_type, round(CASE WHEN count(*) >= 3 THEN corr(rx, ry) END, 9) AS rho, count(*) AS n, round(100.0 * count(*) / any_value(al), 9) AS retained
+        FROM {_ranked_sql(_SWEEP, 't, event_type')} JOIN (SELECT event_type, count(*) AS al FROM events GROUP BY 1) USING (event_type) GROUP BY 1, 2""",
+)
 def t4(t):
-    """Rows are repeated only for thresholds they pass; ranks are redone per threshold, as they must be."""
-    e = _ev(t).withColumn("t", F.explode(F.array(*[F.lit(float(x)) for x in (2, 5, 10, 20, 30)]))).where("x <= t")
-    return S.spearman(e, ["t", "event_type"], "x", "y").withColumn("rho", F.round("rho", 9))
+    """Thresholds 0 to 30 on x; each subset lies in the next, so values are counted once and ranked for all of them together."""
+    found = S.nested_spearman(_ev(t), ["event_type"], "x", "y", "x", list(range(31)))
+    return found.select(F.col("threshold").alias("t"), "event_type", F.round("rho", 9).alias("rho"), "n", F.round("retained", 9).alias("retained"))
 
 
-_PCT = f"(SELECT *, 100.0 * (rank() OVER (PARTITION BY user_id ORDER BY x) + (count(*) OVER (PARTITION BY user_id, x) - 1) / 2.0) / count(*) OVER (PARTITION BY user_id) AS pct FROM {E})"
+_PCT = f"""(SELECT *, 100.0 * (rank() OVER (PARTITION BY user_id ORDER BY x) + (count(*) OVER (PARTITION BY user_id, x) - 1) / 2.0) / count(*) OVER (PARTITION BY user_id) AS pct,
+    100.0 * (x - min(x) OVER (PARTITION BY user_id)) / (quantile_cont(x, 0.1) OVER (PARTITION BY user_id) - min(x) OVER (PARTITION BY user_id) + 1e-8) AS diff FROM {E})"""
+_SWEEP5 = f"""(SELECT e.*, 'rank' AS measure, g.p::DOUBLE AS p FROM {_PCT} e, (SELECT unnest(range(5, 100, 5)) AS p) g WHERE pct <= g.p
+    UNION ALL SELECT e.*, 'best', g.p::DOUBLE FROM {_PCT} e, (SELECT unnest(range(5, 55, 5)) AS p) g WHERE diff <= g.p)"""
 
 
-@query("t5_percent_sweep", f"SELECT p, round(corr(rx, ry), 9) AS rho, count(*) AS n FROM {_ranked_sql(f'(SELECT e.*, g.p::DOUBLE AS p FROM {_PCT} e, (SELECT unnest([5, 25, 50, 95]) AS p) g WHERE pct <= g.p)', 'p')} GROUP BY 1")
+@query("t5_percent_sweep", f"SELECT measure, p, round(CASE WHEN count(*) >= 3 THEN corr(rx, ry) END, 9) AS rho, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 9) AS retained FROM {_ranked_sql(_SWEEP5, 'measure, p')} GROUP BY 1, 2")
 def t5(t):
-    pct = 100.0 * T.average_rank("x", ["user_id"]) / F.count("*").over(Window.partitionBy("user_id"))
-    e = _ev(t).withColumn("pct", pct).withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in (5, 25, 50, 95)]))).where("pct <= p")
-    return S.spearman(e, ["p"], "x", "y").withColumn("rho", F.round("rho", 9))
+    """Two nested sweeps: a user's rows up to a percent of them, and rows up to a difference from the user's best.
+
+    The difference is in percent of that between the best and the lowest decile.
+    """
+    e = spread.cut(_ev(t).select("user_id", "x", "y"))
+    counts = e.groupBy("user_id").agg(F.count("x").alias("k"), F.min("x").alias("best"))
+    ranked = spread.average_ranks(e, ["user_id"], "x", "r")
+    ranked = spread.join_on_keys(ranked, spread.join_on_keys(counts, spread.quantiles(e, ["user_id"], "x", {"decile": 0.1}), ["user_id"]), ["user_id"])
+    both = spread.cut(ranked.select("x", "y", (100.0 * F.col("r") / F.col("k")).alias("pct"), (100.0 * (F.col("x") - F.col("best")) / (F.col("decile") - F.col("best") + 1e-8)).alias("diff")))
+    found = [
+        S.nested_spearman(both, [], "x", "y", by, list(range(5, end, 5))).select(F.lit(measure).alias("measure"), F.col("threshold").alias("p"), F.round("rho", 9).alias("rho"), "n", F.round("retained", 9).alias("retained"))
+        for measure, by, end in (("rank", "pct", 100), ("best", "diff", 55))
+    ]
+    return found[0].unionByName(found[1])
 
 
 _CL = f"(SELECT *, row_number() OVER (ORDER BY user_id) - 1 AS c FROM (SELECT user_id, count(*) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * rx) AS sxx, sum(ry * ry) AS syy, sum(rx * ry) AS sxy FROM {_ranked_sql(E, '1=1')} GROUP BY 1))"
@@ -108,41 +128,13 @@ def t8(t):
     return d.agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"), F.least(F.lit(1.0), p).alias("p"))
 
 
-def crossed_bootstrap(cells, replicates: int, keys: list[str] | None = None):
-    """Crossed two-way bootstrap over a (donor, carrier) cell table: ``keys, b, r`` of weighted rank correlations.
-
-    A cell weighs the times its donor was drawn times the times its carrier was.
-    Names are numbered in order, draws are numbers from a hash of the replicate and
-    a place, and only (replicate, name, count) rows are joined to the cells; weighted
-    mid-ranks are running sums by replicate. Replicates of no weight, or of one
-    value, have no ``r``.
-    """
-    keys, spark = keys or [], cells.sparkSession
-    reps = spark.range(replicates).select(F.col("id").alias("b"))
-
-    def counts(name: str):
-        names = spread.number_rows(cells.select(*keys, name).distinct(), keys, [name], "i", "k").withColumn("i", F.col("i") - 1)
-        drawn = names.crossJoin(F.broadcast(reps)).select(*keys, "b", S.draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
-        return drawn.groupBy(*keys, "b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select(*keys, "i", name), [*keys, "i"]).select(*keys, "b", name, f"n_{name}")
-
-    donors, carriers = counts("donor"), counts("carrier")
-    w = cells.join(donors, [*keys, "donor"]).join(carriers, [*keys, "b", "carrier"]).select(*keys, "b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
-    for v in ("x", "y"):
-        g = w.groupBy(*keys, "b", v).agg(F.sum("w").alias("g"))
-        g = spread.running(g, [*keys, "b"], [v], {"upto": ("sum", F.col("g"))})
-        w = w.join(g.select(*keys, "b", v, (F.col("upto") - (F.col("g") - 1) / 2.0).alias(f"r{v}")), [*keys, "b", v])
-    sums = [F.sum(F.expr(e)).cast("double").alias(n) for n, e in (("n", "w"), ("sx", "w * rx"), ("sy", "w * ry"), ("sxx", "w * rx * rx"), ("syy", "w * ry * ry"), ("sxy", "w * rx * ry"))]
-    tot = w.groupBy(*keys, "b").agg(*sums)
-    return tot.select(*keys, "b", S.from_sums(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"))
-
-
 def _cells(t):
     return _ev(t).groupBy(F.col("user_id").alias("donor"), F.col("event_type").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
 
 
 @query("t9_crossed_bootstrap")
 def t9(t):
-    return crossed_bootstrap(_cells(t), 200).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.count("r").alias("n"))
+    return S.crossed_bootstrap(_cells(t), B).agg(F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"), F.count("r").alias("n"))
 
 
 def subset_statistics(rows, replicates: int):
@@ -161,7 +153,7 @@ def subset_statistics(rows, replicates: int):
     one_way = spread.quantiles(S.bootstrap_replicates(sums, replicates, keys), keys, "r", {"low": 0.025, "high": 0.975})
     flips = S.sign_flip(sums, replicates, keys).withColumnRenamed("p", "flip_p")
     cells = rows.groupBy("subset", F.col("cluster").alias("donor"), F.col("region").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
-    crossed = spread.quantiles(crossed_bootstrap(cells, replicates, ["subset"]), ["subset"], "r", {"crossed_low": 0.025, "crossed_high": 0.975})
+    crossed = spread.quantiles(S.crossed_bootstrap(cells, replicates, ["subset"]), ["subset"], "r", {"crossed_low": 0.025, "crossed_high": 0.975})
     return rho.join(q, keys, "left").join(one_way, keys, "left").join(flips, keys, "left").join(crossed, "subset", "left")
 
 
@@ -189,12 +181,12 @@ def t12(t):
 
 @query(
     "t13_mcnemar",
-    """WITH u AS (SELECT user_id, avg(value) FILTER (event_type = 'click') < 8 AS a, avg(value) FILTER (event_type = 'view') < 8 AS b FROM events GROUP BY 1), c AS (SELECT count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM u),
+    """WITH u AS (SELECT user_id, avg(value) FILTER (event_type = 'click') < 50 AS a, avg(value) FILTER (event_type = 'view') < 50 AS b FROM events GROUP BY 1), c AS (SELECT count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM u),
        k AS (SELECT x, y, unnest(range(least(x, y) + 1)) AS i FROM c) SELECT x, y, round(least(1.0, 2 * sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2)))), 9) AS p FROM k GROUP BY 1, 2""",
 )
 def t13(t):
     u = t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    c = u.agg(F.count_if(F.expr("click < 8 and not view < 8")).alias("x"), F.count_if(F.expr("view < 8 and not click < 8")).alias("y"))
+    c = u.agg(F.count_if(F.expr("click < 50 and not view < 50")).alias("x"), F.count_if(F.expr("view < 50 and not click < 50")).alias("y"))
     return c.select("x", "y", F.round(S.mcnemar_exact(F.col("x"), F.col("y")), 9).alias("p"))
 
 
@@ -202,12 +194,14 @@ def t13(t):
 def t14(t):
     """Signed-rank sums without zeros, tie correction, and the normal tail."""
     u = t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    d = u.select((F.col("click") - F.col("view")).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
+    both = u.select((F.col("click") - F.col("view")).alias("d"))
+    tied = both.agg(F.count_if(F.col("d") == 0).alias("tied"))
+    d = both.where("d <> 0").withColumn("a", F.abs("d"))
     ties = d.groupBy("a").agg(F.count("*").alias("m")).agg(F.sum(F.expr("m * m * m - m")).alias("ties"))
     r = T.global_average_rank(d, "a")
-    s = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("w_minus"), F.count_if(F.col("d") > 0).alias("higher"), F.count_if(F.col("d") < 0).alias("lower")).crossJoin(ties)
+    s = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0)).alias("w_minus"), F.count_if(F.col("d") > 0).alias("higher"), F.count_if(F.col("d") < 0).alias("lower")).crossJoin(ties).crossJoin(tied)
     mean, var = F.expr("n * (n + 1) / 4"), F.expr("n * (n + 1) * (2 * n + 1) / 24 - ties / 48")
-    return s.select("n", "w_plus", "w_minus", "higher", "lower", S.normal_two_sided(F.try_divide(F.col("w_plus") - mean, F.sqrt(var))).alias("p"))
+    return s.select("n", "w_plus", "w_minus", "higher", "lower", "tied", S.normal_two_sided(F.try_divide(F.col("w_plus") - mean, F.sqrt(var))).alias("p"))
 
 
 @query("t15_auc", "WITH r AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM labels JOIN documents USING (doc_id)), s AS (SELECT sum(r) FILTER (toxic = 1) AS s, count(*) FILTER (toxic = 1) AS a, count(*) FILTER (toxic = 0) AS b FROM r) SELECT round((s - a * (a + 1) / 2.0) / (a * b), 9) AS auc FROM s")
@@ -225,10 +219,7 @@ def t15(t):
 )
 def t16(t):
     u = t.events.where(F.col("event_type").isin("click", "view")).groupBy(F.col("event_type").alias("g"), "user_id").agg(F.avg("value").alias("v"))
-    x = spread.number_rows(u, ["g"], ["user_id"], "i", "k").withColumn("i", F.col("i") - 1)
-    reps = t.spark.range(B).select(F.col("id").alias("b"))
-    d = x.crossJoin(F.broadcast(reps)).select("b", "g", S.draw(F.col("b"), F.concat("g", F.col("i").cast("string")), F.col("k")).alias("i"))
-    m = d.join(x.select("g", "i", "v"), ["g", "i"]).groupBy("b").agg((F.avg(F.when(F.col("g") == "click", F.col("v"))) - F.avg(F.when(F.col("g") == "view", F.col("v")))).alias("r"))
+    m = S.bootstrap_means(u, B, "g", "user_id", "v").groupBy("b").agg((F.max(F.when(F.col("g") == "click", F.col("m"))) - F.max(F.when(F.col("g") == "view", F.col("m")))).alias("r"))
     return m.agg(F.round(F.percentile("r", 0.025), 6).alias("low"), F.round(F.percentile("r", 0.975), 6).alias("high"))
 
 

@@ -14,7 +14,8 @@ from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
 from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
 from loomrank.operators.search import containing, greedy_clusters, nearest_by_blocks, redundancy_levels
-from loomrank.plans.statistics import crossed_bootstrap, subset_statistics
+from loomrank.operators.statistics import crossed_bootstrap
+from loomrank.plans.statistics import subset_statistics
 from loomrank.sources import files as R
 from loomrank.streaming.intake import intake, latest, tally
 
@@ -146,11 +147,12 @@ def test_nearest_by_blocks_matches_numpy(spark):
     assert nearest_by_blocks(df.where("id < 0"), df, 7).count() == 0
 
 
-def test_crossed_bootstrap_matches_numpy(spark):
+@pytest.mark.parametrize("held", [statistics.HELD, 1])
+def test_crossed_bootstrap_matches_numpy(spark, held):
     rng = np.random.default_rng(4)
     rows = [(f"d{i}", f"c{j}", float(rng.integers(0, 9)), float(rng.integers(0, 9))) for i in range(6) for j in range(5) if rng.random() < 0.9]
     cells = spark.createDataFrame(rows, "donor string, carrier string, x double, y double")
-    got = {r["b"]: r["r"] for r in crossed_bootstrap(cells, 20).collect()}
+    got = {r["b"]: r["r"] for r in crossed_bootstrap(cells, 20, held=held).collect()}
 
     def drawn(b, kind, names):
         picks = [int(hashlib.md5(f"{b}:{kind}/{i}".encode()).hexdigest()[:8], 16) % len(names) for i in range(len(names))]
@@ -402,3 +404,72 @@ def test_confidence_files(spark, tmp_path):
     assert [tuple(r) for r in one] == [("t1", "7", "3", 0.5, None, 80.0, "t1/seed_7/predictions/t1_summary_confidence_sample_3.json")]
     two = R.read_confidence(spark, str(tmp_path), "rf3", {"ptm": "mine"}, 100.0).collect()
     assert [tuple(r)[:6] for r in two] == [("t2", "4", "0", 0.25, 3.0, 90.0)]
+
+
+def test_replicates_in_blocks_equal_joined_ones(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, f"u{c}", float(rng.integers(0, 9)), float(rng.normal())) for k in ("a", None) for c in range(7) for _ in range(4)]
+    df = spark.createDataFrame(rows, "k string, u string, x double, y double")
+    sums = statistics.cluster_sums(df.where("k = 'a'"), "u", "x", "y", ["k"])
+    for f, by in ((statistics.bootstrap_replicates, ("k", "b")), (statistics.sign_flip, ("k",))):
+        one, other = ({tuple(r[c] for c in by): r[-1] for r in f(sums, 600, ["k"], held=held).collect()} for held in (statistics.HELD, 1))
+        assert one == pytest.approx(other) and len(one) == (600 if "b" in by else 1)
+    values = df.where("k = 'a'").groupBy("u").agg(F.avg("x").alias("v")).withColumn("g", F.lit("g"))
+    one, other = ({r["b"]: r["m"] for r in statistics.bootstrap_means(values, 300, "g", "u", "v", held=held).collect()} for held in (statistics.HELD, 1))
+    assert one == pytest.approx(other) and len(one) == 300
+    constant = statistics.cluster_sums(df.withColumn("x", F.lit(1.0)), "u", "x", "y")
+    assert statistics.bootstrap_replicates(constant, 10).where("r is not null").count() == 0
+
+
+def test_nested_spearman_matches_each_subset(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, *(None if rng.random() < 0.05 else float(v) for v in (rng.integers(0, 12), rng.integers(0, 5), rng.normal() * 5))) for k in ("a", "b", None) for _ in range(90)]
+    rows += [("few", 1.0, 2.0, 0.0), ("few", 2.0, 3.0, 50.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    at = [-6, -1, 0, 2.5, 20]
+    got = {(r["k"], r["threshold"]): (r["rho"], r["n"], r["retained"]) for r in statistics.nested_spearman(df, ["k"], "x", "y", "z", at).collect()}
+    want = {}
+    for k in ("a", "b", None, "few"):
+        full = np.array([r[1:] for r in rows if r[0] == k and None not in r[1:]])
+        for t in at:
+            part = full[full[:, 2] <= t]
+            if len(part):
+                rho = np.corrcoef(ranks(part[:, 0]), ranks(part[:, 1]))[0, 1] if len(part) >= 3 and np.ptp(part[:, 0]) and np.ptp(part[:, 1]) else None
+                want[k, t] = (rho, len(part), 100 * len(part) / len(full))
+    assert set(got) == set(want)
+    for k, (rho, n, kept) in want.items():
+        assert got[k][1:] == (n, pytest.approx(kept))
+        assert got[k][0] == (None if rho is None else pytest.approx(rho, abs=1e-9))
+
+
+def test_mcnemar_tail_is_exact(spark):
+    counts = [(0, 0), (0, 1), (3, 1), (5, 5), (12, 30), (100_000, 100_900), (None, 2)]
+    got = [r["p"] for r in spark.createDataFrame(counts, "a long, b long").select(statistics.mcnemar_exact(F.col("a"), F.col("b")).alias("p")).collect()]
+    for (a, b), p in zip(counts[:5], got):
+        assert p == pytest.approx(min(1, 2 * sum(math.comb(a + b, i) for i in range(min(a, b) + 1)) / 2 ** (a + b)), abs=1e-12)
+    # a normal tail with continuity correction, good to four digits at such counts
+    assert got[5] == pytest.approx(math.erfc((900 - 1) / math.sqrt(200_900) / math.sqrt(2)), rel=1e-4)
+    assert got[6] is None
+
+
+def test_wilcoxon_row(spark):
+    from statistics import NormalDist
+
+    r = plans.QUERIES["t14_wilcoxon"](spark, SF).first()
+    users = {}
+    for x in spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "value").collect():
+        users.setdefault(x[0], {}).setdefault(x[1], []).append(x[2])
+    d = [np.mean(u["click"]) - np.mean(u["view"]) for u in users.values() if "click" in u and "view" in u]
+    tied, d = d.count(0), np.array([x for x in d if x])
+    a = np.abs(d)
+    rank = np.array([(a < x).sum() + ((a == x).sum() + 1) / 2 for x in a])
+    n, sizes = len(d), np.unique(a, return_counts=True)[1]
+    spread_ = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - (sizes**3 - sizes).sum() / 48)
+    z = (rank[d > 0].sum() - n * (n + 1) / 4) / spread_
+    want = (n, rank[d > 0].sum(), rank[d < 0].sum(), (d > 0).sum(), (d < 0).sum(), tied)
+    assert (r["n"], r["w_plus"], r["w_minus"], r["higher"], r["lower"], r["tied"]) == want
+    assert r["p"] == pytest.approx(2 * NormalDist().cdf(-abs(z)))
