@@ -135,10 +135,10 @@ def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | Non
 
 
 def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
-    n = sums.groupBy(*keys).agg(F.count("*").alias("k"))
+    n = sums.groupBy(*keys).agg(F.count("*").alias("_k"))
     reps = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    draws = reps.select(*keys, "b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("i"))
-    draws = draws.select(*keys, "b", draw(F.col("b"), F.col("i"), F.col("k")).alias("c"))
+    draws = reps.select(*keys, "b", "_k", F.explode(F.expr("sequence(0L, _k - 1)")).alias("i"))
+    draws = draws.select(*keys, "b", draw(F.col("b"), F.col("i"), F.col("_k")).alias("c"))
     tot = draws.join(sums, [*keys, "c"]).groupBy(*keys, "b").agg(*[F.sum(c).alias(c) for c in SUMS])
     return tot.select(*keys, "b", from_sums(*[F.col(c) for c in SUMS]).alias("r"))
 
@@ -229,9 +229,9 @@ def _joined_crossed(cells: DataFrame, replicates: int, keys: list[str]) -> DataF
     reps = cells.sparkSession.range(replicates).select(F.col("id").alias("b"))
 
     def counts(name: str) -> DataFrame:
-        names = spread.number_rows(cells.select(*keys, name).distinct(), keys, [name], "i", "k").withColumn("i", F.col("i") - 1)
-        drawn = names.crossJoin(F.broadcast(reps)).select(*keys, "b", draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("i").cast("string")), F.col("k")).alias("i"))
-        return drawn.groupBy(*keys, "b", "i").agg(F.count("*").alias(f"n_{name}")).join(names.select(*keys, "i", name), [*keys, "i"]).select(*keys, "b", name, f"n_{name}")
+        names = spread.number_rows(cells.select(*keys, name).distinct(), keys, [name], "_i", "_k").withColumn("_i", F.col("_i") - 1)
+        drawn = names.crossJoin(F.broadcast(reps)).select(*keys, "b", draw(F.col("b"), F.concat(F.lit(f"{name}/"), F.col("_i").cast("string")), F.col("_k")).alias("_i"))
+        return drawn.groupBy(*keys, "b", "_i").agg(F.count("*").alias(f"n_{name}")).join(names.select(*keys, "_i", name), [*keys, "_i"]).select(*keys, "b", name, f"n_{name}")
 
     w = cells.join(counts("donor"), [*keys, "donor"]).join(counts("carrier"), [*keys, "b", "carrier"]).select(*keys, "b", "x", "y", (F.col("n_donor") * F.col("n_carrier")).alias("w"))
     for v in ("x", "y"):
