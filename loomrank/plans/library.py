@@ -21,7 +21,7 @@ def _seqs(t):
 
 
 #: identity and coverage thresholds of the redundancy clusters
-LEVELS = [(0.9, 0.0), (0.9, 0.95), (0.95, 0.0), (0.98, 0.0)]
+LEVELS = [(0.85, 0.8), (0.9, 0.8), (0.9, 0.95), (0.95, 0.8), (0.98, 0.0)]
 
 
 @query("m1_redundancy_clusters")

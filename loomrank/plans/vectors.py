@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..operators import tables as T
 from ..operators.hashing import hyperplane_tokens
-from ..operators.search import nearest_by_blocks
+from ..operators.search import nearest_by_pivots
 from .base import query
 
 
@@ -120,5 +120,5 @@ def v12(t):
     "SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10",
 )
 def v13(t):
-    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where(V.usable(F.col("v")))
-    return nearest_by_blocks(e, e.where("id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
+    e = t.embeddings.select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v")).where(V.usable(F.col("v")))
+    return nearest_by_pivots(e, e.where("id % 50 = 0"), 10).select("query_id", "vec_id", "rank")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from loomrank import plans
 from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
 from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
-from loomrank.operators.search import containing, greedy_clusters, nearest_by_blocks, redundancy_levels
+from loomrank.operators.search import containing, greedy_clusters, kmer_hits, nearest_by_pivots, redundancy_levels
 from loomrank.operators.statistics import crossed_bootstrap
 from loomrank.plans.statistics import subset_statistics
 from loomrank.sources import files as R
@@ -100,13 +101,13 @@ def test_redundancy_levels_match_the_sequential_rule(spark):
             s = s[:-1]
         seqs.append((i, "".join(s)))
     df = spark.createDataFrame([*seqs, (200, None)], "id long, seq string")
-    levels = [(0.9, 0.0), (0.9, 0.98), (0.96, 0.0)]
+    levels = [(0.9, 0.0), (0.9, 0.98), (0.96, 0.0), (0.7, 0.0), (0.8, 0.8)]
     got = {(r["identity"], r["coverage"], r["member"]): r["rep"] for r in redundancy_levels(df, levels).collect()}
     assert len(got) == len(levels) * len(seqs)
     for identity, coverage in levels:
         want = _sequential_clusters(seqs, identity, coverage)
         assert all(got[identity, coverage, i] == want[s] for i, s in seqs)
-    assert len({tuple(got[i, c, m] for m in range(40)) for i, c in levels}) == len(levels)
+    assert len({tuple(got[i, c, m] for m in range(40)) for i, c in levels}) > 3
     assert {r["member"]: r["rep"] for r in greedy_clusters(df).collect()} == {m: r for (i, c, m), r in got.items() if (i, c) == levels[0]}
     assert redundancy_levels(df.where("id < 0"), levels).count() == 0
     with pytest.raises(ValueError):
@@ -118,9 +119,11 @@ def test_containing_matches_a_plain_search(spark):
     words = ["ab", "b", "", "cab", "d"]
     texts = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(60)] + [(60, None), (61, ""), (7, "d d cab b b d ab")]
     pieces = [(j, (texts[j][1] + " x")[rng.randrange(0, 3) : 3 + 4 * j]) for j in range(20)] + [(90, None), (91, "no such words are in any text"), (92, "d")]
-    got = containing(spark.createDataFrame(texts, "id long, u string"), spark.createDataFrame(pieces, "item long, f string"))
+    pieces += [(93, ""), (94, "b"), (94, "b"), (95, "b d")]
     want = sorted((j, i) for j, f in pieces for i, u in texts if f is not None and u is not None and f in u)
-    assert sorted(map(tuple, got.collect())) == want
+    for part_chars in (1 << 20, 40):
+        got = containing(spark.createDataFrame(texts, "id long, u string"), spark.createDataFrame(pieces, "item long, f string"), part_chars=part_chars)
+        assert sorted(map(tuple, got.collect())) == want
 
 
 def test_intake_skips_keys_of_earlier_shards(spark, tmp_path):
@@ -133,18 +136,53 @@ def test_intake_skips_keys_of_earlier_shards(spark, tmp_path):
     assert {r["k"]: r["n"] for r in latest(spark, out + "-tally").collect()} == {1: 2, 2: 3, 3: 2, None: 2}
 
 
-def test_nearest_by_blocks_matches_numpy(spark):
+@pytest.mark.parametrize("block_rows,pivots", [(16384, None), (7, 5), (20, 1)])
+def test_nearest_by_pivots_matches_numpy(spark, block_rows, pivots):
     rng = np.random.default_rng(8)
     x = rng.integers(0, 3, (90, 4)).astype(float)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_by_blocks(df, df.where("id % 5 = 0"), 7, block_rows=20, block_queries=6).collect()}
+    df = spark.createDataFrame([*[(i, v.tolist()) for i, v in enumerate(x)], (200, None)], "id long, v array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_by_pivots(df, df.where("id % 5 = 0"), 7, block_rows, pivots).collect()}
     assert len(got) == 18 * 7
     for q in range(0, 90, 5):
         d = ((x - x[q]) ** 2).sum(1)
         want = [i for i in np.lexsort((np.arange(90), d)) if i != q][:7]
         assert [got[q, r] for r in range(1, 8)] == want
-    assert nearest_by_blocks(df.where("id < 3"), df.where("id = 0"), 7).count() == 2
-    assert nearest_by_blocks(df.where("id < 0"), df, 7).count() == 0
+    assert nearest_by_pivots(df.where("id < 3"), df.where("id = 0"), 7, block_rows, pivots).count() == 2
+    assert nearest_by_pivots(df.where("id < 0"), df, 7, block_rows, pivots).count() == 0
+
+
+def test_nearest_by_pivots_skips_on_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(20, 16)) * 10, 50, 0) + rng.normal(size=(1000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    report = {}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in nearest_by_pivots(df, df.where("id % 50 = 0"), 5, pivots=60, report=report).collect()}
+    for q in range(0, 1000, 50):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert [got[q, r] for r in range(1, 6)] == [i for i in np.argsort(d, kind="stable") if i != q][:5]
+    assert report["compared"] < 0.3 * report["pairs"]
+
+
+def test_kmer_hits_match_a_plain_search(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(9)]
+    common = " the same four words again "
+    library = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 40))) + common * (i % 3 > 0)) for i in range(120)] + [(500, None), (501, "")]
+    queries = [(j, " ".join(rng.choices(words, k=30)) + common) for j in range(6)] + [(7, library[4][1].upper()), (8, None), (9, "no such gram is there"), (10, "short")]
+
+    def grams(text):
+        w = re.split(r"\s+", (text or "").lower())
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    held = {i: grams(t) for i, t in library}
+    for top in (1000, 12, 3):
+        got = sorted((r["query"], r["rank"], r["id"], r["shared"], round(r["identity"], 9)) for r in kmer_hits(spark.createDataFrame(queries, "query long, seq string"), spark.createDataFrame(library, "id long, seq string"), 4, top).collect())
+        want = []
+        for j, t in queries:
+            own = grams(t)
+            found = sorted((-len(own & h), i) for i, h in held.items() if own & h)[:top]
+            want += [(j, n + 1, i, -s, round(-s / len(own), 9)) for n, (s, i) in enumerate(found)]
+        assert got == sorted(want)
 
 
 @pytest.mark.parametrize("held", [statistics.HELD, 1])
