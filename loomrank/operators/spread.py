@@ -54,6 +54,21 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], values: d
     return out.select(*df.columns, *[merge[how](F.col(c), F.col(f"_b_{c}")).alias(c) for c, (how, _) in values.items()])
 
 
+def beside(df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str = "next", ahead: bool = True) -> DataFrame:
+    """Each row with a struct of ``columns`` of the next (or the previous) row of its key, NULL at the end.
+
+    Ranges exchange one border row for each key they hold; ``order`` must decide every tie.
+    """
+    parts = cut(df.repartitionByRange(*[F.col(k) for k in keys], *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    row, shift = F.struct(*columns), F.lead if ahead else F.lag
+    here = Window.partitionBy("_p", *keys).orderBy(*order)
+    border = (F.min_by if ahead else F.max_by)(row, F.struct(*order))
+    edges = parts.groupBy("_p", *keys).agg(border.alias("_own"))
+    edges = edges.select("_p", *keys, shift("_own").over(Window.partitionBy(*keys).orderBy("_p")).alias("_far"))
+    out_ = join_on_keys(parts.withColumn("_near", shift(row).over(here)), edges, ["_p", *keys])
+    return out_.select(*df.columns, F.coalesce("_near", "_far").alias(out))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[Column | str], out: str = "rank", total: str | None = None) -> DataFrame:
     """Rows numbered from 1 within each key; ``total`` names a column for the key's number of rows."""
     found = running(df, keys, order, {out: ("sum", F.lit(1).cast("long"))})
@@ -78,9 +93,10 @@ def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float])
     Keys without values have missing quantiles.
     """
     rows = df.select(*keys, F.nanvl(F.col(column).cast("double"), F.lit(None)).alias("_x"))
-    counts = rows.where("_x is not null").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
-    placed = running(counts, keys, ["_x"], {"_upto": ("sum", F.col("_n"))})
-    placed = join_on_keys(placed, rows.groupBy(*keys).agg(F.count("_x").alias("_all")), keys)
+    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    placed = running(counts, keys, [F.col("_x").asc_nulls_last()], {"_upto": ("sum", F.col("_n"))})
+    totals = placed.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), F.col("_n"))), F.lit(0)).alias("_all"))
+    placed = join_on_keys(placed, totals, keys)
 
     def value_at(i: Column) -> Column:
         return F.max(F.when((F.col("_upto") - F.col("_n") <= i) & (i < F.col("_upto")), F.col("_x")))
@@ -90,5 +106,4 @@ def quantiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float])
         h = (F.col("_all") - 1) * q
         found += [value_at(F.floor(h)).alias(f"_lo_{name}"), value_at(F.ceil(h)).alias(f"_hi_{name}"), F.max(h - F.floor(h)).alias(f"_f_{name}")]
     out = placed.groupBy(*keys).agg(*found)
-    out = out.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in at])
-    return join_on_keys(rows.select(*keys).distinct(), out, keys) if keys else out
+    return out.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in at])

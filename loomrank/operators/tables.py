@@ -53,6 +53,15 @@ def quantile_cut(df: DataFrame, column: str, q: float) -> DataFrame:
     return df.crossJoin(F.broadcast(cut)).where(F.col(column) <= F.col("_cut")).drop("_cut")
 
 
+def histogram(df: DataFrame, column: str, fewest: int = 5, most: int = 40) -> DataFrame:
+    """``(bin, n)`` of ceil(sqrt(rows)) equal bins, clipped; a constant column has one bin, missing values one of their own (NULL)."""
+    s = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.least(F.lit(most), F.greatest(F.lit(fewest), F.ceil(F.sqrt(F.count("*"))))).alias("_b"))
+    width = (F.col("_hi") - F.col("_lo")) / F.col("_b")
+    at = F.least(F.col("_b") - 1, F.floor(F.try_divide(F.col(column) - F.col("_lo"), width)))
+    bin_ = F.when(F.col("_hi") == F.col("_lo"), F.when(F.col(column).isNotNull(), 0)).when(F.col(column).isNotNull(), at)
+    return df.crossJoin(F.broadcast(s)).groupBy(bin_.cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row is broadcast
+
+
 def average_rank(column: str, keys: list[str] | None = None, descending: bool = False) -> Column:
     """Rank with ties averaged; missing values last."""
     by = Window.partitionBy(*(keys or [F.lit(0)]))

@@ -215,12 +215,10 @@ def a24(t):
 @query(
     "a25_histogram",
     """WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, least(40, greatest(5, ceil(sqrt(count(*))))) AS b FROM lineitem)
-       SELECT least(b - 1, floor((l_extendedprice - lo) / ((hi - lo) / b)))::BIGINT AS bin, count(*) AS n FROM lineitem, s GROUP BY 1""",
+       SELECT CASE WHEN hi = lo THEN 0 ELSE least(b - 1, floor((l_extendedprice - lo) / ((hi - lo) / b))) END::BIGINT AS bin, count(*) AS n FROM lineitem, s GROUP BY 1""",
 )
 def a25(t):
-    s = t.lineitem.agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.least(F.lit(40), F.greatest(F.lit(5), F.ceil(F.sqrt(F.count("*"))))).alias("b"))
-    at = F.floor((F.col("l_extendedprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("b")))
-    return t.lineitem.crossJoin(F.broadcast(s)).groupBy(F.least(F.col("b") - 1, at).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return T.histogram(t.lineitem, "l_extendedprice")
 
 
 @query("a26_run_metadata", "SELECT min(n) AS fewest, max(n) AS most, count(DISTINCT user_id) AS donors, count(DISTINCT event_type) AS carriers FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import geometry as G
+from ..operators import spread
 from ..operators.alignment import global_identities
 from .base import query
 
@@ -49,9 +50,26 @@ def g3(t):
     return fitted.select("vec_id", "n", d.alias("d"), d0.alias("d0")).groupBy("vec_id").agg(F.avg(1 / (1 + (F.col("d") / F.col("d0")) ** 2)).alias("tm"))
 
 
-@query("g4_direct_rmsd", f"WITH {PTS} SELECT a.vec_id, round(sqrt(avg(list_distance(a.p, b.p) ** 2)), 9) AS rmsd, count(*) AS n FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY 1")
+@query(
+    "g4_direct_rmsd",
+    f"""WITH {PTS}, q AS (SELECT a.vec_id, a.i, a.p AS p, b.p AS q, b.vec_id % 2 = 1 AND a.i % 7 = 3 AS lost FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.i = b.i)
+        SELECT vec_id, round(sqrt(avg(list_distance(p, q) ** 2) FILTER (NOT lost)), 9) AS rmsd, round(sqrt(avg(list_distance([0.1 - p[2], p[1], p[3] - 0.2], q) ** 2) FILTER (NOT lost)), 9) AS moved_rmsd, count(*) FILTER (NOT lost) AS n,
+               count(*) FILTER (lost) AS n_missing, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (lost), '') AS missing FROM q GROUP BY 1""",
+)
 def g4(t):
-    return chain_pairs(t).groupBy("vec_id").agg(F.round(F.sqrt(F.avg(G.square_distance(F.col("p"), F.col("q")))), 9).alias("rmsd"), F.count("*").alias("n"))
+    """Chains as they lie, and under a given quarter turn and shift; residues without a partner are listed, not counted.
+
+    Every seventh residue of chains with an odd id is missing.
+    """
+    turn, shift = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [0.1, 0.0, -0.2]
+    q = F.when((F.col("vec_id") % 2 == 1) | (F.col("i") % 7 != 3), F.col("q"))
+    pairs = chain_pairs(t).withColumn("q", q)
+    after = G.moved(F.col("p"), F.array(*map(F.lit, turn)), F.array(*map(F.lit, shift)))
+    d2 = {"rmsd": G.square_distance(F.col("p"), F.col("q")), "moved_rmsd": G.square_distance(after, F.col("q"))}
+    lost = F.sort_array(F.collect_list(F.when(F.col("q").isNull(), F.col("i"))))
+    return pairs.groupBy("vec_id").agg(
+        *[F.round(F.sqrt(F.avg(d)), 9).alias(n) for n, d in d2.items()], F.count("q").alias("n"), F.count_if(F.col("q").isNull()).alias("n_missing"), F.array_join(lost.cast("array<string>"), ",").alias("missing")
+    )
 
 
 @query(
@@ -84,11 +102,22 @@ def g6(t):
     return d.where("d < 15").join(m, ["vec_id", "i", "j"]).groupBy("vec_id").agg(F.round(F.avg(hit), 9).alias("lddt"))
 
 
-@query("g7_contacts", f"WITH {PTS} SELECT a.vec_id, count(*) FILTER (list_distance(a.p, b.p) < 0.15) AS contacts, count(*) AS pairs FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1")
+@query(
+    "g7_contacts",
+    f"""WITH {PTS}, c AS (SELECT a.vec_id, CASE WHEN a.i % 7 = 6 OR b.i % 7 = 6 THEN -1 WHEN list_distance(a.p, b.p) < 0.15 THEN 1 ELSE 0 END AS c, a.i, b.i AS j FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i)
+        SELECT vec_id, count(*) FILTER (c = 1) AS contacts, count(*) FILTER (c = -1) AS missing, count(*) AS pairs, string_agg(c::VARCHAR, ',' ORDER BY i, j) AS map FROM c GROUP BY 1""",
+)
 def g7(t):
-    p = points(t)
+    """The map of each chain: 1 in contact, 0 apart, -1 where a residue (every seventh here) is missing."""
+    p = points(t).withColumn("p", F.when(F.col("i") % 7 != 6, F.col("p")))
     both = p.alias("a").join(p.alias("b"), F.expr("a.vec_id = b.vec_id and a.i < b.i"))
-    return both.groupBy("a.vec_id").agg(F.count_if(G.distance(F.col("a.p"), F.col("b.p")) < 0.15).alias("contacts"), F.count("*").alias("pairs"))
+    near = G.distance(F.col("a.p"), F.col("b.p")) < 0.15
+    c = F.when(F.col("a.p").isNull() | F.col("b.p").isNull(), -1).when(near, 1).otherwise(0)
+    rows = both.select("a.vec_id", F.col("a.i").alias("i"), F.col("b.i").alias("j"), c.alias("c"))
+    order = F.array_sort(F.collect_list(F.struct("i", "j", "c")))
+    return rows.groupBy("vec_id").agg(
+        F.count_if(F.col("c") == 1).alias("contacts"), F.count_if(F.col("c") == -1).alias("missing"), F.count("*").alias("pairs"), F.array_join(F.transform(order, lambda x: x["c"].cast("string")), ",").alias("map")
+    )
 
 
 @query(
@@ -116,8 +145,7 @@ def g9(t):
 def g10(t):
     """Neighbouring chains of a label: distance and fit of each pair, with a status; equal vectors are skipped."""
     e = t.embeddings.select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    nxt = F.lead(F.struct("vec_id", "v")).over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = e.select("label", F.col("vec_id").alias("a"), "v", nxt.alias("n")).where("n is not null").select("label", "a", F.col("n.vec_id").alias("b"), "v", F.col("n.v").alias("w"))
+    pairs = spread.beside(e, ["label"], ["vec_id"], ["vec_id", "v"], "n").withColumnRenamed("vec_id", "a").where("n is not null").select("label", "a", F.col("n.vec_id").alias("b"), "v", F.col("n.v").alias("w"))
     todo = pairs.where("v <> w")
     p, q = F.slice("v", F.col("i") * 3 + 1, F.lit(3)), F.slice("w", F.col("i") * 3 + 1, F.lit(3))
     fit = G.fit_pairs(todo.select("a", "b", "v", "w", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")).select("a", "b", p.alias("p"), q.alias("q")), ["a", "b"])
@@ -129,8 +157,8 @@ def g10(t):
 @query("g11_alignment_identity")
 def g11(t):
     """Global alignment of part names that are neighbours within their brand."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    pairs = t.part.select("p_partkey", F.col("p_name").alias("a"), F.lead("p_name").over(w).alias("b")).where("b is not null")
+    pairs = spread.beside(t.part.select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"], ["p_name"])
+    pairs = pairs.where("next is not null").select("p_partkey", F.col("p_name").alias("a"), F.col("next.p_name").alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

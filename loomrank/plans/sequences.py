@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.terms import tfidf
 from .base import query
 
 
@@ -104,12 +105,12 @@ def f13(t):
 
 @query(
     "f14_differences",
-    "SELECT a.s_name AS a, b.s_name AS b, len(list_filter(range(1, least(length(a.s_name), length(b.s_name)) + 1), lambda i: substring(a.s_name, i, 1) <> substring(b.s_name, i, 1))) + abs(length(a.s_name) - length(b.s_name)) AS d FROM supplier a, supplier b",
+    "SELECT a.n_name AS a, b.n_name AS b, len(list_filter(range(1, least(length(a.n_name), length(b.n_name)) + 1), lambda i: substring(a.n_name, i, 1) <> substring(b.n_name, i, 1))) + abs(length(a.n_name) - length(b.n_name)) AS d FROM nation a, nation b",
 )
 def f14(t):
-    """Full symmetric matrix of a fixed dimension: all pairs are its stated result."""
-    s = t.supplier.select("s_name")
-    both = s.select(F.col("s_name").alias("a")).join(s.select(F.col("s_name").alias("b")), F.lit(True))
+    """Full symmetric matrix of a cohort of fixed size: all pairs are its stated result."""
+    s = t.nation.select("n_name")
+    both = s.select(F.col("n_name").alias("a")).join(s.select(F.col("n_name").alias("b")), F.lit(True))
     unequal = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: F.when(x.isNotNull() & y.isNotNull() & (x == y), 0).otherwise(1))
     return both.select("a", "b", F.aggregate(unequal, F.lit(0), lambda n, x: n + x).cast("long").alias("d"))
 
@@ -169,15 +170,34 @@ def f19(t):
     return h.join(n, "q").select("q", "target", F.bround(F.sqrt(F.col("nident") / F.col("len")), 3).alias("identity"))
 
 
-@query("f20_fragments", "SELECT p_partkey, regexp_extract_all(id, 'CDR(\\d+)-([A-Za-z]+)', 1) AS regions, regexp_extract_all(id, 'CDR(\\d+)-([A-Za-z]+)', 2) AS fragments FROM (SELECT p_partkey, 'CDR' || p_size || '-' || replace(p_type, ' ', '_CDR2-') AS id FROM part)")
+_FRAGMENTS = "regexp_extract_all(id, 'CDR(\\d+)-([A-Za-z]+)', 2)"
+
+
+@query(
+    "f20_fragments",
+    f"""SELECT p_partkey, regexp_extract_all(id, 'CDR(\\d+)-([A-Za-z]+)', 1) AS regions, {_FRAGMENTS} AS fragments,
+        list_transform({_FRAGMENTS}, lambda f: CASE WHEN strpos(seq, upper(f)) > 0 THEN greatest(0, least(2 * (strpos(seq, upper(f)) - 1) + length(f) - 1, 2 * length(seq) - 1)) END) AS centres
+        FROM (SELECT p_partkey, 'CDR' || p_size || '-' || replace(p_type, ' ', '_CDR2-') AS id, upper(replace(p_type, ' ', '') || 'X') AS seq FROM part)""",
+)
 def f20(t):
-    p = t.part.select("p_partkey", F.concat(F.lit("CDR"), F.col("p_size").cast("string"), F.lit("-"), F.replace("p_type", F.lit(" "), F.lit("_CDR2-"))).alias("id"))
-    return p.select("p_partkey", *[F.regexp_extract_all("id", F.lit(r"CDR(\d+)-([A-Za-z]+)"), F.lit(i)).alias(n) for i, n in ((1, "regions"), (2, "fragments"))])
+    """Fragments of an id and, in half residues, where the middle of each lies in its sequence."""
+    p = t.part.select("p_partkey", F.concat(F.lit("CDR"), F.col("p_size").cast("string"), F.lit("-"), F.replace("p_type", F.lit(" "), F.lit("_CDR2-"))).alias("id"), F.concat(F.replace("p_type", F.lit(" "), F.lit("")), F.lit("X")).alias("seq"))
+    found = p.select("p_partkey", "seq", *[F.regexp_extract_all("id", F.lit(r"CDR(\d+)-([A-Za-z]+)"), F.lit(i)).alias(n) for i, n in ((1, "regions"), (2, "fragments"))])
+    return found.select("p_partkey", "regions", "fragments", F.transform("fragments", lambda f: X.centre(F.col("seq"), f, 2 * F.length("seq"))).alias("centres"))
 
 
-@query("f21_stable_ids", "SELECT c_custkey, left(sha256(c_name || chr(0) || c_mktsegment), 16) AS id FROM customer")
+@query(
+    "f21_stable_ids",
+    """SELECT c_custkey, left(sha256(c_name || chr(0) || c_mktsegment), 16) AS id,
+       sha256('{"balance":' || printf('%.9f', c_acctbal::DOUBLE) || ',"key":' || c_custkey || ',"names":["' || c_name || '","' || c_mktsegment || '"],"parent":{"a":null,"b":' || c_nationkey || '}}') AS fingerprint FROM customer""",
+)
 def f21(t):
-    return t.customer.select("c_custkey", F.left(F.sha2(F.concat_ws("\0", "c_name", "c_mktsegment"), 256), F.lit(16)).alias("id"))
+    """A prefix of the digest of a key pair, and the digest of a nested record as canonical JSON."""
+    record = F.struct(
+        F.array("c_name", "c_mktsegment").alias("names"), F.struct(F.col("c_nationkey").alias("b"), F.lit(None).cast("string").alias("a")).alias("parent"), F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("balance")
+    )
+    rows = t.customer.select("c_custkey", F.left(F.sha2(F.concat_ws("\0", "c_name", "c_mktsegment"), 256), F.lit(16)).alias("id"), record.alias("record"))
+    return rows.select("c_custkey", "id", F.sha2(X.canonical_json(F.col("record"), rows.schema["record"].dataType), 256).alias("fingerprint"))
 
 
 @query("f22_stars", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.001 THEN '***' WHEN l_tax < 0.01 THEN '**' WHEN l_tax < 0.05 THEN '*' ELSE 'ns' END AS stars FROM lineitem")
@@ -205,26 +225,21 @@ def f23(t):
         SELECT doc_id, term, round(w / n, 6) AS w FROM w JOIN n USING (doc_id)""",
 )
 def f24(t):
-    terms = t.documents.select("doc_id", F.explode(X.keywords(F.col("text"))).alias("term"))
-    c = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    n = t.documents.agg(F.count("*").alias("n"))
-    idf = c.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").crossJoin(F.broadcast(n)).select("term", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
-    w = c.join(idf, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", F.round(F.col("w") / norm, 6).alias("w"))
+    return tfidf(t.documents.select(F.col("doc_id").alias("id"), X.keywords(F.col("text")).alias("terms"))).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
 @query(
     "f25_position_labels",
     """WITH r AS (SELECT user_id, event_type, event_id % 20 + 1 AS s, event_id % 20 + 1 + event_id % 5 AS e FROM events), x AS (SELECT user_id, event_type, unnest(generate_series(s, e)) AS pos FROM r),
        g AS (SELECT user_id, pos, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS labels FROM x GROUP BY 1, 2), a AS (SELECT DISTINCT user_id, unnest(generate_series(1, 24)) AS pos FROM events)
-       SELECT a.user_id, a.pos, coalesce(labels, '<none>') AS labels FROM a LEFT JOIN g USING (user_id, pos)""",
+       SELECT a.user_id, a.pos, CASE WHEN a.pos > 20 + a.user_id % 5 THEN '<pad>' ELSE coalesce(labels, '<none>') END AS labels FROM a LEFT JOIN g USING (user_id, pos)""",
 )
 def f25(t):
+    """A user has 20 to 24 positions: labels of each, ``<none>`` without any, and ``<pad>`` up to the common length."""
     r = t.events.selectExpr("user_id", "event_type", "explode(sequence(event_id % 20 + 1, event_id % 20 + 1 + event_id % 5)) AS pos")
     g = r.groupBy("user_id", "pos").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("labels"))
     every = t.events.select("user_id").distinct().select("user_id", F.explode(F.expr("sequence(1L, 24L)")).alias("pos"))
-    return every.join(g, ["user_id", "pos"], "left").select("user_id", "pos", F.coalesce("labels", F.lit("<none>")).alias("labels"))
+    return every.join(g, ["user_id", "pos"], "left").select("user_id", "pos", F.when(F.col("pos") > 20 + F.col("user_id") % 5, "<pad>").otherwise(F.coalesce("labels", F.lit("<none>"))).alias("labels"))
 
 
 @query("f26_valid_annotations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 OR l_linenumber > 6)")

@@ -52,10 +52,15 @@ def s5(t):
     return R.read_fasta(t.spark, _fasta(t, 4))
 
 
-@query("s6_fasta_write", "SELECT '>' || p_brand || chr(10) || arg_min(p_name, p_partkey) AS value FROM part GROUP BY p_brand")
+@query("s6_fasta_write", "SELECT 'entity' AS file, p_brand AS id, replace(arg_min(p_name, p_partkey), ' ', '') AS seq FROM part GROUP BY p_brand UNION ALL SELECT 'sample', p_brand || '/' || p_partkey, replace(p_name, ' ', '') FROM part")
 def s6(t):
-    one = T.first_row(t.part.select("p_brand", "p_name", "p_partkey"), ["p_brand"], ["p_partkey"])
-    return one.select(R.fasta_text("p_brand", "p_name").alias("value"))
+    """Two FASTA files, read back: one keyed by entity with its first sequence, one keyed by sample with all of them."""
+    bare = F.replace("p_name", F.lit(" "), F.lit(""))
+    first = t.part.groupBy(F.col("p_brand").alias("id")).agg(F.min_by(bare, "p_partkey").alias("seq"))
+    every = t.part.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("id"), bare.alias("seq"))
+    files = {"entity": first, "sample": every}
+    read = [R.read_fasta(t.spark, R.write_fasta(df, R.scratch(t.spark, name), width=0)).select(F.lit(name).alias("file"), "id", "seq") for name, df in files.items()]
+    return read[0].unionByName(read[1])
 
 
 @query("s7_fasta_wrap", "SELECT doc_id, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda l: length(l) + greatest(0, ceil(length(l) / 60.0) - 1) + 1)) - 1 AS BIGINT) AS n FROM documents")

@@ -45,9 +45,16 @@ def w3(t):
     return o.select("o_orderkey", "o_orderpriority", "rank", F.round(100.0 * F.col("rank") / F.col("n"), 9).alias("percent"))
 
 
-@query("w4_top_k", "SELECT * FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events WHERE value >= 1) WHERE rank <= 3")
+@query(
+    "w4_top_k",
+    """WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events WHERE value >= 1)
+       SELECT user_id, event_id, value, rank, (SELECT count(*) FROM events e WHERE e.user_id = r.user_id) - least(3, count(*) OVER (PARTITION BY user_id)) AS dropped FROM r WHERE rank <= 3""",
+)
 def w4(t):
-    return T.top_k(t.events.where("value >= 1").select("user_id", "event_id", "value"), ["user_id"], [F.desc_nulls_last("value"), F.col("event_id")], 3)
+    """Each user's three highest of 1 or more, and how many of the user's rows are left out, by the minimum or by rank."""
+    best = T.top_k(t.events.where("value >= 1").select("user_id", "event_id", "value"), ["user_id"], [F.desc_nulls_last("value"), F.col("event_id")], 3)
+    rows = t.events.groupBy("user_id").agg(F.count("*").alias("_all")).join(best.groupBy("user_id").agg(F.count("*").alias("_kept")), "user_id")
+    return best.join(rows.select("user_id", (F.col("_all") - F.col("_kept")).alias("dropped")), "user_id")
 
 
 @query(
@@ -69,14 +76,15 @@ def w6(t):
 
 @query(
     "w7_bands",
-    "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice <= p10 THEN 'P10' WHEN l_extendedprice <= p20 THEN 'P20' WHEN l_extendedprice <= p30 THEN 'P30' WHEN l_extendedprice <= p50 THEN 'P50' ELSE 'rest' END AS band FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.2) AS p20, quantile_cont(l_extendedprice, 0.3) AS p30, quantile_cont(l_extendedprice, 0.5) AS p50 FROM lineitem)",
+    "SELECT *, row_number() OVER (PARTITION BY band ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS place FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_extendedprice <= p10 THEN 'P10' WHEN l_extendedprice <= p20 THEN 'P20' WHEN l_extendedprice <= p30 THEN 'P30' WHEN l_extendedprice <= p50 THEN 'P50' ELSE 'rest' END AS band FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.2) AS p20, quantile_cont(l_extendedprice, 0.3) AS p30, quantile_cont(l_extendedprice, 0.5) AS p50 FROM lineitem))",
 )
 def w7(t):
     x = F.col("l_extendedprice")
     shares = (10, 20, 30, 50)
     cuts = spread.quantiles(t.lineitem, [], "l_extendedprice", {f"P{p}": p / 100 for p in shares})
     band = F.coalesce(*[F.when(x <= F.col(f"P{p}"), f"P{p}") for p in shares], F.lit("rest"))
-    return t.lineitem.crossJoin(F.broadcast(cuts)).select("l_orderkey", "l_linenumber", band.alias("band"))
+    banded = t.lineitem.crossJoin(F.broadcast(cuts)).select("l_orderkey", "l_linenumber", "l_extendedprice", band.alias("band"))  # one row is broadcast
+    return spread.number_rows(banded, ["band"], ["l_extendedprice", "l_orderkey", "l_linenumber"], "place")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,7 +38,25 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where this application writes what driver and executors share: in ``spark.checkpoint.dir``.
+
+    Only on one machine that may be unset; a local folder serves then.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/loomrank-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: in ``spark.checkpoint.dir``, else a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/loomrank-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder; :func:`clean` removes it with all others."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all cut points of this application; results that have not been read yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

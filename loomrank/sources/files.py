@@ -65,6 +65,12 @@ def read_confidence(spark: SparkSession, root: str, preset: str = "protenix", ke
     return parse_confidence(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")), preset, keys, plddt_scale)
 
 
+def file_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, bytes, sha256)`` of whole files, each below the 2 GB that one row can hold."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_tsv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').csv(path)
     return path
@@ -83,7 +89,11 @@ def read_wide_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_some_vectors(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """Like :func:`read_wide_vectors` for given ids: the id is tested before a line is parsed."""
+    """Like :func:`read_wide_vectors` for given ids: the id is tested before a line is parsed; ids without a line raise."""
+    known = spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("id"))
+    absent = [r["id"] for r in ids.select("id").distinct().join(known, "id", "left_anti").limit(6).collect()]
+    if absent:
+        raise ValueError(f"no vectors for {', '.join(sorted(map(str, absent))[:5])}{' and others' if len(absent) > 5 else ''}")
     lines = spark.read.text(path).withColumn("id", F.substring_index("value", "\t", 1)).join(ids, "id", "left_semi")
     parts = F.split("value", "\t")
     return lines.select("id", F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: x.try_cast("double")).alias("vec"))

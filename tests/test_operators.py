@@ -9,13 +9,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomrank import plans
+from loomrank import plans, session
 
 from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
 from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
 from loomrank.operators.search import containing, greedy_clusters, kmer_hits, nearest_by_pivots, redundancy_levels
 from loomrank.operators.statistics import crossed_bootstrap
+from loomrank.operators.terms import tfidf
 from loomrank.plans.statistics import subset_statistics
 from loomrank.sources import files as R
 from loomrank.streaming.intake import intake, latest, tally
@@ -136,6 +137,20 @@ def test_intake_skips_keys_of_earlier_shards(spark, tmp_path):
     assert {r["k"]: r["n"] for r in latest(spark, out + "-tally").collect()} == {1: 2, 2: 3, 3: 2, None: 2}
 
 
+def test_intake_reads_no_parts_for_new_keys(spark, tmp_path):
+    source, out, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    report = []
+    for b in range(6):
+        spark.range(b * 50, b * 50 + 50).select(F.col("id").alias("k"), F.lit(b).alias("v")).coalesce(1).write.mode("append").parquet(source)
+        intake(spark, source, "k long, v int", ["k"], out, state, report)
+    assert [r[0] for r in report] == [1, 2, 3, 4, 5]
+    assert sum(r[1] for r in report) == sum(r[2] for r in report) == 0
+    spark.createDataFrame([(7, 9), (7, 9), (1000, 9)], "k long, v int").write.mode("append").parquet(source)
+    intake(spark, source, "k long, v int", ["k"], out, state, report)
+    assert report[-1] == (6, 1, 1)
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(out).collect()) == [(i, i // 50) for i in range(300)] + [(1000, 9)]
+
+
 @pytest.mark.parametrize("block_rows,pivots", [(16384, None), (7, 5), (20, 1)])
 def test_nearest_by_pivots_matches_numpy(spark, block_rows, pivots):
     rng = np.random.default_rng(8)
@@ -511,3 +526,78 @@ def test_wilcoxon_row(spark):
     want = (n, rank[d > 0].sum(), rank[d < 0].sum(), (d > 0).sum(), (d < 0).sum(), tied)
     assert (r["n"], r["w_plus"], r["w_minus"], r["higher"], r["lower"], r["tied"]) == want
     assert r["p"] == pytest.approx(2 * NormalDist().cdf(-abs(z)))
+
+
+def test_beside_gives_the_next_and_the_previous_row(spark):
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice([None, 1.0, 2.0])) for k in ("a", "b", None) for i in rng.sample(range(1000), 300 if k == "a" else 3)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(5)
+    for ahead in (True, False):
+        got = {(r["k"], r["i"]): r["n"] and tuple(r["n"]) for r in spread.beside(df, ["k"], ["i"], ["i", "v"], "n", ahead).collect()}
+        want = {}
+        for k in ("a", "b", None):
+            own = sorted((r[1:] for r in rows if r[0] == k), key=lambda r: r[0])
+            for here, other in zip(own, [*own[1:], None] if ahead else [None, *own[:-1]]):
+                want[k, here[0]] = other
+        assert got == want
+
+
+def test_pair_run_values(spark):
+    vectors = {}
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect():
+        vectors.setdefault(r["label"], []).append((r["vec_id"], np.array(r["embedding"], float)))
+    got = {(r["a"], r["b"]): r for r in plans.QUERIES["g10_pair_run"](spark, SF).collect()}
+    assert len(got) == sum(len(v) - 1 for v in vectors.values())
+    for own in vectors.values():
+        own.sort(key=lambda x: x[0])
+        for (a, v), (b, w) in zip(own, own[1:]):
+            p, q = (x[:63].reshape(21, 3) - x[:63].reshape(21, 3).mean(0) for x in (v, w))
+            u, s, vt = np.linalg.svd(p.T @ q)
+            s[2] *= np.sign(np.linalg.det(u @ vt))
+            rmsd = math.sqrt(max(0, (p**2).sum() + (q**2).sum() - 2 * s.sum()) / 21)
+            assert got[a, b]["distance"] == pytest.approx(np.linalg.norm(v - w)) and got[a, b]["status"] == "ok"
+            assert got[a, b]["rmsd"] == pytest.approx(rmsd, abs=1e-6)
+
+
+def test_weights_joined_equal_weights_held(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["c"]), (3, None), (4, []), (5, ["a"])], "id long, terms array<string>")
+    one, other = (sorted((r["id"], r["term"], round(r["w"], 9)) for r in tfidf(docs, vocabulary=v).collect()) for v in (1 << 20, 0))
+    assert one == other and {t for _, t, _ in one} == {"a", "b", "c"}
+    w = (1 + math.log(2)) * (math.log(6 / 2) + 1), math.log(6 / 2) + 1
+    assert one[0] == (1, "a", round(w[0] / math.hypot(*w), 9))
+    assert tfidf(docs.limit(0)).count() == 0
+
+
+def test_canonical_json_and_checksums(spark, tmp_path):
+    one = spark.sql("select named_struct('b', 1, 'a', named_struct('y', array(1.5D, null), 'x', 'q\"\\u00e9\n'), 'm', map('k2', true, 'k1', cast(null as boolean))) as r")
+    other = spark.sql("select named_struct('m', map('k1', cast(null as boolean), 'k2', true), 'a', named_struct('x', 'q\"\\u00e9\n', 'y', array(1.5D, null)), 'b', 1) as r")
+    text = [d.select(X.canonical_json(F.col("r"), d.schema["r"].dataType)).first()[0] for d in (one, other)]
+    assert text[0] == text[1] == '{"a":{"x":"q\\"\u00e9\\n","y":[1.500000000,null]},"b":1,"m":{"k1":null,"k2":true}}'
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    row = R.file_checksums(spark, str(tmp_path / "f.bin")).first()
+    assert (row["bytes"], row["sha256"]) == (3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
+
+
+def test_histogram_of_a_constant(spark):
+    df = spark.createDataFrame([(2.0,)] * 7 + [(None,)], "x double")
+    assert {r["bin"]: r["n"] for r in tables.histogram(df, "x").collect()} == {0: 7, None: 1}
+    assert tables.histogram(df.where("x is null"), "x").first()["bin"] is None
+    assert tables.histogram(df.limit(0), "x").count() == 0
+
+
+def test_absent_ids_fail(spark, tmp_path):
+    (tmp_path / "v.tsv").write_text("a\t1\t2\nb\t3\t4\n")
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert R.read_some_vectors(spark, str(tmp_path / "v.tsv"), ids).count() == 2
+    with pytest.raises(ValueError, match="no vectors for z"):
+        R.read_some_vectors(spark, str(tmp_path / "v.tsv"), ids.unionByName(ids.select(F.lit("z").alias("id"))))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Cluster:
+        conf, sparkContext = spark.conf, type("C", (), {"master": "spark://host:7077", "applicationId": "app"})
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        assert session.scratch(spark, "x").startswith("file:/")
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.scratch(Cluster(), "x")
