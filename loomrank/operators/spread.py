@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input lies in fewer partitions, as one with few row groups does; else ``df`` itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join in which missing keys are equal; the columns of ``right`` beside the keys are added."""
     other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])

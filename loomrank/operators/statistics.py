@@ -87,13 +87,17 @@ def counts_drawn(replicates: Iterable[int], prefix: str, n: int) -> np.ndarray:
 
 def in_blocks(df: DataFrame, keys: list[str], replicates: int, run: Callable[[tuple, pd.DataFrame, range], pd.DataFrame], schema: str) -> DataFrame:
     """``run(key, rows, replicates)`` for every key and block of replicates; rows are sent once for each block, not for each replicate."""
-    blocks = df.sparkSession.range(-(-replicates // BLOCK)).select(F.col("id").alias("_block"))
+    spark, n = df.sparkSession, -(-replicates // BLOCK)
+    blocks = spark.range(n).select(F.col("id").alias("_block"))
+    # few small rows with much work behind them: they must not end up in one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(key[-1]) * BLOCK
         return run(key[:-1], pdf, range(first, min(first + BLOCK, replicates)))
 
-    return df.crossJoin(F.broadcast(blocks)).groupBy(*keys, "_block").applyInPandas(one, schema)
+    spread_ = df.crossJoin(F.broadcast(blocks)).repartition(2 * tasks, *keys, "_block")
+    return spread_.groupBy(*keys, "_block").applyInPandas(one, schema)
 
 
 def most_rows(df: DataFrame, keys: list[str]) -> int:
@@ -120,7 +124,7 @@ def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | Non
     Sums are one row per cluster. A task draws for a block of replicates and multiplies
     the counts with the sums. Keys of more than ``held`` clusters join draws to sums instead.
     """
-    keys = keys or []
+    keys, sums = keys or [], spread.cut(sums)
     if most_rows(sums, keys) > held:
         return _joined_replicates(sums, replicates, keys)
 
@@ -145,7 +149,7 @@ def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> Dat
 
 def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
     """``keys, p``: share of replicates, the seen one counted in, whose covariance is as large when clusters change sign."""
-    keys = keys or []
+    keys, sums = keys or [], spread.cut(sums)
     m = sums.groupBy(*keys).agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
     with_means = sums.join(m, keys) if keys else sums.crossJoin(F.broadcast(m))
     z = with_means.select(*keys, "c", F.expr("sxy - mx * sy - my * sx + n * mx * my").alias("z"))
@@ -167,7 +171,8 @@ def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, h
 
 def bootstrap_means(rows: DataFrame, replicates: int, group: str, order: str, value: str, held: int = HELD) -> DataFrame:
     """``group, b, m``: the mean of each replicate of a group's resampled values; draws are named by the group."""
-    x = spread.number_rows(rows.select(group, order, value), [group], [order], "_i", "_k").withColumn("_i", F.col("_i") - 1)
+    rows = spread.cut(rows.select(group, order, value))
+    x = spread.number_rows(rows, [group], [order], "_i", "_k").withColumn("_i", F.col("_i") - 1)
     if most_rows(rows, [group]) > held:
         reps = rows.sparkSession.range(replicates).select(F.col("id").alias("b"))
         d = x.crossJoin(F.broadcast(reps)).select("b", group, draw(F.col("b"), F.concat(group, F.col("_i").cast("string")), F.col("_k")).alias("_i"))
@@ -192,7 +197,7 @@ def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None
     part; replicates of no weight, or of one value, have no ``r``.
     """
     keys = keys or []
-    cells = cells.where("x is not null and y is not null")
+    cells = spread.cut(cells.where("x is not null and y is not null"))
     if most_rows(cells, keys) > held:
         return _joined_crossed(cells, replicates, keys)
 
@@ -257,6 +262,11 @@ def nested_spearman(df: DataFrame, keys: list[str], x: str, y: str, by: str, thr
     counted = spread.cut(rows.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), F.coalesce(band, F.lit(len(at))).alias("_band")).groupBy(*keys, "_x", "_y", "_band").agg(F.count("*").alias("_n")))
     ranked = counted.where(F.col("_band") < len(at))
     for v in ("_x", "_y"):
+        if v == "_x" and by == x:  # larger values join behind the others, so ranks stay
+            held = spread.running(ranked.groupBy(*keys, v).agg(F.sum("_n").alias("_c")), keys, [v], {"_u": ("sum", F.col("_c"))})
+            ranks = F.array_repeat(F.col("_u") - (F.col("_c") - 1) / 2.0, len(at))
+            ranked = spread.join_on_keys(ranked, held.select(*keys, v, ranks.alias("_r_x")), [*keys, v])
+            continue
         upto = [f"_u{i}" for i in range(len(at))]
         held = ranked.groupBy(*keys, v).agg(*[F.sum(F.when(F.col("_band") <= i, F.col("_n")).otherwise(0)).alias(f"_c{i}") for i in range(len(at))])
         held = spread.running(held, keys, [v], {u: ("sum", F.col(f"_c{i}")) for i, u in enumerate(upto)})

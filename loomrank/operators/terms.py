@@ -16,15 +16,25 @@ from . import spread
 VOCABULARY = 64 << 20
 
 
-def _counted(kind: str):
+def _counted(excluded: list[str]):
     """Distinct terms of each document with their counts: runs of equal codes once a batch is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without = pa.array(excluded, pa.string())
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
-            coded = lists.flatten().dictionary_encode()
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            elements = batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(elements), 0), np.int64)
+            lists = elements.flatten() if sizes.sum() else pa.array([], pa.list_(pa.string()))
+            inner = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            element = np.repeat(np.arange(len(inner)), inner)
+            words = lists.flatten().cast(pa.string()) if inner.sum() else pa.array([], pa.string())
+            owner = np.repeat(np.arange(len(sizes)), sizes)[element]
+            beside = np.flatnonzero(element[1:] == element[:-1])
+            pairs = pc.binary_join_element_wise(words.take(pa.array(beside)), words.take(pa.array(beside + 1)), " ")
+            terms, doc = pa.concat_arrays([words, pairs]), np.concatenate([owner, owner[beside]])
+            keep = np.asarray(pc.and_(pc.greater(pc.utf8_length(terms), 1), pc.invert(pc.is_in(terms, value_set=without))))
+            coded, doc = terms.filter(pa.array(keep)).dictionary_encode(), doc[keep]
+            sizes = np.zeros(len(batch))
             n = max(1, len(coded.dictionary))
             both, tf = np.unique(doc * n + np.asarray(coded.indices, np.int64), return_counts=True)
             cuts = np.searchsorted(both // n, np.arange(len(sizes) + 1)).astype(np.int32)
@@ -39,8 +49,11 @@ def _weighed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
         for batch in batches:
-            terms, tf = batch.column(1), np.asarray(batch.column(2).flatten())
-            sizes = np.asarray(pc.list_value_length(terms))
+            terms = batch.column(1)
+            sizes = np.asarray(pc.list_value_length(terms), np.int64)
+            if not sizes.sum():
+                continue
+            tf = np.asarray(batch.column(2).flatten())
             at = np.asarray(pc.fill_null(pc.index_in(terms.flatten(), value_set=known), -1))
             keep = at >= 0
             doc = np.repeat(np.arange(len(sizes)), sizes)[keep]
@@ -52,16 +65,18 @@ def _weighed(shared):
     return run
 
 
-def tfidf(docs: DataFrame, least: int = 2, vocabulary: int = VOCABULARY) -> DataFrame:
-    """``(id, term, w)`` of documents ``(id, terms)``: (1 + ln tf) x idf, of length 1 in each document.
+def tfidf(docs: DataFrame, excluded: list[str], least: int = 2, vocabulary: int = VOCABULARY) -> DataFrame:
+    """``(id, term, w)`` of documents ``(id, words)``: (1 + ln tf) x idf, of length 1 in each document.
 
+    ``words`` are lists of the words of elements; terms are words, and pairs of
+    words beside each other in an element, of two letters or more and not ``excluded``.
     Terms of fewer than ``least`` documents are dropped. Counts are made inside each
     document; only distinct terms are shuffled, with partial counts of documents. Weights go
     to the tasks if their terms have ``vocabulary`` bytes at most, else they are joined.
     """
     kind = docs.schema["id"].dataType.simpleString()
     total = docs.count()
-    counted = spread.cut(docs.mapInArrow(_counted(kind), f"id {kind}, term array<string>, tf array<long>"))
+    counted = spread.cut(docs.mapInArrow(_counted(excluded), f"id {kind}, term array<string>, tf array<long>"))
     often = counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
     idf = spread.cut(often.select("term", (F.log(F.lit(float(max(1, total))) / F.col("df")) + 1).alias("idf")))
     if (idf.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0) <= vocabulary:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import spread
 from ..operators.terms import tfidf
 from .base import query
 
@@ -225,7 +226,7 @@ def f23(t):
         SELECT doc_id, term, round(w / n, 6) AS w FROM w JOIN n USING (doc_id)""",
 )
 def f24(t):
-    return tfidf(t.documents.select(F.col("doc_id").alias("id"), X.keywords(F.col("text")).alias("terms"))).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
+    return tfidf(spread.widen(t.documents.select(F.col("doc_id").alias("id"), "text")).select("id", X.element_words(F.col("text")).alias("words")), X.EXCLUDED_TERMS).select(F.col("id").alias("doc_id"), "term", F.round("w", 6).alias("w"))
 
 
 @query(

@@ -560,12 +560,13 @@ def test_pair_run_values(spark):
 
 
 def test_weights_joined_equal_weights_held(spark):
-    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (2, ["c"]), (3, None), (4, []), (5, ["a"])], "id long, terms array<string>")
-    one, other = (sorted((r["id"], r["term"], round(r["w"], 9)) for r in tfidf(docs, vocabulary=v).collect()) for v in (1 << 20, 0))
-    assert one == other and {t for _, t, _ in one} == {"a", "b", "c"}
-    w = (1 + math.log(2)) * (math.log(6 / 2) + 1), math.log(6 / 2) + 1
-    assert one[0] == (1, "a", round(w[0] / math.hypot(*w), 9))
-    assert tfidf(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame([(1, [["aa", "bb"], [], ["aa"]]), (2, [["bb", "cc", "x"]]), (2, [["cc"], None]), (3, None), (4, []), (5, [["aa", "bb", "the"]])], "id long, words array<array<string>>")
+    one, other = (sorted((r["id"], r["term"], round(r["w"], 9)) for r in tfidf(docs, ["the"], vocabulary=v).collect()) for v in (1 << 20, 0))
+    assert one == other and {t for _, t, _ in one} == {"aa", "bb", "cc", "aa bb"}
+    aa, bb = math.log(6 / 2) + 1, math.log(6 / 3) + 1
+    w = (1 + math.log(2)) * aa, aa, bb
+    assert one[0] == (1, "aa", round(w[0] / math.hypot(*w), 9))
+    assert tfidf(docs.limit(0), []).count() == 0
 
 
 def test_canonical_json_and_checksums(spark, tmp_path):
