@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, shared_folder
 
 #: rows of an Arrow batch; a batch of long documents must fit a Python worker
 BATCH_ROWS = 1000
@@ -24,15 +23,10 @@ def session_settings(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share.
 
-    It lies in ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a local folder is made and set.
+    It lies in ``spark.checkpoint.dir``; only on one machine that may be unset.
+    ``session.clean`` removes all of an application's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_loomrank_dir", None)
-        if base is None:
-            base = spark._loomrank_dir = "file://" + tempfile.mkdtemp(prefix="loomrank-")
-    return f"{base.rstrip('/')}/loomrank-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "part") -> DataFrame:

@@ -8,9 +8,8 @@ bucket and those in which one of the k hashes is replaced by its runner-up.
 
 Equal vectors are collapsed to one with a multiplicity before hashing, so a
 large group of copies costs one row.  Candidates carry a 64-bit sign code; pairs
-whose codes differ in more than ``max_bits`` places (over six standard
-deviations above what the threshold gives) are dropped inside the join, the rest
-is verified by cosine in double precision.  All labels are compared.
+whose codes differ in more places than 1e-7 of the pairs at the threshold
+(:func:`code_bits`) are dropped inside the join, the rest is verified by cosine in double precision.  All labels are compared.
 """
 
 from __future__ import annotations
@@ -150,7 +149,17 @@ def _cosine(threshold: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", max_bits: int = 22) -> DataFrame:
+def code_bits(threshold: float, miss: float = 1e-7) -> int:
+    """Places in which the sign codes of a pair at the threshold may differ, so that no more than ``miss`` of such pairs are dropped."""
+    p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    tail, m = 1.0, -1
+    while tail > miss and m < 64:
+        m += 1
+        tail -= math.comb(64, m) * p**m * (1 - p) ** (64 - m)
+    return m
+
+
+def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row per vector.
 
     Vectors that are null, zero, or hold a null or non-finite component link with
@@ -172,7 +181,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     member = usable.join(reps, "v").select("id", "rep", "m")
     hashed = reps.select("rep", "v").mapInArrow(_hash(reps.count(), threshold), "bucket long, rep long, code long, own boolean")
     index, probe = hashed.where("own").select("bucket", F.col("rep").alias("b"), F.col("code").alias("cb")), hashed.select("bucket", F.col("rep").alias("a"), F.col("code").alias("ca"))
-    near = probe.join(index, "bucket").where(f"a <> b and bit_count(ca ^ cb) <= {max_bits}")
+    near = probe.join(index, "bucket").where(f"a <> b and bit_count(ca ^ cb) <= {code_bits(threshold)}")
     pairs = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("v").alias("va")), reps.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
     links = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_cosine(threshold), "a long, b long"), "links")

@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recompress, textops
-from .common import session_settings
+from .common import possibly_in, session_settings
 from .textops import U
 
 WINDOW = 13
 _SPREAD = 1021
 
 
-def _rows(key, doc, at) -> tuple[np.ndarray, ...]:
-    """Rows ``(key, doc, at, salt)``: salt 0 takes part in the global comparison.
+def _rows(key, doc, at, *more) -> tuple[np.ndarray, ...]:
+    """Rows ``(key, doc, at, salt, *more)``: salt 0 takes part in the global comparison.
 
     Within the batch, rows of documents above a key's smallest are settled
     (salt > 0); the smallest document's rows go on.
@@ -48,7 +48,7 @@ def _rows(key, doc, at) -> tuple[np.ndarray, ...]:
     first[1:] = key[1:] != key[:-1]
     lowest = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(key))))
     salt = np.where(doc > lowest, 1 + doc % _SPREAD, 0).astype(np.int32)
-    return key, doc, at, salt
+    return key, doc, at, salt, *[m[order] for m in more]
 
 
 def _batch(names, columns) -> pa.RecordBatch:
@@ -92,12 +92,12 @@ def _name_rows(size: int):
 def _window_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(2)))
-            ids, lists = np.asarray(batch.column(0)), batch.column(2)
+            batch = batch.filter(pc.is_valid(batch.column(3)))
+            ids, copies, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3)
             shared_all = np.asarray(lists.flatten())
             bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
-            keys, docs, ats = [], [], []
-            for row, end, data, offsets in textops.slices(batch.column(1)):
+            keys, docs, ats, versions = [], [], [], []
+            for row, end, data, offsets in textops.slices(batch.column(2)):
                 w = textops.words(data, offsets)
                 doc = w.doc_of_word()
                 starts, key = recompress.window_keys(w.names, doc, size)
@@ -110,9 +110,11 @@ def _window_rows(size: int):
                 grams = textops.ngrams(w.names, size)
                 keys.append(grams[starts[pick]].view(np.int64))
                 docs.append(ids[row + own[pick]])
+                versions.append(copies[row + own[pick]])
                 ats.append((starts[pick] - w.first[own[pick]]).astype(np.int32))
             if keys:
-                yield _batch(["key", "doc", "at", "salt"], _rows(np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)))
+                key, doc, at, salt, copy = _rows(np.concatenate(keys), np.concatenate(docs), np.concatenate(ats), np.concatenate(versions))
+                yield _batch(["key", "doc", "copy", "at", "salt"], [key, doc, copy, at, salt])
 
     return run
 
@@ -153,23 +155,28 @@ def _finish(size: int, keep_text: bool):
 
 
 def substring_dedup(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, kept_text])``, one row per document.
+    """``(doc_id, n_words, n_removed, kept_sha256[, kept_text])``, one row per row of ``docs``.
 
     Null or empty text: no words, nothing removed, digest of the empty string.
     Texts shorter than ``size`` words are never cut.  Repeats inside one document
     stay.  Other columns are ignored, whatever their names.  ``id_col`` is a
-    unique long; rows with a null id are kept unchanged and compared with none.
+    long.  Rows of one id are texts of their own: each loses what a smaller id has, and
+    nothing to each other.  Rows with a null id are kept unchanged and compared with none.
     """
     session_settings(docs.sparkSession)
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    names = text.where("doc is not null").mapInArrow(_name_rows(size), "key long, doc long, salt int")
+    # texts of repeated ids are told apart by their hash; of all others it is 0 and costs nothing where it is shuffled
+    again = text.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc")
+    text = possibly_in(text, "doc", again, "again").select("doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("copy"), "text")
+    names = text.where("doc is not null").select("doc", "text").mapInArrow(_name_rows(size), "key long, doc long, salt int")
     group = Window.partitionBy("key", "salt")
     shared = names.withColumn("lo", F.min("doc").over(group)).withColumn("hi", F.max("doc").over(group)).where("salt > 0 or lo < hi")
     by_doc = shared.groupBy("doc").agg(F.collect_set("key").alias("keys"))
     # documents without shared names are dropped inside: a filter here would give
     # this join another scan, and the shuffle of the texts serves both joins
-    windows = text.join(by_doc, "doc", "left").select("doc", "text", "keys").mapInArrow(_window_rows(size), "key long, doc long, at int, salt int")
+    windows = text.join(by_doc, "doc", "left").select("doc", "copy", "text", "keys").mapInArrow(_window_rows(size), "key long, doc long, copy long, at int, salt int")
     later = windows.withColumn("lo", F.min("doc").over(group)).where("salt > 0 or lo < doc")
-    cover = later.groupBy("doc").agg(F.collect_list("at").alias("at"))
+    cover = later.groupBy("doc").agg(F.collect_list(F.struct("copy", "at")).alias("at"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    return text.join(cover, "doc", "left").select("doc", "text", "at").mapInArrow(_finish(size, keep_text), schema)
+    own = F.transform(F.filter("at", lambda x: x["copy"] == F.col("copy")), lambda x: x["at"])
+    return text.join(cover, "doc", "left").select("doc", "text", own.alias("at")).mapInArrow(_finish(size, keep_text), schema)

@@ -29,6 +29,8 @@ UNWANTED = (
 ).split()
 #: words of the segmenter's model, and of each table of the classifier, at most: the most frequent
 MAX_WORDS, PRIOR_COUNT = 50_000, 20
+#: letters of a part of a host name, at most
+LABEL = 63
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -76,7 +78,11 @@ def word_counts(pages: DataFrame, html_col: str = "html", max_words: int = MAX_W
 
 
 class Segmenter:
-    """Unigram Viterbi over one name; unknown stretches pay by length."""
+    """Unigram Viterbi over one name; unknown stretches pay by length.
+
+    Known words of ``LABEL`` letters or fewer are looked for at every place, walking
+    their trie; a longer one is known where it is a whole name.
+    """
 
     def __init__(self, counts: Mapping[str, int]) -> None:
         known = dict(counts)
@@ -85,19 +91,38 @@ class Segmenter:
         total = sum(known.values())
         self.cost = {w: -math.log(n / total) for w, n in known.items()}
         self.unknown = math.log(total) + 2.0
-        self.longest = max(map(len, self.cost), default=1)
+        #: letters of known words as nested tables; the cost of a word is under the empty string
+        self.trie: dict = {}
+        for w, cost in self.cost.items():
+            if len(w) <= LABEL:
+                at = self.trie
+                for c in w:
+                    at = at.setdefault(c, {})
+                at[""] = cost
 
     def __call__(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            options = []
-            for start in range(max(0, end - self.longest), end):
-                piece = name[start:end]
-                options.append((best[start] + self.cost.get(piece, self.unknown * (1 + 0.5 * len(piece))), start))
-            cost, start = min(options)
-            best.append(cost)
-            back.append(start)
-        out, end = [], len(name)
+        if len(name) > LABEL and name in self.cost:
+            return [name]
+        n, far = len(name), math.inf
+        # the cheapest way to each place, and the cheapest that ends in an unknown stretch; where their last pieces begin
+        best, back = [0.0] + [far] * n, [0] * (n + 1)
+        lost, since = far, 0
+        for start in range(n):
+            if start and lost < best[start]:
+                best[start], back[start] = lost, since
+            open_ = best[start] + self.unknown
+            if open_ < lost:
+                lost, since = open_, start
+            lost += 0.5 * self.unknown
+            at, end = self.trie, start
+            while end < n and (at := at.get(name[end])) is not None:
+                end += 1
+                cost = at.get("")
+                if cost is not None and best[start] + cost < best[end]:
+                    best[end], back[end] = best[start] + cost, start
+        if n and lost < best[n]:
+            best[n], back[n] = lost, since
+        out, end = [], n
         while end:
             out.append(name[back[end] : end])
             end = back[end]

@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
-from loomrank.llm import contamination, repair, variants
+from loomrank.llm import contamination, queries, repair, variants
 
 SF = "/root/testdata/sf0.001"
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -207,3 +208,15 @@ def test_contamination_on_a_table(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     got = contamination.contamination(docs, bench).collect()
     assert sorted((tuple(r) for r in got), key=repr) == plain_contamination([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
+
+
+@pytest.mark.parametrize("name", ["op12_spelling_variants", "op13_decontamination"])
+def test_sql_gives_the_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = queries.QUERIES[name](spark, SF)
+    want = con.execute(queries.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)

@@ -109,6 +109,15 @@ def test_substring_dedup(spark, kind):
     assert got == want
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """Rows of one id are texts of their own: each loses what a smaller id has."""
+    w, z, v = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 20), ("z", 30), ("v", 15)))
+    rows = [(1, w), (2, z), (2, w), (2, None), (2, z), (3, f"{v} {z}"), (3, v), (None, w), (1, v)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["kept_text"], r["n_removed"]) for r in found), key=repr)
+    assert got == sorted([(1, w, 0), (2, z, 0), (2, "", 20), (2, "", 0), (2, z, 0), (3, "", 45), (3, "", 15), (None, w, 0), (1, v, 0)], key=repr)
+
+
 def test_empty_tables(spark):
     docs = odd_docs(spark).where("false")
     assert ngram_join.ngram_join(docs, 3, 90, 100).count() == 0

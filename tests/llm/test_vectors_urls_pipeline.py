@@ -241,4 +241,38 @@ def test_token_counts_of_rows_without_id(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(queries.QUERIES, key=len) and sum(n.startswith("op") for n in queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=len) and sum(n.startswith("op") for n in queries.QUERIES) == 13
+
+
+def test_embedding_dedup_below_the_default_threshold(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))
+    side = rng.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = 0.7 + 1e-6
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * side]))]
+    found = embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.7)
+    assert found.agg({"n_links": "sum"}).first()[0] >= 598
+    assert embed_dedup.code_bits(0.95) == 22
+    assert [embed_dedup.code_bits(t) for t in (1.0, 0.0, -1.0)] == [0, 52, 64]
+
+
+def test_segmenter_finds_the_cheapest_pieces():
+    rng = np.random.default_rng(7)
+    words = {"".join(rng.choice(list("abc"), rng.integers(1, 5))): int(rng.integers(1, 50)) for _ in range(40)} | {"x" * 70: 3}
+    split = url_filter.Segmenter(words)
+
+    def cost(pieces):
+        return sum(split.cost.get(p, split.unknown * (1 + 0.5 * len(p))) for p in pieces)
+
+    for _ in range(200):
+        name = "".join(rng.choice(list("abcd"), rng.integers(0, 14)))
+        best = [0.0]
+        for end in range(1, len(name) + 1):
+            best.append(min(best[i] + cost([name[i:end]]) for i in range(end)))
+        assert "".join(split(name)) == name
+        assert cost(split(name)) == pytest.approx(best[-1])
+    assert split("x" * 70) == ["x" * 70]
+    assert "".join(split("d" * 100_000)) == "d" * 100_000
