@@ -52,6 +52,11 @@ def _rest(word: str | Column, position: str | Column, size: Column | None = None
     return word.substr(position + 1, F.length(word) if size is None else size)
 
 
+def _letter_bit(letter: Column) -> Column:
+    """One of 64 bits for a letter."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(letter), F.lit(64)).cast("int"))
+
+
 def near_words(words: DataFrame, min_length: int = 7) -> DataFrame:
     """``(word, n, other, other_n)`` for all ordered pairs of words ``(word, n)`` that are one edit apart.
 
@@ -73,7 +78,7 @@ def near_words(words: DataFrame, min_length: int = 7) -> DataFrame:
         own = F.struct(F.col("w").alias("w"), F.col("n").alias("n"))
         label = F.col("w").substr(depth + 1, after - depth)
         ends = F.length("w") <= after
-        edges = states.where("edits <= 0").groupBy("node", label.alias("label")).agg(F.count("*").alias("below"), F.min(own).alias("one"), F.max(F.when(ends, own)).alias("last"))
+        edges = states.where("edits <= 0").groupBy("node", label.alias("label")).agg(F.count("*").alias("below"), F.min(own).alias("one"), F.max(F.when(ends, own)).alias("last"), F.bit_or(F.when(~ends, _letter_bit(F.col("w").substr(after + 1, 1)))).alias("follow"))
         edges = edges.withColumn("child", F.xxhash64("node", "label"))
 
         def to(position: Column, edits: int | Column, ended: bool = False) -> Column:
@@ -91,7 +96,14 @@ def near_words(words: DataFrame, min_length: int = 7) -> DataFrame:
         meets = ((F.length(mine) == F.length(theirs) + 1) | ((F.length(mine) == F.length(theirs)) & (theirs > mine))) & (F.levenshtein(mine, theirs, 1) == 1)
         changed = (F.length(here) == step) & (F.col("label") > here) & (F.levenshtein("label", here, 1) == 1)
         dropped = (F.length(longer) == step + 1) & (F.levenshtein("label", longer, 1) == 1)
-        ways = F.array_compact(F.array(F.when(changed, to(F.col("pos") + step, 1)), F.when(dropped, to(F.col("pos") + step + 1, 1))))
+
+        def goes_on(position: Column) -> Column:
+            """Whether the word ends behind the edge, or its next letter may leave the node there; only such states are worth a row."""
+            more = F.coalesce(F.col("follow").bitwiseAND(_letter_bit(F.col("w").substr(position + 1, F.lit(1)))) != 0, F.lit(False))
+            return F.when(F.length("w") == position, F.col("last").isNotNull()).otherwise(more)
+
+        over, beyond = F.col("pos") + step, F.col("pos") + step + 1
+        ways = F.array_compact(F.array(F.when(changed & goes_on(over), to(over, 1)), F.when(dropped & goes_on(beyond), to(beyond, 1))))
         on = F.when(alone, F.when(meets, F.array(to(F.col("pos"), 0, True)))).when(F.col("label") == here, F.array(to(F.col("pos") + step, 0))).otherwise(ways)
         free = free.withColumn("to", F.explode(on))
         moved = [df.where("to is not null").select("way", "w", "n", "to.*", F.col("child").alias("node"), F.when(F.col("to.ended"), F.col("one")).otherwise(F.col("last")).alias("at")) for df in (straight, free)]
