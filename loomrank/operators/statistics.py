@@ -148,7 +148,10 @@ def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> Dat
 
 
 def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
-    """``keys, p``: share of replicates, the seen one counted in, whose covariance is as large when clusters change sign."""
+    """``keys, p``: share of replicates, the seen one counted in, whose covariance is as large when clusters change sign.
+
+    Sums that differ by rounding alone, as those of the seen signs and their opposites, count as equal.
+    """
     keys, sums = keys or [], spread.cut(sums)
     m = sums.groupBy(*keys).agg((F.sum("sx") / F.sum("n")).alias("mx"), (F.sum("sy") / F.sum("n")).alias("my"))
     with_means = sums.join(m, keys) if keys else sums.crossJoin(F.broadcast(m))
@@ -156,13 +159,13 @@ def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, h
     if most_rows(sums, keys) > held:
         flips = z.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
         sign = F.when(draw(F.col("b"), F.col("c"), F.lit(2)) == 0, 1).otherwise(-1)
-        f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), F.abs(F.sum("z")).alias("seen"))
+        f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), (F.abs(F.sum("z")) - 1e-12 * F.sum(F.abs("z"))).alias("seen"))
         return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
 
     def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
         own = pdf.sort_values("c")["z"].to_numpy()
         signs = np.where(raw_draws(reps, "", len(own)) % 2 == 0, 1.0, -1.0)
-        large = int((np.abs(signs @ own) >= abs(own.sum())).sum())
+        large = int((np.abs(signs @ own) >= abs(own.sum()) - 1e-12 * np.abs(own).sum()).sum())
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "large": [large]})
 
     found = in_blocks(z, keys, replicates, run, _typed(sums, keys, "large long"))

@@ -105,7 +105,7 @@ def t6(t):
     "t7_sign_flip",
     f"""WITH cl AS {_CL}, m AS (SELECT sum(sx) / sum(n) AS mx, sum(sy) / sum(n) AS my FROM cl), z AS (SELECT c, sxy - mx * sy - my * sx + n * mx * my AS z FROM cl, m),
         f AS (SELECT b, sum(z * CASE WHEN ('0x' || substr(md5(b || ':' || c), 1, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM z, (SELECT unnest(range({B})) AS b) GROUP BY b)
-        SELECT (1 + count(*) FILTER (abs(s) >= (SELECT abs(sum(z)) FROM z))) / ({B} + 1.0)::DOUBLE AS p FROM f""",
+        SELECT (1 + count(*) FILTER (abs(s) >= (SELECT abs(sum(z)) - 1e-12 * sum(abs(z)) FROM z))) / ({B} + 1.0)::DOUBLE AS p FROM f""",
 )
 def t7(t):
     return S.sign_flip(_sums(t), B)
