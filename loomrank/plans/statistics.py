@@ -150,10 +150,10 @@ def subset_statistics(rows, replicates: int):
     rho = rho.withColumn("p", S.correlation_p("rho", F.col("n").cast("double")))
     q = S.benjamini_hochberg(rho.where("p is not null"), "p", "subset", ["region"]).select(*keys, "q")
     sums = spread.cut(S.cluster_sums(ranked, "cluster", "r_x", "r_y", keys))
-    one_way = spread.quantiles(S.bootstrap_replicates(sums, replicates, keys), keys, "r", {"low": 0.025, "high": 0.975})
+    one_way = spread.quantiles(spread.cut(S.bootstrap_replicates(sums, replicates, keys)), keys, "r", {"low": 0.025, "high": 0.975})
     flips = S.sign_flip(sums, replicates, keys).withColumnRenamed("p", "flip_p")
     cells = rows.groupBy("subset", F.col("cluster").alias("donor"), F.col("region").alias("carrier")).agg(F.min("x").alias("x"), F.avg("y").alias("y"))
-    crossed = spread.quantiles(S.crossed_bootstrap(cells, replicates, ["subset"]), ["subset"], "r", {"crossed_low": 0.025, "crossed_high": 0.975})
+    crossed = spread.quantiles(spread.cut(S.crossed_bootstrap(cells, replicates, ["subset"])), ["subset"], "r", {"crossed_low": 0.025, "crossed_high": 0.975})
     return rho.join(q, keys, "left").join(one_way, keys, "left").join(flips, keys, "left").join(crossed, "subset", "left")
 
 

@@ -254,6 +254,25 @@ def test_spread_ranks_and_quantiles(spark, keys):
     assert spread.number_rows(df.where("false"), keys, ["i"]).count() == 0
 
 
+@pytest.mark.parametrize("blind", [False, True])
+def test_quantiles_of_long_keys_by_brackets(spark, monkeypatch, blind):
+    rng = np.random.default_rng(3)
+    values = {"smooth": rng.normal(size=20000), "tied": rng.integers(0, 4, 9000).astype(float), "steep": rng.pareto(0.5, 7000), "ends": np.repeat([-np.inf, 1.0, 2.0, np.inf], [900, 800, 800, 900]), "short": rng.normal(size=7), "edge": rng.normal(size=1000), "past": rng.normal(size=1001)}
+    rows = [(k, float(x)) for k, xs in values.items() for x in xs] + [("smooth", None), ("smooth", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    if blind:  # a sketch that is always wrong changes nothing but the time it takes
+        monkeypatch.setattr(spread.F, "percentile_approx", lambda c, ends, accuracy: F.array(*[F.lit(1e9)] * len(ends)))
+    at = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.999, "f": 1.0}
+    got = {r["k"]: r for r in spread.quantiles(df, ["k"], "x", at).collect()}
+    assert set(got) == {*values, "none"} and got["none"]["c"] is None
+    for k, xs in values.items():
+        for n, q in at.items():
+            i = (len(xs) - 1) * q
+            low, high = np.sort(xs)[[math.floor(i), math.ceil(i)]]
+            want = low if low == high else low + (high - low) * (i - math.floor(i))
+            assert got[k][n] == pytest.approx(want, nan_ok=True) or math.isinf(low), (k, n)
+
+
 def test_ten_thousand_replicates(spark):
     rows = [(f"u{i % 12}", float(i % 7), float(i * i % 11)) for i in range(200)]
     sums = statistics.cluster_sums(spark.createDataFrame(rows, "u string, x double, y double"), "u", "x", "y")
