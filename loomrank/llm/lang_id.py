@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.spread import widen
 from .common import session_settings, unit_hash
 
 #: bytes of each dictionary, sampled rows of each language
@@ -122,7 +123,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
     ``score`` is the margin, from 0 to 1; ties go to the language that is
     commoner in training.  Null texts and texts without a letter are ``und``
     with score 0 and rejected.  Repeated rows are judged alike, each for itself; null
-    ids stay null.  Other columns are ignored; an empty table gives no rows.
+    ids stay null.  Other columns are ignored; an empty table gives no rows.  A table in
+    fewer partitions than there are cores is dealt to all of them.
     """
     session_settings(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -135,7 +137,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
             ok = [p != "und" and s >= min_margin for p, s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=[id_col, "lang_pred", "score", "accepted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
+    return widen(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
