@@ -1,5 +1,6 @@
 """Vector operators, URL filters and the pipeline."""
 
+import math
 import re
 
 import numpy as np
@@ -160,16 +161,56 @@ def test_url_classifier_learns_from_ruled_pages(spark):
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string")
     counts = url_filter.word_counts(df)
     bayes = url_filter.train(df, counts)
-    assert not {"net", "example", "en", "org", "de", "fr", "com"} & set(bayes.odds)
+    assert not {"net", "example", "en", "org", "de", "fr", "com"} & {r["w"] for r in bayes.collect()}
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, counts, bayes).collect()}
     assert [got[i] for i in range(120, 124)] == ["block", "allow", "allow", "allow"]
 
 
-def test_most_frequent_words_are_bounded(spark):
-    df = spark.createDataFrame([(f"w{i}", i) for i in range(1, 1001)], "w string, n long")
-    for limit in (0, 1, 50, 5000):
-        kept = sorted(r["n"] for r in url_filter.most_frequent(df, limit).collect())
-        assert len(kept) <= limit and kept == list(range(1001 - len(kept), 1001)) and (limit < 50 or kept)
+def test_rare_words_are_known_among_many(spark):
+    names = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) + "quartz" for i in range(5000)]
+    counts = spark.createDataFrame([(w, 1) for w in names] + [("field", 10**7)], "w string, n long")
+    asked = spark.createDataFrame([(w + "field",) for w in names[::50]] + [("w" * 70,), ("é",)], "name string")
+    got = {r["name"]: r["words"] for r in url_filter.segment(asked, counts).collect()}
+    assert got == {**{w + "field": [w, "field"] for w in names[::50]}, "w" * 70: ["w" * 70], "é": ["é"]}
+
+
+def plain_scores(urls, ruled, counts):
+    """Verdicts and log odds by one loop over rows: rules first, then words of names."""
+    known = dict(counts)
+    for w in url_filter.UNWANTED:
+        known[w] = max(known.get(w, 0), url_filter.PRIOR_COUNT)
+    split, word = url_filter.Segmenter(known), re.compile(r"[^\W\d_]+")
+    own = set(word.findall(" ".join(h + p for h, p, _ in url_filter.RULES)))
+    tally = {w: [url_filter.PRIOR_COUNT, 0] for w in url_filter.UNWANTED}
+    parts = [plain_parts(u) for u in urls]
+    for (host, path), rule in zip(parts, ruled, strict=True):
+        if rule is not None:
+            h, _, p = rule[0].partition("/")
+            names = word.findall(host[: len(host) - len(h)] + "/" + path[len(p) + 1 :].lower())
+            for w in {w for x in names for w in split(x)} - own:
+                tally.setdefault(w, [0, 0])[rule[1] == "allow"] += 1
+    bad, good = (sum(n[i] for n in tally.values()) + len(tally) + 1 for i in (0, 1))
+    odds = {w: math.log((n[0] + 1) / bad) - math.log((n[1] + 1) / good) for w, n in tally.items()}
+    return [None if rule else sum(odds.get(w, 0.0) for x in word.findall(h + "/" + p.lower()) for w in split(x)) for (h, p), rule in zip(parts, ruled, strict=True)]
+
+
+def test_scores_of_a_table_against_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    extra = [(None, "http://Casinobonus.org/Win/x", None), (1, "http://a.org/fr/casino", None), (1, None, "word word"), (2, "http://a.org/" + "newscasino" * 300, "<b>news</b>")]
+    both = pages.unionByName(spark.createDataFrame(extra * 2, "page_id long, url string, html string"))
+    counts = url_filter.word_counts(both)
+    rows = url_filter.judge(both, counts).collect()
+    assert len(rows) == both.count()
+    got = {(r["host"], r["path"]): r for r in rows}
+    urls = [r["url"] for r in both.collect()]
+    verdict = {h + p: v for h, p, v in url_filter.RULES}
+    rules = [got[plain_parts(u)]["rule"] for u in urls]
+    want = plain_scores(urls, [r and (r, verdict[r]) for r in rules], {r["w"]: r["n"] for r in counts.collect()})
+    for u, z in zip(urls, want, strict=True):
+        r = got[plain_parts(u)]
+        assert (r["score"] is None) == (z is None)
+        if z is not None:
+            assert r["score"] == pytest.approx(z, abs=1e-6) and (abs(z) < 1e-6 or r["verdict"] == ("block" if z > 0 else "allow"))
 
 
 def test_long_names_are_judged_whole(spark):
@@ -178,7 +219,7 @@ def test_long_names_are_judged_whole(spark):
     counts = url_filter.word_counts(spark.createDataFrame([(h,) for h in HTML], "html string"))
     got = {r["page_id"]: r for r in url_filter.judge(df, counts).collect()}
     assert [got[i]["verdict"] for i in range(3)] == ["block", "block", "allow"]
-    words = url_filter.tokens("", "/" + plain + bad, url_filter.Segmenter(counts))
+    [words] = [r["words"] for r in url_filter.segment(spark.createDataFrame([(plain + bad,)], "name string"), counts).collect()]
     assert "".join(words) == plain + bad and words.count("casino") == words.count("jackpot") == 4
 
 
