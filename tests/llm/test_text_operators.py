@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrank.llm import lang_id, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts
-from loomrank.llm.secret_cnn import encode, labelled_findings
+from loomrank.llm.secret_cnn import TRAINED, UNSEEN, encode, labelled_findings, recall_by_format
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +180,24 @@ def test_secrets(spark):
     assert p[y].mean() > 0.85 and p[~y].mean() < 0.1
 
 
+def test_secrets_of_formats_held_out_whole(spark):
+    assert not set(TRAINED) & set(UNSEEN)
+    net = secret_scan.train(spark.read.parquet(SF))
+    shares = recall_by_format(net, ["harvest", "Window", "copper", "river", "tables"])
+    assert shares.pop("none") < 0.03
+    assert min(shares.values()) > 0.88 and np.mean([shares[f] for f in UNSEEN]) > 0.94
+
+
+def test_candidates_without_digits():
+    def found(text):
+        return [text[s:e] for s, e in secret_scan.candidates(text, secret_scan.base_spans(text))]
+
+    key = "kQzXwPvNtRbYmLsGhJcD"
+    assert found(f"see {key} here") == [key]
+    for text in ("", "internationalization", "Internationalization", "INTERNATIONALIZATION", "/usr/share/common/licenses", "/Usr", "snake_case_name_of_words"):
+        assert found(text) == []
+
+
 def plain_base(text):
     """The base rules by search for one match after another, in code points."""
     rules = [
