@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import spread
 from ..operators import tables as T
-from ..operators.alignment import fit_targets
+from ..operators.alignment import best_fits, fit_targets
 from ..operators.search import kmer_hits, redundancy_levels
 from .base import query
 
@@ -84,19 +86,42 @@ def m6(t):
     return T.first_row(both, ["id"], ["pri"]).select("id", "mode")
 
 
+#: chains and targets that one task compares
+CHAINS, TARGETS = 8192, 1024
+
+
 @query("m7_best_chain")
 def m7(t):
     """Each supplier name as a target, the names of its nation's customers as chains: the best chain and how the target lies in it.
 
-    Only scores are worked out for all pairs; the places are traced for the best chain.
+    Equal names of a nation are compared once. Blocks of chains, in order so that they
+    begin alike, meet blocks of targets; each gives its best chain, and the
+    places are traced for the best of all.
     """
     targets = t.supplier.select("s_suppkey", F.upper(F.regexp_replace("s_name", r"\s", "")).alias("target"), F.col("s_nationkey").alias("n")).where("target <> ''")
     chains = t.customer.select("c_custkey", F.upper("c_name").alias("chain"), F.col("c_nationkey").alias("n"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = fit_targets(pdf["chain"].tolist(), pdf["target"].tolist())
-            yield pdf[["s_suppkey", "c_custkey"]].assign(score=[f[0] for f in found], matches=[f[1] for f in found])
+    return best_chains(targets, chains)
+
+
+def best_chains(targets: DataFrame, chains: DataFrame, n_chains: int = CHAINS, n_targets: int = TARGETS) -> DataFrame:
+    """The best of the ``chains`` ``(c_custkey, chain, n)`` for each of the ``targets`` ``(s_suppkey, target, n)`` of the same ``n``."""
+    names = chains.where("chain is not null and n is not null").groupBy("n", "chain").agg(F.min("c_custkey").alias("c_custkey"))
+    asked = targets.where("target is not null and n is not null").select("n", "target").distinct()
+    names = spread.number_rows(names, ["n"], ["chain"], "r", "k").select("n", F.floor((F.col("r") - 1) / n_chains).alias("c"), "chain", "c_custkey", F.ceil(F.col("k") / n_chains).alias("cs"))
+    asked = spread.number_rows(asked, ["n"], ["target"], "r", "k").select("n", F.floor((F.col("r") - 1) / n_targets).alias("b"), "target", F.ceil(F.col("k") / n_targets).alias("bs"))
+    # blocks of one side are sent once for each block of the other
+    names, asked = spread.cut(names), spread.cut(asked)
+    sizes = spread.cut(names.select("n", "cs").distinct().join(asked.select("n", "bs").distinct(), "n"))
+    tasks = max(1, sizes.agg(F.sum(F.col("cs") * F.col("bs"))).first()[0] or 0)
+    names = names.select("n", "c", "chain", "c_custkey").join(sizes, "n").withColumn("b", F.explode(F.expr("sequence(0L, bs - 1)"))).drop("bs", "cs")
+    asked = asked.select("n", "b", "target").join(sizes, "n").withColumn("c", F.explode(F.expr("sequence(0L, cs - 1)"))).drop("bs", "cs")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"n": [], "target": [], "score": [], "matches": [], "c_custkey": []}).astype({"n": "int64", "matches": "int64", "c_custkey": "int64", "score": "float64", "target": "object"})
+        found = best_fits(left["chain"].tolist(), left["c_custkey"].tolist(), right["target"].tolist())
+        score, matches, key = zip(*found, strict=True)
+        return pd.DataFrame({"n": right["n"], "target": right["target"], "score": score, "matches": matches, "c_custkey": key})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,8 +130,9 @@ def m7(t):
             out = pdf[["s_suppkey", "c_custkey"]].assign(score=[f[0] for f in found], matches=[f[1] for f in found])
             yield out.assign(missing=[len(x) for x in lost], identity=[f[1] / len(s) for f, s in zip(found, pdf["target"], strict=True)], missing_positions=[",".join(x) for x in lost])
 
-    pairs = targets.join(chains, "n").select("s_suppkey", "c_custkey", "target", "chain")
-    scored = pairs.mapInPandas(score, "s_suppkey long, c_custkey long, score double, matches long")
-    best = scored.groupBy("s_suppkey").agg(F.max_by("c_custkey", F.struct("score", "matches", -F.col("c_custkey"))).alias("c_custkey"))
-    named = best.join(targets, "s_suppkey").join(chains.select("c_custkey", "chain"), "c_custkey").select("s_suppkey", "c_custkey", "target", "chain")
-    return named.mapInPandas(place, "s_suppkey long, c_custkey long, score double, matches long, missing long, identity double, missing_positions string")
+    keys = ["n", "b", "c"]
+    names, asked = names.repartition(tasks, *keys), asked.repartition(tasks, *keys)
+    scored = names.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(best, "n long, target string, score double, matches long, c_custkey long")
+    top = spread.cut(scored.groupBy("n", "target").agg(F.max_by("c_custkey", F.struct("score", "matches", -F.col("c_custkey"))).alias("c_custkey")))
+    named = targets.join(top, ["n", "target"]).join(chains.select("c_custkey", "chain"), "c_custkey").select("s_suppkey", "c_custkey", "target", "chain")
+    return spread.widen(named).mapInPandas(place, "s_suppkey long, c_custkey long, score double, matches long, missing long, identity double, missing_positions string")

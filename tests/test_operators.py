@@ -13,10 +13,11 @@ from loomrank import plans, session
 
 from loomrank.operators import geometry, spread, statistics, tables
 from loomrank.functions import text as X
-from loomrank.operators.alignment import fit_targets, global_identities, global_identity, global_matches
+from loomrank.operators.alignment import best_fits, fit_targets, global_identities, global_identity, global_matches
 from loomrank.operators.search import containing, greedy_clusters, kmer_hits, nearest_by_pivots, redundancy_levels
 from loomrank.operators.statistics import crossed_bootstrap
 from loomrank.operators.terms import tfidf
+from loomrank.plans.library import best_chains
 from loomrank.plans.statistics import subset_statistics
 from loomrank.sources import files as R
 from loomrank.streaming.intake import intake, latest, tally
@@ -621,3 +622,27 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
         assert session.scratch(spark, "x").startswith("file:/")
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.scratch(Cluster(), "x")
+
+
+def test_best_fits_is_the_best_of_all_pairs():
+    r = random.Random(5)
+    for _ in range(60):
+        letters = r.choice(["AB", "ABCD", "ABCDEFGHIJ"])
+        chains = list({"".join(r.choice(letters) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 50))})
+        keys = r.sample(range(1000), len(chains))
+        targets = ["".join(r.choice(letters) for _ in range(r.randint(1, 10))) for _ in range(r.randint(1, 8))]
+        for target, (score, matches, key) in zip(targets, best_fits(chains, keys, targets), strict=True):
+            assert (score, matches, -key) == max((s, m, -k) for (s, m), k in zip(fit_targets(chains, [target] * len(chains)), keys))
+
+
+def test_best_chains_in_blocks_and_with_repeated_names(spark):
+    r = random.Random(6)
+    chains = [(i, "".join(r.choice("ABC") for _ in range(r.randint(0, 6))), i % 3) for i in range(120)] + [(500, "AAB", None), (501, None, 1)]
+    targets = [(i, "".join(r.choice("ABC") for _ in range(r.randint(1, 5))), i % 3) for i in range(20)] + [(90, "AB", 7), (91, "AB", None)]
+    found = best_chains(spark.createDataFrame(targets, "s_suppkey long, target string, n long"), spark.createDataFrame(chains, "c_custkey long, chain string, n long"), 7, 3).collect()
+    assert sorted(x["s_suppkey"] for x in found) == list(range(20))
+    for x in found:
+        _, target, n = targets[x["s_suppkey"]]
+        own = [(c, s) for c, s, k in chains if k == n and s is not None]
+        best = max((score, m, -c) for (c, _), (score, m) in zip(own, fit_targets([s for _, s in own], [target] * len(own))))
+        assert (x["score"], x["matches"], -x["c_custkey"]) == best
