@@ -57,32 +57,96 @@ def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
 BLOCK = 256
 #: clusters, or cells, of a key that one task may hold; with more of them replicates are joined to rows
 HELD = 1 << 20
-#: cells x replicates of a weight matrix held at once
-MATRIX = 1 << 21
-#: numbers that a worker keeps
-KEPT = 1 << 23
-_KEPT: dict[tuple[int, str], np.ndarray] = {}
-
-
-def raw_draws(replicates: Iterable[int], prefix: str, n: int) -> np.ndarray:
-    """The numbers of :func:`draw` before they are taken modulo ``n``, a row per replicate; kept for the other keys of a task."""
-    rows = []
-    if sum(map(len, _KEPT.values())) > KEPT:
-        _KEPT.clear()
-    for b in replicates:
-        have = _KEPT.get((b, prefix), np.zeros(0, np.uint32))
-        if len(have) < n:
-            more = b"".join(hashlib.md5(f"{b}:{prefix}{i}".encode()).digest()[:4] for i in range(len(have), n))
-            have = _KEPT[b, prefix] = np.concatenate([have, np.frombuffer(more, ">u4").astype(np.uint32)])
-        rows.append(have[:n])
-    return np.array(rows).reshape(-1, n)
+#: draws, items x replicates, held at once
+MATRIX = 1 << 20
+_MD5_TURNS = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4)
+_MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+#: digests worked out at once, so that they stay in a core's cache
+_AT_ONCE = 1 << 14
+
+
+def _first_words(start: bytes, low: int, high: int) -> np.ndarray:
+    """The first 32 bits of the md5 of ``start`` and each number in low..high-1, all of as many digits; for messages of one block."""
+    digits = len(str(low))
+    size = len(start) + digits
+    head = np.frombuffer(start + b"\0" * digits + b"\x80" + b"\0" * (55 - size) + (8 * size).to_bytes(8, "little"), "<u4")
+    words: list = [int(w) for w in head]
+    number = np.arange(low, high, dtype=np.uint32)
+    for place in range(size - 1, len(start) - 1, -1):
+        number, digit = np.divmod(number, np.uint32(10))
+        words[place // 4] = words[place // 4] + ((digit + np.uint32(48)) << np.uint32(8 * (place % 4)))
+    words = [w if isinstance(w, np.ndarray) else np.uint32(w) for w in words]
+    n = high - low
+    a, b, c, d = (np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            at = i
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif i < 32:
+            at = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif i < 48:
+            at = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            at = 7 * i % 16
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        f += a
+        if isinstance(words[at], np.ndarray):
+            f += words[at]
+            f += np.uint32(_MD5_ADDED[i])
+        else:
+            f += np.uint32((_MD5_ADDED[i] + int(words[at])) & 0xFFFFFFFF)
+        turn = int(_MD5_TURNS[i])
+        np.right_shift(f, np.uint32(32 - turn), out=g)
+        np.left_shift(f, np.uint32(turn), out=f)
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def _one_by_one(start: bytes, low: int, high: int) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.md5(start + str(i).encode()).digest()[:4] for i in range(low, high)), ">u4").astype(np.uint32)
+
+
+#: below so many digests they are faster one by one
+FEW_DRAWS = 2048
+
+
+def raw_draws(replicate: int, prefix: str, low: int, high: int) -> np.ndarray:
+    """The numbers of :func:`draw` for the items low..high-1, before they are taken modulo ``n``."""
+    start = f"{replicate}:{prefix}".encode()
+    if len(start) > 44:  # the message might take a second block
+        return _one_by_one(start, low, high)
+    out = [np.zeros(0, np.uint32)]
+    while low < high:
+        end = min(high, low + _AT_ONCE, 10 ** len(str(low)))
+        if end - low < FEW_DRAWS:
+            out.append(_one_by_one(start, low, end))
+        else:
+            out.append(_first_words(start, low, end))
+        low = end
+    return np.concatenate(out)
+
+
+def counted(raw: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n items is drawn in each replicate, a row of ``raw`` draws."""
+    at = (raw[:, :n] % np.uint32(n)).astype(np.int64) + n * np.arange(len(raw))[:, None]
+    return np.bincount(at.ravel(), minlength=n * len(raw)).reshape(-1, n)
 
 
 def counts_drawn(replicates: Iterable[int], prefix: str, n: int) -> np.ndarray:
-    """How often each of n items is drawn in each replicate."""
-    picks = raw_draws(replicates, prefix, n) % n
-    at = picks.astype(np.int64) + n * np.arange(len(picks))[:, None]
-    return np.bincount(at.ravel(), minlength=n * len(picks)).reshape(-1, n)
+    """:func:`counted` draws of the replicates."""
+    return counted(np.array([raw_draws(b, prefix, 0, n) for b in replicates], np.uint32).reshape(-1, n), n)
 
 
 def in_blocks(df: DataFrame, keys: list[str], replicates: int, run: Callable[[tuple, pd.DataFrame, range], pd.DataFrame], schema: str) -> DataFrame:
@@ -100,6 +164,35 @@ def in_blocks(df: DataFrame, keys: list[str], replicates: int, run: Callable[[tu
     return spread_.groupBy(*keys, "_block").applyInPandas(one, schema)
 
 
+#: rows of keys that are worked on together
+BUNDLE = 1 << 19
+
+
+def with_draws(df: DataFrame, keys: list[str], replicates: int, prefix: str, ready: Callable[[pd.DataFrame], tuple[int, Callable]], out: str) -> DataFrame:
+    """``keys, b, out`` of resampled keys: ``ready(rows of a key)`` gives the number of its items and what makes values of a matrix of draws and its replicates.
+
+    A draw does not depend on the key but for its modulo, so keys of ``BUNDLE`` rows or
+    little more are worked on together, with draws made once for all of them.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    numbers = {"_key": ("sum", F.lit(1).cast("long")), "_upto": ("sum", F.col("_rows"))}
+    known = spread.cut(spread.running(sizes, [], keys, numbers) if keys else sizes.select(F.lit(1).cast("long").alias("_key"), F.col("_rows").alias("_upto")))
+    rows = spread.join_on_keys(df, known.select(*keys, "_key", F.floor((F.col("_upto") - 1) / BUNDLE).alias("_bundle")), keys).drop(*keys)
+
+    def one(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+        own = [(k, *ready(g)) for k, g in pdf.groupby("_key")]
+        most = max(n for _, n, _ in own)
+        step, found = max(1, MATRIX // most), []
+        for at in range(0, len(reps), step):
+            part = reps[at : at + step]
+            raw = np.array([raw_draws(b, prefix, 0, most) for b in part], np.uint32).reshape(-1, most)
+            found += [pd.DataFrame({"_key": k, "b": list(part), "_v": values(raw, part)}) for k, _, values in own]
+        return pd.concat(found)
+
+    found = in_blocks(rows, ["_bundle"], replicates, one, "_key long, b long, _v double")
+    return found.join(known.select("_key", *keys), "_key").select(*keys, "b", F.nanvl("_v", F.lit(None)).alias(out))
+
+
 def most_rows(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest key."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -121,21 +214,18 @@ def _correlations(n, sx, sy, sxx, syy, sxy) -> np.ndarray:
 def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | None = None, held: int = HELD) -> DataFrame:
     """``keys, b, r``: correlation of each replicate of resampled clusters, within ``keys``.
 
-    Sums are one row per cluster. A task draws for a block of replicates and multiplies
-    the counts with the sums. Keys of more than ``held`` clusters join draws to sums instead.
+    Sums are one row per cluster. A task draws for a block of replicates, a few at a
+    time, and multiplies the counts with the sums. Keys of more than ``held`` clusters join draws to sums instead.
     """
     keys, sums = keys or [], spread.cut(sums)
     if most_rows(sums, keys) > held:
         return _joined_replicates(sums, replicates, keys)
 
-    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        total = counts_drawn(reps, "", len(pdf)) @ pdf[SUMS].to_numpy(float)
-        r = _correlations(*total.T)
-        return pd.DataFrame({**{k: [v] * len(r) for k, v in zip(keys, key, strict=True)}, "b": list(reps), "r": r})
+    def ready(pdf: pd.DataFrame):
+        own = pdf.sort_values("c")[SUMS].to_numpy(float)
+        return len(own), lambda raw, _: _correlations(*(counted(raw, len(own)) @ own).T)
 
-    found = in_blocks(sums.select(*keys, "c", *SUMS), keys, replicates, run, _typed(sums, keys, "b long, r double"))
-    return found.withColumn("r", F.nanvl("r", F.lit(None)))
+    return with_draws(sums.select(*keys, "c", *SUMS), keys, replicates, "", ready, "r")
 
 
 def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
@@ -162,13 +252,12 @@ def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, h
         f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), (F.abs(F.sum("z")) - 1e-12 * F.sum(F.abs("z"))).alias("seen"))
         return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
 
-    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+    def ready(pdf: pd.DataFrame):
         own = pdf.sort_values("c")["z"].to_numpy()
-        signs = np.where(raw_draws(reps, "", len(own)) % 2 == 0, 1.0, -1.0)
-        large = int((np.abs(signs @ own) >= abs(own.sum()) - 1e-12 * np.abs(own).sum()).sum())
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "large": [large]})
+        seen = abs(own.sum()) - 1e-12 * np.abs(own).sum()
+        return len(own), lambda raw, _: (np.abs(np.where(raw[:, : len(own)] % 2 == 0, 1.0, -1.0) @ own) >= seen).astype(float)
 
-    found = in_blocks(z, keys, replicates, run, _typed(sums, keys, "large long"))
+    found = with_draws(z.select(*keys, "c", "z"), keys, replicates, "", ready, "large")
     return found.groupBy(*keys).agg(((1 + F.sum("large")) / F.lit(replicates + 1.0)).alias("p"))
 
 
@@ -183,7 +272,8 @@ def bootstrap_means(rows: DataFrame, replicates: int, group: str, order: str, va
 
     def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
         own = pdf.sort_values("_i")[value].to_numpy(float)
-        means = counts_drawn(reps, str(key[0]), len(own)) @ own / len(own)
+        step = max(1, MATRIX // len(own))
+        means = np.concatenate([counts_drawn(reps[at : at + step], str(key[0]), len(own)) @ own / len(own) for at in range(0, len(reps), step)])
         return pd.DataFrame({group: [key[0]] * len(means), "b": list(reps), "m": means})
 
     return in_blocks(x.select(group, "_i", value), [group], replicates, run, _typed(rows, [group], "b long, m double"))
@@ -194,8 +284,8 @@ def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None
 
     A cell weighs the times its donor was drawn times the times its carrier was.
     Names are numbered in order, draws are numbers from a hash of the replicate and a
-    place. A task sorts the cells of a key once and works out a block of replicates as
-    matrices: weighted mid-ranks are cumulative sums over sorted cells. Keys of more than
+    place. A task numbers the values of a key once; weighted mid-ranks of a replicate are
+    cumulative sums of the weights of values. Keys of more than
     ``held`` cells join draws to cells instead. Cells without one of the values take no
     part; replicates of no weight, or of one value, have no ``r``.
     """
@@ -204,33 +294,29 @@ def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None
     if most_rows(cells, keys) > held:
         return _joined_crossed(cells, replicates, keys)
 
-    def run(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
+    def ready(pdf: pd.DataFrame):
         donors, donor = np.unique(pdf["donor"].to_numpy(), return_inverse=True)
         carriers, carrier = np.unique(pdf["carrier"].to_numpy(), return_inverse=True)
-        sides = []
-        for v in ("x", "y"):
-            values, group = np.unique(pdf[v].to_numpy(float), return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            sides.append((group, order, np.searchsorted(group[order], np.arange(len(values)), "right") - 1))
-        out = []
-        step = max(1, MATRIX // len(pdf))
-        for at in range(0, len(reps), step):
-            part = reps[at : at + step]
-            w = counts_drawn(part, "donor/", len(donors))[:, donor].T * counts_drawn(part, "carrier/", len(carriers))[:, carrier].T
-            n, sums, ranks = w.sum(0).astype(float), [], []
-            for group, order, last in sides:
-                upto = np.cumsum(w[order], axis=0)[last]
-                own = np.diff(upto, axis=0, prepend=0)
-                mid = upto - (own - 1) / 2.0
-                sums.append(((own * mid).sum(0), (own * mid * mid).sum(0)))
+        (x, nx), (y, ny) = ((group, len(values)) for values, group in (np.unique(pdf[v].to_numpy(float), return_inverse=True) for v in ("x", "y")))
+
+        def one(drawn: np.ndarray, b: int) -> tuple[float, ...]:
+            w = drawn[donor] * counts_drawn([b], "carrier/", len(carriers))[0].astype(float)[carrier]
+            sums, ranks = [], []
+            for group, k in ((x, nx), (y, ny)):
+                own = np.bincount(group, w, k)
+                mid = np.cumsum(own) - (own - 1) / 2.0
+                sums.append((own @ mid, own @ (mid * mid)))
                 ranks.append(mid[group])
             (sx, sxx), (sy, syy) = sums
-            out.append(_correlations(n, sx, sy, sxx, syy, np.einsum("cb,cb,cb->b", w, *ranks)))
-        r = np.concatenate(out)
-        return pd.DataFrame({**{k: [v] * len(r) for k, v in zip(keys, key, strict=True)}, "b": list(reps), "r": r})
+            return w.sum(), sx, sy, sxx, syy, w @ (ranks[0] * ranks[1])
+
+        def values(raw: np.ndarray, reps: range) -> np.ndarray:
+            drawn = (counted(raw[i : i + 1], len(donors))[0].astype(float) for i in range(len(reps)))
+            return _correlations(*np.array([one(d, b) for d, b in zip(drawn, reps, strict=True)]).T)
+
+        return len(donors), values
 
-    found = in_blocks(cells.select(*keys, "donor", "carrier", "x", "y"), keys, replicates, run, _typed(cells, keys, "b long, r double"))
-    return found.withColumn("r", F.nanvl("r", F.lit(None)))
+    return with_draws(cells.select(*keys, "donor", "carrier", "x", "y"), keys, replicates, "donor/", ready, "r")
 
 
 def _joined_crossed(cells: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
