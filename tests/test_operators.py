@@ -646,3 +646,18 @@ def test_best_chains_in_blocks_and_with_repeated_names(spark):
         own = [(c, s) for c, s, k in chains if k == n and s is not None]
         best = max((score, m, -c) for (c, _), (score, m) in zip(own, fit_targets([s for _, s in own], [target] * len(own))))
         assert (x["score"], x["matches"], -x["c_custkey"]) == best
+
+
+def test_draws_are_those_of_md5():
+    for b, prefix in ((0, ""), (9999, "donor/"), (12, "click"), (7, "x" * 50)):
+        for low, high in ((0, 12), (95, 5205), (99_000, 103_000)):
+            assert statistics.raw_draws(b, prefix, low, high).tolist() == [int(hashlib.md5(f"{b}:{prefix}{i}".encode()).hexdigest()[:8], 16) for i in range(low, high)]
+
+
+def test_rows_meet_in_parts_and_odd_vectors_stay(spark):
+    from loomrank.plans.joins import _measured
+
+    rows = [(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0, 2.0, 3.0]), (5, [3.0, 4.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = tables.meet_in_blocks(e, e.where("vec_id = 0"), _measured, "query_id long, vec_id long, euclidean double, cosine double", 2, 1)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 5.0, 0.0), (0, 2, None, None), (0, 3, None, 0.0), (0, 4, None, None), (0, 5, 0.0, 1.0)]
