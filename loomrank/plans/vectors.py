@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import spread
 from ..operators import tables as T
 from ..operators.hashing import hyperplane_tokens
 from ..operators.search import nearest_by_pivots
@@ -109,8 +112,9 @@ def v10(t):
 
 @query("v11_sparse_max", "SELECT source, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term, max(length(text)) AS weight FROM documents GROUP BY 1, 2")
 def v11(t):
-    terms = F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.lower(x)))
-    return t.documents.select("source", F.length("text").cast("long").alias("w"), terms.alias("term")).groupBy("source", "term").agg(F.max("w").alias("weight"))
+    """A term weighs the same wherever it stands in a document, so each is sent once for it."""
+    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z]+"), F.lit(0))))
+    return spread.widen(t.documents.select("source", "text")).select("source", F.length("text").cast("long").alias("w"), terms.alias("term")).groupBy("source", "term").agg(F.max("w").alias("weight"))
 
 
 @query(
