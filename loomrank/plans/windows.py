@@ -112,7 +112,7 @@ def w10(t):
     "w11_merge_intervals",
     """WITH i AS (SELECT user_id, event_type, (event_id % 997) AS s, (event_id % 997) + (user_id + event_id) % 9 AS e FROM events),
        m AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 + 2 OR row_number() OVER (PARTITION BY user_id, event_type ORDER BY s, e) = 1 THEN 1 ELSE 0 END AS new FROM i),
-       g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+       g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY s, e, new DESC ROWS UNBOUNDED PRECEDING) AS g FROM m)
        SELECT user_id, event_type, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, event_type, g HAVING max(e) - min(s) + 1 >= 3""",
 )
 def w11(t):
