@@ -18,6 +18,8 @@ from ..session import scratch
 
 #: accuracy of the sketch that brackets quantiles: ranks are off by a thousandth of a key's rows at most
 SKETCH = 1000
+#: rows that one range holds, and rows from which on all cores share the ranges
+RANGE, FEW = 250_000, 10_000
 _HOW = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -34,6 +36,12 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ranges(df: DataFrame) -> int:
+    """How many ranges of bounded size hold the rows; however many rows there are, a task sorts no more of them."""
+    rows = df.count()
+    return max(1, -(-rows // RANGE), min(df.sparkSession.sparkContext.defaultParallelism, rows // FEW))
+
+
 def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join in which missing keys are equal; the columns of ``right`` beside the keys are added."""
     other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -48,8 +56,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], values: d
     every tie. Missing keys are keys like others.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = df.repartitionByRange(*[F.col(k) for k in keys], *by).withColumn("_p", F.spark_partition_id())
-    parts = cut(parts.select("*", *[v.alias(f"_v_{c}") for c, (_, v) in values.items()]))
+    n = ranges(df)
+    parts = df.repartitionByRange(n, *[F.col(k) for k in keys], *by).withColumn("_p", F.spark_partition_id())
+    # dealt anew by range and key with as many tasks, or a fixed number of them would hold more ranges the more there are
+    parts = cut(parts.select("*", *[v.alias(f"_v_{c}") for c, (_, v) in values.items()])).repartition(n, "_p", *keys)
     here = Window.partitionBy("_p", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = parts.groupBy("_p", *keys).agg(*[_HOW[how](f"_v_{c}").alias(c) for c, (how, _) in values.items()])
     # a key's ranges follow each other: few rows, one for each range at most beyond its first
@@ -67,7 +77,8 @@ def beside(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
 
     Ranges exchange one border row for each key they hold; ``order`` must decide every tie.
     """
-    parts = cut(df.repartitionByRange(*[F.col(k) for k in keys], *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    n = ranges(df)
+    parts = cut(df.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())).repartition(n, "_p", *keys)
     row, shift = F.struct(*columns), F.lead if ahead else F.lag
     here = Window.partitionBy("_p", *keys).orderBy(*order)
     border = (F.min_by if ahead else F.max_by)(row, F.struct(*order))
