@@ -13,7 +13,21 @@ from pyspark.sql import functions as F
 from . import spread
 
 #: bytes of kept terms that every task may hold; with more of them weights are joined
-VOCABULARY = 64 << 20
+VOCABULARY = 16 << 20
+#: bytes of a batch that are worked on at once
+SLICE = 2 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in parts of ``SLICE`` bytes or so, whatever their length; one that is longer is a part by itself."""
+    for batch in batches:
+        at, rows = 0, max(1, batch.num_rows * SLICE // max(1, batch.get_total_buffer_size()))
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > 2 * SLICE:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
 
 
 def _counted(excluded: list[str]):
@@ -21,7 +35,7 @@ def _counted(excluded: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         without = pa.array(excluded, pa.string())
-        for batch in batches:
+        for batch in _slices(batches):
             elements = batch.column(1)
             sizes = np.asarray(pc.fill_null(pc.list_value_length(elements), 0), np.int64)
             lists = elements.flatten() if sizes.sum() else pa.array([], pa.list_(pa.string()))
@@ -48,7 +62,7 @@ def _counted(excluded: list[str]):
 def _weighed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             terms = batch.column(1)
             sizes = np.asarray(pc.list_value_length(terms), np.int64)
             if not sizes.sum():
