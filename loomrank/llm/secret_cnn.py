@@ -12,6 +12,7 @@ import numpy as np
 BEFORE, INSIDE, AFTER = 28, 48, 12
 LENGTH = BEFORE + INSIDE + AFTER
 DIM, WIDTH, FILTERS = 8, 5, 24
+EPOCHS = 12
 #: characters of a candidate at least, and from one window of a long one to the next
 SHORTEST, STEP = 16, 8
 
@@ -56,9 +57,25 @@ class Network:
             "v": rng.normal(0, 0.2, 3 * FILTERS),
             "c": np.zeros(1),
         }
+        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}  # moments of gradients, and steps made
+        self.s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.steps = 0.0
         self.scale, self.shift = 1.0, 0.0  # calibration
         self.threshold = 0.5
 
+    def state(self) -> np.ndarray:
+        """All that :meth:`fit` changes, as one vector; means of such vectors are states too."""
+        return np.concatenate([v.ravel() for part in (self.p, self.m, self.s) for v in part.values()] + [[self.steps]])
+
+    def restore(self, state: np.ndarray) -> Network:
+        at = 0
+        for part in (self.p, self.m, self.s):
+            for k, v in part.items():
+                part[k] = state[at : at + v.size].reshape(v.shape).copy()
+                at += v.size
+        self.steps = float(state[at])
+        return self
+
     def _forward(self, x: np.ndarray):
         e = self.p["e"][x]  # n, L, D
         n, length = x.shape
@@ -86,22 +103,21 @@ class Network:
                 out[k] = out[k] or bool(q >= self.threshold)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 4) -> Network:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int | tuple[int, ...] = 4) -> Network:
+        """Adam over mini-batches; goes on from where an earlier call ended."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        m, s = self.m, self.s
         weight = np.ones(len(x)) if weight is None else weight
-        step = 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 rows = order[i : i + batch]
                 g = self._gradients(x[rows], y[rows], weight[rows])
-                step += 1
+                self.steps += 1
                 for k, v in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * v
                     s[k] = 0.999 * s[k] + 0.001 * v * v
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+                    self.p[k] -= rate * (m[k] / (1 - 0.9**self.steps)) / (np.sqrt(s[k] / (1 - 0.999**self.steps)) + 1e-8)
         return self
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:

@@ -4,11 +4,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomrank.llm import lang_id, mixing, ngram_join, packing, secret_scan, substring_dedup, token_counts
-from loomrank.llm.secret_cnn import TRAINED, UNSEEN, encode, labelled_findings, recall_by_format
+from loomrank.llm.common import unit_hash
+from loomrank.llm.secret_cnn import LENGTH, TRAINED, UNSEEN, encode, labelled_findings, recall_by_format
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,6 +190,62 @@ def test_secrets_of_formats_held_out_whole(spark):
     assert min(shares.values()) > 0.88 and np.mean([shares[f] for f in UNSEEN]) > 0.94
 
 
+def test_secrets_are_learned_from_every_document(spark):
+    """Findings that lie in documents which a sample of 2,000 would leave out."""
+    text = F.concat(F.lit("see token=+"), F.lpad(F.col("doc_id"), 8, "4"), F.lit("-555-0"), F.col("doc_id") % 7, F.lit("-12 of the list"))
+    missed = unit_hash(F.col("doc_id"), F.lit(2)) >= 2000 / 6000
+    docs = spark.range(6000).withColumnRenamed("id", "doc_id").withColumn("text", F.when(missed, text).otherwise("plain words only"))
+    net = secret_scan.train(docs)
+    found = [r["text"] for r in docs.where(missed).collect()]
+    x = np.stack([encode(t, t.index("+"), t.index(" of")) for t in found])
+    assert len(found) > 3500 and (net.probability(x) >= net.threshold).mean() > 0.94
+
+
+def test_secrets_findings_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("token=abcdef0123456789 "), "text").alias("text")))
+    want = []
+    for (text,) in docs.select("text").where("text is not null").collect():
+        base = secret_scan.base_spans(text)
+        spans = [(secret_scan.ASSIGN.match(text, s).span(2) if k == 0 else (s, e), 1) for s, e, k in base] + [(c, 0) for c in secret_scan.candidates(text, base)]
+        want += [(encode(text, s, e).astype(np.uint8).tobytes(), y) for (s, e), y in spans if secret_scan._key_like(text, s, e)]
+    rows = secret_scan.findings(docs)
+    got = rows.where("w is null").collect()
+    assert sum(y for _, y in want) > 1000 > len(want) - sum(y for _, y in want) > 10 and sorted((bytes(r["x"]), r["y"]) for r in got) == sorted(want)
+    assert 0.2 < np.mean([r["held"] for r in got]) < 0.3 and {r["y"] for r in got if r["held"]} == {0, 1}
+    words = rows.where("w is not null").orderBy("draw").limit(secret_scan.WORDS).collect()
+    assert len(words) == secret_scan.WORDS and secret_scan.drawn_words(rows) == sorted({r["w"] for r in words})
+    assert secret_scan.drawn_words(secret_scan.findings(docs.repartition(5))) == secret_scan.drawn_words(rows)
+
+
+def test_secrets_trained_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "CHUNK", 128)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9]{16}|token|secret|passw'").select("doc_id", "text")
+    one, other = (secret_scan.train(docs.repartition(n)) for n in (2, 5))
+    assert np.allclose(one.state(), other.state(), atol=1e-6) and abs(one.threshold - other.threshold) < 1e-6
+    shares = recall_by_format(one, ["harvest", "Window", "copper", "river", "tables"])
+    assert shares.pop("none") < 0.03 and min(shares.values()) > 0.88
+
+
+def test_smallest_of_a_column(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.random(300).view(np.int64), rng.integers(0, 5, 50), rng.integers(0, 1 << 62, 50), [0, (1 << 63) - 1]])
+    df = spark.createDataFrame([(int(v),) for v in values], "p long")
+    for k in (0, 1, 40, 52, 200, len(values) - 1):
+        assert secret_scan.smallest(df, k, few=20 if k % 2 else 0) == np.sort(values)[k]
+
+
+def test_chunks_of_shards():
+    def batch(shards):
+        x = [bytes([i % 77]) * LENGTH for i in range(len(shards))]
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(x, pa.binary()), pa.array([0] * len(shards), pa.int32())], names=["shard", "x", "y"])
+
+    found = [(s, len(x), len(y)) for s, x, y in secret_scan._chunks(iter([batch([1, 1, 4]), batch([]), batch([4, 4, 6]), batch([6])]))]
+    assert found == [(1, 2, 2), (4, 3, 3), (6, 2, 2)]
+    long = [n for _, x, _ in secret_scan._chunks(batch([3] * 1000) for _ in range(20)) for n in [len(x)]]
+    assert sum(long) == 20_000 and max(long) < 2 * secret_scan.CHUNK + 1000 and list(secret_scan._chunks(iter([]))) == []
+
+
 def test_candidates_without_digits():
     def found(text):
         return [text[s:e] for s, e in secret_scan.candidates(text, secret_scan.base_spans(text))]
