@@ -670,3 +670,20 @@ def test_upper_case_is_that_of_sql(spark):
     text = "Stra\u00dfe \u00e9\u00ff " + "".join(_WIDE)
     want = duckdb.execute("select upper(?)", [text]).fetchall()[0][0]
     assert spark.createDataFrame([(text,)], "text string").select(_upper("text")).first()[0] == want
+
+
+@pytest.mark.parametrize("extra", ["", "é ", "\U0001f600￿", "ab" * 200])
+def test_differences_of_packed_texts(spark, monkeypatch, extra):
+    from loomrank.functions import text
+
+    names = ["", "abc", "abd", "ab", None, "\0", "abcdefgh", "xbcdefghi", "~" * 30, "abc", "z" + extra, extra + "z"]
+    s, bits, size = text.packed(spark.createDataFrame([(n,) for n in names], "n string"), "n", "codes")
+    want = sorted([(a, b, None if a is None or b is None else sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))) for a in names for b in names], key=repr)
+    for few in (0, 1000):
+        monkeypatch.setattr(text, "FEW_NUMBERS", few)
+        pairs = tables.every_pair(s, s, rows=5)
+        got = pairs.select("n", F.col("other.n").alias("m"), text.differences(F.col("codes"), F.col("other.codes"), bits, size).alias("d"))
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+    # pairs are made where rows are, not sent to Python and back
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Broadcast" not in plan
