@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -687,3 +688,12 @@ def test_differences_of_packed_texts(spark, monkeypatch, extra):
     # pairs are made where rows are, not sent to Python and back
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "CoGroup" not in plan and "Broadcast" not in plan
+
+
+def test_parts_that_meet_are_bounded_and_sent_once(spark):
+    rows = spark.createDataFrame([(7,)] * 9, "k long")
+    sizes = tables.meet_in_blocks(rows, rows, lambda a, b: pa.table({"n": [a.num_rows], "m": [b.num_rows]}), "n long, m long", 4, 2)
+    found = [tuple(r) for r in sizes.collect()]
+    # equal rows do not end up in one part
+    assert sum(n * m for n, m in found) == 81 and max(n for n, _ in found) <= 4 and max(m for _, m in found) <= 2
+    assert "CartesianProduct" in sizes._jdf.queryExecution().executedPlan().toString()
