@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +57,13 @@ def from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
 #: replicates that one task works out together
 BLOCK = 256
 #: clusters, or cells, of a key that one task may hold; with more of them replicates are joined to rows
-HELD = 1 << 20
+HELD = 1 << 22
 #: draws, items x replicates, held at once
 MATRIX = 1 << 20
 _MD5_TURNS = np.array([7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4)
 _MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
-#: digests worked out at once, so that they stay in a core's cache
-_AT_ONCE = 1 << 14
+#: digests worked out at once: few calls, and not much memory
+_AT_ONCE = 1 << 16
 
 
 def _first_words(start: bytes, low: int, high: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def _first_words(start: bytes, low: int, high: int) -> np.ndarray:
     n = high - low
     a, b, c, d = (np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
     f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
-    for i in range(64):
+    for i in range(61):  # the last three steps do not touch what is asked for
         if i < 16:
             at = i
             np.bitwise_xor(c, d, out=f)
@@ -111,7 +112,7 @@ def _first_words(start: bytes, low: int, high: int) -> np.ndarray:
         f |= g
         f += b
         a, b, c, d, f = d, f, b, c, a
-    return (a + np.uint32(0x67452301)).byteswap()
+    return (b + np.uint32(0x67452301)).byteswap()
 
 
 def _one_by_one(start: bytes, low: int, high: int) -> np.ndarray:
@@ -164,32 +165,74 @@ def in_blocks(df: DataFrame, keys: list[str], replicates: int, run: Callable[[tu
     return spread_.groupBy(*keys, "_block").applyInPandas(one, schema)
 
 
-#: rows of keys that are worked on together
-BUNDLE = 1 << 19
-
-
-def with_draws(df: DataFrame, keys: list[str], replicates: int, prefix: str, ready: Callable[[pd.DataFrame], tuple[int, Callable]], out: str) -> DataFrame:
-    """``keys, b, out`` of resampled keys: ``ready(rows of a key)`` gives the number of its items and what makes values of a matrix of draws and its replicates.
-
-    A draw does not depend on the key but for its modulo, so keys of ``BUNDLE`` rows or
-    little more are worked on together, with draws made once for all of them.
+#: draws that a task of many keys holds
+DRAWS = 1 << 25
+#: bytes of a key's rows that are sent as one
+PIECE = 1 << 12
+
+
+def _in_pieces(rows: pa.Table, pack: Callable[[pa.Table], tuple[int, np.ndarray]]) -> pa.Table:
+    """What ``pack`` makes of a key's rows, the number of its items and a table of numbers, as pieces of ``PIECE`` bytes."""
+    items, numbers = pack(rows)
+    data = np.ascontiguousarray(numbers)
+    cuts = np.append(np.arange(0, data.nbytes, PIECE), data.nbytes)
+    pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
+    same = {"_key": rows.column("_key")[0].as_py(), "_items": items, "_size": data.nbytes}
+    return pa.table({**{k: np.full(len(pieces), v, np.int64) for k, v in same.items()}, "_at": cuts[:-1], "_data": pieces})
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Block, key, number of items and bytes of each key whose pieces have come."""
+    begun: dict[int, list] = {}
+    for batch in batches:
+        block, key, items, size, at = (batch.column(c).to_numpy() for c in ("_block", "_key", "_items", "_size", "_at"))
+        data = batch.column("_data")
+        cuts = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        held = np.frombuffer(data.buffers()[2], np.uint8)
+        # pieces that follow each other are copied at once
+        ends = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1] + np.diff(cuts)[:-1])) + 1
+        for low, high in zip([0, *ends], [*ends, len(key)], strict=True):
+            own = begun.setdefault(key[low], [0, np.empty(size[low], np.uint8)])
+            n = int(cuts[high] - cuts[low])
+            own[1][at[low] : at[low] + n] = held[cuts[low] : cuts[high]]
+            own[0] += n
+            if own[0] == size[low]:
+                del begun[key[low]]
+                yield int(block[low]), int(key[low]), int(items[low]), own[1]
+
+
+def with_draws(df: DataFrame, keys: list[str], replicates: int, prefix: str, pack: Callable[[pa.Table], tuple[int, np.ndarray]], kind: type, width: int, ready: Callable[[int, np.ndarray], Callable], out: str) -> DataFrame:
+    """``keys, b, out`` of resampled keys.
+
+    ``pack(rows of a key)`` gives the number of its items and a table of numbers, ``width`` of a ``kind`` in a row, and ``ready`` of both
+    makes values of a matrix of draws and its replicates. A draw does not depend on the key but for its
+    modulo: a task makes the draws of some replicates once, and all keys pass it, one after the other. Tasks
+    read packed rows from the shared folder, which are written once.
     """
+    spark = df.sparkSession
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    numbers = {"_key": ("sum", F.lit(1).cast("long")), "_upto": ("sum", F.col("_rows"))}
-    known = spread.cut(spread.running(sizes, [], keys, numbers) if keys else sizes.select(F.lit(1).cast("long").alias("_key"), F.col("_rows").alias("_upto")))
-    rows = spread.join_on_keys(df, known.select(*keys, "_key", F.floor((F.col("_upto") - 1) / BUNDLE).alias("_bundle")), keys).drop(*keys)
-
-    def one(key: tuple, pdf: pd.DataFrame, reps: range) -> pd.DataFrame:
-        own = [(k, *ready(g)) for k, g in pdf.groupby("_key")]
-        most = max(n for _, n, _ in own)
-        step, found = max(1, MATRIX // most), []
-        for at in range(0, len(reps), step):
-            part = reps[at : at + step]
-            raw = np.array([raw_draws(b, prefix, 0, most) for b in part], np.uint32).reshape(-1, most)
-            found += [pd.DataFrame({"_key": k, "b": list(part), "_v": values(raw, part)}) for k, _, values in own]
-        return pd.concat(found)
-
-    found = in_blocks(rows, ["_bundle"], replicates, one, "_key long, b long, _v double")
+    known = spread.cut(spread.number_rows(sizes, [], keys, "_key") if keys else sizes.select(F.lit(1).cast("long").alias("_key")))
+    rows = spread.join_on_keys(df, known.select(*keys, "_key"), keys).drop(*keys)
+    pieces = spread.cut(rows.groupBy("_key").applyInArrow(lambda t: _in_pieces(t, pack), "_key long, _items long, _size long, _at long, _data binary"))
+    most = pieces.agg(F.max("_items")).first()[0] or 1
+    at_once = max(1, min(BLOCK, DRAWS // most))
+    tasks = -(-replicates // at_once)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = None
+        for block, key, items, data in _put_together(batches):
+            reps = range(block * at_once, min((block + 1) * at_once, replicates))
+            if raw is None:
+                raw = np.empty((len(reps), most), np.uint32)
+                for i, b in enumerate(reps):
+                    raw[i] = raw_draws(b, prefix, 0, most)
+            values, step = ready(items, data.view(kind).reshape(-1, width)), max(1, MATRIX // items)
+            found = np.concatenate([values(raw[i : i + step], reps[i : i + step]) for i in range(0, len(reps), step)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), key)), pa.array(np.array(reps)), pa.array(found, pa.float64())], ["_key", "b", "_v"])
+
+    blocks = spark.range(0, tasks, 1, tasks).select(F.col("id").alias("_block"))
+    # one partition beside each block of replicates, so that a task reads all keys by itself and nothing is shuffled
+    found = pieces.coalesce(1).join(blocks.hint("shuffle_replicate_nl"), how="cross").mapInArrow(one, "_key long, b long, _v double")
     return found.join(known.select("_key", *keys), "_key").select(*keys, "b", F.nanvl("_v", F.lit(None)).alias(out))
 
 
@@ -198,6 +241,18 @@ def most_rows(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _numbers(rows: pa.Table, columns: list[str], kind: type) -> np.ndarray:
+    return np.column_stack([rows.column(c).to_numpy().astype(kind) for c in columns])
+
+
+def _places(column: pa.ChunkedArray) -> np.ndarray:
+    """The place of each value among the distinct ones in order."""
+    if pa.types.is_string(column.type):
+        names = column.combine_chunks().dictionary_encode("encode")
+        return np.unique(names.dictionary.to_numpy(False), return_inverse=True)[1][np.asarray(names.indices)]
+    return np.unique(column.to_numpy(), return_inverse=True)[1]
+
+
 def _typed(df: DataFrame, keys: list[str], rest: str) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + rest
 
@@ -221,11 +276,20 @@ def bootstrap_replicates(sums: DataFrame, replicates: int, keys: list[str] | Non
     if most_rows(sums, keys) > held:
         return _joined_replicates(sums, replicates, keys)
 
-    def ready(pdf: pd.DataFrame):
-        own = pdf.sort_values("c")[SUMS].to_numpy(float)
-        return len(own), lambda raw, _: _correlations(*(counted(raw, len(own)) @ own).T)
+    def pack(rows: pa.Table) -> tuple[int, np.ndarray]:
+        return rows.num_rows, _numbers(rows.sort_by("c"), SUMS, float)
+
+    def ready(n: int, own: np.ndarray) -> Callable:
+        own = np.ascontiguousarray(own.T)
+
+        def values(raw: np.ndarray, _: range) -> np.ndarray:
+            # one replicate after the other stays in a core's cache once there are many clusters
+            found = own @ counted(raw, n).T if n < FEW_DRAWS else np.array([own @ counted(r[None], n)[0].astype(float) for r in raw]).T
+            return _correlations(*found)
 
-    return with_draws(sums.select(*keys, "c", *SUMS), keys, replicates, "", ready, "r")
+        return values
+
+    return with_draws(sums.select(*keys, "c", *SUMS), keys, replicates, "", pack, float, len(SUMS), ready, "r")
 
 
 def _joined_replicates(sums: DataFrame, replicates: int, keys: list[str]) -> DataFrame:
@@ -252,12 +316,17 @@ def sign_flip(sums: DataFrame, replicates: int, keys: list[str] | None = None, h
         f = flips.groupBy(*keys, "b").agg(F.sum(F.col("z") * sign).alias("s"), (F.abs(F.sum("z")) - 1e-12 * F.sum(F.abs("z"))).alias("seen"))
         return f.groupBy(*keys).agg(((1 + F.count_if(F.abs("s") >= F.col("seen"))) / F.lit(replicates + 1.0)).alias("p"))
 
-    def ready(pdf: pd.DataFrame):
-        own = pdf.sort_values("c")["z"].to_numpy()
-        seen = abs(own.sum()) - 1e-12 * np.abs(own).sum()
-        return len(own), lambda raw, _: (np.abs(np.where(raw[:, : len(own)] % 2 == 0, 1.0, -1.0) @ own) >= seen).astype(float)
+    def pack(rows: pa.Table) -> tuple[int, np.ndarray]:
+        return rows.num_rows, _numbers(rows.sort_by("c"), ["z"], float)
+
+    def ready(n: int, own: np.ndarray) -> Callable:
+        own = own[:, 0]
+        total = own.sum()
+        seen = abs(total) - 1e-12 * np.abs(own).sum()
+        # an odd draw turns the sign
+        return lambda raw, _: (np.abs(total - 2.0 * ((raw[:, :n] & np.uint32(1)).astype(float) @ own)) >= seen).astype(float)
 
-    found = with_draws(z.select(*keys, "c", "z"), keys, replicates, "", ready, "large")
+    found = with_draws(z.select(*keys, "c", "z"), keys, replicates, "", pack, float, 1, ready, "large")
     return found.groupBy(*keys).agg(((1 + F.sum("large")) / F.lit(replicates + 1.0)).alias("p"))
 
 
@@ -294,13 +363,16 @@ def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None
     if most_rows(cells, keys) > held:
         return _joined_crossed(cells, replicates, keys)
 
-    def ready(pdf: pd.DataFrame):
-        donors, donor = np.unique(pdf["donor"].to_numpy(), return_inverse=True)
-        carriers, carrier = np.unique(pdf["carrier"].to_numpy(), return_inverse=True)
-        (x, nx), (y, ny) = ((group, len(values)) for values, group in (np.unique(pdf[v].to_numpy(float), return_inverse=True) for v in ("x", "y")))
+    def pack(rows: pa.Table) -> tuple[int, np.ndarray]:
+        at = np.column_stack([_places(rows.column(c)) for c in ("donor", "carrier", "x", "y")]).astype(np.int32)
+        return int(at[:, 0].max()) + 1, at[np.argsort(at[:, 0], kind="stable")]
+
+    def ready(n: int, cells: np.ndarray) -> Callable:
+        donor, carrier, x, y = cells.T.astype(np.int64)
+        carriers, nx, ny = (int(v.max()) + 1 for v in (carrier, x, y))
 
         def one(drawn: np.ndarray, b: int) -> tuple[float, ...]:
-            w = drawn[donor] * counts_drawn([b], "carrier/", len(carriers))[0].astype(float)[carrier]
+            w = drawn[donor] * counts_drawn([b], "carrier/", carriers)[0].astype(float)[carrier]
             sums, ranks = [], []
             for group, k in ((x, nx), (y, ny)):
                 own = np.bincount(group, w, k)
@@ -311,12 +383,12 @@ def crossed_bootstrap(cells: DataFrame, replicates: int, keys: list[str] | None
             return w.sum(), sx, sy, sxx, syy, w @ (ranks[0] * ranks[1])
 
         def values(raw: np.ndarray, reps: range) -> np.ndarray:
-            drawn = (counted(raw[i : i + 1], len(donors))[0].astype(float) for i in range(len(reps)))
+            drawn = (counted(raw[i : i + 1], n)[0].astype(float) for i in range(len(reps)))
             return _correlations(*np.array([one(d, b) for d, b in zip(drawn, reps, strict=True)]).T)
 
-        return len(donors), values
+        return values
 
-    return with_draws(cells.select(*keys, "donor", "carrier", "x", "y"), keys, replicates, "donor/", ready, "r")
+    return with_draws(cells.select(*keys, "donor", "carrier", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), keys, replicates, "donor/", pack, np.int32, 4, ready, "r")
 
 
 def _joined_crossed(cells: DataFrame, replicates: int, keys: list[str]) -> DataFrame:

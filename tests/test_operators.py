@@ -697,3 +697,20 @@ def test_parts_that_meet_are_bounded_and_sent_once(spark):
     # equal rows do not end up in one part
     assert sum(n * m for n, m in found) == 81 and max(n for n, _ in found) <= 4 and max(m for _, m in found) <= 2
     assert "CartesianProduct" in sizes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_of_keys_come_in_any_order():
+    rng, own = np.random.default_rng(8), {k: np.arange(k * 1000, k * 1000 + 1800 + k).reshape(-1, 1) for k in (1, 2, 3)}
+    pieces = pa.concat_tables([statistics._in_pieces(pa.table({"_key": [k]}), lambda _, v=v: (len(v), v)) for k, v in own.items()])
+    pieces = pieces.append_column("_block", pa.array([4] * pieces.num_rows))
+    for order in (np.arange(pieces.num_rows), rng.permutation(pieces.num_rows)):
+        found = {k: (b, n, data.view(np.int64).tolist()) for b, k, n, data in statistics._put_together(pieces.take(order).to_batches(max_chunksize=5))}
+        assert found == {k: (4, len(v), v.ravel().tolist()) for k, v in own.items()}
+
+
+def test_a_million_cells_are_not_joined_to_replicates(spark):
+    cells = spark.range((1 << 20) + 10).select((F.col("id") % 400_000).alias("donor"), F.format_string("c%d", F.col("id") % 3).alias("carrier"), (F.col("id") % 1009).cast("double").alias("x"), (F.col("id") % 1013).cast("double").alias("y"))
+    r = crossed_bootstrap(cells, 2)
+    assert r.where("abs(r) < 1").count() == 2
+    # cells are packed once and read beside each block of replicates
+    assert "CartesianProduct" in r._jdf.queryExecution().executedPlan().toString()
