@@ -714,3 +714,29 @@ def test_a_million_cells_are_not_joined_to_replicates(spark):
     assert r.where("abs(r) < 1").count() == 2
     # cells are packed once and read beside each block of replicates
     assert "CartesianProduct" in r._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_asked_for_once_by_each_part(spark):
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = ["a", "the", "é", "ﬀ", "zz\U0001f600"] + [f"w{i}" for i in range(30)]
+    texts = {i: [[rng.choice(words) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(4))] for i in range(150)} | {150: None, 151: []}
+    docs = spark.createDataFrame(list(texts.items()), "id long, words array<array<string>>")
+
+    def terms(elements):
+        found = Counter(t for e in elements or [] for t in [*e, *map(" ".join, zip(e, e[1:]))])
+        return {t: 1 + math.log(n) for t, n in found.items() if len(t) > 1 and t not in ("the", "w1 w2")}
+
+    held = {i: terms(e) for i, e in texts.items()}
+    df = Counter(t for h in held.values() for t in h)
+    want = {}
+    for i, h in held.items():
+        w = {t: v * (math.log(len(texts) / df[t]) + 1) for t, v in h.items() if df[t] >= 2}
+        want |= {(i, t): v / math.hypot(*w.values()) for t, v in w.items()}
+    for size in (1 << 20, 2000):
+        out = tfidf(docs, ["the", "w1 w2"], vocabulary=size)
+        assert {(r["id"], r["term"]): r["w"] for r in out.collect()} == pytest.approx(want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # the documents are shuffled once, and no term by itself
+        assert "Join" not in plan and "Generate" not in plan and "ReusedExchange" in plan
