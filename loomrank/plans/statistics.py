@@ -141,13 +141,13 @@ def subset_statistics(rows, replicates: int):
     """Rank correlation of each (subset, region) with its p, q, cluster bootstrap and sign flip, and the subset's crossed bootstrap.
 
     ``rows`` is ``(subset, region, cluster, x, y)``, a row once for each subset that
-    holds it, so all subsets run as one grouped job. q is adjusted over the subsets of
+    holds it, so all subsets run as one grouped job; rows are worked out once and written. q is adjusted over the subsets of
     a region. A statistic that does not exist (fewer than three rows, no spread) is NULL.
     """
-    keys = ["subset", "region"]
+    keys, rows = ["subset", "region"], spread.cut(rows)
     ranked = S.with_ranks(rows.where("x is not null and y is not null"), keys, ["x", "y"])
     rho = ranked.groupBy(*keys).agg(F.count("*").alias("n"), S.pearson("r_x", "r_y").alias("rho"))
-    rho = rho.withColumn("p", S.correlation_p("rho", F.col("n").cast("double")))
+    rho = spread.cut(rho.withColumn("p", S.correlation_p("rho", F.col("n").cast("double"))))
     q = S.benjamini_hochberg(rho.where("p is not null"), "p", "subset", ["region"]).select(*keys, "q")
     sums = spread.cut(S.cluster_sums(ranked, "cluster", "r_x", "r_y", keys))
     one_way = spread.quantiles(spread.cut(S.bootstrap_replicates(sums, replicates, keys)), keys, "r", {"low": 0.025, "high": 0.975})

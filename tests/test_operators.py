@@ -740,3 +740,16 @@ def test_terms_are_asked_for_once_by_each_part(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         # the documents are shuffled once, and no term by itself
         assert "Join" not in plan and "Generate" not in plan and "ReusedExchange" in plan
+
+
+def test_rows_of_subsets_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(s, f"r{i % 2}", i % 7, float(i % 5), float(i * i % 11)) for s in "ab" for i in range(60)], "subset string, region string, cluster long, x double, y double")
+    assert subset_statistics(rows.mapInArrow(counted, rows.schema), 5).count() == 4
+    assert seen.value == 120
